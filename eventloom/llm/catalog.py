@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eventloom.llm import mixing, url_filter
+from eventloom.llm import bpe, mixing, url_filter
 
 QUERIES = {
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op9_bpe_coding": bpe.op9_bpe_coding,
 }
 
 SQL = {

@@ -84,14 +84,14 @@ def pieces(batches: Iterator, column: str, most_bytes: int) -> Iterator:
     A single longer value is a cut of its own; no value is ever divided.
     """
     import numpy as np
-    import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         n = batch.num_rows
         if n == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < n:
