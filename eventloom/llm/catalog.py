@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, mixing, url_filter
+from eventloom.llm import bpe, mixing, token_counts, token_store, url_filter
 
 QUERIES = {
+    "op4_token_store": token_store.op4_token_store,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_url_filters": url_filter.op7_url_filters,
     "op9_bpe_coding": bpe.op9_bpe_coding,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 SQL = {
