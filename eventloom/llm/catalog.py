@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, html_text, mixing, quality, token_counts, token_store, url_filter
+from eventloom.llm import bpe, html_text, mixing, quality, set_join, token_counts, token_store, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_store": token_store.op4_token_store,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op8_ngram_join": set_join.op8_ngram_join,
     "op9_bpe_coding": bpe.op9_bpe_coding,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -17,4 +18,5 @@ QUERIES = {
 SQL = {
     "op5_source_mixing": mixing.SQL,
     "op7_url_filters": url_filter.SQL,
+    "op8_ngram_join": set_join.SQL,
 }
