@@ -306,6 +306,19 @@ class Coder:
         return b"".join(map(self.vocabulary.bytes.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 
 
+#: The coder that this worker process made last; its cached words serve later tasks too.
+_MADE: dict[tuple, Coder] = {}
+
+
+def coder(tokenizer: str, lexicon: str | None, newer: str) -> Coder:
+    """The worker's coder for these files, made at its first task."""
+    key = (tokenizer, lexicon, newer)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Coder(*key)
+    return _MADE[key]
+
+
 def library_newer(tokenizer: str) -> str:
     """``pretoken.newer_characters`` for a vocabulary file, by the tokenizers library's tables."""
     from tokenizers import Tokenizer
@@ -338,10 +351,10 @@ def encode_decode(
     def coded(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        coder = Coder(tokenizer, SparkFiles.get(lexicon) if lexicon else None, newer)
+        own = coder(tokenizer, SparkFiles.get(lexicon) if lexicon else None, newer)
         for batch in common.pieces(batches, "_text", STEP_BYTES):
-            ids = coder.encode([t or "" for t in batch.column(len(keys)).to_pylist()])
-            decoded = [coder.decode(x) for x in ids]
+            ids = own.encode([t or "" for t in batch.column(len(keys)).to_pylist()])
+            decoded = [own.decode(x) for x in ids]
             columns = [
                 *batch.columns[: len(keys)],
                 pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from eventloom.llm import pretoken
 
 
+@functools.lru_cache(maxsize=1)
 def library_cache(path: str) -> pretoken.PieceCache:
-    """A cache of ids that the library gives, for a Python worker.
+    """A cache of ids that the library gives, made once in a Python worker process.
 
     New words are encoded by one library call for all of them; a text that isn't
     plain (see ``pretoken``) is encoded by the library as a whole.

@@ -83,7 +83,7 @@ class PieceCache:
         encode_text: Callable[[str], bytes],
         newline: bytes,
         specials: tuple[str, ...],
-        limit: int = 400_000,
+        limit: int = 600_000,
     ):
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
         self.newline, self.specials, self.limit = newline, specials, limit
