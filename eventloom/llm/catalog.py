@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, html_text, mixing, quality, set_join, token_counts, token_store, url_filter
+from eventloom.llm import bpe, html_text, mixing, passages, quality, set_join, token_counts, token_store, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
+    "op2_repeated_passages": passages.op2_repeated_passages,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_store": token_store.op4_token_store,
     "op5_source_mixing": mixing.op5_source_mixing,

@@ -18,7 +18,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 from pyspark import TaskContext
@@ -39,15 +40,15 @@ BROADCAST_IDS = 1_000_000
 ENTRY = [("token", "<u8"), ("id", "<i8"), ("label", "<i8"), ("size", "<i4"), ("pos", "<i4")]
 
 
-def _buckets(spark: SparkSession) -> int:
+def bucket_count(spark: SparkSession) -> int:
     return max(64, 2 * common.partitions(spark))
 
 
-def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block_ids() -> Iterator[int]:
+def block_ids() -> Iterator[int]:
     """Numbers of this task's blocks, the same when it runs again."""
     n = TaskContext.get().partitionId() << 32
     while True:
@@ -64,23 +65,30 @@ def _needed(size: np.ndarray | int):
     return -(-T_NUM * size // T_DEN)
 
 
-def shared_counts(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set) and shared: its shingles that another row may have.
+def shingle_features(n: int) -> Callable[[list[str | None]], list[np.ndarray]]:
+    """A function from texts to their shingle sets, for a Python worker."""
+    known = WordHashes()
+    return lambda texts: shingle_sets(texts, n, known)
 
+
+def shared_counts(docs: DataFrame, features: Callable[[], Callable[[list[str | None]], list[np.ndarray]]]) -> DataFrame:
+    """doc_id, n_shingles, sig (of the set) and shared: its set's members that another row may have.
+
+    ``features`` makes, in a worker, the function from texts to sets of hashes.
     ``shared`` is never too small; a chance of about one in a thousand makes a
-    shingle count as shared that isn't, which only sends its document on.
+    hash count as shared that isn't, which only sends its document on.
     """
     spark = docs.sparkSession
-    buckets = _buckets(spark)
+    buckets = bucket_count(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known, numbers = WordHashes(), _block_ids()
+        sets_of, numbers = features(), block_ids()
         for batch in common.pieces(batches, "text", BLOCK_BYTES):
             block = next(numbers)
-            sets = shingle_sets(batch.column(1).to_pylist(), n, known)
+            sets = sets_of(batch.column(1).to_pylist())
             sizes = np.array([len(s) for s in sets], "<i8")
             tokens = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
@@ -90,7 +98,7 @@ def shared_counts(docs: DataFrame, n: int = N) -> DataFrame:
             single = times[back] == 1
             sent = np.concatenate((tokens[single], distinct[times > 1]))
             who = np.concatenate((owner[single], np.full(int((times > 1).sum()), len(sets), np.int32)))
-            place = _bucket_of(sent, buckets)
+            place = bucket_of(sent, buckets)
             order = np.lexsort((who, place))
             sent, who, cuts = sent[order], who[order], np.searchsorted(place[order], np.arange(buckets + 1))
             low = sent.astype("<u4")
@@ -185,17 +193,17 @@ def prefixes(sets: DataFrame) -> DataFrame:
     ``entries``: the prefix shingles that more than one set has, as packed (token
     uint64, place int32); ``group`` is equal for sets of equal prefix and size.
     """
-    buckets = _buckets(sets.sparkSession)
+    buckets = bucket_count(sets.sparkSession)
 
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        numbers = _block_ids()
+        numbers = block_ids()
         for batch in common.pieces(batches, "tokens", BLOCK_BYTES):
             block = next(numbers)
             own = [np.frombuffer(t, "<u8") for t in batch.column(2).to_pylist()]
             distinct, times = np.unique(np.concatenate(own), return_counts=True)
-            place = _bucket_of(distinct, buckets)
+            place = bucket_of(distinct, buckets)
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(buckets + 1))
             head = b"".join((np.array([len(own)], "<i8").tobytes(), batch.column(0).to_numpy().astype("<i8").tobytes(), np.array([len(t) for t in own], "<i8").tobytes(), *(t.tobytes() for t in own)))
@@ -262,7 +270,7 @@ def candidates(rows: DataFrame, pivots: bool) -> DataFrame:
     With ``pivots`` each row of a shingle is paired with the least id of like size;
     otherwise all pairs of different label come out.
     """
-    buckets = _buckets(rows.sparkSession)
+    buckets = bucket_count(rows.sparkSession)
 
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -278,7 +286,7 @@ def candidates(rows: DataFrame, pivots: bool) -> DataFrame:
                 at += c
             for i, name in enumerate(("id", "label", "size")):
                 every[name] = np.repeat(batch.column(i).to_numpy(), counts)
-            place = _bucket_of(every["token"], buckets)
+            place = bucket_of(every["token"], buckets)
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(buckets + 1))
             used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -361,7 +369,7 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     * An empty table gives no rows; other columns are ignored.
     * Sets hold 64-bit hashes of shingles.
     """
-    counts = common.stored(shared_counts(docs, n), "shared")
+    counts = common.stored(shared_counts(docs, partial(shingle_features, n)), "shared")
     own = counts.filter(f"n_shingles > 0 AND doc_id IS NOT NULL AND {T_DEN} * shared >= {T_NUM} * n_shingles")
     classes = common.stored(own.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
     # rows of one doc_id with unlike sets hold together
