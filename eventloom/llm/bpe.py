@@ -327,13 +327,12 @@ def library_newer(tokenizer: str) -> str:
 
 
 def encode_decode(
-    docs: DataFrame, text: str, keys: list[str], tokenizer: str, lexicon_words: int = LEXICON_WORDS, tokens: bool = True
+    docs: DataFrame, text: str, keys: list[str], tokenizer: str, lexicon_words: int = LEXICON_WORDS, give: tuple[str, ...] = ("ids", "decoded")
 ) -> DataFrame:
     """Encode every text and decode the ids again.
 
-    Returns ``keys``, n_tokens, ids (binary, little-endian uint32; left out
-    with ``tokens=False``), decoded (string; left out likewise), ids_sha256 and
-    decoded_sha256 (lowercase hex).  Texts are encoded whole, special tokens in
+    Returns ``keys``, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex), and
+    what ``give`` names: ids (binary, little-endian uint32), decoded (string).  Texts are encoded whole, special tokens in
     them included, without added tokens.  A null or empty text has no ids.  Rows
     are independent: repeated rows give repeated results, an empty table none.
     Other columns of ``docs`` are ignored.
@@ -345,8 +344,7 @@ def encode_decode(
     rows = docs.select(*keys, F.col(text).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema]
     fields += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-    if tokens:
-        fields += ["ids binary", "decoded string"]
+    fields += [f"{x} {'binary' if x == 'ids' else 'string'}" for x in give]
 
     def coded(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -362,10 +360,8 @@ def encode_decode(
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
             ]
             names = [*keys, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if tokens:
-                columns += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns += [pa.array(ids, pa.binary()) if x == "ids" else pa.array(decoded, pa.string()) for x in give]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *give])
 
     return rows.mapInArrow(coded, ", ".join(fields))
 
@@ -373,4 +369,4 @@ def encode_decode(
 def op9_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``documents`` text encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = common.table(spark, sf_dir, "documents")
-    return encode_decode(docs, "text", ["doc_id"], default_tokenizer(), tokens=False)
+    return encode_decode(docs, "text", ["doc_id"], default_tokenizer(), give=())

@@ -19,6 +19,8 @@ from eventloom.llm import common
 WEIGHTS = (5, 2, 1)
 #: A source gives at most this many times its own size.
 MOST_EPOCHS = 3
+#: Keys up to this many are broadcast (some 20 bytes each), more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Changes every hash-random order.
 SEED = "mix-1"
 
@@ -121,7 +123,9 @@ def repeated(rows: DataFrame, mixed: DataFrame, keys: Sequence[str]) -> DataFram
     is given whole in that epoch; rows that the mix takes nothing of are left out.
     """
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    often = mixed.select(*keys, times.alias("_times")).filter("_times > 0")
+    often = common.stored(mixed.select(*keys, times.alias("_times")).filter("_times > 0"), "times")
+    if often.count() <= BROADCAST_ROWS:
+        often = F.broadcast(often)
     return rows.join(often, list(keys)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times")
 
 

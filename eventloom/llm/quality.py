@@ -237,6 +237,26 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFr
     return rows.mapInArrow(judged, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, quality double")
 
 
+def keep_good(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` would keep, with all their columns; no row is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in common.pieces(batches, "text", STEP_BYTES):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            words = [t.encode("utf-8", "replace").split() for t in texts]
+            good = shared.value.probabilities(texts, words) >= keep_from
+            for i, (t, w) in enumerate(zip(texts, words)):
+                if good[i]:
+                    good[i] = len(w) >= LEAST_WORDS and 100 * base_counts(t, w)[4] <= MOST_REPEATED * len(w)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``documents`` row with its counts, base_failed and kept."""
     docs = common.table(spark, sf_dir, "documents")

@@ -397,6 +397,22 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(none | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "doc_id")).alias("component_id"))
 
 
+def first_of_each(docs: DataFrame, n: int = N) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; all columns stay.
+
+    Rows that share a doc_id are one document, of which one row stays.  Rows
+    without words or without a doc_id are linked with nothing and stay.
+    """
+    found = common.stored(similar_components(docs, n), "components")
+    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
+    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone, twice = common.stored(gone, "gone"), common.stored(twice, "twice")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return out
+    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: doc_id, n_shingles, component_id."""
     return similar_components(common.table(spark, sf_dir, "documents"))
