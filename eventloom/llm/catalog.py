@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, html_text, mixing, passages, quality, set_join, token_counts, token_store, url_filter
+from eventloom.llm import bpe, exact_topk, html_text, mixing, passages, quality, set_join, token_counts, token_store, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_store": token_store.op4_token_store,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_exact_topk": exact_topk.op6_exact_topk,
     "op7_url_filters": url_filter.op7_url_filters,
     "op8_ngram_join": set_join.op8_ngram_join,
     "op9_bpe_coding": bpe.op9_bpe_coding,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op5_source_mixing": mixing.SQL,
+    "op6_exact_topk": exact_topk.SQL,
     "op7_url_filters": url_filter.SQL,
     "op8_ngram_join": set_join.SQL,
 }
