@@ -69,12 +69,23 @@ def cutter(newer: str) -> Callable[[str], list[str]]:
     ).findall
 
 
+class _Known(dict):
+    """word -> ids; a word that isn't there is noted and read as no ids."""
+
+    def __init__(self):
+        self.missing: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.missing.append(word)
+        return b""
+
+
 class PieceCache:
-    """Ids of texts (uint32, little-endian) from cached ids of their pieces.
+    """Ids of texts (uint32, little-endian) from cached ids of their words.
 
-    ``encode_pieces`` encodes a list of distinct pieces; ``encode_text`` encodes a
-    text that is not plain.  The cache holds at most ``limit`` pieces; when it is
-    full, the pieces seen first, which the frequent ones are among, stay.
+    ``encode_pieces`` encodes a list of distinct words; ``encode_text`` encodes a
+    text that is not plain.  Each of two caches holds at most about ``limit`` words;
+    when one is full, the words seen first, which the frequent ones are among, stay.
     """
 
     def __init__(
@@ -83,38 +94,44 @@ class PieceCache:
         encode_text: Callable[[str], bytes],
         newline: bytes,
         specials: tuple[str, ...],
-        limit: int = 600_000,
+        limit: int = 1_000_000,
     ):
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
         self.newline, self.specials, self.limit = newline, specials, limit
         # ids of a word at the start of a line, and of a word after a blank
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.first, self.rest = _Known(), _Known()
 
-    def _fill(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+    def _fill(self, known: _Known, lead: str) -> None:
+        words = list(dict.fromkeys(known.missing))
+        known.missing.clear()
         if len(known) + len(words) > self.limit:
-            for k in [k for i, k in enumerate(known) if i >= self.limit // 4 and k not in words]:
+            for k in list(known)[self.limit // 4 :]:
                 del known[k]
-        missing = [w for w in words if w not in known]
-        if missing:
-            known.update(zip(missing, self.encode_pieces([lead + w for w in missing])))
+        if words:
+            known.update(zip(words, self.encode_pieces([lead + w for w in words])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; cut the list so that it holds a few MB."""
-        cut = [plain_lines(t, self.specials) for t in texts]
-        first: set[str] = set()
-        rest: set[str] = set()
-        for lines in cut:
-            for words in lines or ():
-                first.add(words[0])
-                rest.update(words[1:])
-        self._fill(self.first, first, "")
-        self._fill(self.rest, rest, " ")
-        get_first, get_rest, out = self.first.__getitem__, self.rest.__getitem__, []
-        for text, lines in zip(texts, cut):
+        first, rest = self.first, self.rest
+        get_first, get_rest = first.__getitem__, rest.__getitem__
+        out, again = [], []
+        for i, text in enumerate(texts):
+            lines = plain_lines(text, self.specials)
             if lines is None:
                 out.append(self.encode_text(text) if text else b"")
-            else:
-                out.append(self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines]))
+                continue
+            before = len(first.missing) + len(rest.missing)
+            out.append(self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines]))
+            if len(first.missing) + len(rest.missing) > before:
+                again.append((i, lines))
+        if again:
+            self._fill(first, "")
+            self._fill(rest, " ")
+            for i, lines in again:
+                out[i] = self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines])
+            while first.missing or rest.missing:  # a full cache let go of words that a text in hand needs
+                self._fill(first, "")
+                self._fill(rest, " ")
+                for i, lines in again:
+                    out[i] = self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines])
         return out
-
