@@ -123,10 +123,10 @@ def repeated(rows: DataFrame, mixed: DataFrame, keys: Sequence[str]) -> DataFram
     is given whole in that epoch; rows that the mix takes nothing of are left out.
     """
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    often = common.stored(mixed.select(*keys, times.alias("_times")).filter("_times > 0"), "times")
+    often = common.stored(mixed.select(*keys, times.alias("__eventloom_times")).filter("__eventloom_times > 0"), "times")
     if often.count() <= BROADCAST_ROWS:
         often = F.broadcast(often)
-    return rows.join(often, list(keys)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times")
+    return rows.join(often, list(keys)).withColumn("__eventloom_copy", F.explode(F.sequence(F.lit(1), F.col("__eventloom_times")))).drop("__eventloom_copy", "__eventloom_times")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,8 +84,8 @@ class PieceCache:
     """Ids of texts (uint32, little-endian) from cached ids of their words.
 
     ``encode_pieces`` encodes a list of distinct words; ``encode_text`` encodes a
-    text that is not plain.  Each of two caches holds at most about ``limit`` words;
-    when one is full, the words seen first, which the frequent ones are among, stay.
+    text that is not plain.  A cache of more than ``limit`` words is cut before the next
+    texts; the words seen first, which the frequent ones are among, stay.
     """
 
     def __init__(
@@ -104,15 +104,16 @@ class PieceCache:
     def _fill(self, known: _Known, lead: str) -> None:
         words = list(dict.fromkeys(known.missing))
         known.missing.clear()
-        if len(known) + len(words) > self.limit:
-            for k in list(known)[self.limit // 4 :]:
-                del known[k]
         if words:
             known.update(zip(words, self.encode_pieces([lead + w for w in words])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; cut the list so that it holds a few MB."""
         first, rest = self.first, self.rest
+        for known in (first, rest):
+            if len(known) > self.limit:
+                for k in list(known)[self.limit // 4 :]:
+                    del known[k]
         get_first, get_rest = first.__getitem__, rest.__getitem__
         out, again = [], []
         for i, text in enumerate(texts):
@@ -129,9 +130,4 @@ class PieceCache:
             self._fill(rest, " ")
             for i, lines in again:
                 out[i] = self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines])
-            while first.missing or rest.missing:  # a full cache let go of words that a text in hand needs
-                self._fill(first, "")
-                self._fill(rest, " ")
-                for i, lines in again:
-                    out[i] = self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines])
         return out
