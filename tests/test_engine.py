@@ -306,3 +306,20 @@ def test_registry(spark, log, tmp_path):
     assert {f["name"] for f in registry.list_functions()} >= {"dfg", "synchronisation", "discover"}
     with pytest.raises(KeyError):
         reg.call("nothing")
+
+
+def test_json_logs_and_frames(spark, tmp_path):
+    import json
+
+    from eventloom.sources import json_logs
+
+    log = builders.make_log(spark, ["ab", "", "ba"])
+    json_logs.write_log_json(log, str(tmp_path / "l.json"))
+    back = json_logs.read_log_json(spark, str(tmp_path / "l.json"))
+    cut = lambda l: rows(l.events.select("case_id", "event_idx", "activity", "ts"))  # noqa: E731,E741
+    assert cut(back) == cut(log) and back.cases.count() == 3
+    assert cut(json_logs.from_frame(json_logs.to_frame(log))) == cut(log)
+    v = cc.variants(log)
+    assert rows(json_logs.read_projection(spark, json_logs.projection_json(v))) == rows(v)
+    graph = json.loads(json_logs.dfg_json(log))
+    assert graph["activities"] == {"a": 2, "b": 2} and graph["start_activities"] == ["a", "b"] and "digraph" in json_logs.dfg_dot(json.dumps(graph))
