@@ -51,21 +51,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.eventloom_path = path
+    return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` frame that no later plan reads."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles():
-        if not name.startswith(root.split("://")[-1]) and root.split("://")[-1].lstrip("/") not in name:
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
-        return
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames that no plan reads any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.eventloom_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

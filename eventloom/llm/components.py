@@ -23,14 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p"))
-        parent = common.stored(parent, "parents")
+        near = parent = common.stored(parent, "parents")
         for _ in range(2):
             above = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(above, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
         parent = common.stored(parent, "parents")
+        before = labels, rest, near
         labels = labels.join(parent, F.col("label") == F.col("v"), "left").select("id", F.coalesce("p", "label").alias("label"))
         labels = common.stored(labels, "labels")
         ends = rest.join(parent, F.col("a") == F.col("v")).select(F.col("p").alias("a"), "b")
         ends = ends.join(parent, F.col("b") == F.col("v")).select("a", F.col("p").alias("b")).filter("a != b")
         rest = common.stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        common.drop_stored(*before, parent)
+    common.drop_stored(rest)
     return labels

@@ -387,6 +387,7 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     rest = verified(candidates(labelled, False), sets)
     more = rest.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
     more = common.stored(more.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct(), "links")
+    common.drop_stored(sets, found, leaders, links)
     if not more.isEmpty():
         above = components(more).select(F.col("id").alias("u"), F.col("label").alias("top"))
         every = classes.select("id").unionByName(labels.select("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
