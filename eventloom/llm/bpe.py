@@ -306,17 +306,9 @@ class Coder:
         return b"".join(map(self.vocabulary.bytes.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 
 
-#: The coder that this worker process made last; its cached words serve later tasks too.
-_MADE: dict[tuple, Coder] = {}
-
-
 def coder(tokenizer: str, lexicon: str | None, newer: str) -> Coder:
-    """The worker's coder for these files, made at its first task."""
-    key = (tokenizer, lexicon, newer)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Coder(*key)
-    return _MADE[key]
+    """The worker's coder for these files, made at its first task; its cached words serve later ones."""
+    return common.kept(("coder", tokenizer, lexicon, newer), lambda: Coder(tokenizer, lexicon, newer))
 
 
 def library_newer(tokenizer: str) -> str:

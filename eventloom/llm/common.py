@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +77,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: The one cache that a Python worker process keeps between its tasks.
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for ``key``, kept in this worker process for later tasks.
+
+    Only one key is kept: a task with another one lets the former's memory go, so
+    stages that follow each other on one executor don't add up.
+    """
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            try:  # hand freed memory back where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def pieces(batches: Iterator, column: str, most_bytes: int) -> Iterator:
     """Cut Arrow batches so that ``column`` of each cut holds about ``most_bytes``.
 

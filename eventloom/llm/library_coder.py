@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 import os
 
-from eventloom.llm import pretoken
+from eventloom.llm import common, pretoken
 
 
-@functools.lru_cache(maxsize=1)
 def library_cache(path: str) -> pretoken.PieceCache:
+    """The worker's cache for a vocabulary file, kept between tasks."""
+    return common.kept(("library", path), lambda: _made(path))
+
+
+def _made(path: str) -> pretoken.PieceCache:
     """A cache of ids that the library gives, made once in a Python worker process.
 
     New words are encoded by one library call for all of them; a text that isn't

@@ -8,6 +8,7 @@ in Arrow batches against a fixed threshold.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ WINDOW = 5
 #: A document is kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.5
 #: The classifier is fitted on this many labelled rows at most, those of least hashed doc_id;
-TRAINING_ROWS = 2400
+TRAINING_ROWS = 1200
 #: one in so many of them calibrates.
 CALIBRATION_SHARE = 4
 #: Hash buckets for each kind of n-gram.
@@ -212,16 +213,19 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFr
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each kind, whatever the data
+    name = uuid.uuid4().hex
 
     def judged(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kept_model = lambda: common.kept(name, lambda: shared.value)
+
         for batch in common.pieces(batches, "text", STEP_BYTES):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             words = [t.encode("utf-8", "replace").split() for t in texts]
             counts = [base_counts(t, w) for t, w in zip(texts, words)]
             failed = [c[0] < LEAST_WORDS or 100 * c[4] > MOST_REPEATED * c[0] for c in counts]
-            good = shared.value.probabilities(texts, words)
+            good = kept_model().probabilities(texts, words)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -240,15 +244,18 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFr
 def keep_good(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``docs`` that ``judge`` would keep, with all their columns; no row is moved."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def kept(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kept_model = lambda: common.kept(name, lambda: shared.value)
+
         for batch in common.pieces(batches, "text", STEP_BYTES):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             words = [t.encode("utf-8", "replace").split() for t in texts]
-            good = shared.value.probabilities(texts, words) >= keep_from
+            good = kept_model().probabilities(texts, words) >= keep_from
             for i, (t, w) in enumerate(zip(texts, words)):
                 if good[i]:
                     good[i] = len(w) >= LEAST_WORDS and 100 * base_counts(t, w)[4] <= MOST_REPEATED * len(w)

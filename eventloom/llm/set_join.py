@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import common
 from eventloom.llm.components import components
-from eventloom.llm.shingles import WordHashes, shingle_sets
+from eventloom.llm.shingles import shingle_sets, word_hashes
 
 #: Words of a shingle, and least similarity of a link as a fraction of integers.
 N, T_NUM, T_DEN = 5, 75, 100
@@ -67,7 +67,7 @@ def _needed(size: np.ndarray | int):
 
 def shingle_features(n: int) -> Callable[[list[str | None]], list[np.ndarray]]:
     """A function from texts to their shingle sets, for a Python worker."""
-    known = WordHashes()
+    known = word_hashes()
     return lambda texts: shingle_sets(texts, n, known)
 
 
@@ -175,7 +175,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, n: int = N) -> DataFrame:
     def found(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = WordHashes()
+        known = word_hashes()
         for batch in common.pieces(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(batch.column(1).to_pylist(), n, known)
             kept = [(i, s) for i, s, sig in zip(batch.column(0).to_pylist(), sets, batch.column(2).to_pylist()) if _signature(s) == sig]

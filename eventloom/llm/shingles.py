@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from eventloom.llm import common
+
 #: Distinct words whose hashes a worker remembers.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 
 
 class WordHashes(dict):
@@ -19,6 +21,11 @@ class WordHashes(dict):
         return value
 
 
+def word_hashes() -> WordHashes:
+    """The worker's word hashes, kept between tasks."""
+    return common.kept("word hashes", WordHashes)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
