@@ -75,16 +75,21 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def best(queries: Block, rows: Block, k: int, top: list[list[tuple[int, int]]]) -> None:
-    """Take ``rows`` into ``top``, the k best (-score, vec_id) of every query, ascending."""
+    """Take ``rows`` into ``top``, the k best (-score, vec_id) of every query, ascending.
+
+    While many pairs are left, bounds and scores of all pairs at once are cheaper
+    than those of single pairs; both ways give the same.
+    """
     if not len(rows.ids) or not len(queries.ids):
         return
-    slack = 1e-9 * (1.0 + queries.most * rows.most * rows.v.shape[1])
-    bound = queries.levels[0] @ rows.levels[0].T
-    bound[queries.ids[:, None] == rows.ids[None, :]] = -np.inf
-    own = lambda: np.array([-t[-1][0] if len(t) >= k else -np.inf for t in top], np.float64)
+    scale = queries.most * rows.most * max(1, rows.v.shape[1])
+    slack = 1e-9 * (1.0 + scale)
+    whole = scale < _EXACT
 
-    def take(q: np.ndarray, r: np.ndarray) -> None:
-        scores = _exact(queries.v[q], rows.v[r])
+    def bars() -> np.ndarray:
+        return np.array([-t[-1][0] if len(t) >= k else -np.inf for t in top], np.float64)
+
+    def take(q: np.ndarray, r: np.ndarray, scores: np.ndarray) -> None:
         for i, s, vec in zip(q.tolist(), scores.tolist(), rows.ids[r].tolist()):
             t = top[i]
             if len(t) < k or (-s, vec) < t[-1]:
@@ -92,31 +97,33 @@ def best(queries: Block, rows: Block, k: int, top: list[list[tuple[int, int]]])
                 t.sort()
                 del t[k:]
 
-    # the rows that look best at the coarsest level set the bar
-    seeds = np.argpartition(-bound, min(k, bound.shape[1]) - 1, axis=1)[:, :k] if bound.shape[1] > k else np.tile(np.arange(bound.shape[1]), (len(bound), 1))
-    q, r = np.repeat(np.arange(len(bound)), seeds.shape[1]), seeds.ravel()
-    fits = bound[q, r] > -np.inf
-    take(q[fits], r[fits])
-    bound[q, r] = -np.inf
-    bar = own()
-    q, r = np.nonzero(bound + slack >= bar[:, None])
-    fits = bound[q, r] > -np.inf
-    q, r = q[fits], r[fits]
-    for level in range(1, len(LEVELS)):
-        if not len(q):
+    bar = bars()[:, None]
+    alive = queries.ids[:, None] != rows.ids[None, :]
+    for a, b in zip(queries.levels, rows.levels):
+        left = np.count_nonzero(alive)
+        if not left:
             return
-        if 4 * len(q) > bound.size:  # most pairs are left: all bounds at once are cheaper
-            finer = (queries.levels[level] @ rows.levels[level].T)[q, r]
+        if 4 * left > alive.size:
+            alive &= a @ b.T + slack >= bar
         else:
-            finer = np.concatenate([np.einsum("ij,ij->i", queries.levels[level][q[i : i + 65536]], rows.levels[level][r[i : i + 65536]]) for i in range(0, len(q), 65536)])
-        good = finer + slack >= bar[q]
-        q, r, finer = q[good], r[good], finer[good]
-    # best bounds first, so that the bar rises early; a lower bound than the bar can't enter
-    order = np.argsort(-finer, kind="stable")
-    for i in range(0, len(order), 32768):
-        part = order[i : i + 32768]
-        part = part[finer[part] + slack >= own()[q[part]]]
-        take(q[part], r[part])
+            q, r = np.nonzero(alive)
+            for i in range(0, left, 65536):
+                u, w = q[i : i + 65536], r[i : i + 65536]
+                alive[u, w] = np.einsum("ij,ij->i", a[u], b[w]) + slack >= bar[u, 0]
+    left = np.count_nonzero(alive)
+    if whole and 4 * left > alive.size:
+        scores = np.where(alive, queries.v @ rows.v.T, -np.inf)
+        if scores.shape[1] > k:  # nothing under the k-th best of these rows, or of those before, can stay
+            bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k][:, None])
+        q, r = np.nonzero(alive & (scores >= bar))
+        take(q, r, scores[q, r].astype(np.int64))
+        return
+    q, r = np.nonzero(alive)
+    for i in range(0, len(q), 32768):
+        u, w = q[i : i + 32768], r[i : i + 32768]
+        scores = _exact(queries.v[u], rows.v[w])
+        good = scores + slack >= bars()[u]
+        take(u[good], w[good], scores[good])
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
