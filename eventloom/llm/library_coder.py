@@ -36,4 +36,4 @@ def _made(path: str) -> pretoken.PieceCache:
         cut = (4 * np.searchsorted(np.asarray(got.word_ids), np.arange(len(words) + 1))).tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
-    return pretoken.PieceCache(word_ids, text_ids, text_ids("\n"), specials)
+    return pretoken.PieceCache(word_ids, text_ids, text_ids("\n"), specials, limit=1_000_000)

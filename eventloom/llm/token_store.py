@@ -26,9 +26,9 @@ from eventloom.llm.library_coder import library_cache
 #: Id that ends every document.
 END_ID = 2
 #: The dictionary is trained on this many documents at most, those of least hashed id,
-MAX_SAMPLES = 2000
+MAX_SAMPLES = 1000
 #: on this many characters of each at most, and has this many bytes at most.
-SAMPLE_CHARS = 8000
+SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Text encoded at once, and bytes written at once.
