@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import common
 from eventloom.llm.components import components
-from eventloom.llm.shingles import shingle_sets, word_hashes
+from eventloom.llm.shingles import mixed, shingle_sets, word_hashes
 
 #: Words of a shingle, and least similarity of a link as a fraction of integers.
 N, T_NUM, T_DEN = 5, 75, 100
@@ -48,6 +48,11 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def home(block: int, buckets: int) -> int:
+    """The bucket that a block's own row takes, scattered over all buckets."""
+    return int(mixed(np.array([block], np.uint64))[0] % np.uint64(buckets))
+
+
 def block_ids() -> Iterator[int]:
     """Numbers of this task's blocks, the same when it runs again."""
     n = TaskContext.get().partitionId() << 32
@@ -102,7 +107,7 @@ def shared_counts(docs: DataFrame, features: Callable[[], Callable[[list[str | N
             order = np.lexsort((who, place))
             sent, who, cuts = sent[order], who[order], np.searchsorted(place[order], np.arange(buckets + 1))
             low = sent.astype("<u4")
-            keys, owners, payloads = [block % buckets], [b""], [batch_meta(batch.column(0), sizes, sets, local)]
+            keys, owners, payloads = [home(block, buckets)], [b""], [batch_meta(batch.column(0), sizes, sets, local)]
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     part = slice(cuts[b], cuts[b + 1])
@@ -207,7 +212,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(buckets + 1))
             head = b"".join((np.array([len(own)], "<i8").tobytes(), batch.column(0).to_numpy().astype("<i8").tobytes(), np.array([len(t) for t in own], "<i8").tobytes(), *(t.tobytes() for t in own)))
-            keys, tokens, counts = [block % buckets], [head], [b""]
+            keys, tokens, counts = [home(block, buckets)], [head], [b""]
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     part = order[cuts[b] : cuts[b + 1]]
