@@ -117,6 +117,24 @@ def test_passages_against_brute_force(spark, corpus):
     assert passages.repeated_passages(docs(spark, [])).collect() == []
 
 
+def test_passages_beyond_the_first_document_of_a_key(spark):
+    r = random.Random(5)
+    rows, need = [], {}
+    for k in range(40):
+        passage, at = prose(r, 60, 5000), 10 * k
+        parts = [passage[:30], passage[30:]] if k % 2 else [passage[i : i + 20] for i in (0, 20, 40)]
+        for i, part in enumerate(parts):
+            rows.append((at + i, " ".join(prose(r, 30, 5000) + part + prose(r, 30, 5000)), "s"))
+        for i in (5, 6, 7):
+            rows.append((at + i, " ".join(prose(r, 30, 5000) + passage + prose(r, 30, 5000)), "s"))
+        need |= {at + 6: {at + 5}, at + 7: {at + 5, at + 6}}
+    got = defaultdict(set)
+    for x in passages.repeated_passages(docs(spark, rows)).collect():
+        assert x.source_id in need.get(x.doc_id, ())
+        got[x.doc_id] |= set(range(x.start_word, x.end_word))
+    assert sum(got[i] >= set(range(30, 90)) for i in need) >= 0.95 * len(need)
+
+
 def test_mix_hits_every_target(spark, corpus):
     r = random.Random(3)
     rows = [(i, " ".join(prose(r, r.randint(1, 30))), f"src{r.choice([0, 0, 0, 1, 2, 3])}") for i in range(400)] + [(900, None, None), (901, "a b", None), (902, "", "z")]
