@@ -32,7 +32,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: rows as often as the mix takes them."""
-    return mixing.repeated(docs, mixing.mix(docs, common.word_count(F.col("text")), ["doc_id"]), ["doc_id"])
+    size = common.word_count(F.col("text"))
+    return mixing.repeated(docs, mixing.mix(docs, size, ["doc_id"]), ["doc_id"], size)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

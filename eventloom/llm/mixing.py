@@ -116,17 +116,33 @@ def mix(
     return placed.select(*keys, F.col("_source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeated(rows: DataFrame, mixed: DataFrame, keys: Sequence[str]) -> DataFrame:
+def repeated(rows: DataFrame, mixed: DataFrame, keys: Sequence[str], size: Column | None = None) -> DataFrame:
     """Rows of ``rows`` as often as the mix takes them, whole.
 
-    ``keys`` must tell the rows of ``rows`` apart.  The row in which a budget ends
-    is given whole in that epoch; rows that the mix takes nothing of are left out.
+    Null is a key like another.  ``keys`` must tell the rows of ``rows`` apart,
+    unless ``size`` is given as in ``mix``: then rows of equal keys and source are
+    told apart by size, and those alike in all of them get one share of the mix
+    each.  The row in which a budget ends is given whole in that epoch; rows that
+    the mix takes nothing of are left out.
     """
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    often = common.stored(mixed.select(*keys, times.alias("__eventloom_times")).filter("__eventloom_times > 0"), "times")
+    if size is None:
+        on = {k: f"__eventloom_{i}" for i, k in enumerate(keys)}
+    else:
+        source = next(c for c in mixed.columns if c not in (*keys, "size", "source_size", "target", "taken"))
+        on = {k: f"__eventloom_{i}" for i, k in enumerate([*keys, source, "__eventloom_size"])}
+        mixed, rows = mixed.withColumn("__eventloom_size", F.col("size")), rows.withColumn("__eventloom_size", size)
+    often = common.stored(mixed.select(*[F.col(k).alias(a) for k, a in on.items()], times.alias("__eventloom_times")), "times")
+    if size is not None and not often.groupBy(*on.values()).count().filter("count > 1").isEmpty():
+        often = often.withColumn("__eventloom_n", F.row_number().over(W.partitionBy(*on.values()).orderBy(F.desc("__eventloom_times"))))
+        rows = rows.withColumn("__eventloom_m", F.row_number().over(W.partitionBy(*on).orderBy(F.xxhash64(*rows.columns))))
+        on["__eventloom_m"] = "__eventloom_n"
+    often = often.filter("__eventloom_times > 0")
     if often.count() <= BROADCAST_ROWS:
         often = F.broadcast(often)
-    return rows.join(often, list(keys)).withColumn("__eventloom_copy", F.explode(F.sequence(F.lit(1), F.col("__eventloom_times")))).drop("__eventloom_copy", "__eventloom_times")
+    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in on.items()]
+    joined = rows.join(often, same).withColumn("__eventloom_copy", F.explode(F.sequence(F.lit(1), F.col("__eventloom_times"))))
+    return joined.drop("__eventloom_copy", "__eventloom_times", "__eventloom_size", "__eventloom_m", *on.values())
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from eventloom.llm import bpe, exact_topk, html_text, mixing, passages, quality, set_join, token_counts, token_store, url_filter
 from eventloom.llm.common import new_path
 
@@ -166,6 +167,17 @@ def test_mix_hits_every_target(spark, corpus):
     assert copies == Counter({x.doc_id: -(-x.taken // x.size) for x in out if x.taken})
 
 
+def test_mixture_stage_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b", "s"), (None, "c d", "s"), (None, "e f g", None), (1, "h i", "s"), (1, "j k", "s"), (1, "l", "s"), (2, "m n", "s"), (3, "o", "t")]
+    frame = docs(spark, rows)
+    mixed = mixing.mix(frame, mixing.common.word_count(F.col("text")), ["doc_id"]).collect()
+    want = Counter()
+    for x in mixed:
+        want[x.doc_id, x.source, x.size] += -(-x.taken // x.size)
+    out = corpus_pipeline.mix_sources(spark, frame, "").collect()
+    assert Counter((x.doc_id, x.source, len(x.text.split())) for x in out) == +want and any(x.doc_id is None for x in out)
+
+
 def test_token_store_round_trip(spark, corpus):
     library = Tokenizer.from_file(PATH)
     rows = [*corpus, (5, "again <|endoftext|>  x", "s"), (None, "no id", "s")]
