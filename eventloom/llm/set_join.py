@@ -2,364 +2,144 @@
 
 1. One pass over the texts counts how many of a document's shingles any other
    document has.  A partner at similarity t shares at least the part t of either
-   set, so all documents below that are done.  Shingles travel in packed arrays,
-   one row for each block of texts and hash bucket.
+   set, so all documents below that are done.
 2. Documents with equal sets become one class.
-3. Shingles of the classes are ordered by rising document frequency.  Two sets of
-   similarity t share a shingle in their prefixes of |x| - ceil(t|x|) + 1.
-   Classes with the same prefix and size are collapsed into one group.
+3. Shingles are ordered by rising document frequency (its power of two, then the
+   hash).  Two sets of similarity t share a shingle in their prefixes of
+   |x| - ceil(t|x|) + 1.  Classes with the same prefix and size are collapsed into
+   one group.
 4. For each prefix shingle the groups, and the members of each group, are first
    verified against one pivot of like size, which joins almost all that belongs
-   together in as many checks as there are members.  Then every pair of members
-   that shares a prefix shingle, passes the filters by size and position and isn't
-   in one component yet is verified too, so no link between components is lost.
+   together in as many checks as there are members.  Then pairs of groups that
+   share a prefix shingle, pass the filters by size and position and aren't in one
+   component yet are expanded to members of unlike components, which are verified
+   too, so no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import common
+from eventloom.llm import common, frequencies
 from eventloom.llm.components import components
-from eventloom.llm.shingles import mixed, shingle_sets, word_hashes
+from eventloom.llm.shingles import shingle_sets
 
 #: Words of a shingle, and least similarity of a link as a fraction of integers.
 N, T_NUM, T_DEN = 5, 75, 100
-#: Text of a block, in UTF-8 bytes; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
 #: Ids up to this many are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: One entry of the prefix index.
-ENTRY = [("token", "<u8"), ("id", "<i8"), ("label", "<i8"), ("size", "<i4"), ("pos", "<i4")]
+#: Packed rows are handled about this many bytes at a time.
+STEP_BYTES = 4 << 20
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(64, 2 * common.partitions(spark))
+def _set_features(raw: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of texts, one after the other, and their sizes."""
+    sets = shingle_sets(raw, n)
+    return np.concatenate(sets) if sets else np.empty(0, np.uint64), np.array([len(s) for s in sets], np.int64)
 
 
-def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+def prefixed_sets(docs: DataFrame, n: int) -> DataFrame:
+    """Every row of ``docs``: doc_id and size (of its set); and of those that may have partners more.
 
-
-def home(block: int, buckets: int) -> int:
-    """The bucket that a block's own row takes, scattered over all buckets."""
-    return int(mixed(np.array([block], np.uint64))[0] % np.uint64(buckets))
-
-
-def block_ids() -> Iterator[int]:
-    """Numbers of this task's blocks, the same when it runs again."""
-    n = TaskContext.get().partitionId() << 32
-    while True:
-        yield n
-        n += 1
-
-
-def _signature(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-
-
-def _needed(size: np.ndarray | int):
-    """ceil(t * size)"""
-    return -(-T_NUM * size // T_DEN)
-
-
-def shingle_features(n: int) -> Callable[[list[str | None]], list[np.ndarray]]:
-    """A function from texts to their shingle sets, for a Python worker."""
-    known = word_hashes()
-    return lambda texts: shingle_sets(texts, n, known)
-
-
-def shared_counts(docs: DataFrame, features: Callable[[], Callable[[list[str | None]], list[np.ndarray]]]) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set) and shared: its set's members that another row may have.
-
-    ``features`` makes, in a worker, the function from texts to sets of hashes.
-    ``shared`` is never too small; a chance of about one in a thousand makes a
-    hash count as shared that isn't, which only sends its document on.
+    These are cid (of its class: equal for equal sets), tokens (packed; those that
+    other rows have too), group (equal for equal prefix and size), prefix (those of
+    its shingles that other rows have too, in order) and skipped (how many stand
+    before them).
     """
-    spark = docs.sparkSession
-    buckets = bucket_count(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def packed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        sets_of, numbers = features(), block_ids()
-        for batch in common.pieces(batches, "text", BLOCK_BYTES):
-            block = next(numbers)
-            sets = sets_of(batch.column(1).to_pylist())
-            sizes = np.array([len(s) for s in sets], "<i8")
-            tokens = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-            # what is shared inside the block needs no message for each row: one says that it is
-            distinct, back, times = np.unique(tokens, return_inverse=True, return_counts=True)
-            local = np.bincount(owner[times[back] > 1], minlength=len(sets)).astype("<i8")
-            single = times[back] == 1
-            sent = np.concatenate((tokens[single], distinct[times > 1]))
-            who = np.concatenate((owner[single], np.full(int((times > 1).sum()), len(sets), np.int32)))
-            place = bucket_of(sent, buckets)
-            order = np.lexsort((who, place))
-            sent, who, cuts = sent[order], who[order], np.searchsorted(place[order], np.arange(buckets + 1))
-            low = sent.astype("<u4")
-            keys, owners, payloads = [home(block, buckets)], [b""], [batch_meta(batch.column(0), sizes, sets, local)]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    part = slice(cuts[b], cuts[b + 1])
-                    keys.append(b)
-                    owners.append(np.bincount(who[part], minlength=len(sets) + 1).astype("<u4").tobytes())
-                    payloads.append(low[part].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), pa.array([block] * len(keys), pa.int64()), pa.array(owners, pa.binary()), pa.array(payloads, pa.binary())],
-                names=["bucket", "block", "owners", "payload"],
-            )
-
-    def batch_meta(ids, sizes: np.ndarray, sets: list[np.ndarray], local: np.ndarray) -> bytes:
-        known = np.array(ids.is_valid().to_pylist(), "u1")
-        return b"".join((np.array([len(sets)], "<i8").tobytes(), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), known.tobytes(), sizes.tobytes(), local.tobytes(), *map(_signature, sets)))
-
-    def counted(group):
-        import pyarrow as pa
 
-        blocks, owners, payloads = (group.column(c).to_pylist() for c in ("block", "owners", "payload"))
-        out_block, out_payload, out_meta = [], [], []
-        told = [i for i, o in enumerate(owners) if not o]
-        for i in told:
-            out_block.append(blocks[i]), out_payload.append(payloads[i]), out_meta.append(True)
-        data = [i for i, o in enumerate(owners) if o]
-        if data:
-            parts = [np.frombuffer(payloads[i], "<u4") for i in data]
-            counts = [np.frombuffer(owners[i], "<u4").astype(np.int64) for i in data]
-            tokens = np.concatenate(parts)
-            # the last place of a block's counts stands for shingles that it has in several rows
-            many = np.concatenate([np.repeat(np.arange(len(c)) == len(c) - 1, c) for c in counts])
-            distinct, back = np.unique(tokens, return_inverse=True)
-            weight = np.bincount(back, minlength=len(distinct)) + np.bincount(back, weights=many, minlength=len(distinct))
-            shared = weight[back] > 1
-            at = 0
-            for i, c in zip(data, counts):
-                n_tokens = int(c.sum())
-                mine = np.add.reduceat(np.append(shared[at : at + n_tokens], 0), np.minimum(np.cumsum(c) - c, n_tokens)) * (c > 0)
-                at += n_tokens
-                out_block.append(blocks[i]), out_payload.append(mine[:-1].astype("<u4").tobytes()), out_meta.append(False)
-        return pa.table({"block": pa.array(out_block, pa.int64()), "meta": pa.array(out_meta, pa.bool_()), "payload": pa.array(out_payload, pa.binary())})
-
-    def summed(group):
+    def found(ids, known, hashes, values, sizes, classes):
         import pyarrow as pa
 
-        meta, payloads = group.column("meta").to_pylist(), group.column("payload").to_pylist()
-        head = payloads[meta.index(True)]
-        n_docs = int(np.frombuffer(head, "<i8", 1)[0])
-        ids, known = np.frombuffer(head, "<i8", n_docs, 8), np.frombuffer(head, "u1", n_docs, 8 + 8 * n_docs)
-        at = 8 + 9 * n_docs
-        sizes, local = np.frombuffer(head, "<i8", n_docs, at), np.frombuffer(head, "<i8", n_docs, at + 8 * n_docs)
-        shared = local.copy()
-        for m, p in zip(meta, payloads):
-            if not m:
-                shared += np.frombuffer(p, "<u4")
-        sigs = [head[i : i + 16] for i in range(at + 16 * n_docs, at + 32 * n_docs, 16)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "n_shingles": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "shared": pa.array(shared, pa.int64())})
-
-    sent = rows.mapInArrow(packed, "bucket int, block long, owners binary, payload binary")
-    back = sent.groupBy("bucket").applyInArrow(counted, "block long, meta boolean, payload binary")
-    return back.groupBy("block").applyInArrow(summed, "doc_id long, n_shingles long, sig binary, shared long")
-
-
-def class_sets(docs: DataFrame, classes: DataFrame, n: int = N) -> DataFrame:
-    """Sets of the classes' documents (``classes``: id, sig): id, size, tokens (sorted uint64, packed)."""
-    chosen = classes.select(F.col("id").alias("doc_id"), "sig")
-    if classes.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-
-    def found(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        known = word_hashes()
-        for batch in common.pieces(batches, "text", BLOCK_BYTES):
-            sets = shingle_sets(batch.column(1).to_pylist(), n, known)
-            kept = [(i, s) for i, s, sig in zip(batch.column(0).to_pylist(), sets, batch.column(2).to_pylist()) if _signature(s) == sig]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int32()), pa.array([s.tobytes() for _, s in kept], pa.binary())],
-                names=["id", "size", "tokens"],
-            )
-
-    return rows.select("doc_id", "text", "sig").mapInArrow(found, "id long, size int, tokens binary")
-
-
-def prefixes(sets: DataFrame) -> DataFrame:
-    """Prefix of every set in the order of rising document frequency: id, size, group, entries.
-
-    ``entries``: the prefix shingles that more than one set has, as packed (token
-    uint64, place int32); ``group`` is equal for sets of equal prefix and size.
+        ends = np.cumsum(sizes)
+        upto = np.concatenate(([0], np.cumsum(classes > 0)))
+        shared = upto[ends] - upto[ends - sizes]
+        some = known & (sizes > 0) & (T_DEN * shared >= T_NUM * sizes)
+        columns: list[list] = [[None] * len(sizes) for _ in range(5)]
+        for i in np.flatnonzero(some).tolist():
+            part = slice(int(ends[i] - sizes[i]), int(ends[i]))
+            own, rank = values[part], classes[part]
+            size = len(own)
+            first = np.lexsort((own, rank))[: size - -(-T_NUM * size // T_DEN) + 1]
+            skipped = int((rank[first] == 0).sum())
+            prefix = own[first]
+            group = hashlib.blake2b(prefix.tobytes() + size.to_bytes(8, "little"), digest_size=16).digest()
+            cid = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+            for column, x in zip(columns, (cid, own[rank > 0].tobytes(), group, prefix[skipped:].view("<i8"), skipped)):
+                column[i] = x
+        kinds = {"cid": pa.int64(), "tokens": pa.binary(), "group": pa.binary(), "prefix": pa.list_(pa.int64()), "skipped": pa.int32()}
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~known), "size": pa.array(sizes, pa.int64()), **{k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)}})
+
+    texts = frequencies.blocks(docs)
+    schema = "doc_id long, size long, cid long, tokens binary, group binary, prefix array<long>, skipped int"
+    out = common.stored(frequencies.with_classes(texts, partial(_set_features, n=n), found, schema), "sets")
+    common.drop_stored(texts)
+    return out
+
+
+def entries(rows: DataFrame, *more: str) -> DataFrame:
+    """The prefix shingles of rows: token, pos (in the whole prefix), id, size and ``more``."""
+    return rows.select("id", "size", "skipped", *more, F.posexplode("prefix").alias("pos", "token")).select("token", (F.col("pos") + F.col("skipped")).alias("pos"), "id", "size", *more)
+
+
+def may_be_similar(size: Column, pos: Column, other_size: Column, other_pos: Column) -> Column:
+    """What sizes and places of a shingle allow, were it the first that two sets have in common."""
+    alike = T_DEN * F.least(size, other_size) >= T_NUM * F.greatest(size, other_size)
+    most = F.least(size - pos, other_size - other_pos)
+    return alike & ((T_NUM + T_DEN) * most >= T_NUM * (size + other_size))
+
+
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each row (id, size, prefix, skipped) and the least id that has the shingle and a size of the same band.
+
+    The greatest size of a band is under 4/3 of the least.
     """
-    buckets = bucket_count(sets.sparkSession)
+    every = entries(rows).withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(T_DEN / T_NUM))))
+    pivots = every.groupBy("token", "band").agg(F.min(F.struct("id", "size", "pos")).alias("p"), F.max("id").alias("last")).filter("last != p.id").drop("last")
+    met = every.join(pivots, ["token", "band"]).filter(F.col("id") != F.col("p.id"))
+    return met.filter(may_be_similar(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos"))).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
 
-    def packed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        numbers = block_ids()
-        for batch in common.pieces(batches, "tokens", BLOCK_BYTES):
-            block = next(numbers)
-            own = [np.frombuffer(t, "<u8") for t in batch.column(2).to_pylist()]
-            distinct, times = np.unique(np.concatenate(own), return_counts=True)
-            place = bucket_of(distinct, buckets)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-            head = b"".join((np.array([len(own)], "<i8").tobytes(), batch.column(0).to_numpy().astype("<i8").tobytes(), np.array([len(t) for t in own], "<i8").tobytes(), *(t.tobytes() for t in own)))
-            keys, tokens, counts = [home(block, buckets)], [head], [b""]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    part = order[cuts[b] : cuts[b + 1]]
-                    keys.append(b)
-                    tokens.append(distinct[part].tobytes())
-                    counts.append(times[part].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), pa.array([block] * len(keys), pa.int64()), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())],
-                names=["bucket", "block", "tokens", "counts"],
-            )
-
-    def totalled(group):
-        import pyarrow as pa
+def group_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of groups (id, size, prefix, skipped, lo and hi: least and greatest label of their members) that may link components.
 
-        blocks, tokens, counts = (group.column(c).to_pylist() for c in ("block", "tokens", "counts"))
-        data = [i for i, c in enumerate(counts) if c]
-        if data:
-            every = np.concatenate([np.frombuffer(tokens[i], "<u8") for i in data])
-            distinct, back = np.unique(every, return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([np.frombuffer(counts[i], "<u4") for i in data]), minlength=len(distinct))
-            sums = np.minimum(sums, 2**32 - 1).astype("<u4")[back]
-            at = 0
-            for i in data:
-                n = len(counts[i]) // 4
-                counts[i] = sums[at : at + n].tobytes()
-                at += n
-        return pa.table({"block": pa.array(blocks, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    def cut(group):
-        import pyarrow as pa
-
-        tokens, counts = group.column("tokens").to_pylist(), group.column("counts").to_pylist()
-        head = tokens[counts.index(b"")]
-        n = int(np.frombuffer(head, "<i8", 1)[0])
-        ids, sizes = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, "<i8", n, 8 + 8 * n)
-        data = [i for i, c in enumerate(counts) if c]
-        known = np.concatenate([np.frombuffer(tokens[i], "<u8") for i in data]) if data else np.empty(0, "<u8")
-        freq = np.concatenate([np.frombuffer(counts[i], "<u4") for i in data]) if data else np.empty(0, "<u4")
-        order = np.argsort(known)
-        known, freq = known[order], freq[order]
-        at, groups, entries = 8 + 16 * n, [], []
-        for size in sizes:
-            own = np.frombuffer(head, "<u8", int(size), at)
-            at += 8 * int(size)
-            df = freq[np.searchsorted(known, own)]
-            first = np.lexsort((own, df))[: int(size - _needed(size) + 1)]
-            groups.append(hashlib.blake2b(own[first].tobytes() + int(size).to_bytes(8, "little"), digest_size=16).digest())
-            kept = np.flatnonzero(df[first] > 1)
-            entries.append(own[first][kept].tobytes() + kept.astype("<i4").tobytes())
-        return pa.table({"id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int32()), "group": pa.array(groups, pa.binary()), "entries": pa.array(entries, pa.binary())})
-
-    sent = sets.select("id", "size", "tokens").mapInArrow(packed, "bucket int, block long, tokens binary, counts binary")
-    back = sent.groupBy("bucket").applyInArrow(totalled, "block long, tokens binary, counts binary")
-    return back.groupBy("block").applyInArrow(cut, "id long, size int, group binary, entries binary")
-
-
-def candidates(rows: DataFrame, pivots: bool) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (id, label, size, entries) that share a prefix shingle and may be similar.
-
-    With ``pivots`` each row of a shingle is paired with the least id of like size;
-    otherwise all pairs of different label come out.
+    Of two members with unlike labels one hasn't the label that a shingle's groups
+    are compared with.  The least label is that of the largest component as often
+    as its share of the groups, so what is paired with all is mostly little.
     """
-    buckets = bucket_count(rows.sparkSession)
-
-    def packed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in common.pieces(batches, "entries", BLOCK_BYTES):
-            raw = batch.column(3).to_pylist()
-            counts = np.array([len(r) // 12 for r in raw])
-            every = np.empty(int(counts.sum()), ENTRY)
-            at = 0
-            for r, c in zip(raw, counts):
-                every["token"][at : at + c] = np.frombuffer(r, "<u8", c)
-                every["pos"][at : at + c] = np.frombuffer(r, "<i4", c, 8 * c)
-                at += c
-            for i, name in enumerate(("id", "label", "size")):
-                every[name] = np.repeat(batch.column(i).to_numpy(), counts)
-            place = bucket_of(every["token"], buckets)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-            used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([every[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used], pa.binary())],
-                names=["bucket", "payload"],
-            )
-
-    def paired(group):
-        import pyarrow as pa
-
-        every = np.concatenate([np.frombuffer(p, ENTRY) for p in group.column("payload").to_pylist()])
-        every = every[np.lexsort((every["id"], every["size"], every["token"]))]
-        cuts = np.flatnonzero(np.append(np.append(True, every["token"][1:] != every["token"][:-1]), True))
-        out_a, out_b = [], []
-        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            run = every[start:stop]
-            if len(run) < 2 or (run["label"] == run["label"][0]).all():
-                continue
-            if pivots:
-                while len(run) > 1:
-                    p = run[np.argmin(run["id"])]
-                    near = _may(run, p)
-                    other = run["id"][near & (run["id"] != p["id"])]
-                    out_a.append(np.full(len(other), p["id"])), out_b.append(other)
-                    run = run[~near & (run["id"] != p["id"])]
-            else:
-                for i in range(len(run) - 1):
-                    p = run[i]
-                    later = run[i + 1 : np.searchsorted(run["size"], p["size"] * T_DEN // T_NUM, side="right")]
-                    other = later["id"][_may(later, p) & (later["label"] != p["label"])]
-                    out_a.append(np.minimum(other, p["id"])), out_b.append(np.maximum(other, p["id"]))
-        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-        both = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-    sent = rows.select("id", "label", "size", "entries").mapInArrow(packed, "bucket int, payload binary")
-    return sent.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
-
-
-def _may(run: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rows of a shingle that the sizes and places allow to be similar to p, were it their first in common."""
-    sizes, size = run["size"].astype(np.int64), int(p["size"])
-    alike = (T_DEN * np.minimum(sizes, size) >= T_NUM * np.maximum(sizes, size))
-    most = 1 + np.minimum(sizes - run["pos"] - 1, size - int(p["pos"]) - 1)
-    return alike & ((T_NUM + T_DEN) * most >= T_NUM * (sizes + size))
+    every = entries(groups, "lo", "hi")
+    mixed = every.groupBy("token").agg(F.min("lo").alias("usual"), F.max("hi").alias("top")).filter("usual < top").select("token", "usual")
+    every = every.join(mixed, "token").withColumn("odd", (F.col("lo") != F.col("usual")) | (F.col("hi") != F.col("usual")))
+    x, y = every.filter("odd").alias("x"), every.alias("y")
+    met = x.join(y, F.col("x.token") == F.col("y.token")).filter("x.id != y.id AND (NOT y.odd OR x.id < y.id) AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)")
+    met = met.filter(may_be_similar(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
+    inside = groups.filter("lo < hi").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().unionByName(inside)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    """The pairs (a, b) of ``sets`` (id, size, tokens) that are similar enough."""
+    left = sets.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("tokens").alias("y"))
 
     def checked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in common.pieces(batches, "x", BLOCK_BYTES):
+        for batch in common.pieces(batches, "x", STEP_BYTES):
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for m, x, n, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                good.append(both > 0 and T_DEN * both >= T_NUM * (len(x) + len(y) - both))
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                good.append(T_DEN * both >= T_NUM * (m + n - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "x", "n", "y").mapInArrow(checked, "a long, b long")
 
 
 def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
@@ -374,33 +154,39 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     * An empty table gives no rows; other columns are ignored.
     * Sets hold 64-bit hashes of shingles.
     """
-    counts = common.stored(shared_counts(docs, partial(shingle_features, n)), "shared")
-    own = counts.filter(f"n_shingles > 0 AND doc_id IS NOT NULL AND {T_DEN} * shared >= {T_NUM} * n_shingles")
-    classes = common.stored(own.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
+    every = prefixed_sets(docs, n)
+    own = every.filter("cid IS NOT NULL")
+    ids = common.stored(own.select("doc_id", "cid").distinct(), "classes")
+    sets = common.stored(own.select(F.col("cid").alias("id"), "size", "tokens", "group", "prefix", "skipped").dropDuplicates(["id"]), "sets")
+    counts = common.stored(every.select("doc_id", F.col("size").alias("n_shingles")), "counts")
+    common.drop_stored(every)
     # rows of one doc_id with unlike sets hold together
-    same = own.groupBy("doc_id").agg(F.min("sig").alias("s"), F.max("sig").alias("t")).filter("s != t")
-    same = same.select(F.explode(F.array("s", "t")).alias("sig"), F.col("doc_id").alias("a")).join(classes, "sig").select("a", F.col("id").alias("b"))
-    sets = common.stored(class_sets(docs, classes, n), "sets")
-    found = common.stored(prefixes(sets), "prefixes")
-    leaders = common.stored(found.groupBy("group").agg(F.min("id").alias("leader")), "groups")
-    grouped = found.join(leaders, "group")
-    first = candidates(grouped.filter("id = leader").select("id", F.col("id").alias("label"), "size", "entries"), True)
-    inside = grouped.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    links = common.stored(verified(first.unionByName(inside).distinct(), sets).unionByName(same), "links")
+    same = ids.join(ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a != z"), "doc_id").filter("cid != a").select("a", F.col("cid").alias("b"))
+    leaders = sets.groupBy("group").agg(F.min("id").alias("leader"))
+    members = common.stored(sets.select("id", "group").join(leaders, "group").select("id", "leader"), "groups")
+    heads = sets.join(members.filter("id = leader").select("id"), "id", "left_semi")
+    inside = members.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    first = pivot_pairs(heads).distinct().unionByName(inside)
+    links = common.stored(verified(first, sets).unionByName(same), "links")
     labels = components(links)
-    labelled = found.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "size", "entries")
-    rest = verified(candidates(labelled, False), sets)
-    more = rest.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-    more = common.stored(more.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct(), "links")
-    common.drop_stored(sets, found, leaders, links)
-    if not more.isEmpty():
-        above = components(more).select(F.col("id").alias("u"), F.col("label").alias("top"))
-        every = classes.select("id").unionByName(labels.select("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        labels = every.join(above, F.col("label") == F.col("u"), "left").select("id", F.coalesce("top", "label").alias("label"))
-    of_class = classes.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("label"))
-    out = counts.select("doc_id", "n_shingles", "sig").join(of_class, "sig", "left")
-    none = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(none | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "doc_id")).alias("component_id"))
+    labelled = common.stored(members.join(labels, "id", "left").select("id", "leader", F.coalesce("label", "id").alias("label")), "labels")
+    bounds = labelled.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    pairs = group_pairs(heads.join(bounds, "id"))
+    one = labelled.select(F.col("leader").alias("a"), F.col("id").alias("u"), F.col("label").alias("lu"))
+    other = labelled.select(F.col("leader").alias("b"), F.col("id").alias("v"), F.col("label").alias("lv"))
+    met = pairs.join(one, "a").join(other, "b").filter("lu != lv AND (a != b OR u < v)")
+    found = verified(met.select(F.col("u").alias("a"), F.col("v").alias("b")), sets)
+    of = labelled.select("id", "label")
+    more = found.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    above = components(more.distinct()).select(F.col("id").alias("label"), F.col("label").alias("top"))
+    final = of.join(above, "label", "left").select(F.col("id").alias("cid"), F.coalesce("top", "label").alias("top"))
+    tops = ids.join(final, "cid").select("doc_id", "top")
+    least = tops.groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    moved = tops.join(least, "top").filter("doc_id != component_id").select("doc_id", "component_id").distinct()
+    moved = common.stored(moved, "moved")
+    common.drop_stored(sets, links, ids, members, labelled)
+    out = counts.join(F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, n: int = N) -> DataFrame:

@@ -88,7 +88,7 @@ def test_compact_windows_are_the_wide_nodes_of_the_cartesian_tree():
     for _ in range(60):
         rows = [r.integers(0, 2**63 if r.random() < 0.5 else 12, r.integers(0, 50)).astype(np.uint64) for _ in range(r.integers(0, 5))]
         width = int(r.integers(1, 12))
-        for f, (row, at, lo, hi, _) in enumerate(passages.compact_windows(rows, width, 2)):
+        for f, (row, at, lo, hi, _) in enumerate(passages.compact_windows(np.concatenate([np.empty(0, np.uint64), *rows]), np.array([len(x) for x in rows], np.int64), width, 2)):
             want = set()
             for i, x in enumerate(rows):
                 h = passages.mixed(x + np.uint64(0xD1B54A32D192ED03 * (f + 1) & (2**64 - 1)))
