@@ -1,18 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is cut into lines, one a block element.  Lines of elements that never hold
-main text (scripts, menus, headers, footers, sidebars, forms, notices, adverts,
-reader comments) count as empty, and so do lines outside the page's article where
-it has one.  The lengths of the lines are summed over a sliding window; the text
-starts where the sums surge and ends where they dive to nothing, and all lines
-between are kept.
+Markup is cut into lines, one a block element.  A line weighs its characters
+outside links; lines of elements that never hold main text (scripts, menus,
+headers, footers, sidebars, forms, notices, adverts, reader comments) weigh
+nothing, those of elements that are only named a little like them weigh a quarter
+inside an article.  Where the page's articles hold most of the weight, lines
+outside them weigh nothing too.  Weights are summed over a sliding window: a
+stretch of lines ends where the sums dive to nothing, and is main text if they
+surge in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +25,10 @@ from eventloom.llm import common
 
 #: Lines summed at each place.
 WINDOW = 3
-#: A sum from which a surge starts where a page has no article element, in characters.
+#: A sum that is a surge, in characters.  Where no sum reaches it, the greatest one is.
 SURGE = 86
+#: A line inside an article of which a class or id holds a weak word weighs one part in so many.
+WEAK_PART = 4
 #: Html handled at once, in UTF-8 bytes.
 STEP_BYTES = 8 << 20
 
@@ -42,138 +48,241 @@ DROPPED = frozenset(
 )
 #: Roles that mark such elements, by the ARIA standard.
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog status note".split())
-#: Words of a class or id that mark such elements.
-DROPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus header "
-    "masthead footer sidebar aside breadcrumb breadcrumbs cookie cookies consent notice notices comment comments respond reply replies "
-    "disqus share sharing social related newsletter subscribe subscription popup modal pagination pager widget widgets skip login signup form".split()
+#: Words that mark such elements as a part of a class or id.
+STRONG_NAMES = frozenset(
+    "ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu menus masthead footer sidebar breadcrumb breadcrumbs cookie cookies "
+    "consent comment comments respond reply replies disqus share sharing social newsletter subscribe subscription pagination pager login signup".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Words that mark such elements as a whole class or id; as a part of one they are weak.
+WHOLE_NAMES = STRONG_NAMES | frozenset("ad promo promotion banner header aside notice notices related popup modal widget widgets skip form".split())
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: The rest of a tag: attributes, of which quoted values may hold anything.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _NAMES = re.compile(r"[A-Za-z]+")
 #: White space of HTML and of Unicode inside a block becomes one space.
 _SPACE = re.compile(r"\s+")
 
 
-def _dropped(tag: str, attributes: str) -> int:
-    """2: dropped by its name, 1: by its attributes, 0: not dropped."""
+#: How an element counts: its text is never main text, for what it is or for what it is called; it is named a little like such; otherwise.
+NEVER, NAMED, WEAK, PLAIN = 3, 2, 1, 0
+
+
+def _kind(tag: str, attributes: str) -> int:
+    """NEVER, NAMED, WEAK or PLAIN, by an element's name and attributes."""
     if tag in DROPPED:
-        return 2
+        return NEVER
     if not attributes or tag in ("html", "body"):
-        return 0
+        return PLAIN
+    kind = PLAIN
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
-        value = m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
-        if name == "role" and value.strip().lower() in DROPPED_ROLES:
-            return 1
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(x.lower() for x in _NAMES.findall(value)):
-            return 1
-    return 0
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines in order: text, number of the article it is in (0: none), whether it is dropped."""
-    out: list[tuple[str, int, bool]] = []
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true":
+            return NEVER
+        if name == "role" and value.strip() in DROPPED_ROLES:
+            kind = max(kind, NAMED)
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = _NAMES.findall(token)
+                if token in WHOLE_NAMES or not STRONG_NAMES.isdisjoint(parts):
+                    kind = max(kind, NAMED)
+                elif not WHOLE_NAMES.isdisjoint(parts):
+                    kind = max(kind, WEAK)
+    return kind
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """The markup of a page in order: start, end, whether it closes an element, the element's name ("": none) and attributes.
+
+    No part of a page is looked at more than a few times.  When the quotes of a
+    tag never end, tags from there on end at their first ">".
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = _COMMENT_END.search(page, start + 2)
+            at = end.end() if end else len(page)
+            yield start, at, False, "", ""
+        elif start > last:
+            return  # no tag ends any more: the rest is text
+        elif page.startswith(("<!", "<?"), start):
+            at = page.index(">", start) + 1
+            yield start, at, False, "", ""
+        elif (head := _OPEN.match(page, start)) is None:
+            at = start + 1
+        else:
+            rest = _REST.match(page, head.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.index(">", head.end()) + 1
+            tag = head[2].lower()
+            at = yield start, end, bool(head[1]), tag, page[head.end() : end - 1]
+            at = at or end
+
+
+class _Elements:
+    """The open elements of a page: name, kind and article of each, with what is above counted in."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = [("", PLAIN, 0)]
+        self.often: Counter[str] = Counter()
+        self.blocks: list[int] = []  # where block elements stand
+
+    def push(self, tag: str, kind: int, article: int) -> None:
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.often[tag] += 1
+        self.stack.append((tag, kind, article))
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        self.often.subtract(x[0] for x in self.stack[depth:])
+        del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of a name and all inside it; nothing if none is open."""
+        if self.often[tag] > 0:
+            self.cut(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag))
+
+    def close_block(self, tags: set[str] | frozenset[str], over_p: bool = False) -> None:
+        """Close the innermost block element, if it has one of the names; an open paragraph is looked over with ``over_p``."""
+        found = [i for i in self.blocks[-2:] if not (over_p and self.stack[i][0] == "p")]
+        if found and self.stack[found[-1]][0] in tags:
+            self.cut(found[-1])
+
+
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """The page's lines in order: text, number of the article it is in (0: none), kind, characters in links."""
+    out: list[tuple[str, int, int, int]] = []
     held: list[str] = []
-    # open elements: name, dropped here or above, article here or above
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
-    articles, at, n = 0, 0, len(page)
+    open_ = _Elements()
+    articles, at, linked, links = 0, 0, 0, 0
 
     def end_line() -> None:
+        nonlocal linked
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, stack[-1][2], stack[-1][1] > 0))
+                out.append((text, open_.stack[-1][2], open_.stack[-1][1], min(linked, len(text))))
+        linked = 0
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
+    def hold(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        if open_.often["a"] > 0:
+            linked += len(text)
+
+    tags = _tags(page)
+    found = next(tags, None)
+    while found:
+        start, end, closes, tag, attributes = found
+        if start > at:
+            hold(page[at:start])
+        at, skip = end, None
+        if tag and closes:
             if tag in BLOCKS or tag in DROPPED:
                 end_line()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                del stack[depth:]
-            continue
-        dropped = _dropped(tag, m[3])
-        if tag in BLOCKS or dropped:
-            end_line()
-        if tag in CLOSES_P or tag == "p":
-            # a block ends an open paragraph and inline elements inside it
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), 0)
-            if depth and stack[depth][0] == "p":
-                del stack[depth:]
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            same = {"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS and stack[i][0] != "p"), 0)
-            if depth and stack[depth][0] in same:
-                del stack[depth:]
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS | DROPPED:
-            continue
-        _, above, article = stack[-1]
-        if tag == "article" or tag == "main" and not article:
-            if not articles and above == 1:
-                above = 0  # a wrapper that is only named like a side part, as in "with-sidebar"
-            articles += 1
-            article = article or articles
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            stop = close.start() if close else n
-            if not (above or dropped):
-                held.append(page[at:stop])
-            at = stop
-        stack.append((tag, max(above, dropped), article))
+            open_.close(tag)
+        elif tag:
+            kind = _kind(tag, attributes)
+            if tag in BLOCKS or kind > WEAK:
+                end_line()
+            if tag in CLOSES_P or tag == "p":
+                open_.close_block({"p"})  # a block ends an open paragraph and inline elements inside it
+            if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
+                open_.close_block({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}, over_p=True)
+            if tag not in VOID and (tag in BLOCKS or tag in DROPPED or not attributes.rstrip().endswith("/")):
+                _, above, article = open_.stack[-1]
+                if tag == "article" or tag == "main" and not article:
+                    if not articles and above == NAMED:
+                        above = PLAIN  # a wrapper that is only named like a side part, as in "with-sidebar"
+                    articles += 1
+                    article = article or articles
+                if tag in RAW:
+                    close = _raw_end(tag).search(page, at)
+                    skip = close.start() if close else len(page)
+                    if max(above, kind) <= WEAK:
+                        hold(page[at:skip])
+                    at = skip
+                open_.push(tag, max(above, kind), article)
+        try:
+            found = tags.send(skip)
+        except StopIteration:
+            break
+    if at < len(page):
+        hold(page[at:])
     end_line()
     return out
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+def weights(found: list[tuple[str, int, int, int]]) -> list[int | None]:
+    """The weight of each of ``lines``; None for those that are never main text.
+
+    Inside an article links and weak names make a line lighter, but not empty.
+    """
+    out: list[int | None] = []
+    for text, article, kind, linked in found:
+        if kind >= NAMED or kind == WEAK and not article:
+            out.append(None)
+        elif article:
+            out.append(max(1, (len(text) - linked + linked // WEAK_PART) // (WEAK_PART if kind == WEAK else 1)))
+        else:
+            out.append(len(text) - linked)
+    total = sum(w or 0 for w in out)
+    inside = sum(w or 0 for w, line in zip(out, found) if line[1])
+    if inside and 2 * inside >= total:
+        out = [w if line[1] else None for w, line in zip(out, found)]
+    return out
+
+
+def stretches(weight: list[int | None], window: int, surge: int) -> list[tuple[int, int]]:
+    """Stretches of lines (first, end) in which the window sums surge, each ending where they dive to nothing."""
+    n = len(weight)
+    values = [w or 0 for w in weight]
+    total, sums = sum(values[:window]), []
+    for i in range(n):
+        sums.append(total)
+        total += (values[i + window] if i + window < n else 0) - values[i]
+    least = min(surge, max(sums, default=0))
+    out, first, high = [], None, 0
+    for i, s in enumerate([*sums, 0]):
+        if s:
+            first, high = (i, s) if first is None else (first, max(high, s))
+        elif first is not None:
+            if high >= least:
+                out.append((first, i))
+            first = None
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Main text of a page: kept lines joined by one space; empty for null, empty or text-free html.
+    """Main text of a page: the lines of its surging stretches, but for those that are never main text, joined by one space.
 
-    With an article (or main) element all of its lines that aren't dropped count;
-    any text is a surge there.  Without one, a surge starts at a sum of ``surge``
-    characters, or, if no sum reaches it, at the greatest sum.
+    Empty for null, empty or text-free html.
     """
     if not page:
         return ""
     found = lines(page)
-    inside = any(article and not dropped for _, article, dropped in found)
-    length = [0 if dropped or inside and not article else len(text) for text, article, dropped in found]
-    n = len(length)
-    total = sum(length[:window])
-    sums = []
-    for i in range(n):
-        sums.append(total)
-        total += (length[i + window] if i + window < n else 0) - length[i]
-    if not sums or not max(sums):
-        return ""
-    least = 1 if inside else min(surge, max(sums))
-    kept, on = [], False
-    for i, s in enumerate(sums):
-        if not on and s >= least:
-            on = True
-        elif on and not s:
-            on = False  # a dive: a whole window of empty lines
-        if on and length[i]:
-            kept.append(found[i][0])
-    return " ".join(kept)
+    weight = weights(found)
+    # a run of side lines inside an article counts as one line
+    kept = [i for i, w in enumerate(weight) if w is not None or not i or weight[i - 1] is not None or not found[i][1] == found[i - 1][1] > 0]
+    spans = stretches([weight[i] for i in kept], window, surge)
+    return " ".join(found[i][0] for a, b in spans for i in kept[a:b] if weight[i] is not None)
 
 
 def extract(pages: DataFrame, keys: list[str], column: str = "html") -> DataFrame:
     """Main text of every page: ``keys``, text, n_chars (code points).
 
-    Null or empty html gives an empty text.  Rows are independent (repeated rows
+    Null or empty html gives an empty text.  A tag that never ends is text.  Rows are independent (repeated rows
     repeat, an empty table gives none), any length of html is handled whole, and
     other columns are ignored.
     """

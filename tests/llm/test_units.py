@@ -1,6 +1,7 @@
 """Parts of the training-data operators that need no Spark."""
 
 import random
+import time
 from array import array
 
 import numpy as np
@@ -172,6 +173,38 @@ def test_very_long_page_in_linear_time():
     assert len(html_text.main_text(page)) > 400_000
 
 
+@pytest.mark.parametrize("part", ['<div class="', "<b></i>", "<a ", '<a b=">" ', "<b><i>", "<p>", "<", "<!-- ", "</x>", '<a title="x>', "<table><td>", "<script "])
+@pytest.mark.parametrize("end", ["", ">", "'>", '">'])
+def test_odd_markup_in_linear_time(part, end):
+    start = time.perf_counter()
+    html_text.main_text(part * (2**20 // len(part)) + end)
+    assert time.perf_counter() - start < 10
+
+
+def test_side_elements_by_name():
+    body = "long words of a paragraph " * 5
+    page = f"<article><div class='article-header'><h1>T</h1></div><p>{body}</p><p class='form-factor'>ff<div class='related-work'><p>rw</div><ul class='share-list'><li>a<li>b<li>c<li>d</ul><div class='ad'>no</div><p>end</article>"
+    assert html_text.main_text(page) == f"T {body}".rstrip() + " ff rw end"
+    # without an article that holds most of the text all lines count
+    page = f"<div class='menu'>m</div><div class='site-header'>h</div><div>{body}</div><article class=card><a href=x>story</a></article><div class=footer>f</div>"
+    assert html_text.main_text(page) == f"{body.rstrip()} story"
+
+
+def test_block_distribution_against_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        weight = [r.choice([None, 0, 0, 1, 5, 30, 90]) for _ in range(r.randint(0, 25))]
+        window, surge = r.randint(1, 4), r.randint(1, 120)
+        sums = [sum(w or 0 for w in weight[i : i + window]) for i in range(len(weight))]
+        want = []
+        for a in range(len(sums)):
+            for b in range(a + 1, len(sums) + 1):
+                whole = all(sums[a:b]) and (a == 0 or not sums[a - 1]) and (b == len(sums) or not sums[b])
+                if whole and max(sums[a:b]) >= min(surge, max(sums)):
+                    want.append((a, b))
+        assert html_text.stretches(weight, window, surge) == want
+
+
 def test_topk_block_against_brute_force():
     r = np.random.default_rng(7)
     rows = np.floor(r.normal(0, 40, (700, 33)))
