@@ -65,17 +65,28 @@ def raw_texts(lengths: bytes, texts: bytes) -> list[bytes]:
 def by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted hashes by bucket, and where each bucket begins."""
     place = ((distinct >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
     return order, np.searchsorted(place[order], np.arange(buckets + 1))
 
 
+def _documents(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and in how many of the rows of the given sizes each is."""
+    distinct, back, times = np.unique(values, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[back] > 1)
+    owner, number = np.repeat(np.arange(len(sizes)), sizes)[some], back[some]
+    order = np.lexsort((owner, number))
+    owner, number = owner[order], number[order]
+    again = (owner[1:] == owner[:-1]) & (number[1:] == number[:-1])
+    return distinct, times - np.bincount(number[1:][again], minlength=len(distinct))
+
+
 def with_classes(texts: DataFrame, features: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], use: Callable, schema: str) -> DataFrame:
     """What ``use`` makes of every block of ``texts`` (from ``blocks``) and the classes of its shingles.
 
     ``features`` gives the shingles of texts, one text after the other, and each
     text's number.  ``use(ids, known, hashes, values, sizes, classes)`` returns the
-    columns of ``schema``; the class of a shingle is floor(log2) of the number of times that
-    blocks list it, a shingle's count within one block stopping at 255.  Class 0
+    columns of ``schema``; the class of a shingle is floor(log2) of the number of rows
+    that have it, where a block counts as 255 rows at most.  Class 0
     is a shingle that nothing else has.  A chance of a few in a thousand gives a
     shingle too great a class, the same one wherever it is.
     """
@@ -86,7 +97,7 @@ def with_classes(texts: DataFrame, features: Callable[[list[bytes]], tuple[np.nd
 
         for batch in batches:
             for block, lengths, packed_texts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                distinct, times = np.unique(features(raw_texts(lengths, packed_texts))[0], return_counts=True)
+                distinct, times = _documents(*features(raw_texts(lengths, packed_texts)))
                 order, cuts = by_bucket(distinct, buckets)
                 low, times = distinct[order].astype("<u4"), np.minimum(times[order], 255).astype("u1")
                 used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()

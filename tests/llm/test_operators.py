@@ -228,6 +228,43 @@ def test_rollup_commits_once(spark, corpus):
     assert rollup.commit("b5", token_counts.signed(counted.limit(0), 1))
 
 
+def test_rollup_of_null_counts_and_a_lost_race(spark):
+    rows = spark.createDataFrame([(None, None, "t", None, 1), ("a", "en", "t", 4, 1), ("a", "en", "t", 4, 1), ("b", "en", "t", 0, 1)], "source string, lang string, tokenizer string, tokens long, sign int")
+    rollup = token_counts.Rollup(spark, new_path(spark, "test-rollup"))
+
+    class Slow(token_counts.Rollup):
+        def version(self):  # another commit takes the next version between the look and the rename
+            found = super().version()
+            if not found:
+                rollup.commit("other", rows.filter("source = 'b'"))
+            return found
+
+    assert Slow(spark, rollup.path).commit("mine", rows) and not rollup.commit("mine", rows) and rollup.committed("other")
+    assert {(x.source, x.documents, x.tokens) for x in rollup.totals().collect()} == {(None, 1, 0), ("a", 2, 8), ("b", 2, 0)}
+    assert rollup.commit("back", rows.withColumn("sign", F.lit(-1))) and {x.source for x in rollup.totals().collect()} == {"b"}
+
+
+def test_op10_token_counts_against_the_library_and_sql(spark, tmp_path):
+    import duckdb
+
+    from eventloom.llm.common import table
+
+    folder = "/root/testdata/sf0.001"
+    got = {(x.source, x.lang, x.tokenizer): (x.documents, x.tokens) for x in token_counts.op10_token_counts(spark, folder).collect()}
+    toxic = {x.doc_id for x in table(spark, folder, "labels").filter("toxic = 1").collect()}
+    library, want = Tokenizer.from_file(PATH), defaultdict(lambda: (0, 0))
+    for x in table(spark, folder, "documents").collect():
+        if x.doc_id not in toxic:
+            n, t = want[x.source, x.lang, token_counts.BPE]
+            want[x.source, x.lang, token_counts.BPE] = n + 1, t + len(library.encode(x.text or "", add_special_tokens=False).ids)
+    for *group, n, t in duckdb.sql(
+        f"""SELECT source, lang, 'words@1', count(*), CAST(sum(coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)) AS BIGINT) FROM '{folder}/documents.parquet'
+        WHERE doc_id NOT IN (SELECT doc_id FROM '{folder}/labels.parquet' WHERE toxic = 1) GROUP BY ALL"""
+    ).fetchall():
+        want[tuple(group)] = n, t
+    assert got == dict(want)
+
+
 def test_quality_of_odd_rows(spark):
     r = random.Random(2)
     rows = [(i, " ".join(prose(r, 60)) if i % 4 else "SPAM!! " + " ".join(f"{w}***" for w in prose(r, 60)), "s") for i in range(120)] + [(500, None, "s"), (501, "", "s"), (502, "a b " * 40, "s")]
