@@ -102,6 +102,27 @@ def test_compact_windows_are_the_wide_nodes_of_the_cartesian_tree():
             assert set(zip(row.tolist(), at.tolist(), lo.tolist(), hi.tolist())) == want
 
 
+def test_weighted_windows_leave_unshared_shingles_out():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        sizes = r.integers(0, 60, r.integers(1, 5))
+        values, classes = r.integers(0, 2**63, sizes.sum()).astype(np.uint64), r.integers(0, 4, sizes.sum()).astype(np.uint8) * (r.random(sizes.sum()) < 0.7)
+        width = int(r.integers(2, 12))
+        for f, (row, at, lo, hi, _) in enumerate(passages.compact_windows(values, sizes, width, 2, classes)):
+            want, start = set(), 0
+            for i, n in enumerate(sizes.tolist()):
+                h = passages.mixed(values[start : start + n] + np.uint64(0xD1B54A32D192ED03 * (f + 1) & (2**64 - 1)))
+                c = classes[start : start + n].astype(float)
+                k = [-np.log(((int(a) >> 11) + 0.5) / 2**53) * 2**b if b else np.inf for a, b in zip(h, c)]
+                start += n
+                for j in range(n):
+                    a = max([q for q in range(j) if k[q] < k[j]], default=-1) + 1
+                    b = min([q for q in range(j + 1, n) if k[q] < k[j]], default=n) - 1
+                    if k[j] < np.inf and b - a + 1 >= width:
+                        want.add((i, j, a, b))
+            assert set(zip(row.tolist(), at.tolist(), lo.tolist(), hi.tolist())) == want
+
+
 def test_matched_finds_an_edited_passage():
     r = np.random.default_rng(2)
     other = r.integers(0, 2**32, 300).astype("<u4")
