@@ -1,23 +1,26 @@
 """Petri-net discovery from variants by place candidates (an extended alpha algorithm).
 
-Spark counts variants; what follows works on the alphabet and on variants with
-frequencies, whose number, not that of events, bounds the driver's work.
+Spark holds the variants: relations, counts and the fitness of candidates are
+aggregates over them, and repairs rewrite them in place.  The driver sees what the
+alphabet bounds: relations, candidates and the net.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventloom.models.petri import PetriNet
 from eventloom.operators.casecentric import END, START
 
 SILENT = "__SILENT__"
-Variants = dict[tuple[str, ...], int]
+Relation = tuple[str, str]
 Candidate = tuple[frozenset[str], frozenset[str]]
 
 
@@ -34,23 +37,106 @@ class Config:
     relative: float = 0.1
 
 
-def relations(found: Variants) -> Counter:
-    """Directly-follows pairs by frequency."""
-    out: Counter = Counter()
-    for v, n in found.items():
-        for pair in zip(v, v[1:]):
-            out[pair] += n
+# fixed values: the configurations that ``discover_best`` tries, in this order
+# balance, fitness, replay, skip, loop, absolute, relative
+AUTO = (
+    Config(0.6, 0.4, 0.0, 4.0, 4.0, 1, 0.01),
+    Config(0.6, 0.4, 0.0, 2.0, 2.0, 1, 0.01),
+    Config(0.4, 0.6, 0.0, 4.0, 4.0, 1, 0.01),
+    Config(0.4, 0.6, 0.0, 2.0, 2.0, 1, 0.01),
+    Config(0.4, 0.6, 0.0, 2.0, 2.0, 5, 0.05),
+    Config(0.1, 0.8, 0.0, 2.0, 2.0, 5, 0.05),
+    Config(0.25, 0.75, 0.0, 2.0, 2.0, 25, 0.1),
+    Config(0.1, 0.8, 0.0, 4.0, 4.0, 1, 0.01),
+    Config(0.1, 0.8, 0.0, 2.0, 2.0, 1, 0.01),
+    Config(0.1, 0.9, 0.0, 4.0, 4.0, 1, 0.01),
+    Config(0.1, 0.9, 0.0, 2.0, 2.0, 1, 0.01),
+)
+
+
+# -- over variants (Spark) ---------------------------------------------------------------
+
+
+def bordered(found: DataFrame) -> DataFrame:
+    """Variants (variant, freq) between a start and an end activity."""
+    return found.select(F.concat(F.array(F.lit(START)), "variant", F.array(F.lit(END))).alias("variant"), F.col("freq").cast("long").alias("freq"))
+
+
+def relations(found: DataFrame) -> Counter:
+    """Directly-follows pairs of variants by frequency; a row for each pair of the alphabet comes back."""
+    steps = found.select("freq", F.explode(F.arrays_zip(F.expr("slice(variant, 1, size(variant) - 1)").alias("a"), F.expr("slice(variant, 2, size(variant) - 1)").alias("b"))).alias("p"))
+    return Counter({(r.a, r.b): r.n for r in steps.groupBy("p.a", "p.b").agg(F.sum("freq").alias("n")).collect()})
+
+
+def inserted(found: DataFrame, names: dict[Relation, str]) -> DataFrame:
+    """Variants with a silent activity between the two of every named pair."""
+    if not names:
+        return found
+    known = F.create_map(*[F.lit(x) for (a, b), name in sorted(names.items()) for x in (f"{a}\x00{b}", name)])
+    grown = F.transform("variant", lambda x, i: F.array_compact(F.array(F.when(i > 0, known[F.concat(F.get("variant", i - 1), F.lit("\x00"), x)]), x)))
+    return found.select(F.flatten(grown).alias("variant"), "freq")
+
+
+def fitness(found: DataFrame, candidates: Iterable[Candidate]) -> dict[Candidate, tuple[float, float, float]]:
+    """For each candidate: the share of cases that a place there fits, the least such share over its activities, and the strict share.
+
+    Cases without any of its activities don't count.  Strictly, an activity on both
+    sides needs a token to be there.
+    """
+    listed = sorted(set(candidates), key=lambda c: (sorted(c[0]), sorted(c[1])))
+    if not listed:
+        return {}
+
+    def tallied(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sums: Counter = Counter()  # (candidate, activity or "": the case itself, what) -> cases
+        for batch in batches:
+            for variant, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                acts = set(variant)
+                for i, (a, b) in enumerate(listed):
+                    own = acts & (a | b)
+                    if own:
+                        fits, strict = replayed(variant, a, b)
+                        sums[i, "", "strict"] += freq * strict
+                        for x in ("", *own):
+                            sums[i, x, "all"] += freq
+                            sums[i, x, "fit"] += freq * fits
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[j] for k in keys], pa.string()) for j in (1, 2)), pa.array([sums[k] for k in keys], pa.int64())], names=["i", "act", "what", "n"]
+        )
+
+    rows = found.select("variant", "freq").mapInArrow(tallied, "i int, act string, what string, n long")
+    got = {(r.i, r.act, r.what): r.n for r in rows.groupBy("i", "act", "what").agg(F.sum("n").alias("n")).collect()}  # candidates by activities
+    out = {}
+    for i, c in enumerate(listed):
+        total = got.get((i, "", "all"), 0)
+        least = min((got[i, x, "fit"] / got[i, x, "all"] for x in c[0] | c[1] if got.get((i, x, "all"))), default=0.0)
+        out[c] = (got[i, "", "fit"] / total, least, got[i, "", "strict"] / total) if total else (0.0, 0.0, 0.0)
     return out
 
 
-def collected(found: DataFrame) -> Variants:
-    """Variants (variant, freq) with start and end, on the driver."""
-    return {(START, *r.variant, END): r.freq for r in found.toLocalIterator()}
+def replayed(variant: list[str], a: frozenset[str], b: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a place from ``a`` to ``b`` fits a case: no token is missing, none is left; and whether it does so strictly."""
+    fits, tokens = [True, True], [0, 0]
+    for x in variant:
+        if x in a or x in b:
+            for k, strict in enumerate((False, True)):
+                if strict and x in a and x in b:
+                    fits[k] &= tokens[k] > 0
+                else:
+                    tokens[k] += (x in a) - (x in b)
+                    fits[k] &= tokens[k] >= 0
+    return fits[0] and not tokens[0], fits[1] and not tokens[1]
 
 
-def filtered(df: Counter, absolute: int, relative: float) -> set[tuple[str, str]]:
+# -- over the alphabet -------------------------------------------------------------------
+
+
+def filtered(df: Counter, absolute: int, relative: float) -> set[Relation]:
     """Pairs frequent enough, absolutely and against the mean of one of their ends."""
-    into, out = {}, {}
+    out, into = {}, {}
     for (a, b), n in df.items():
         out.setdefault(a, []).append(n)
         into.setdefault(b, []).append(n)
@@ -58,112 +144,105 @@ def filtered(df: Counter, absolute: int, relative: float) -> set[tuple[str, str]
     return {(a, b) for (a, b), n in df.items() if n >= absolute and (n >= relative * mean(out[a]) or n >= relative * mean(into[b]))}
 
 
-def repair_loops(found: Variants, least: int) -> Variants:
-    """A silent activity between b and a wherever a frequent b -> a goes back along a frequent path a ... b."""
-    df = relations(found)
-    strong = {p for p, n in df.items() if n >= least}
-    after: dict[str, set[str]] = {}
-    for a, b in strong:
-        after.setdefault(a, set()).add(b)
-
-    def reachable(a: str) -> set[str]:
-        seen, todo = set(), [a]
-        while todo:
-            for b in after.get(todo.pop(), ()):
-                if b not in seen and b not in (START, END):
-                    seen.add(b)
-                    todo.append(b)
-        return seen
-
-    first = {b for a, b in strong if a == START}
-    # going back: the target comes at or before the source on the way from the start
-    depth: dict[str, int] = {}
-    level, n = set(first), 0
-    while level:
-        depth |= dict.fromkeys(level, n)
-        level, n = {b for a in level for b in after.get(a, ()) if b not in depth and b != END}, n + 1
-    back = {(b, a) for b, a in strong if b != START and a != END and a in depth and b in depth and depth[a] <= depth[b] and (b == a or b in reachable(a))}
-    return _inserted(found, {(b, a): f"{SILENT}loop_{b}_{a}" for b, a in back})
+def loop_pairs(df: Counter, least: int) -> set[Relation]:
+    """Frequent pairs (x, y), x other than y, that close a loop: a simple frequent path from the start goes over y to x.
+
+    Only pairs inside a strongly connected part can; the walk over simple paths
+    ends when all of those are found.
+    """
+    after: dict[str, list[str]] = {}
+    for (a, b), n in sorted(df.items()):
+        if n >= least:
+            after.setdefault(a, []).append(b)
+    reach = {a: _reachable(after, a) for a in after}
+    open_ = {(x, y) for x in after for y in after[x] if x != y and x in reach.get(y, ()) and x in reach.get(START, ())}
+    found: set[Relation] = set()
+    path, walk = [START], [iter(after.get(START, ()))]
+    on = {START}
+    while walk and open_:
+        step = next(walk[-1], None)
+        if step is None:
+            walk.pop()
+            on.discard(path.pop())
+        elif step in on:
+            pair = (path[-1], step)
+            if pair in open_:
+                open_.remove(pair)
+                found.add(pair)
+        else:
+            path.append(step)
+            on.add(step)
+            walk.append(iter(after.get(step, ())))
+    return found
+
+
+def _reachable(after: dict[str, list[str]], start: str) -> set[str]:
+    seen, todo = set(), [start]
+    while todo:
+        new = set(after.get(todo.pop(), ())) - seen
+        seen |= new
+        todo += new
+    return seen
+
+
+def skip_pairs(df: Counter, least: int) -> set[Relation]:
+    """Pairs (a, c) of neighbours between which an activity may have been skipped.
+
+    After an activity a that never follows itself, those activities can be skipped
+    whose frequent successors all are frequent successors of a, unless they repeat
+    or go back to a frequently; c is any successor of a that can't be skipped.
+    """
+    acts = {x for p in df for x in p}
+    strong = {a: frozenset(b for b in acts if df[a, b] >= least) for a in acts}
+    out = set()
+    for a in acts - {START}:
+        if strong[a] and not df[a, a]:
+            near = {b for b in acts if df[a, b]}
+            can = {b for b in near - {END} if df[b, b] < least and df[b, a] < least and strong[b] <= strong[a]}
+            if can:
+                out |= {(a, c) for c in near - can}
+    return out
+
 
+def candidates(df: set[Relation]) -> set[Candidate]:
+    """Pairs (A, B) of activity sets between which a place may lie, by the directly-follows relation.
 
-def repair_skips(found: Variants, least: int) -> Variants:
-    """A silent activity where one that follows a may be left out: all that follows it may follow a too."""
-    df = relations(found)
+    Wanted are pairs in which (1) every activity of A is followed by every one of
+    B, (2) none of A by one of A without B, (3) none of B without A by one of B,
+    and (4) some activity of B without A isn't followed by some one of A without B.
+    Pairs of single activities grow level by level: two pairs are joined where
+    either A is followed by all of the other's B, and the join is wanted.
+    """
     acts = sorted({x for p in df for x in p})
-    after = {a: {b for b in acts if df[a, b] >= least} for a in acts}
-    places: dict[tuple[str, str], str] = {}
-    for a in acts:
-        if a == START or df[a, a] or not after[a]:
-            continue
-        can = {b for b in acts if df[a, b] and b != END and df[b, b] < least and df[b, a] < least and after[a] >= after[b]}
-        if can:
-            over = {c for b in can for c in after[b]} - can
-            places |= {(a, c): f"{SILENT}skip_after_{a}" for c in over if df[a, c]}
-    return _inserted(found, places)
-
-
-def _inserted(found: Variants, names: dict[tuple[str, str], str]) -> Variants:
-    out: Counter = Counter()
-    for v, n in found.items():
-        grown = [v[0]]
-        for pair in zip(v, v[1:]):
-            if pair in names:
-                grown.append(names[pair])
-            grown.append(pair[1])
-        out[tuple(grown)] += n
-    return dict(out)
-
-
-def candidates(acts: list[str], df: set[tuple[str, str]]) -> set[Candidate]:
-    """Pairs of activity sets that a place may lie between, grown from single activities to a fixpoint."""
-    all_df = lambda xs, ys: all(p in df for p in product(xs, ys))
-    no_df = lambda xs, ys: not any(p in df for p in product(xs, ys))
-    single = {(frozenset([a]), frozenset([b])) for a, b in product(acts, repeat=2)}
-    final = {(a, b) for a, b in single for x in a for y in b if (x, y) in df and not {(y, x), (x, x), (y, y)} & df}
-    known, new = set(single), set(single)
-    while new:
-        grown = set()
-        for a1, b1 in new:
-            for a2, b2 in known:
-                if not (all_df(a1, b2) and all_df(a2, b1)):
-                    continue
-                a, b = a1 | a2, b1 | b2
-                if a == b or (a, b) in known or all_df(b, a):
+    bit = {x: 1 << i for i, x in enumerate(acts)}
+    after = {bit[x]: 0 for x in acts}
+    for x, y in df:
+        after[bit[x]] |= bit[y]
+    bits = lambda m: [1 << i for i in range(m.bit_length()) if m >> i & 1]
+    full = (1 << len(acts)) - 1
+    every = lambda m: reduce(lambda r, x: r & after[x], bits(m), full)  # noqa: E731  # what follows all of m
+    some = lambda m: reduce(lambda r, x: r | after[x], bits(m), 0)  # noqa: E731  # what follows any of m
+
+    def wanted(a: int, b: int) -> bool:
+        only_a, only_b = a & ~b, b & ~a
+        return not (b & ~every(a) or some(a) & only_a or some(only_b) & b) and bool(only_b) and bool(only_a & ~every(only_b))
+
+    level = {(bit[x], bit[y]): every(bit[x]) for x, y in df}
+    known, out = dict(level), {c for c in level if wanted(*c)}
+    while level:
+        grown = {}
+        for (a, b), follow in level.items():
+            for (c, d), other in known.items():
+                if d & ~follow or b & ~other:
                     continue
-                if no_df(a, a - b) and no_df(b - a, b) and all_df(a, b) and (not all_df(b - a, a - b) or not (b - a and a - b)):
-                    grown.add((a, b))
+                p = (a | c, b | d)
+                if p not in known and p not in grown and p[0] != p[1] and p[0] & ~every(p[1]) and wanted(*p):
+                    grown[p] = every(p[0])
         known |= grown
-        final |= grown
-        new = grown
-    return {c for c in final if all_df(*c)}
-
-
-def local_fitness(c: Candidate, found: Variants, strict: bool = False) -> tuple[float, float]:
-    """Share of cases that a place between two sets fits, and the least such share over its activities."""
-    a, b = c
-    good = total = 0
-    has: Counter = Counter()
-    fits: Counter = Counter()
-    for v, n in found.items():
-        own = [x for x in v if x in a or x in b]
-        if not own:
-            continue
-        total += n
-        tokens, ok = 0, True
-        for x in own:
-            if strict and x in a and x in b:
-                ok = tokens > 0
-            else:
-                tokens += (x in a) - (x in b)
-                ok = tokens >= 0
-            if not ok:
-                break
-        ok = ok and tokens == 0
-        for x in set(own):
-            has[x] += n
-            fits[x] += n * ok
-        good += n * ok
-    return (good / total, min(fits[x] / has[x] for x in has)) if total else (0.0, 0.0)
+        out |= set(grown)
+        level = grown
+    names = lambda m: frozenset(x for x in acts if m & bit[x])
+    return {(names(a), names(b)) for a, b in out}
 
 
 def balance(c: Candidate, count: Counter) -> float:
@@ -172,43 +251,22 @@ def balance(c: Candidate, count: Counter) -> float:
     return abs(x - y) / max(x, y) if max(x, y) else 0.0
 
 
-def discover(found: DataFrame | Variants, config: Config = Config()) -> PetriNet:
-    """A net from variants (a frame of variant and freq, or variants with start and end)."""
-    v = found if isinstance(found, dict) else collected(found)
-    df = relations(v)
-    mean = sum(df.values()) / len(df) if df else 0.0
-    v = repair_loops(v, math.ceil(config.loop * mean))
-    v = repair_skips(v, math.ceil(config.skip * mean))
-    count: Counter = Counter()
-    for t, n in v.items():
-        for x in t:
-            count[x] += n
-    acts = sorted(count)
-    found_c = candidates(acts, filtered(relations(v), config.absolute, config.relative))
-    kept = []
-    for c in found_c:
-        if balance(c, count) <= config.balance:
-            whole, least = local_fitness(c, v)
-            if whole >= config.fitness and least >= config.fitness:
-                kept.append(c)
-    largest = [c for c in kept if not any(c != d and c[0] <= d[0] and c[1] <= d[1] for d in kept)]
-    largest = [c for c in largest if local_fitness(c, v, strict=True)[0] >= config.replay]
+def net_of(places: Iterable[Candidate], acts: Iterable[str]) -> PetriNet:
+    """The net with a place for each candidate and a transition for each activity; silent ones without places go."""
     net, initial, final = PetriNet(), {}, {}
-    for x in acts:
+    for x in sorted(acts):
         if x not in (START, END):
             net.add_transition(None if x.startswith(SILENT) else x, x)
-    for n, (a, b) in enumerate(sorted(largest, key=lambda c: (sorted(c[0]), sorted(c[1])))):
+    for n, (a, b) in enumerate(sorted(places, key=lambda c: (sorted(c[0]), sorted(c[1])))):
         p = net.add_place(f"p{n}")
-        for x in sorted(a):
-            if x == START:
-                initial[p] = 1
-            else:
-                net.add_arc(x, p)
-        for x in sorted(b):
-            if x == END:
-                final[p] = 1
-            else:
-                net.add_arc(p, x)
+        for x in sorted(a - {START}):
+            net.add_arc(x, p)
+        for x in sorted(b - {END}):
+            net.add_arc(p, x)
+        if START in a:
+            initial[p] = 1
+        if END in b:
+            final[p] = 1
     for i, t in list(net.transitions.items()):
         if t.label is None and not net.preset(i) and not net.postset(i):
             net.remove_node(i)
@@ -216,28 +274,56 @@ def discover(found: DataFrame | Variants, config: Config = Config()) -> PetriNet
     return net
 
 
-#: Configurations that ``discover_best`` tries (fixed values).
-AUTO = tuple(Config(balance=b, fitness=f, replay=r, skip=s, loop=s, absolute=1, relative=0.01) for b, f, r, s in ((0.5, 0.5, 0.0, 2.0), (0.5, 0.5, 0.0, 4.0), (0.3, 0.7, 0.0, 2.0), (0.3, 0.7, 0.0, 4.0), (0.3, 0.7, 0.5, 4.0), (0.2, 0.8, 0.0, 2.0), (0.2, 0.8, 0.0, 4.0), (0.2, 0.8, 0.5, 4.0), (0.1, 0.9, 0.0, 2.0), (0.1, 0.9, 0.0, 4.0), (0.1, 0.9, 0.5, 4.0)))
+def discover_all(found: DataFrame, configs: Iterable[Config]) -> list[PetriNet]:
+    """A net for each configuration; those of equal repairs share their aggregates."""
+    configs, cases, nets = list(configs), bordered(found), {}
+    first = relations(cases)
+    mean = sum(first.values()) / len(first) if first else 0.0
+    for loop, skip in dict.fromkeys((c.loop, c.skip) for c in configs):
+        mine = [c for c in configs if (c.loop, c.skip) == (loop, skip)]
+        looped = inserted(cases, {(a, b): f"{SILENT}loop_{a}_{b}" for a, b in loop_pairs(first, math.ceil(loop * mean))})
+        rows = inserted(looped, {(a, b): f"{SILENT}skip_{a}" for a, b in skip_pairs(relations(looped), math.ceil(skip * mean))})
+        df = relations(rows)
+        count: Counter = Counter()
+        for (a, b), n in df.items():
+            count[a] += n  # every activity but the end is followed by one
+            count[b] += n * (b == END)
+        asked = {c: {x for x in candidates(filtered(df, c.absolute, c.relative)) if balance(x, count) <= c.balance} for c in mine}
+        fit = fitness(rows, {x for xs in asked.values() for x in xs})
+        for c, xs in asked.items():
+            good = [x for x in xs if fit[x][0] >= c.fitness and fit[x][1] >= c.fitness]
+            largest = [x for x in good if not any(x != y and x[0] <= y[0] and x[1] <= y[1] for y in good)]
+            nets[c] = net_of([x for x in largest if fit[x][2] >= c.replay], count)
+    return [nets[c] for c in configs]
+
+
+def discover(found: DataFrame, config: Config = Config()) -> PetriNet:
+    """A net from variants (variant, freq)."""
+    return discover_all(found, [config])[0]
+
+
+def score(net: PetriNet, config: Config) -> float:
+    """What ``discover_best`` compares: strict thresholds, and few transitions that aren't well connected.
+
+    A transition is if it has a label, and on either side a place that is marked at
+    the start or the end or that a labelled transition shares.
+    """
+    marked = set(net.initial_marking or {}) | {p for m in net.final_markings or [] for p in m}
+    named = {i for i, t in net.transitions.items() if t.label is not None}
+    fed = {p for p in net.places if p in marked or named & set(net.preset(p))}
+    used = {p for p in net.places if p in marked or named & set(net.postset(p))}
+    well = {i for i in named if fed & set(net.preset(i)) and used & set(net.postset(i))}
+    off = (len(net.transitions) - len(well)) / len(named) if named else 1.0
+    return config.fitness * (1 - config.balance) * (1 - off) ** 2
 
 
 def discover_best(found: DataFrame) -> tuple[PetriNet, Config]:
-    """The net of the best of ``AUTO``: fitting places and few unconnected transitions count."""
-    v = collected(found)
-
-    def score(net: PetriNet) -> float:
-        labelled = [i for i, t in net.transitions.items() if t.label]
-        loose = sum(not net.preset(i) or not net.postset(i) for i in labelled)
-        places = [(frozenset(net.preset(p)) | ({START} if (net.initial_marking or {}).get(p) else set()), frozenset(net.postset(p)) | ({END} if net.final_markings[0].get(p) else set())) for p in net.places]
-        if not places or not labelled:
-            return 0.0
-        fit = sum(local_fitness(c, v)[0] for c in places) / len(places)
-        count: Counter = Counter()
-        for t, n in v.items():
-            for x in t:
-                count[x] += n
-        off = sum(balance(c, count) for c in places) / len(places)
-        return fit * (1 - off) * (1 - loose / len(labelled)) ** 2
-
-    tried = [(score(net), -i, net, c) for i, c in enumerate(AUTO) for net in [discover(v, c)]]
-    _, _, net, config = max(tried, key=lambda x: x[:2])
-    return net, config
+    """The net of greatest ``score`` of the configurations ``AUTO``, and its configuration; the first of several."""
+    nets = discover_all(found, AUTO)
+    best = max(range(len(AUTO)), key=lambda i: (score(nets[i], AUTO[i]), -i))
+    return nets[best], AUTO[best]
+
+
+def place_names(places: Iterable[Candidate]) -> list[tuple[list[str], list[str]]]:
+    """Candidates as sorted lists of activity names, in order."""
+    return sorted((sorted(a), sorted(b)) for a, b in places)

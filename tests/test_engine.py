@@ -295,6 +295,42 @@ def test_alpha_discovers_a_simple_net(spark):
     assert token_replay(cc.variants(log), best).first().fitness > 0.9
 
 
+def test_alpha_conditions_against_all_pairs_of_sets():
+    from itertools import chain, combinations, product
+
+    r = random.Random(4)
+    for _ in range(40):
+        acts = "abcde"[: r.randint(2, 5)]
+        df = {p for p in product(acts, repeat=2) if r.random() < 0.4}
+        sets = [frozenset(x) for x in chain.from_iterable(combinations(acts, n) for n in range(1, len(acts) + 1))]
+        every = lambda xs, ys: all(p in df for p in product(xs, ys))  # noqa: B023,E731
+        none = lambda xs, ys: not any(p in df for p in product(xs, ys))  # noqa: B023,E731
+        want = {(a, b) for a in sets for b in sets if every(a, b) and none(a, a - b) and none(b - a, b) and any(p not in df for p in product(b - a, a - b))}
+        got = alpha.candidates(df)
+        assert got <= want
+        # those that pairs of wanted parts or single pairs make up are all found
+        assert {c for c in want if not c[0] & c[1]} <= got
+
+
+def test_alpha_repairs():
+    df = alpha.Counter({("S", "a"): 9, ("a", "b"): 20, ("b", "c"): 20, ("c", "a"): 11, ("c", "c"): 9, ("c", "E"): 9})
+    df = alpha.Counter({(x.replace("S", alpha.START), y.replace("E", alpha.END)): n for (x, y), n in df.items()})
+    assert alpha.loop_pairs(df, 5) == {("c", "a")} and alpha.loop_pairs(df, 12) == set()
+    skips = alpha.Counter({(alpha.START, "a"): 10, ("a", "b"): 5, ("a", "c"): 5, ("b", "c"): 5, ("c", alpha.END): 10})
+    assert alpha.skip_pairs(skips, 5) == {("a", "c")}
+
+
+def test_alpha_of_loops_and_skips(spark):
+    def places(traces, **config):
+        net = alpha.discover(cc.variants(builders.make_log(spark, traces)), alpha.Config(absolute=1, relative=0.0, **config))
+        named = lambda x: tuple(sorted(net.transitions[i].label or "tau" for i in x))
+        return {(named(net.preset(p)), named(net.postset(p))) for p in net.places}
+
+    assert places(["abc"] * 10 + ["ac"] * 10, skip=0.5) == {((), ("a",)), (("a",), ("b", "tau")), (("b", "tau"), ("c",)), (("c",), ())}
+    assert places(["abc"] * 10 + ["ababc"] * 10, loop=0.5, skip=10) == {(("tau",), ("a",)), (("a",), ("b",)), (("b",), ("c", "tau")), (("c",), ())}
+    assert places(["abc"] * 10 + ["abbc"] * 2, loop=0.1, skip=10) >= {((), ("a",)), (("c",), ())}  # no silent step between b and itself
+
+
 def test_timestamps(spark):
     texts = ["2020-02-03T04:05:06+01:00", "2020-02-03T03:05:06Z", "2020-02-03 03:05:06", "2020-02-03T03:05:06", "2020-02-03 03:05:06 UTC", "2020/02/03 03:05:06", "Mon, 3 Feb 2020 03:05:06 +0000", "Mon Feb 03 2020 04:05:06 GMT+0100 (CET)", "03-02-2020 03:05:06"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
