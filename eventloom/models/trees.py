@@ -209,25 +209,30 @@ def abstraction_of(tree: OcTree) -> set[tuple[str, str, str, str | None]]:
     return out
 
 
+#: Properties of single event types that ``fitness_precision`` compares.
+PATTERNS = ("start", "end", "related", "divergent", "convergent", "deficient", "optional")
+
+
 def fitness_precision(log: set[tuple], model: set[tuple]) -> tuple[float, float]:
-    """Fitness and precision of a model's abstraction against a log's, over activities in a directly-follows pair of the log.
+    """Fitness and precision of a model's abstraction against a log's, over event types in a directly-follows pair of the log.
 
-    Each is the mean of two shares: of the patterns of single activities, and of
-    directly-follows pairs; a share of nothing is 1.
+    Per event type and property, and per pair of event types, the share of the
+    object types of one side that the other has too; where a side has none the share
+    doesn't count.  Shares are averaged over an event type's properties, then over
+    event types, and over pairs; the result is the mean of both averages (0 where
+    there is nothing to average).
     """
     acts = {x for p, _, a, b in log if p == "df" for x in (a, b)}
-    flags = ("divergent", "convergent", "deficient", "optional")
-    keys = {(k, a) for p, k, a, _ in log | model if p == "related" and a in acts}
-    fits, precise, n_log, n_model = 0, 0, 0, 0
-    for k, a in keys:
-        in_log, in_model = ("related", k, a, None) in log, ("related", k, a, None) in model
-        for f in flags:
-            seen, allowed = (f, k, a, None) in log, (f, k, a, None) in model
-            n_log += in_log
-            fits += in_log and in_model and (allowed or not seen)
-            n_model += in_model
-            precise += in_model and in_log and (seen or not allowed)
-    pairs_log, pairs_model = {x for x in log if x[0] == "df"}, {x for x in model if x[0] == "df" and {x[2], x[3]} <= acts}
-    share = lambda x, n: x / n if n else 1.0
-    both = len(pairs_log & pairs_model)
-    return (share(fits, n_log) + share(both, len(pairs_log))) / 2, (share(precise, n_model) + share(both, len(pairs_model))) / 2
+    kinds = [{}, {}]  # of the log and the model: (property, ev_a, ev_b) -> object types
+    for side, rows in zip(kinds, (log, model)):
+        for p, k, a, b in rows:
+            if a in acts and (p in PATTERNS or p == "df" and b in acts):
+                side.setdefault((p, a, b), set()).add(k)
+    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+
+    def against(side: dict, other: dict) -> float:
+        share = {key: len(own & other.get(key, set())) / len(own) for key, own in side.items()}
+        by_type = [[share[p, a, None] for p in PATTERNS if (p, a, None) in share] for a in acts]
+        return (mean([mean(x) for x in by_type if x]) + mean([v for (p, _, _), v in share.items() if p == "df"])) / 2
+
+    return against(*kinds), against(*reversed(kinds))

@@ -132,11 +132,37 @@ def object_dfg(log: Ocel, object_type: str | None = None) -> DataFrame:
 
 
 def flatten(log: Ocel, object_type: str) -> EventLog:
-    """The case-centric log of an object type: a case is an object, an event counts once a qualifier."""
-    cases = objects_of_type(log, object_type).select(F.col("object_id").alias("case_id"))
-    rows = log.e2o.join(objects_of_type(log, object_type).select("object_id"), "object_id").join(log.events, "event_id")
-    events = rows.select(F.col("object_id").alias("case_id"), F.col("event_idx"), F.col("event_type").alias("activity"), "ts", "event_id")
-    return EventLog(events, cases)
+    """The case-centric log of an object type: a case is an object, an event counts once a qualifier.
+
+    Events keep their attributes.  Cases have the first value of each attribute of
+    their object that is a number or text, and ``trace_idx`` by their first event
+    (cases without events first).
+    """
+    objects = objects_of_type(log, object_type).select("object_id")
+    rows = log.e2o.join(objects, "object_id").join(log.events.select("event_id", "event_idx", "event_type", "ts"), "event_id")
+    entries = F.map_from_entries(F.sort_array(F.collect_set(F.struct("name", "value"))))
+    if log.event_attrs is not None:
+        own = log.event_attrs.groupBy("event_id", "name").agg(F.first("value").alias("value")).groupBy("event_id").agg(entries.alias("attrs"))
+        rows = rows.join(own, "event_id", "left")
+    else:
+        rows = rows.withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    none = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
+    events = rows.select(F.col("object_id").alias("case_id"), "event_idx", F.col("event_type").alias("activity"), "ts", F.coalesce("attrs", none).alias("attrs"), "event_id")
+    first = events.groupBy(F.col("case_id").alias("object_id")).agg(F.min("ts").alias("_first"))
+    cases = objects.join(first, "object_id", "left")
+    if log.object_attrs is not None:
+        place = F.struct("ts", _change_place(log.object_attrs))
+        kept = log.object_attrs.filter(F.col("type").isin("integer", "float", "string"))
+        own = kept.groupBy("object_id", "name").agg(F.min_by("value", place).alias("value")).groupBy("object_id").agg(entries.alias("attrs"))
+        cases = cases.join(own, "object_id", "left")
+    else:
+        cases = cases.withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    return EventLog(events, cases.select(F.col("object_id").alias("case_id"), F.coalesce(F.unix_micros("_first"), F.lit(-(1 << 62))).alias("trace_idx"), F.coalesce("attrs", none).alias("attrs")))
+
+
+def _change_place(changes: DataFrame) -> Column:
+    """What orders changes of one time: the input order where the table has it (``idx``), else the value."""
+    return F.struct("idx", "value") if "idx" in changes.columns else F.struct("value")
 
 
 def flattened_dfg(log: Ocel) -> DataFrame:
@@ -190,24 +216,30 @@ def attribute_history(log: Ocel, object_type: str) -> DataFrame:
     """Attribute values of objects of a type as intervals: object_id, change_id, from_ts, to_ts, attrs (map).
 
     Row 0 is the time before the first value; every later row holds the values
-    valid from then on, carried forward; changes of one time make one row.
+    valid from then on, carried forward; changes of one time make one row, in which
+    the last of an attribute in input order counts.
     """
     rows = log.object_attr_frame().join(objects_of_type(log, object_type).select("object_id"), "object_id", "left_semi")
-    last = F.element_at(F.array_sort(F.collect_list(F.col("value"))), -1)
-    at = rows.groupBy("object_id", "ts", "name").agg(last.alias("value")).groupBy("object_id", "ts").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("now"))
+    names = sorted(r[0] for r in rows.select("name").distinct().collect())  # a type's attributes
+    place = _change_place(rows)
+    columns = [f"_{i}" for i in range(len(names))]
+    now = [F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, place)).alias(c) for n, c in zip(names, columns)]
+    at = rows.groupBy("object_id", "ts").agg(F.count("*").alias("_n"), *now)
     w = W.partitionBy("object_id").orderBy("ts")
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = F.aggregate(
-        F.collect_list("now").over(upto),
-        F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"),
-        lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(x, k)), x),
-    )
-    known = at.select("object_id", F.row_number().over(w).alias("n"), F.col("ts").alias("from_ts"), F.lead("ts").over(w).alias("to_ts"), merged.alias("attrs"))
-    first = at.groupBy("object_id").agg(F.min("ts").alias("to_ts")).select(
-        "object_id", F.lit(0).alias("n"), F.lit(None).cast("timestamp").alias("from_ts"), "to_ts", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>").alias("attrs")
+    none = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
+    known = at.select("object_id", F.row_number().over(w).alias("n"), F.col("ts").alias("from_ts"), F.lead("ts").over(w).alias("to_ts"), *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
+    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in zip(names, columns)]), lambda x: x["value"].isNotNull()) if names else None
+    known = known.withColumn("attrs", F.map_from_entries(entries) if names else none)
+    # row 0 goes with the first change
+    rows = known.withColumn("_copy", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    zero = F.col("_copy") == 0
+    return rows.select(
+        "object_id",
+        F.concat("object_id", F.lit("-attrs-"), F.when(zero, F.lit(0)).otherwise(F.col("n")).cast("string")).alias("change_id"),
+        F.when(~zero, F.col("from_ts")).alias("from_ts"),
+        F.when(zero, F.col("from_ts")).otherwise(F.col("to_ts")).alias("to_ts"),
+        F.when(zero, none).otherwise(F.col("attrs")).alias("attrs"),
     )
-    every = first.unionByName(known)
-    return every.select("object_id", F.concat("object_id", F.lit("-attrs-"), F.col("n").cast("string")).alias("change_id"), "from_ts", "to_ts", "attrs")
 
 
 def attribute_changes(log: Ocel, object_id: str) -> DataFrame:
@@ -238,7 +270,12 @@ def with_init_exit(log: Ocel) -> Ocel:
     idx = F.when(F.col("event_type").startswith("<init> "), F.lit(-1)).otherwise(F.lit((1 << 62)))
     events = log.events.select("event_id", "event_idx", "event_type", "ts").unionByName(new.select("event_id", idx.cast("long").alias("event_idx"), "event_type", "ts"))
     e2o = log.e2o.unionByName(new.select("event_id", "object_id", F.lit("").alias("qualifier")))
-    return Ocel(events, log.objects, e2o, log.o2o, log.event_attrs, log.object_attrs, None)
+    types = None
+    if log.types is not None:  # what is declared stays so, and the new types are declared too
+        kinds = log.types.filter("kind = 'object'").select("type").distinct().withColumn("made", F.explode(F.array(F.lit("<init> "), F.lit("<exit> "))))
+        made = kinds.select(F.lit("event").alias("kind"), F.concat("made", "type").alias("type"))
+        types = log.types.unionByName(made, allowMissingColumns=True)
+    return Ocel(events, log.objects, e2o, log.o2o, log.event_attrs, log.object_attrs, types)
 
 
 # -- language abstraction --------------------------------------------------------------
@@ -248,37 +285,46 @@ def abstraction(log: Ocel) -> DataFrame:
     """Language abstraction of a log in long form: property, object_type, ev_a, ev_b.
 
     Properties: related, deficient, optional, convergent, divergent (ev_b null),
-    start, end (of object traces) and df (directly follows).
+    start, end (of object traces) and df (directly follows).  Relationships are
+    shuffled by event, then by object; what is left after that is the size of the
+    types.  The objects of other types that an event has are compared by 64-bit
+    order-free hashes.
     """
-    links = log.linked()
-    n_any = links.groupBy("event_type").agg(F.countDistinct("event_id").alias("n_any"))
-    n_ot = links.groupBy("event_type", "object_type").agg(F.countDistinct("event_id").alias("n_ot"), F.countDistinct("object_id").alias("n_obj"))
-    per = n_ot.join(n_any, "event_type")
+    event, of_type = W.partitionBy("event_id"), W.partitionBy("event_id", "object_type")
+    rows = log.linked().withColumn("h", F.xxhash64("object_id"))
+    rows = rows.select(
+        "object_id", "object_type", "event_type", "event_id", "ts", "event_idx",
+        F.bit_xor("h").over(event).bitwiseXOR(F.bit_xor("h").over(of_type)).alias("others"),
+        (F.count("*").over(of_type) > 1).alias("several"),
+        (F.col("object_id") == F.min("object_id").over(of_type)).cast("int").alias("once_type"),
+        (F.col("object_id") == F.min("object_id").over(event)).cast("int").alias("once"),
+    )
+    w, same = W.partitionBy("object_id").orderBy("ts", "event_idx", "event_id"), W.partitionBy("object_id", "event_type")
+    rows = rows.withColumns({"next": F.lead("event_type").over(w), "place": F.row_number().over(w)})
+    rows = rows.withColumns({"varies": F.min("others").over(same) != F.max("others").over(same), "new": (F.col("place") == F.min("place").over(same)).cast("int")})
+    each = rows.groupBy("object_type", "event_type", "next").agg(
+        F.max("several").alias("several"), F.max("varies").alias("varies"), F.max(F.col("place") == 1).alias("first"),
+        F.sum("once_type").alias("n_ot"), F.sum("once").alias("n_one"), F.sum("new").alias("n_obj"),
+    )
+    per = each.groupBy("object_type", "event_type").agg(
+        F.max("several").alias("several"), F.max("varies").alias("varies"), F.max("first").alias("first"), F.max(F.col("next").isNull()).alias("last"),
+        F.collect_set("next").alias("nexts"), F.sum("n_ot").alias("n_ot"), F.sum("n_one").alias("n_one"), F.sum("n_obj").alias("n_obj"),
+    )
+    # a row for each event type that has objects, or for each object type if it never has any
+    per = per.withColumn("n_any", F.sum("n_one").over(W.partitionBy("event_type")))
     objects = log.objects.groupBy("object_type").agg(F.count("*").alias("n_all"))
-    per = per.join(objects, "object_type")
-    linked_types = log.events.select("event_type").distinct().join(n_any, "event_type", "left_anti")
-    bare = linked_types.crossJoin(log.objects.select("object_type").distinct())  # types by types: the model's size
-    related = per.select("object_type", "event_type").unionByName(bare.select("object_type", "event_type"))
-    deficient = per.filter("n_ot < n_any").select("object_type", "event_type")
-    optional = per.filter("n_obj < n_all").select("object_type", "event_type").unionByName(bare.select("object_type", "event_type"))
-    counts = links.groupBy("event_id", "event_type", "object_type").agg(F.count("*").alias("n"))
-    convergent = counts.filter("n > 1").select("object_type", "event_type").distinct()
-    # the objects of other types that an event has, as one value to compare
-    others = links.alias("x").join(links.select("event_id", F.col("object_id").alias("o2"), F.col("object_type").alias("t2")).alias("y"), "event_id").filter("object_type != t2")
-    sets = others.groupBy("object_id", "object_type", "event_type", "event_id").agg(F.array_sort(F.collect_set("o2")).alias("s"))
-    every = links.select("object_id", "object_type", "event_type", "event_id").join(sets, ["object_id", "object_type", "event_type", "event_id"], "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
-    divergent = every.groupBy("object_id", "object_type", "event_type").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo != hi").select("object_type", "event_type").distinct()
-    w = W.partitionBy("object_id").orderBy("ts", "event_idx", "event_id")
-    seq = links.select("object_type", "event_type", F.lead("event_type").over(w).alias("next"), F.row_number().over(w).alias("n"))
+    types = log.events.select("event_type").distinct().crossJoin(F.broadcast(objects))  # types by types: the model's size
+    per = types.join(per, ["object_type", "event_type"], "left").withColumn("bare", F.max("n_any").over(W.partitionBy("event_type")).isNull())
+    related = F.col("n_ot").isNotNull()
+    flags = {
+        "related": related | F.col("bare"), "deficient": F.col("n_ot") < F.col("n_any"), "optional": F.col("bare") | (F.col("n_obj") < F.col("n_all")),
+        "convergent": F.col("several"), "divergent": F.col("varies"), "start": F.col("first"), "end": F.col("last"),
+    }
     none = F.lit(None).cast("string")
-
-    def prop(name: str, rows: DataFrame, b: Column = none) -> DataFrame:
-        return rows.select(F.lit(name).alias("property"), "object_type", F.col("event_type").alias("ev_a"), b.alias("ev_b")).distinct()
-
-    out = prop("related", related)
-    for name, rows in (("deficient", deficient), ("optional", optional), ("convergent", convergent), ("divergent", divergent), ("start", seq.filter("n = 1")), ("end", seq.filter("next IS NULL"))):
-        out = out.unionByName(prop(name, rows))
-    return out.unionByName(prop("df", seq.filter("next IS NOT NULL"), F.col("next")))
+    single = F.filter(F.array(*[F.struct(F.lit(k).alias("property"), none.alias("ev_b"), F.coalesce(v, F.lit(False)).alias("holds")) for k, v in flags.items()]), lambda x: x["holds"])
+    pairs = F.transform(F.coalesce("nexts", F.array().cast("array<string>")), lambda x: F.struct(F.lit("df").alias("property"), x.alias("ev_b"), F.lit(True).alias("holds")))
+    out = per.select("object_type", F.col("event_type").alias("ev_a"), F.explode(F.concat(single, pairs)).alias("p"))
+    return out.select("p.property", "object_type", "ev_a", "p.ev_b")
 
 
 # -- frames ----------------------------------------------------------------------------

@@ -118,6 +118,11 @@ def test_abstraction_of_a_log(log):
     assert ("convergent", "i", "place", None) in got and ("divergent", "e", "pack", None) in got
     assert ("deficient", "c", "pay", None) in got and ("optional", "o", "pickup", None) in got
     assert fitness_precision(got, got) == (1.0, 1.0)
+    one = {("related", "o", "a", None), ("related", "o", "b", None), ("df", "o", "a", "b"), ("start", "o", "a", None)}
+    two = (one - {("start", "o", "a", None)}) | {("start", "o", "b", None), ("df", "o", "b", "a"), ("optional", "o", "a", None)}
+    # fitness: a has start 0 and related 1, b related 1; precision: a has related 1 and optional 0, b start 0 and related 1
+    assert fitness_precision(one, two) == ((0.75 + 1) / 2, (0.5 + 0.5) / 2)
+    assert fitness_precision(set(), one) == (0.0, 0.0)
 
 
 def test_declare_conformance(log):
@@ -164,7 +169,12 @@ def test_attribute_history(spark, log):
     at = lambda s: __import__("datetime").datetime(2020, 1, 1, 0, 0, s)
     epoch = __import__("datetime").datetime(1970, 1, 1)
     attrs = spark.createDataFrame([("o:1", "price", epoch, "integer", "5"), ("o:1", "state", at(1), "string", "x"), ("o:1", "price", at(2), "integer", "6")], "object_id string, name string, ts timestamp, type string, value string")
-    got = oc.attribute_history(__import__("dataclasses").replace(log, object_attrs=attrs), "o").orderBy("change_id").collect()
+    with_attrs = __import__("dataclasses").replace(log, object_attrs=attrs)
+    got = oc.attribute_history(with_attrs, "o").orderBy("change_id").collect()
+    flat = oc.flatten(with_attrs, "o")
+    assert {r.case_id: r.attrs for r in flat.cases.collect()}["o:1"] == {"price": "5", "state": "x"}
+    ties = spark.createDataFrame([("o:1", "n", at(1), "integer", "9", 0), ("o:1", "n", at(1), "integer", "10", 1)], "object_id string, name string, ts timestamp, type string, value string, idx long")
+    assert [r.attrs for r in oc.attribute_history(__import__("dataclasses").replace(log, object_attrs=ties), "o").orderBy("change_id").collect()] == [{}, {"n": "10"}]
     assert [(r.change_id, r.attrs) for r in got] == [("o:1-attrs-0", {}), ("o:1-attrs-1", {"price": "5"}), ("o:1-attrs-2", {"price": "5", "state": "x"}), ("o:1-attrs-3", {"price": "6", "state": "x"})]
 
 
