@@ -165,12 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     """A model of ``labels.quality`` (1 good, 0 bad) from at most ``rows`` labelled documents.
 
     The rows are those of least hashed doc_id among labelled ones, each with its
-    whole text.  Features are counted by the executors; the driver gets distinct
+    whole text (the least, where rows share an id).  Features are counted by the executors; the driver gets distinct
     buckets with frequencies, which the number of rows bounds.
     """
     labelled = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = labelled.orderBy(F.xxhash64("doc_id", F.lit("quality-1")), "doc_id").limit(rows)
     sample = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")  # of rows that share an id one trains
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -189,11 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(features, f"doc_id {kind}, quality int, features binary").toArrow().sort_by("doc_id")
-    found, last = [], object()
-    for key, label, packed in zip(*(got.column(i).to_pylist() for i in range(3))):
-        if key == last:
-            continue  # of rows that share an id one trains
-        last, at, x = key, 0, []
+    found = []
+    for label, packed in zip(got.column(1).to_pylist(), got.column(2).to_pylist()):
+        at, x = 0, []
         for _ in range(len(WORD_NS) + len(CHAR_NS)):
             n = int(np.frombuffer(packed, "<i4", 1, at)[0])
             x.append((np.frombuffer(packed, "<i4", n, at + 4), np.frombuffer(packed, "<f4", n, at + 4 + 4 * n)))

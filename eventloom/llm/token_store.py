@@ -25,9 +25,9 @@ from eventloom.llm.library_coder import library_cache
 
 #: Id that ends every document.
 END_ID = 2
-#: The dictionary is trained on this many documents at most, those of least hashed id,
+#: The dictionary is trained on a slice of this many documents at most, those of least hash of id and text,
 MAX_SAMPLES = 1000
-#: on this many characters of each at most, and has this many bytes at most.
+#: each of this many characters at most, from a place that the hash chooses, and has this many bytes at most.
 SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
@@ -93,9 +93,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    width = "<u2" if max(bpe.Vocabulary(tokenizer).specials.values(), default=0) < 65536 else "<u4"
-    chosen = rows.filter("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(MAX_SAMPLES)
-    sampled = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    width = "<u2" if len(bpe.Vocabulary(tokenizer).bytes) <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    drawn = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("doc_id", "text"))
+    chosen = drawn.select("doc_id", "hash").distinct().orderBy("hash", "doc_id").limit(MAX_SAMPLES)
+    at = F.pmod(F.col("hash"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    slices = drawn.select("doc_id", "hash", F.substr("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    sampled = slices.join(F.broadcast(chosen), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select("text")
 
     def serialized(batches: Iterator) -> Iterator:
         import numpy as np
@@ -106,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
             ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in cache.encode([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
 
-    samples = sampled.mapInArrow(serialized, "ids binary").limit(2 * MAX_SAMPLES).toArrow().column(0).to_pylist()
+    samples = sampled.mapInArrow(serialized, "ids binary").toArrow().column(0).to_pylist()
     dictionary = train_dictionary(sorted(samples))
     sha = hashlib.sha256(dictionary).digest()
     root = path.rstrip("/")

@@ -313,3 +313,76 @@ def test_topk(spark):
             best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(own[q], v)))), i) for i, v in own.items() if i != q)[:5]
             assert [got[q, k] for k in range(1, 6)] == [(i, -s) for s, i in best]
     assert exact_topk.top_k(frame.limit(0), frame.limit(0)).collect() == []
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on its predecessor's rows: null and repeated ids, empty texts, copies, shared passages."""
+    from math import ceil
+
+    r = random.Random(21)
+    good = lambda n: prose(r, n, 5000)
+    bad = lambda n: [f"{x}***$$" for x in prose(r, n, 50)]
+    passage = good(60)
+    rows = [(i, " ".join(good(r.randint(60, 90)) if i % 4 else bad(60)), "ab"[i % 2]) for i in range(120)]
+    rows += [(200 + i, rows[4 * i + 1][1], "a") for i in range(5)] + [(300 + i, " ".join(good(30) + passage + good(30)), "b") for i in range(4)]
+    rows += [(400, None, "a"), (401, "", None), (None, " ".join(good(70)), "a"), (None, " ".join(good(70)), None), (402, " ".join(good(70)), "b"), (402, " ".join(good(70)), "b")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stages[name] = stage(spark, before, str(tmp_path))
+        if name != "tokens":
+            path = str(tmp_path / name)
+            stages[name].write.parquet(path)
+            before = stages[name] = spark.read.parquet(path)
+            assert stages[name].columns == [c.split()[0] for c in DOCS.split(", ")]
+    out = {k: [x.asDict() for x in v.collect()] for k, v in stages.items()}
+    model = quality.train(docs(spark, rows), spark.read.parquet(str(tmp_path / "labels.parquet")))
+
+    def keeps(text):
+        words = (text or "").encode().split()
+        n, *_, repeated = quality.base_counts(text or "", words)
+        return n >= 10 and 100 * repeated <= 20 * n and model.probabilities([text or ""], [words])[0] >= quality.KEEP_FROM
+
+    multi = lambda xs: Counter((x["doc_id"], x["text"], x["source"]) for x in xs)
+    assert multi(out["quality"]) == Counter((i, t, s) for i, t, s in rows if keeps(t))
+    assert {x["doc_id"] for x in out["quality"]} >= {i for i, _, _ in rows[:120] if i % 4} and None in {x["doc_id"] for x in out["quality"]}
+    sets = defaultdict(list)
+    for x in out["quality"]:
+        sets[x["doc_id"]].append(shingles(x["text"]))
+    near = lambda a, b: any(100 * len(p & q) >= 75 * len(p | q) for p in sets[a] for q in sets[b])
+    ids = sorted(i for i in sets if i is not None)
+    gone = {b for a, b in combinations(ids, 2) if near(a, b)}  # links here never chain
+    assert Counter(x["doc_id"] for x in out["near_duplicates"]) == Counter({i: len(sets[i]) if i is None else 1 for i in sets if i not in gone})
+    first = min(i for i in range(300, 304))
+    text = " ".join(passage)
+    assert [x["doc_id"] for x in out["near_duplicates"] if text in x["text"]] and [x["doc_id"] for x in out["passages"] if text in x["text"]] == [first]
+    assert {x["doc_id"] for x in out["passages"]} == {x["doc_id"] for x in out["near_duplicates"]}
+    assert all(x["n_chars"] == len(x["text"]) for x in out["passages"])
+    # the mixture: every row as often as its words taken ask for
+    sizes = defaultdict(int)
+    for x in out["passages"]:
+        sizes[x["source"]] += len(x["text"].split())
+    taken = defaultdict(int)
+    for x in out["mixture"]:
+        taken[x["source"]] += len(x["text"].split())
+    names, weight = sorted(sizes, key=lambda s: (s is None, s)), dict(zip(sorted(sizes, key=lambda s: (s is None, s)), (5, 2, 1)))
+    target, open_ = {}, set(names)
+    while open_:  # share again by weight until no source is above three times its size
+        rest, w = sum(sizes.values()) - sum(target.values()), sum(weight[s] for s in open_)
+        full = {s for s in open_ if rest * weight[s] / w >= 3 * sizes[s]}
+        target |= {s: 3 * sizes[s] for s in full} if full else {s: rest * weight[s] / w for s in open_}
+        open_ = open_ - full if full else set()
+    most = max(len(x["text"].split()) for x in out["passages"])
+    assert all(abs(taken[s] - target[s]) <= most for s in names)
+    assert all(n <= 3 * ceil(multi(out["passages"])[k]) for k, n in multi(out["mixture"]).items()) and set(multi(out["mixture"])) <= set(multi(out["passages"]))
+    library = Tokenizer.from_file(PATH)
+    want = Counter((x["doc_id"], hashlib.sha256(np.array(library.encode(x["text"], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for x in out["mixture"])
+    assert Counter((x["doc_id"], x["ids_sha256"]) for x in out["tokens"]) == want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
