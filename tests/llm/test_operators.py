@@ -136,6 +136,38 @@ def test_passages_beyond_the_first_document_of_a_key(spark):
     assert sum(got[i] >= set(range(30, 90)) for i in need) >= 0.95 * len(need)
 
 
+def test_passages_among_documents_that_share_phrases(spark):
+    """Verbatim passages whose every phrase many earlier documents quote; and near ones in a cluster of edited copies."""
+    r = random.Random(17)
+    words = lambda n: prose(r, n, 10**6)
+    short, long, base = [words(50) for _ in range(8)], [words(80) for _ in range(6)], words(300)
+    rows = []
+    for i in range(500):  # phrases of five words
+        own = words(20)
+        for k in range(4):
+            q = short[(4 * i + k) % 8]
+            at = r.randrange(46)
+            own += words(8) + q[at : at + 5]
+        rows.append((i, " ".join(own), "s"))
+    for k, q in enumerate(short):
+        rows += [(1000 + 2 * k + j, " ".join(words(40) + q + words(40)), "s") for j in range(2)]
+    for k, q in enumerate(long):  # an earlier document has all but four words at each end
+        rows.append((2000 + k, " ".join(words(30) + q[4:76] + words(30)), "s"))
+        rows += [(3000 + 2 * k + j, " ".join(words(40) + q + words(40)), "s") for j in range(2)]
+    for k in range(40):  # copies with five edits each
+        own = list(base)
+        for at in r.sample(range(300), 5):
+            own[at] = f"edit{k}x{at}"
+        rows.append((4000 + k, " ".join(own), "s"))
+    found = defaultdict(set)
+    for x in passages.repeated_passages(docs(spark, rows)).collect():
+        found[x.doc_id] |= set(range(x.start_word, x.end_word))
+        assert x.doc_id >= 1000 and x.source_id < x.doc_id
+    assert all(set(range(40, 90)) <= found[1001 + 2 * k] for k in range(8))
+    assert all(set(range(40, 120)) <= found[3001 + 2 * k] for k in range(6))
+    assert sum(len(found[4000 + k]) for k in range(1, 40)) >= 0.95 * 39 * 300
+
+
 def test_mix_hits_every_target(spark, corpus):
     r = random.Random(3)
     rows = [(i, " ".join(prose(r, r.randint(1, 30))), f"src{r.choice([0, 0, 0, 1, 2, 3])}") for i in range(400)] + [(900, None, None), (901, "a b", None), (902, "", "z")]

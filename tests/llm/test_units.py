@@ -128,7 +128,8 @@ def test_matched_finds_an_edited_passage():
     other = r.integers(0, 2**32, 300).astype("<u4")
     own = np.concatenate((r.integers(0, 2**32, 80), other[100:180], r.integers(0, 2**32, 40))).astype("<u4")
     own[110:114] = r.integers(0, 2**32, 4)
-    (first, last, lo, hi, alike), = passages.matched(own, other, 46)
+    (first, last, lo, hi, alike, hits), = passages.matched(own, other, 46)
+    assert hits.tolist() == [i for i in range(80, 160) if not 110 <= i < 114]
     assert (first, last, lo, hi) == (80, 159, 100, 179) and alike >= 0.75
     assert passages.matched(own[:80], other, 46) == [] == passages.matched(own, own[:0], 46)
 
