@@ -22,12 +22,15 @@ BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 BUCKET_BYTES = 32 << 20
 #: Fewest buckets, so that small inputs use all cores too.
 LEAST_BUCKETS = 64
-#: A block's texts: their bytes, ids (null: 0 and not known), hashes, lengths, and the texts themselves.
-BLOCK = "block long, size long, ids binary, known binary, hashes binary, lengths binary, texts binary"
+#: A block's texts: their bytes, ids (null: 0 and not known), numbers that go with them, lengths, and the texts themselves.
+BLOCK = "block long, size long, ids binary, known binary, extras binary, lengths binary, texts binary"
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """The texts of ``docs`` (doc_id, text) in blocks, written once: that fixes what is in a block."""
+def blocks(docs: DataFrame, extra: str = "xxhash64(text)") -> DataFrame:
+    """The texts of ``docs`` (doc_id, text: string or binary) in blocks, written once: that fixes what is in a block.
+
+    ``extra`` is a number that goes with every text.
+    """
 
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -39,12 +42,12 @@ def blocks(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, BLOCK_ROWS)
                 known = np.array(part.column(0).is_valid().to_pylist(), "u1")
                 ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-                raw = [t.encode("utf-8", "replace") if t else b"" for t in part.column(1).to_pylist()]
+                raw = [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in part.column(1).to_pylist()]
                 values = [number, sum(map(len, raw)), ids.tobytes(), known.tobytes(), part.column(2).to_numpy().astype("<i8").tobytes(), np.array([len(r) for r in raw], "<i8").tobytes(), pack.compress(b"".join(raw))]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if i > 1 else pa.int64()) for i, v in enumerate(values)], names=["block", "size", "ids", "known", "hashes", "lengths", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if i > 1 else pa.int64()) for i, v in enumerate(values)], names=["block", "size", "ids", "known", "extras", "lengths", "texts"])
                 number += 1
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(extra).cast("long").alias("extra"))
     return common.stored(rows.mapInArrow(packed, BLOCK), "blocks")
 
 
@@ -84,7 +87,7 @@ def with_classes(texts: DataFrame, features: Callable[[list[bytes]], tuple[np.nd
     """What ``use`` makes of every block of ``texts`` (from ``blocks``) and the classes of its shingles.
 
     ``features`` gives the shingles of texts, one text after the other, and each
-    text's number.  ``use(ids, known, hashes, values, sizes, classes)`` returns the
+    text's number.  ``use(ids, known, extras, values, sizes, classes)`` returns the
     columns of ``schema``; the class of a shingle is floor(log2) of the number of rows
     that have it, where a block counts as 255 rows at most.  Class 0
     is a shingle that nothing else has.  A chance of a few in a thousand gives a
@@ -130,8 +133,8 @@ def with_classes(texts: DataFrame, features: Callable[[list[bytes]], tuple[np.nd
         classes = np.empty(len(distinct), "u1")
         if told:
             classes[order] = np.frombuffer(b"".join(c for _, c in told), "u1")
-        ids, hashes = (np.frombuffer(columns[c][head], "<i8") for c in ("ids", "hashes"))
-        return use(ids, np.frombuffer(columns["known"][head], "u1") > 0, hashes, values, sizes, classes[back])
+        ids, extras = (np.frombuffer(columns[c][head], "<i8") for c in ("ids", "extras"))
+        return use(ids, np.frombuffer(columns["known"][head], "u1") > 0, extras, values, sizes, classes[back])
 
     sent = texts.select("block", "lengths", "texts").mapInArrow(packed, "bucket int, block long, tokens binary, times binary")
     back = sent.groupBy("bucket").applyInArrow(counted, "block long, bucket int, classes binary")

@@ -4,8 +4,8 @@
    document has.  A partner at similarity t shares at least the part t of either
    set, so all documents below that are done.
 2. Documents with equal sets become one class.
-3. Shingles are ordered by rising document frequency (its power of two, then the
-   hash).  Two sets of similarity t share a shingle in their prefixes of
+3. Shingles are ordered by the rising number of classes that have them (its power
+   of two, then the hash).  Two sets of similarity t share a shingle in their prefixes of
    |x| - ceil(t|x|) + 1.  Classes with the same prefix and size are collapsed into
    one group.
 4. For each prefix shingle the groups, and the members of each group, are first
@@ -44,44 +44,69 @@ def _set_features(raw: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.empty(0, np.uint64), np.array([len(s) for s in sets], np.int64)
 
 
-def prefixed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Every row of ``docs``: doc_id and size (of its set); and of those that may have partners more.
+def shared_sets(docs: DataFrame, n: int) -> DataFrame:
+    """Every row of ``docs``: doc_id and size (of its set); and of those that may have partners cid and tokens.
 
-    These are cid (of its class: equal for equal sets), tokens (packed; those that
-    other rows have too), group (equal for equal prefix and size), prefix (those of
-    its shingles that other rows have too, in order) and skipped (how many stand
-    before them).
+    ``cid`` is equal for equal sets; ``tokens`` are the shingles that other rows have too, packed.
     """
 
-    def found(ids, known, hashes, values, sizes, classes):
+    def found(ids, known, extras, values, sizes, classes):
         import pyarrow as pa
 
         ends = np.cumsum(sizes)
         upto = np.concatenate(([0], np.cumsum(classes > 0)))
         shared = upto[ends] - upto[ends - sizes]
         some = known & (sizes > 0) & (T_DEN * shared >= T_NUM * sizes)
-        columns: list[list] = [[None] * len(sizes) for _ in range(5)]
+        cids, tokens = [None] * len(sizes), [None] * len(sizes)
         for i in np.flatnonzero(some).tolist():
             part = slice(int(ends[i] - sizes[i]), int(ends[i]))
-            own, rank = values[part], classes[part]
-            size = len(own)
-            first = np.lexsort((own, rank))[: size - -(-T_NUM * size // T_DEN) + 1]
-            skipped = int((rank[first] == 0).sum())
-            prefix = own[first]
-            group = hashlib.blake2b(prefix.tobytes() + size.to_bytes(8, "little"), digest_size=16).digest()
-            cid = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-            for column, x in zip(columns, (cid, own[rank > 0].tobytes(), group, prefix[skipped:].view("<i8"), skipped)):
-                column[i] = x
-        kinds = {"cid": pa.int64(), "tokens": pa.binary(), "group": pa.binary(), "prefix": pa.list_(pa.int64()), "skipped": pa.int32()}
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~known), "size": pa.array(sizes, pa.int64()), **{k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)}})
+            cids[i] = int.from_bytes(hashlib.blake2b(values[part].tobytes(), digest_size=8).digest(), "little", signed=True)
+            tokens[i] = values[part][classes[part] > 0].tobytes()
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~known), "size": pa.array(sizes, pa.int64()), "cid": pa.array(cids, pa.int64()), "tokens": pa.array(tokens, pa.binary())})
 
     texts = frequencies.blocks(docs)
-    schema = "doc_id long, size long, cid long, tokens binary, group binary, prefix array<long>, skipped int"
-    out = common.stored(frequencies.with_classes(texts, partial(_set_features, n=n), found, schema), "sets")
+    out = common.stored(frequencies.with_classes(texts, partial(_set_features, n=n), found, "doc_id long, size long, cid long, tokens binary"), "sets")
     common.drop_stored(texts)
     return out
 
 
+def _token_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed shingles, one set after the other, and their sizes."""
+    return np.frombuffer(b"".join(raw), "<u8").astype(np.uint64), np.array([len(r) // 8 for r in raw], np.int64)
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """The prefixes of ``sets`` (id, size, tokens): id, size, group, prefix and skipped.
+
+    ``group`` is equal for equal prefix and size; ``prefix`` has those of the
+    prefix's shingles that other sets have too, in order; ``skipped`` others stand
+    before them.
+    """
+
+    def found(ids, known, extras, values, sizes, classes):
+        import pyarrow as pa
+
+        columns: list[list] = [[], [], []]
+        ends = np.cumsum(sizes).tolist()
+        for cid, size, end, n in zip(ids.tolist(), extras.tolist(), ends, sizes.tolist()):
+            own, rank = values[end - n : end], classes[end - n : end]
+            # shingles that no other row has stand first; they aren't among the tokens
+            length = max(0, size - -(-T_NUM * size // T_DEN) + 1 - (size - n))
+            first = np.lexsort((own, rank))[:length]
+            alone = int((rank[first] == 0).sum())
+            key = own[first].tobytes() if n == size else cid.to_bytes(8, "little", signed=True)
+            columns[0].append(hashlib.blake2b(key + size.to_bytes(8, "little"), digest_size=16).digest())
+            columns[1].append(own[first][alone:].view("<i8"))
+            columns[2].append(size - n + alone)
+        kinds = {"group": pa.binary(), "prefix": pa.list_(pa.int64()), "skipped": pa.int32()}
+        return pa.table({"id": pa.array(ids, pa.int64()), "size": pa.array(extras, pa.int64()), **{k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)}})
+
+    packed = frequencies.blocks(sets.select(F.col("id").alias("doc_id"), F.col("tokens").alias("text"), "size"), "size")
+    out = common.stored(frequencies.with_classes(packed, _token_features, found, "id long, size long, group binary, prefix array<long>, skipped int"), "prefixes")
+    common.drop_stored(packed)
+    return out
+
+
 def entries(rows: DataFrame, *more: str) -> DataFrame:
     """The prefix shingles of rows: token, pos (in the whole prefix), id, size and ``more``."""
     return rows.select("id", "size", "skipped", *more, F.posexplode("prefix").alias("pos", "token")).select("token", (F.col("pos") + F.col("skipped")).alias("pos"), "id", "size", *more)
@@ -154,17 +179,18 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     * An empty table gives no rows; other columns are ignored.
     * Sets hold 64-bit hashes of shingles.
     """
-    every = prefixed_sets(docs, n)
+    every = shared_sets(docs, n)
     own = every.filter("cid IS NOT NULL")
     ids = common.stored(own.select("doc_id", "cid").distinct(), "classes")
-    sets = common.stored(own.select(F.col("cid").alias("id"), "size", "tokens", "group", "prefix", "skipped").dropDuplicates(["id"]), "sets")
+    sets = common.stored(own.select(F.col("cid").alias("id"), "size", "tokens").dropDuplicates(["id"]), "sets")
     counts = common.stored(every.select("doc_id", F.col("size").alias("n_shingles")), "counts")
     common.drop_stored(every)
     # rows of one doc_id with unlike sets hold together
     same = ids.join(ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a != z"), "doc_id").filter("cid != a").select("a", F.col("cid").alias("b"))
-    leaders = sets.groupBy("group").agg(F.min("id").alias("leader"))
-    members = common.stored(sets.select("id", "group").join(leaders, "group").select("id", "leader"), "groups")
-    heads = sets.join(members.filter("id = leader").select("id"), "id", "left_semi")
+    ordered = prefixes(sets)
+    leaders = ordered.groupBy("group").agg(F.min("id").alias("leader"))
+    members = common.stored(ordered.select("id", "group").join(leaders, "group").select("id", "leader"), "groups")
+    heads = ordered.join(members.filter("id = leader").select("id"), "id", "left_semi")
     inside = members.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     first = pivot_pairs(heads).distinct().unionByName(inside)
     links = common.stored(verified(first, sets).unionByName(same), "links")
@@ -184,7 +210,7 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     least = tops.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     moved = tops.join(least, "top").filter("doc_id != component_id").select("doc_id", "component_id").distinct()
     moved = common.stored(moved, "moved")
-    common.drop_stored(sets, links, ids, members, labelled)
+    common.drop_stored(sets, ordered, links, ids, members, labelled)
     out = counts.join(F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
