@@ -28,6 +28,67 @@ def attribute(events: DataFrame, key: str, default: str | None = None, attrs: st
     return F.coalesce(F.col(attrs)[key], F.lit(default))
 
 
+#: Spark types of attribute types; other ones are text.
+ATTRIBUTE_TYPES = {"int": "bigint", "integer": "bigint", "float": "double", "boolean": "boolean", "date": "timestamp", "time": "timestamp"}
+
+
+def typed_attribute(events: DataFrame, key: str, kind: str, attrs: str = "attrs") -> Column:
+    """An attribute as a value of its type (null where the text isn't one)."""
+    text = F.try_element_at(attrs, F.lit(key))
+    if ATTRIBUTE_TYPES.get(kind) == "timestamp":
+        from eventloom.functions.timestamps import parse
+
+        return parse(text)
+    return text.try_cast(ATTRIBUTE_TYPES[kind]) if kind in ATTRIBUTE_TYPES else text
+
+
+def with_attribute(events: DataFrame, key: str, value: Column, kind: str = "string") -> DataFrame:
+    """Events (or cases) with an attribute set, in the place of an older value; a null value takes it away."""
+    out = without_attribute(events.withColumn("_value", value.cast("string")), key)  # the value may be made of the older one
+    none = F.create_map().cast("map<string,string>")
+    text = F.col("_value")
+    for column, x in (("attrs", text), ("attr_types", F.lit(kind))):
+        if column in out.columns:
+            out = out.withColumn(column, F.map_concat(F.coalesce(column, none), F.when(text.isNotNull(), F.create_map(F.lit(key), x)).otherwise(none)))
+    return out.drop("_value")
+
+
+def without_attribute(events: DataFrame, key: str) -> DataFrame:
+    """Events (or cases) without an attribute."""
+    for column in ("attrs", "attr_types"):
+        if column in events.columns:
+            events = events.withColumn(column, F.map_filter(column, lambda k, _: k != key))
+    return events
+
+
+def attribute_rows(events: DataFrame, keys: Sequence[str] = ("case_id", "event_idx")) -> DataFrame:
+    """Attributes as rows: keys, key, value and, where it is known, type."""
+    kind = F.try_element_at("attr_types", F.col("key")) if "attr_types" in events.columns else F.lit(None).cast("string")
+    return events.select(*keys, *(c for c in ("attr_types",) if c in events.columns), F.explode("attrs").alias("key", "value")).select(*keys, "key", "value", kind.alias("type"))
+
+
+def attribute_maps(rows: DataFrame, keys: Sequence[str] = ("case_id", "event_idx")) -> DataFrame:
+    """The maps of ``attribute_rows``: keys, attrs and attr_types."""
+    of = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", c))))
+    return rows.groupBy(*keys).agg(of("value").alias("attrs"), of("type").alias("attr_types"))
+
+
+def has_relation(relations: DataFrame, a: str, b: str) -> DataFrame:
+    """Whether a graph has an edge: one row, found."""
+    return relations.filter((F.col("from_activity") == a) & (F.col("to_activity") == b)).agg((F.count("*") > 0).alias("found"))
+
+
+def has_activity(counts: DataFrame, act: str) -> DataFrame:
+    """Whether a graph has a node: one row, found."""
+    return counts.filter(F.col("activity") == act).agg((F.count("*") > 0).alias("found"))
+
+
+def event_hash(events: DataFrame) -> Column:
+    """A 64-bit hash of an event's activity, time and attributes, whatever the order of the latter."""
+    attrs = F.sort_array(F.map_entries("attrs")) if "attrs" in events.columns else F.lit(None).cast("string")
+    return F.xxhash64("activity", "ts", attrs)
+
+
 def sequenced(log: EventLog, order: Sequence[str] = ("ts", "event_idx")) -> DataFrame:
     """Events with the next activity of their case and whether they are its first or last."""
     w = W.partitionBy("case_id").orderBy(*order)
@@ -187,12 +248,21 @@ def dotted_chart(log: EventLog, color: str = "activity", order: Sequence[str] =
             "x_relative": F.when(span == 0, 0.0).otherwise((F.col("x_absolute") - F.col("_first")).cast("double") / span),
         }
     )
-    cases = dots.groupBy("case_id").agg(F.min("_first").alias("_first"))
-    ranks = cases.select("case_id", (F.row_number().over(W.orderBy(F.col("_first").asc_nulls_first(), "case_id")) - 1).cast("long").alias("y_case"))
+    ranks = ranked(dots.groupBy("case_id").agg(F.min("_first").alias("_first")), [F.col("_first").asc_nulls_first(), F.col("case_id").asc()], "y_case").drop("_first")
     dots = dots.join(ranks, "case_id")
-    labels = dots.groupBy("label").agg(F.min(F.struct("y_case", "x_step")).alias("_seen"))
-    labels = labels.select("label", (F.row_number().over(W.orderBy("_seen")) - 1).cast("long").alias("y_label"))
-    return dots.join(F.broadcast(labels), "label").select("case_id", "event_idx", "label", "x_absolute", "x_since_start", "x_relative", "x_step", "y_case", "y_label")
+    seen = dots.groupBy("label").agg(F.min(F.struct("y_case", "x_step")).alias("_seen"))
+    labels = ranked(seen, [F.col("_seen").asc()], "y_label").drop("_seen")
+    return dots.join(labels, "label").select("case_id", "event_idx", "label", "x_absolute", "x_since_start", "x_relative", "x_step", "y_case", "y_label")
+
+
+def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows with their place (from 0) in an order, which ranges of rows share out: only a count for each range meets in one task."""
+    spread = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    placed = spread.withColumn("_range", F.spark_partition_id())
+    inside = placed.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = counts.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return inside.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_range", "_n", "_before")
 
 
 def log_statistics(log: EventLog) -> DataFrame:

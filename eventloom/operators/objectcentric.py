@@ -352,3 +352,53 @@ def frames(log: Ocel) -> dict[str, DataFrame]:
         "o2o": log.o2o.select(F.col("source_id").alias("ocel:oid"), F.col("target_id").alias("ocel:oid_2"), F.col("qualifier").alias("ocel:qualifier")),
         "object_changes": changes.select(F.col("object_id").alias("ocel:oid"), F.col("t").alias("ocel:type"), F.col("ts").alias("ocel:timestamp"), F.col("name").alias("ocel:field"), F.col("value")),
     }
+
+
+def frames_of_type(log: Ocel, kind: str, name: str) -> DataFrame:
+    """Events (kind event) or objects (kind object) of one type with a column for each of its attributes.
+
+    Events: event_id, ts; objects: object_id.  Attribute columns start with ``attr:``;
+    an object's are the values at the start.
+    """
+    if kind == "event":
+        rows, attrs, key = events_of_type(log, name).select("event_id", "ts"), log.event_attr_frame(), "event_id"
+    else:
+        rows, attrs, key = objects_of_type(log, name).select("object_id"), log.object_attr_frame().filter(F.col("ts") == F.lit(EPOCH).cast("timestamp")), "object_id"
+    own = attrs.join(rows.select(key), key, "left_semi")
+    names = sorted(r[0] for r in own.select("name").distinct().collect())  # a type's attributes
+    if not names:
+        return rows
+    wide = own.groupBy(key).pivot("name", names).agg(F.first("value"))
+    return rows.join(wide.select(key, *[F.col(f"`{n}`").alias(f"attr:{n}") for n in names]), key, "left")
+
+
+def type_pair_links(log: Ocel, event_type: str, object_type: str) -> DataFrame:
+    """Relationships of an event type with an object type, in the order of ids: event_id, object_id, qualifier."""
+    rows = log.e2o.join(events_of_type(log, event_type).select("event_id"), "event_id", "left_semi").join(objects_of_type(log, object_type).select("object_id"), "object_id", "left_semi")
+    return rows.select("event_id", "object_id", "qualifier").orderBy("event_id", "object_id", "qualifier")
+
+
+def type_pair_objects(log: Ocel, source_type: str, target_type: str) -> DataFrame:
+    """Relationships between objects of two types, in the order of ids: source_id, target_id, qualifier."""
+    a, b = (objects_of_type(log, t).select(F.col("object_id").alias(c)) for t, c in ((source_type, "source_id"), (target_type, "target_id")))
+    rows = log.o2o.join(a, "source_id", "left_semi").join(b, "target_id", "left_semi")
+    return rows.select("source_id", "target_id", "qualifier").orderBy("source_id", "target_id", "qualifier")
+
+
+def object_dfg_json(log: Ocel) -> str:
+    """The object-centric directly-follows graph as JSON: for each object type its edges with counts."""
+    import json
+
+    out: dict = {}
+    for r in object_dfg(log).orderBy("object_type", "from_activity", "to_activity").collect():  # types by types
+        out.setdefault(r.object_type, []).append([[r.from_activity, r.to_activity], r.cnt])
+    return json.dumps({"object_type_to_dfg": out})
+
+
+def object_dfg_dot(text: str) -> str:
+    """DOT source of such a graph; an edge's label has its object type and count."""
+    import json
+
+    quoted = lambda x: json.dumps(x, ensure_ascii=False)
+    lines = [f"  {quoted(a)} -> {quoted(b)} [label={quoted(f'{k}: {n}')}];" for k, edges in json.loads(text)["object_type_to_dfg"].items() for (a, b), n in edges]
+    return "\n".join(["digraph {", *lines, "}"])

@@ -165,12 +165,15 @@ def _rows(files: DataFrame, options: Options) -> DataFrame:
 
 
 def _log(rows: DataFrame, meta: Meta | None = None) -> EventLog:
-    as_map = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.transform(c, lambda a: a["key"])), lambda k: F.struct(k.alias("key"), F.filter(c, lambda a: a["key"] == k)[0]["value"].alias("value"))))
-    events = rows.filter("event_idx IS NOT NULL").select("file", "case_id", "trace_idx", "event_idx", as_map("attrs").alias("attrs"))
+    def as_map(c: str, part: str = "value"):  # the first attribute of a key counts
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(c, lambda a: a["key"])), lambda k: F.struct(k.alias("key"), F.filter(c, lambda a: a["key"] == k)[0][part].alias("value"))))
+
+    events = rows.filter("event_idx IS NOT NULL").withColumnRenamed("attrs", "listed")
+    events = events.select("file", "case_id", "trace_idx", "event_idx", as_map("listed").alias("attrs"), as_map("listed", "type").alias("attr_types"))
     events = events.select(
-        "file", "case_id", "trace_idx", "event_idx", F.try_element_at("attrs", F.lit(ACTIVITY)).alias("activity"), timestamps.parse(F.try_element_at("attrs", F.lit(TIME))).alias("ts"), "attrs"
+        "file", "case_id", "trace_idx", "event_idx", F.try_element_at("attrs", F.lit(ACTIVITY)).alias("activity"), timestamps.parse(F.try_element_at("attrs", F.lit(TIME))).alias("ts"), "attrs", "attr_types"
     )
-    cases = rows.filter("event_idx IS NULL").select("file", "case_id", "trace_idx", as_map("case_attrs").alias("attrs"))
+    cases = rows.filter("event_idx IS NULL").select("file", "case_id", "trace_idx", as_map("case_attrs").alias("attrs"), as_map("case_attrs", "type").alias("attr_types"))
     return EventLog(events, cases, {"xes": meta} if meta else None)
 
 
@@ -205,20 +208,24 @@ def _xml(key: str, kind: str, value: str | None) -> str:
 def write_xes(log: EventLog, path: str, meta: Meta | None = None, types: dict[str, str] | None = None) -> None:
     """Write a log to one file (gzip if it ends in ``.gz``), cases in their order, a case at a time.
 
-    ``types`` gives the XES tag of attributes; others are strings, the timestamp a date.
+    ``types`` gives the XES tag of attributes; else it is the one that was read
+    (``attr_types``); others are strings, the timestamp a date.
     """
     meta, types = meta or Meta(), {TIME: "date"} | (types or {})
-    tag = lambda k: types.get(k, "string")
+    tag = lambda k, own: types.get(k) or (own or {}).get(k, "string")
+    none = F.create_map().cast("map<string,string>")
+    kept = lambda frame: F.col("attr_types") if "attr_types" in frame.columns else none
     e = log.events
     attrs = F.col("attrs") if "attrs" in e.columns else F.create_map().cast("map<string,string>")
     given = F.map_filter(F.map_from_arrays(F.array(F.lit(ACTIVITY), F.lit(TIME)), F.array("activity", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))), lambda _, v: v.isNotNull())
     every = F.map_concat(F.map_filter(attrs, lambda k, _: ~k.isin(ACTIVITY, TIME)), given)
-    grouped = e.withColumn("_a", F.map_entries(every)).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "_a"))).alias("events"))
+    grouped = e.select("case_id", "event_idx", F.map_entries(every).alias("_a"), F.map_entries(kept(e)).alias("_t")).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "_a", "_t"))).alias("events"))
     cases = log.case_frame()
+    cases = cases.withColumn("_t", kept(cases))
     if "attrs" not in cases.columns:
         cases = cases.withColumn("attrs", F.create_map(F.lit(CASE), F.col("case_id")))
     order = "trace_idx" if "trace_idx" in cases.columns else "case_id"
-    rows = cases.select("case_id", order if order != "case_id" else F.lit(0).alias("_o"), "attrs").join(grouped, "case_id", "left").orderBy(order, "case_id")
+    rows = cases.select("case_id", order if order != "case_id" else F.lit(0).alias("_o"), "attrs", "_t").join(grouped, "case_id", "left").orderBy(order, "case_id")
     blank = any(re.search(r"\s", k) for _, ks in meta.classifiers for k in ks)
     with gzip.open(path, "wt", encoding="utf-8") if path.endswith(".gz") else open(path, "w", encoding="utf-8") as out:
         out.write('<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="2.0" xmlns="http://www.xes-standard.org/">\n')
@@ -231,8 +238,8 @@ def write_xes(log: EventLog, path: str, meta: Meta | None = None, types: dict[st
             out.write(f"<classifier name={quoteattr(n)} keys={quoteattr(' '.join(repr(k) if blank else k for k in ks))}/>\n")
         out.write("".join(_xml(*a) + "\n" for a in meta.attributes))
         for r in rows.toLocalIterator():
-            out.write("<trace>" + "".join(_xml(k, tag(k), v) for k, v in (r.attrs or {}).items()))
+            out.write("<trace>" + "".join(_xml(k, tag(k, r._t), v) for k, v in (r.attrs or {}).items()))
             for x in r.events or ():
-                out.write("<event>" + "".join(_xml(k, tag(k), v) for k, v in x["_a"]) + "</event>")
+                out.write("<event>" + "".join(_xml(k, tag(k, dict(x["_t"] or ())), v) for k, v in x["_a"]) + "</event>")
             out.write("</trace>\n")
         out.write("</log>\n")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from eventloom.plans import queries
+from eventloom.plans import links, queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
