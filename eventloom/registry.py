@@ -48,9 +48,7 @@ class Registry:
 
             return read_ocel(self.spark, path)
         if kind == "EventLog":
-            from eventloom.sources.xes import read_xes
-
-            return read_xes(self.spark, path)
+            return read_log(self.spark, path)
         if kind == "PetriNet":
             from eventloom.sources.pnml import read_pnml
 
@@ -84,6 +82,28 @@ class Registry:
         return f(**{k: self.resolve(v, kind(params[k])) for k, v in arguments.items()})
 
 
+def read_log(spark: SparkSession, path: str) -> EventLog:
+    """A case-centric log: JSON by its ending, else XES, plain or gzipped."""
+    from eventloom.sources import json_logs, xes
+
+    return json_logs.read_log_json(spark, path) if path.endswith(".json") else xes.read_xes(spark, path)
+
+
+def write_log(log: EventLog, path: str) -> None:
+    """Write a case-centric log as JSON or XES, by the path's ending."""
+    from eventloom.sources import json_logs, xes
+
+    (json_logs.write_log_json if path.endswith(".json") else xes.write_xes)(log, path)
+
+
+def arc_of(given: dict) -> Any:
+    """A declarative arc of its JSON form: source, target, arrow, least, most, and lists each, any, all of [type, reached from] pairs."""
+    from eventloom.operators.ocdeclare import Arc
+
+    part = lambda k: tuple((x, None) if isinstance(x, str) else (x[0], x[1]) for x in given.get(k, ()))
+    return Arc(given["source"], given["target"], given.get("arrow", "AS"), part("each"), part("any"), part("all"), given.get("least", 1), given.get("most"))
+
+
 def as_json(value: Any) -> str:
     """A result as JSON; frames as lists of rows."""
     if isinstance(value, DataFrame):
@@ -127,11 +147,90 @@ def _register_all() -> None:
 
     @register
     def export_log(log: EventLog, path: str) -> str:
-        """Write a case-centric log as XES."""
-        from eventloom.sources.xes import write_xes
-
-        write_xes(log, path)
+        """Write a case-centric log as XES or JSON."""
+        write_log(log, path)
         return path
 
+    @register
+    def discover_best_net(log: EventLog) -> Any:
+        """The Petri net of the best of several configurations."""
+        from eventloom.models.alpha import discover_best
+
+        return discover_best(cc.variants(log))[0]
+
+    @register
+    def token_replay(log: EventLog, net: PetriNet) -> DataFrame:
+        """Token-based fitness of a log on a net."""
+        from eventloom.operators.replay import token_replay as replay
+
+        return replay(cc.variants(log), net)
+
+    @register
+    def declare_conformance(log: Ocel, arc: dict) -> DataFrame:
+        """total, violated and conformance of a declarative arc."""
+        return ocdeclare.conformance(log, arc_of(arc))
+
+    @register
+    def declare_reduction(arcs: list, lossless: bool = False) -> list:
+        """Declarative arcs without those that a path of others implies."""
+        return ocdeclare.reduce([arc_of(a) for a in arcs], lossless)
+
+    @register
+    def top_synchronisation(log: Ocel, k: int) -> DataFrame:
+        """The k events of longest synchronisation time."""
+        return oc.longest(oc.synchronisation(log), "sync_us", k)
+
+    @register
+    def top_sojourn(log: Ocel, k: int) -> DataFrame:
+        """The k events of longest sojourn time."""
+        return oc.longest(oc.sojourn(log), "sojourn_us", k)
+
+    @register
+    def most_frequent_variants(log: EventLog, n: int) -> DataFrame:
+        """The n most frequent variants."""
+        return cc.top_variants(cc.variants(log), n)
+
+    @register
+    def variant_percentages(log: EventLog) -> DataFrame:
+        """Variants with their share of the cases."""
+        return cc.variant_shares(cc.variants(log))
+
+    @register
+    def activity_projection(log: EventLog) -> str:
+        """A log's variants as a projection in JSON."""
+        from eventloom.sources.json_logs import projection_json
+
+        return projection_json(cc.variants(log))
+
+    @register
+    def graph_json(log: EventLog) -> str:
+        """The directly-follows graph as JSON."""
+        from eventloom.sources.json_logs import dfg_json
+
+        return dfg_json(log)
+
+    @register
+    def graph_successors(log: EventLog, act: str, least: int = 1) -> DataFrame:
+        """Activities that follow an activity."""
+        return cc.postset(cc.dfg(log), act, least)
+
+    @register
+    def graph_predecessors(log: EventLog, act: str, least: int = 1) -> DataFrame:
+        """Activities that an activity follows."""
+        return cc.preset(cc.dfg(log), act, least)
+
+    @register
+    def graph_has_relation(log: EventLog, a: str, b: str) -> DataFrame:
+        """Whether an activity directly follows another."""
+        return cc.has_relation(cc.dfg(log), a, b)
+
+    @register
+    def split_log(log: EventLog, parts: list) -> list:
+        """Sub-logs of sets of activities, as numbers of events."""
+        return [x.events.count() for x in cc.split_by_activity(log, [set(p) for p in parts])]
+
+    for f in (oc.frames_of_type, oc.type_pair_links, oc.type_pair_objects, oc.object_dfg_json, oc.object_dfg_dot, oc.without_dangling, oc.object_variants):
+        register(f)
+
 
 _register_all()

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from eventloom.plans import links, queries
+from eventloom.plans import links, queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
@@ -27,7 +27,7 @@ def test_every_query_has_sql():
     assert set(queries.SQL) == set(queries.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["dfg_users", "variants_conversations", "timestamp_histogram", "dotted_chart", "token_replay", "ocel_synchronisation", "ocel_attribute_history", "declare_ep_each_max"])
+@pytest.mark.parametrize("name", ["dfg_users", "variants_conversations", "timestamp_histogram", "dotted_chart", "token_replay", "ocel_synchronisation", "ocel_attribute_history", "ocel_attribute_ties", "ocel_abstraction", "ocel_flatten_attributes", "declare_ep_each_max", "declare_df_each_order", "changed_attributes", "file_json_links", "file_xes_gz_attributes"])
 def test_query_equals_sql(spark, duck, name):
     frame = queries.QUERIES[name](spark, FOLDER)
     names = sorted(frame.columns)
