@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Sequence
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -78,3 +79,68 @@ def declare_types(log: Ocel, kind: str, declared: dict[str, list[tuple[str, str]
         found[kind, t] = list(known.items())
     rows = [(k, t, i, a, at) for (k, t), attrs in found.items() for i, (a, at) in enumerate(attrs or [(None, None)])]
     return replace(log, types=log.spark.createDataFrame(rows, model.OCEL_TYPES))
+
+
+class Appender:
+    """Takes events and objects in any order, a batch at a time, and gives a log.
+
+    Relationships may name what comes later; those that never come are left out
+    by ``finalize``.  Where an id is missing, one is made of what is appended.
+    """
+
+    def __init__(self, spark: SparkSession, batch: int = 50_000):
+        self.spark, self.batch, self.types = spark, batch, []
+        self.schemas = {
+            "events": model.OCEL_EVENTS, "objects": model.OCEL_OBJECTS, "e2o": model.OCEL_E2O, "o2o": model.OCEL_O2O,
+            "event_attrs": model.OCEL_EVENT_ATTRS, "object_attrs": model.OCEL_OBJECT_ATTRS,
+        }
+        self.rows: dict[str, list] = {k: [] for k in self.schemas}
+        self.parts: dict[str, list] = {k: [] for k in self.schemas}
+        self.count = {"events": 0, "objects": 0}
+
+    def _put(self, name: str, rows: Iterable[tuple]) -> None:
+        held = self.rows[name]
+        held.extend(rows)
+        if len(held) >= self.batch:
+            self.parts[name].append(self.spark.createDataFrame(held, self.schemas[name]))
+            self.rows[name] = []
+
+    def declare(self, kind: str, name: str, attributes: Iterable[tuple[str, str]] = ()) -> None:
+        """Declare an event or object type (kind) with attributes (name, type)."""
+        self.types += [(kind, name, i, a, t) for i, (a, t) in enumerate(attributes)] or [(kind, name, 0, None, None)]
+
+    def _id(self, kind: str, given: str | None, *parts: object) -> str:
+        n = self.count[kind]
+        self.count[kind] += 1
+        return given if given is not None else hashlib.sha256(repr((kind, n, *parts)).encode()).hexdigest()[:32]
+
+    def event(self, name: str, ts: datetime, event_id: str | None = None, attributes: Iterable[tuple[str, str, str]] = (), objects: Iterable[tuple[str, str]] = ()) -> str:
+        """Append an event with attributes (name, type, value) and objects (id, qualifier); returns its id."""
+        place = self.count["events"]
+        event_id = self._id("events", event_id, name, ts)
+        self._put("events", [(event_id, place, name, ts)])
+        self._put("event_attrs", [(event_id, *a) for a in attributes])
+        self._put("e2o", [(event_id, o, q) for o, q in objects])
+        return event_id
+
+    def object(self, name: str, object_id: str | None = None, attributes: Iterable[tuple[str, datetime, str, str]] = (), objects: Iterable[tuple[str, str]] = ()) -> str:
+        """Append an object with attributes (name, time, type, value) and related objects (id, qualifier); returns its id."""
+        place = self.count["objects"]
+        object_id = self._id("objects", object_id, name)
+        self._put("objects", [(object_id, place, name)])
+        self._put("object_attrs", [(object_id, *a) for a in attributes])
+        self._put("o2o", [(object_id, o, q) for o, q in objects])
+        return object_id
+
+    def finalize(self) -> Ocel:
+        """The log of all that was appended."""
+        from eventloom.operators.objectcentric import without_dangling
+
+        frames = {}
+        for name, schema in self.schemas.items():
+            out = self.spark.createDataFrame(self.rows[name], schema)
+            for part in self.parts[name]:
+                out = part.unionByName(out)
+            frames[name] = out
+        types = self.spark.createDataFrame(self.types, model.OCEL_TYPES) if self.types else None
+        return without_dangling(Ocel(**frames, types=types))

@@ -64,7 +64,7 @@ def from_nested(events: DataFrame, objects: DataFrame, types: DataFrame) -> Ocel
     ev = events.select(F.col("id").alias("event_id"), F.col("pos").cast("long").alias("event_idx"), F.col("type").alias("event_type"), timestamps.parse(F.col("time")).alias("ts"), "attributes", "relationships")
     ob = objects.select(F.col("id").alias("object_id"), F.col("pos").cast("long").alias("object_idx"), F.col("type").alias("object_type"), "attributes", "relationships")
     ea = ev.select("event_id", F.col("event_type").alias("type"), F.explode("attributes").alias("a")).select("event_id", "type", "a.name", "a.value")
-    oa = ob.select("object_id", F.col("object_type").alias("type"), F.explode("attributes").alias("a")).select("object_id", "type", "a.name", timestamps.parse(F.col("a.time")).alias("ts"), "a.value")
+    oa = ob.select("object_id", F.col("object_type").alias("type"), F.posexplode("attributes").alias("idx", "a")).select("object_id", "type", "a.name", timestamps.parse(F.col("a.time")).alias("ts"), "a.value", F.col("idx").cast("long").alias("idx"))
     typed = lambda rows, kind: rows.join(F.broadcast(declared.filter(F.col("kind") == kind).drop("kind")), ["type", "name"], "left").withColumn("type", F.coalesce("attr_type", values.infer(F.col("value"))))
     e2o = ev.select("event_id", F.explode("relationships").alias("r")).select("event_id", F.col("r.objectId").alias("object_id"), F.coalesce("r.qualifier", F.lit("")).alias("qualifier")).distinct()
     o2o = ob.select(F.col("object_id").alias("source_id"), F.explode("relationships").alias("r")).select("source_id", F.col("r.objectId").alias("target_id"), F.coalesce("r.qualifier", F.lit("")).alias("qualifier")).distinct()
@@ -74,7 +74,7 @@ def from_nested(events: DataFrame, objects: DataFrame, types: DataFrame) -> Ocel
         e2o,
         o2o,
         typed(ea, "event").select("event_id", "name", "type", "value"),
-        typed(oa, "object").select("object_id", "name", "ts", "type", "value"),
+        typed(oa, "object").select("object_id", "name", "ts", "type", "value", "idx"),
         types,
     )
 

@@ -341,6 +341,22 @@ def test_alpha_of_loops_and_skips(spark):
     assert places(["abc"] * 10 + ["abbc"] * 2, loop=0.1, skip=10) >= {((), ("a",)), (("c",), ())}  # no silent step between b and itself
 
 
+def test_appended_logs(spark):
+    at = builders.START
+    sink = builders.Appender(spark, batch=2)
+    sink.declare("event", "pay", [("sum", "float")])
+    sink.event("pay", at, "e1", [("sum", "float", "1.5")], [("o1", "of"), ("never", "of")])  # o1 comes later
+    made = sink.event("pay", at, objects=[("o1", "of")])
+    sink.object("order", "o1", [("state", at, "string", "x")], [("o2", "with")])
+    sink.object("order", "o2")
+    log = sink.finalize()
+    assert rows(log.e2o) == sorted([("e1", "o1", "of"), (made, "o1", "of")]) and rows(log.o2o) == [("o1", "o2", "with")]
+    assert log.events.count() == 2 and log.event_attrs.count() == 1 and log.types.first().attr == "sum"
+    again = builders.Appender(spark)
+    again.event("pay", at)
+    assert again.event("pay", at, objects=[("o1", "of")]) == made
+
+
 def test_timestamps(spark):
     texts = ["2020-02-03T04:05:06+01:00", "2020-02-03T03:05:06Z", "2020-02-03 03:05:06", "2020-02-03T03:05:06", "2020-02-03 03:05:06 UTC", "2020/02/03 03:05:06", "Mon, 3 Feb 2020 03:05:06 +0000", "Mon Feb 03 2020 04:05:06 GMT+0100 (CET)", "03-02-2020 03:05:06"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
