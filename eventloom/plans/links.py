@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -282,9 +284,22 @@ def trade_ocel(spark: SparkSession, sf_dir: str) -> Ocel:
     return Ocel(events, objects, e2o, o2o, event_attrs=own, object_attrs=attrs)
 
 
+def _new_file(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder that driver and executors share; in a temporary one where a local master has none."""
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return f"{tempfile.mkdtemp(prefix='eventloom-')}/{name}"
+    folder = f"{shared.removeprefix('file://').rstrip('/')}/files-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return f"{folder}/{name}"
+
+
 def _written(spark: SparkSession, sf_dir: str, kind: str) -> Ocel:
     """The trade log written to a file of a kind and read back."""
-    path = f"{tempfile.mkdtemp(prefix='eventloom-')}/log.{kind}"
+    path = _new_file(spark, f"log.{kind}")
     ocel.write_ocel(trade_ocel(spark, sf_dir), path)
     return ocel.read_ocel(spark, path)
 
@@ -334,7 +349,7 @@ _TALK_ROWS = "SELECT CAST(conv_id AS VARCHAR) AS case_id, row_number() OVER (PAR
 @query("file_xes_events", _TALK_ROWS)
 def file_xes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a log written as XES and read back."""
-    path = f"{tempfile.mkdtemp(prefix='eventloom-')}/log.xes"
+    path = _new_file(spark, "log.xes")
     xes.write_xes(_talks(spark, sf_dir), path)
     return _numbered(xes.read_xes(spark, path))
 
@@ -342,7 +357,7 @@ def file_xes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("file_xes_gz_attributes", "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, k AS key, CASE k WHEN 'status' THEN o_orderstatus ELSE CAST(o_orderkey AS VARCHAR) END AS value, CASE k WHEN 'status' THEN 'string' ELSE 'int' END AS type FROM orders, (VALUES ('status'), ('key')) v(k)")
 def file_xes_gz_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed attributes of a log written as gzipped XES and read back."""
-    path = f"{tempfile.mkdtemp(prefix='eventloom-')}/log.xes.gz"
+    path = _new_file(spark, "log.xes.gz")
     xes.write_xes(_attributed(spark, sf_dir), path)
     return cc.attribute_rows(xes.read_xes(spark, path).events).filter("key IN ('status', 'key')").select("case_id", "key", "value", "type")
 
@@ -350,7 +365,7 @@ def file_xes_gz_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("file_log_json_events", _TALK_ROWS)
 def file_log_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a log written as JSON and read back."""
-    path = f"{tempfile.mkdtemp(prefix='eventloom-')}/log.json"
+    path = _new_file(spark, "log.json")
     json_logs.write_log_json(_talks(spark, sf_dir), path)
     return _numbered(json_logs.read_log_json(spark, path))
 

@@ -350,7 +350,8 @@ def test_appended_logs(spark):
     sink.object("order", "o1", [("state", at, "string", "x")], [("o2", "with")])
     sink.object("order", "o2")
     log = sink.finalize()
-    assert rows(log.e2o) == sorted([("e1", "o1", "of"), (made, "o1", "of")]) and rows(log.o2o) == [("o1", "o2", "with")]
+    assert rows(log.e2o.select("event_id", "object_id", "qualifier")) == sorted([("e1", "o1", "of"), (made, "o1", "of")])
+    assert rows(log.o2o.select("source_id", "target_id", "qualifier")) == [("o1", "o2", "with")]
     assert log.events.count() == 2 and log.event_attrs.count() == 1 and log.types.first().attr == "sum"
     again = builders.Appender(spark)
     again.event("pay", at)
