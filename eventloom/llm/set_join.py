@@ -9,8 +9,8 @@
    |x| - ceil(t|x|) + 1.  Classes with the same prefix and size are collapsed into
    one group.
 4. For each prefix shingle the groups, and the members of each group, are first
-   verified against one pivot of like size, which joins almost all that belongs
-   together in as many checks as there are members.  Then pairs of groups that
+   verified against one pivot of like size, a few times against other ones, which
+   joins almost all that belongs together in as many checks as there are members.  Then pairs of groups that
    share a prefix shingle, pass the filters by size and position and aren't in one
    component yet are expanded to members of unlike components, which are verified
    too, so no link between components is lost.
@@ -34,6 +34,8 @@ from eventloom.llm.shingles import shingle_sets
 N, T_NUM, T_DEN = 5, 75, 100
 #: Ids up to this many are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Times that rows are compared with pivots before all pairs of components are.
+PIVOT_TURNS = 3
 #: Packed rows are handled about this many bytes at a time.
 STEP_BYTES = 4 << 20
 
@@ -119,15 +121,24 @@ def may_be_similar(size: Column, pos: Column, other_size: Column, other_pos: Col
     return alike & ((T_NUM + T_DEN) * most >= T_NUM * (size + other_size))
 
 
-def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each row (id, size, prefix, skipped) and the least id that has the shingle and a size of the same band.
+def pivot_pairs(rows: DataFrame, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of each row (id, size, prefix, skipped, label) and a pivot that has the shingle, a size of the same band and another label.
 
-    The greatest size of a band is under 4/3 of the least.
+    The greatest size of a band is under 4/3 of the least; every ``turn`` takes other pivots.
     """
-    every = entries(rows).withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(T_DEN / T_NUM))))
-    pivots = every.groupBy("token", "band").agg(F.min(F.struct("id", "size", "pos")).alias("p"), F.max("id").alias("last")).filter("last != p.id").drop("last")
-    met = every.join(pivots, ["token", "band"]).filter(F.col("id") != F.col("p.id"))
-    return met.filter(may_be_similar(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos"))).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+    every = entries(rows, "label").withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(T_DEN / T_NUM))))
+    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "pos", "label")).alias("p")
+    pivots = every.groupBy("token", "band").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").drop("lo", "hi")
+    met = every.join(pivots, ["token", "band"]).filter(F.col("label") != F.col("p.label"))
+    return met.filter(may_be_similar(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos"))).select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
+
+
+def joined(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """``labelled`` (id, leader, label) with the labels of ``links`` (a, b) made one, stored."""
+    of = labelled.select("id", "label")
+    edges = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    above = components(edges).select(F.col("id").alias("label"), F.col("label").alias("top"))
+    return common.stored(labelled.join(above, "label", "left").select("id", "leader", F.coalesce("top", "label").alias("label")), "labels")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
@@ -192,25 +203,26 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     members = common.stored(ordered.select("id", "group").join(leaders, "group").select("id", "leader"), "groups")
     heads = ordered.join(members.filter("id = leader").select("id"), "id", "left_semi")
     inside = members.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    first = pivot_pairs(heads).distinct().unionByName(inside)
-    links = common.stored(verified(first, sets).unionByName(same), "links")
-    labels = components(links)
-    labelled = common.stored(members.join(labels, "id", "left").select("id", "leader", F.coalesce("label", "id").alias("label")), "labels")
+    alone = members.withColumn("label", F.col("id"))
+    with_labels = lambda frame: heads.join(frame.select("id", "label"), "id")
+    links = common.stored(verified(pivot_pairs(with_labels(alone)).unionByName(inside).distinct(), sets).unionByName(same), "links")
+    labelled = joined(alone, links)
+    for turn in range(1, PIVOT_TURNS):
+        more = common.stored(verified(pivot_pairs(with_labels(labelled), turn), sets), "links")
+        before, labelled = labelled, joined(labelled, more)
+        common.drop_stored(before, more)
     bounds = labelled.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     pairs = group_pairs(heads.join(bounds, "id"))
     one = labelled.select(F.col("leader").alias("a"), F.col("id").alias("u"), F.col("label").alias("lu"))
     other = labelled.select(F.col("leader").alias("b"), F.col("id").alias("v"), F.col("label").alias("lv"))
     met = pairs.join(one, "a").join(other, "b").filter("lu != lv AND (a != b OR u < v)")
-    found = verified(met.select(F.col("u").alias("a"), F.col("v").alias("b")), sets)
-    of = labelled.select("id", "label")
-    more = found.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    above = components(more.distinct()).select(F.col("id").alias("label"), F.col("label").alias("top"))
-    final = of.join(above, "label", "left").select(F.col("id").alias("cid"), F.coalesce("top", "label").alias("top"))
+    last = joined(labelled, verified(met.select(F.col("u").alias("a"), F.col("v").alias("b")), sets))
+    final = last.select(F.col("id").alias("cid"), F.col("label").alias("top"))
     tops = ids.join(final, "cid").select("doc_id", "top")
     least = tops.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     moved = tops.join(least, "top").filter("doc_id != component_id").select("doc_id", "component_id").distinct()
     moved = common.stored(moved, "moved")
-    common.drop_stored(sets, ordered, links, ids, members, labelled)
+    common.drop_stored(sets, ordered, links, ids, members, labelled, last)
     out = counts.join(F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
