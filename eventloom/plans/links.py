@@ -58,9 +58,9 @@ c AS (SELECT n.event_id, n.object_id, coalesce({pick}(t.event_type, (t.ts, t.eve
 _arc("df_each_order", Arc("place order", "ship item", "DF", each=(("order", None),)), _WITH + _NEAREST.format(source="place order", kind="order", target="ship item", pick="arg_min", op=">") + ", " + _shares("place order", "n < 1"))
 _arc("dp_each_order", Arc("ship item", "ship item", "DP", each=(("order", None),)), _WITH + _NEAREST.format(source="ship item", kind="order", target="ship item", pick="arg_max", op="<") + ", " + _shares("ship item", "n < 1"))
 _arc(
-    "ef_all_order_any_supplier", Arc("ship item", "ship item", "EF", all=(("order", None),), any=(("supplier", None),)),
-    _WITH + """c AS (SELECT s.event_id, count(t.event_id) AS n FROM ev s JOIN link so ON so.event_id = s.event_id AND so.object_type = 'order' JOIN link ss ON ss.event_id = s.event_id AND ss.object_type = 'supplier'
-LEFT JOIN (SELECT x.event_id, x.ts, x.object_id AS o, y.object_id AS p FROM link x JOIN link y ON x.event_id = y.event_id AND x.object_type = 'order' AND y.object_type = 'supplier' AND x.event_type = 'ship item') t ON t.o = so.object_id AND t.p = ss.object_id AND t.ts > s.ts WHERE s.event_type = 'ship item' GROUP BY ALL), """
+    "ef_all_order_any_part", Arc("ship item", "ship item", "EF", all=(("order", None),), any=(("part", None),)),
+    _WITH + """c AS (SELECT s.event_id, count(t.event_id) AS n FROM ev s JOIN link so ON so.event_id = s.event_id AND so.object_type = 'order' JOIN link ss ON ss.event_id = s.event_id AND ss.object_type = 'part'
+LEFT JOIN (SELECT x.event_id, x.ts, x.object_id AS o, y.object_id AS p FROM link x JOIN link y ON x.event_id = y.event_id AND x.object_type = 'order' AND y.object_type = 'part' AND x.event_type = 'ship item') t ON t.o = so.object_id AND t.p = ss.object_id AND t.ts > s.ts WHERE s.event_type = 'ship item' GROUP BY ALL), """
     + _shares("ship item", "n < 1"),
 )
 
