@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, exact_topk, html_text, mixing, passages, quality, set_join, token_counts, token_store, url_filter
+from eventloom.llm import bpe, clustering, exact_dedup, exact_topk, html_text, mixing, passages, prefix_trie, quality, set_join, token_counts, token_store, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_join": set_join.op8_ngram_join,
     "op9_bpe_coding": bpe.op9_bpe_coding,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_annulus_clusters": clustering.op11_annulus_clusters,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op6_exact_topk": exact_topk.SQL,
     "op7_url_filters": url_filter.SQL,
     "op8_ngram_join": set_join.SQL,
+    "op11_annulus_clusters": clustering.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
