@@ -14,11 +14,15 @@ two documents with equal least hash meet at equal window keys.
 3. Every window meets the first document of its key.  Where windows of enough
    functions towards one document lie over each other, the stretch is a
    candidate, which is verified shingle by shingle and cut to what is repeated.
-4. A window is done when so many of its shared shingles are found in verified
-   sources that any stretch of it is similar to one of those.  What a window
-   that is done could tell others, its source tells them as well; so step 3
-   follows for the first documents of a key among windows that aren't done, more
-   of them each round, until none has an earlier one that it hasn't met.
+4. A window is done when almost all of its shared shingles are inside verified
+   passages.  A window that a source has word by word tells nothing that its
+   source doesn't tell, and is a source no more; a done window that differs from
+   its source, as near copies do, still is one for windows that aren't done.
+   Step 3 follows for the next documents of their keys, more of them each
+   round, until no window that isn't done has an earlier one that it hasn't met.
+
+Rows of equal texts are one document for all this, that of the smallest doc_id;
+the others repeat it as a whole.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm import common, frequencies
+from eventloom.llm import common, frequencies, hot
 from eventloom.llm.set_join import N, T_DEN, T_NUM
 from eventloom.llm.shingles import mixed, shingle_rows
 
@@ -51,8 +55,8 @@ _INDEX_BITS = 28
 WINDOW = [("key", "<i8"), ("f", "<i4"), ("p", "<i4"), ("l", "<i4"), ("r", "<i4")]
 #: Each round of step 4 takes this many times as many documents of a key as the one before.
 ROUND_GROWTH = 4
-#: Windows of one key are joined in parts of about this many.
-KEY_PART = 5_000
+#: Windows of one key are joined in parts of about this many; hot keys up to so many are broadcast (12 bytes each).
+KEY_PART, BROADCAST_KEYS = 5_000, 1_000_000
 
 
 def least_shared(width: int) -> int:
@@ -189,8 +193,8 @@ def overlaid(anchors: np.ndarray, width: int, agree: int) -> list[tuple[int, int
     return out
 
 
-def matched(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int, int, int, int, float, np.ndarray]]:
-    """Stretches of ``own`` that repeat a stretch of ``other``: first, last, other's first, other's last, similarity, and the places in ``own`` that match.
+def matched(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int, int, int, int, float, np.ndarray, np.ndarray]]:
+    """Stretches of ``own`` that repeat a stretch of ``other``: first, last, other's first, other's last, similarity, and the places in ``own`` and ``other`` that match.
 
     Matching shingles at most ``MOST_GAP`` apart make a stretch; it counts from
     ``width`` shingles and a similarity of 0.75 on, and is divided at its widest
@@ -219,7 +223,7 @@ def matched(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int, i
             sides = [(int(there[i]), int(there[j - 1])), (max(0, first + shift), min(len(other) - 1, last + shift)), (int(there[i:j].min()), int(there[i:j].max()))]
             alike, lo, hi = max((_jaccard(mine, np.unique(other[x : y + 1])), x, y) for x, y in dict.fromkeys(sides) if x <= y)
             if T_DEN * alike >= T_NUM:
-                out.append((first, last, lo, hi, alike, hits[i:j]))
+                out.append((first, last, lo, hi, alike, hits[i:j], there[i:j]))
                 continue
         if j - i < 2:
             continue
@@ -235,69 +239,92 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def open_windows(docs: DataFrame, spans: DataFrame | None, width: int) -> DataFrame:
-    """Windows of ``repeating`` documents that aren't done, and what shares ``width`` shingles with such of others: doc_id, hash, key, f, p, l, r.
+def open_windows(docs: DataFrame, covered: DataFrame | None, width: int) -> DataFrame:
+    """Windows of ``repeating`` documents that may still tell something: doc_id, hash, key, f, p, l, r, open (false: only as a source), whole_l and whole_r.
 
-    ``spans`` (doc_id, hash, spans) has the runs of shingles (first, last) of documents that verified sources have.
+    ``covered`` (doc_id, hash, spans, runs) has of documents the verified passages (first and
+    last shingle) and the runs of shingles that a source has word by word.  Open
+    windows are cut to stretches that aren't done; as sources they are whole.
     """
     rows = docs.select("doc_id", "hash", "shared", "windows")
-    rows = rows.withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")) if spans is None else rows.join(spans, ["doc_id", "hash"], "left")
+    kind = "array<struct<a:int,b:int>>"
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c in ("spans", "runs")}) if covered is None else rows.join(covered, ["doc_id", "hash"], "left")
     least_open = width - least_shared(width) + 1
 
     def unpacked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in common.pieces(batches, "windows", STEP_BYTES):
-            parts, owners = [], []
-            for i, (bits, raw, covered) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+            parts, owners, opened, whole = [], [], [], []
+            for i, (bits, raw, spans, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
                 own = np.frombuffer(raw, WINDOW)
-                if covered:
-                    left = np.unpackbits(np.frombuffer(bits, "u1"))
-                    for s in covered:
-                        left[s["a"] : s["b"] + 1] = 0
-                    upto = np.concatenate(([0], np.cumsum(left, dtype=np.int64)))
-                    # of a window, what the narrowest of its stretches reach
-                    l, r = np.maximum(own["l"], own["p"] - width + 1), np.minimum(own["r"], own["p"] + width - 1)
-                    todo = upto[r + 1] - upto[l] >= least_open
-                    # runs of places where the stretches of unfinished windows begin; windows are cut to those
-                    begins = np.zeros(len(left) + 2, np.int64)
-                    np.add.at(begins, l[todo], 1)
-                    np.add.at(begins, r[todo] - width + 2, -1)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(begins) > 0, [False])).astype(np.int8)))
-                    head, end = edges[::2], edges[1::2]
-                    first = np.searchsorted(end, own["l"], side="right")
-                    number = np.maximum(np.searchsorted(head, own["r"] - width + 1, side="right") - first, 0)
-                    run = np.repeat(first, number) + np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-                    own = np.repeat(own, number)
-                    own["l"], own["r"] = np.maximum(own["l"], head[run]), np.minimum(own["r"], end[run] + width - 2)
+                uncut, n_open = own, len(own)
+                if spans:
+                    own, uncut, n_open = still_open(own, np.unpackbits(np.frombuffer(bits, "u1")), spans, runs or (), width, least_open)
+                opened.append(np.arange(len(own)) < n_open), whole.append(uncut)
                 parts.append(own), owners.append(np.full(len(own), i))
-            every, at = np.concatenate(parts), pa.array(np.concatenate(owners))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(every[name])) for name, _ in WINDOW)], names=["doc_id", "hash", *(name for name, _ in WINDOW)])
+            every, uncut, at = np.concatenate(parts), np.concatenate(whole), pa.array(np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(every[name])) for name, _ in WINDOW), pa.array(np.concatenate(opened)), *(pa.array(np.ascontiguousarray(uncut[name])) for name in "lr")], names=["doc_id", "hash", *(name for name, _ in WINDOW), "open", "whole_l", "whole_r"])
+
+    return rows.mapInArrow(unpacked, "doc_id long, hash long, key long, f int, p int, l int, r int, open boolean, whole_l int, whole_r int")
+
+
+def still_open(own: np.ndarray, left: np.ndarray, spans: list, runs: list, width: int, least_open: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Windows of a document, cut and as they were, and how many of them, the first ones, are open.
+
+    Open are those that lie over stretches that aren't done, cut to these; the others are done, but no run holds them.
 
-    return rows.mapInArrow(unpacked, "doc_id long, hash long, key long, f int, p int, l int, r int")
+    ``left`` are the shared shingles, ``spans`` the verified passages, ``runs`` what sources have word by word.
+    """
+    for s in spans:
+        left[s["a"] : s["b"] + 1] = 0
+    upto = np.concatenate(([0], np.cumsum(left, dtype=np.int64)))
+    # of a window, what the narrowest of its stretches reach
+    l, r = np.maximum(own["l"], own["p"] - width + 1), np.minimum(own["r"], own["p"] + width - 1)
+    todo = upto[r + 1] - upto[l] >= least_open
+    # the farthest end of a run that begins at a place or before it
+    reach = np.full(len(left) + 1, -1, np.int64)
+    for s in runs:
+        reach[s["a"]] = max(reach[s["a"]], s["b"])
+    # runs of places where the stretches of unfinished windows begin; windows over them are cut to those
+    begins = np.zeros(len(left) + 2, np.int64)
+    np.add.at(begins, l[todo], 1)
+    np.add.at(begins, r[todo] - width + 2, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(begins) > 0, [False])).astype(np.int8)))
+    head, end = edges[::2], edges[1::2]
+    first = np.searchsorted(end, own["l"], side="right")
+    number = np.maximum(np.searchsorted(head, own["r"] - width + 1, side="right") - first, 0)
+    run = np.repeat(first, number) + np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+    rest = own[(number == 0) & (np.maximum.accumulate(reach)[l] < r)]
+    whole = np.repeat(own, number)
+    cut = whole.copy()
+    cut["l"], cut["r"] = np.maximum(whole["l"], head[run]), np.minimum(whole["r"], end[run] + width - 2)
+    return np.concatenate((cut, rest)), np.concatenate((whole, rest)), len(cut)
 
 
 def next_sources(windows: DataFrame, sources: DataFrame | None, number: int) -> DataFrame:
-    """The first ``number`` documents of each key that aren't among ``sources`` and that a later document follows: key, source_id, source_hash, source_l, source_r (of all its windows)."""
-    one = windows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("l").alias("source_l"), F.max("r").alias("source_r"))
+    """The first ``number`` documents of each key that aren't among ``sources`` and that a later one with an open window follows: key, source_id, source_hash, source_l, source_r (of all its windows)."""
+    last = windows.filter("open").groupBy("key").agg(F.max("doc_id").alias("last"))
+    one = windows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("whole_l").alias("source_l"), F.max("whole_r").alias("source_r"))
+    one = one.join(last, "key").filter("source_id < last").drop("last")
     if sources is not None:
         one = one.join(sources.select("key", "source_id", "source_hash"), ["key", "source_id", "source_hash"], "left_anti")
-    first = one.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("source_id", "source_hash"))).filter(F.col("place") <= number).drop("place")
-    last = windows.groupBy("key").agg(F.max("doc_id").alias("last"))
-    return first.join(last, "key").filter("source_id < last").drop("last")
+    return one.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("source_id", "source_hash"))).filter(F.col("place") <= number).drop("place")
 
 
 def stretches(windows: DataFrame, sources: DataFrame, width: int, agree: int) -> DataFrame:
-    """Stretches of ``windows`` towards ``sources`` (with new) of smaller id: doc_id, hash, first, last, source_id, source_hash, source_first, source_last.
+    """Stretches of open ``windows`` towards ``sources`` (with new) of smaller id: doc_id, hash, first, last, source_id, source_hash, source_first, source_last.
 
     Pairs of documents that meet at no new source are left out.  The windows of a
     key that many have are joined in parts.
     """
-    hot = windows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_PART).select("key", (F.col("n") / KEY_PART).cast("int").alias("parts"))
-    hot = F.broadcast(hot)  # no more rows than all windows by KEY_PART
+    windows = windows.filter("open").drop("open", "whole_l", "whole_r")
+    many = windows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_PART).select("key", (F.col("n") / KEY_PART).cast("int").alias("parts"))
+    many = common.stored(many, "hot-keys")
+    many = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", "hash", "p"), F.col("parts") + 1), F.lit(0))
-    split = windows.join(hot, "key", "left").withColumn("part", part.cast("int")).drop("parts")
-    copied = sources.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
+    split = windows.join(many, "key", "left").withColumn("part", part.cast("int")).drop("parts")
+    copied = sources.join(many, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
     met = split.join(copied, ["key", "part"]).filter("source_id < doc_id").groupBy("doc_id", "hash", "source_id", "source_hash")
     met = met.agg(F.max("new").alias("new"), F.collect_set("f").alias("fs"), F.collect_list(F.struct("f", "l", "r", "source_l", "source_r")).alias("met"))
     met = met.filter(F.col("new") & (F.size("fs") >= agree)).drop("new", "fs")
@@ -320,7 +347,7 @@ def stretches(windows: DataFrame, sources: DataFrame, width: int, agree: int) ->
 
 
 def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame:
-    """What is really repeated of ``stretches``: the columns of ``repeated_passages`` and runs (of shingles that the source has)."""
+    """What is really repeated of ``stretches``: the columns of ``repeated_passages`` and runs (of shingles that the source has word by word)."""
 
     def sliced(tokens: str, first: str, last: str):
         # with a margin on both sides, as windows are cut at the width of one function
@@ -333,8 +360,8 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
             owners, out = [], []
             for k, (first, lo, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "source_first", "own", "other")))):
                 first, lo = max(0, first - width), max(0, lo - width)
-                for a, b, c, d, alike, hits in matched(np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4"), width):
-                    cuts = np.flatnonzero(np.diff(hits) > 1)
+                for a, b, c, d, alike, hits, there in matched(np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4"), width):
+                    cuts = np.flatnonzero((np.diff(hits) != 1) | (np.diff(there) != 1))
                     runs = zip(hits[np.append(0, cuts + 1)].tolist(), hits[np.append(cuts, len(hits) - 1)].tolist())
                     owners.append(k), out.append((first + a, first + b + n, lo + c, lo + d + n, alike, [{"a": first + x, "b": first + y} for x, y in runs]))
             at = pa.array(owners, pa.int64())
@@ -349,6 +376,25 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
     return both.mapInArrow(checked, "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>")
 
 
+def first_of_equals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) without rows of equal text but the one of the smallest doc_id; and the others: doc_id, hash, source_id, n_words.
+
+    Texts are told apart by their SHA-256; rows of one doc_id and text count once, those of null id don't.
+    """
+    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    thin = docs.filter("text IS NOT NULL").select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.xxhash64("text").alias("hash"), common.word_count(F.col("text")).alias("n_words"))
+    thin = common.stored(thin, "texts")
+    equal = thin.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("source_id")).filter("n > 1")
+    again = common.stored(hot.attached(thin, common.stored(equal, "equal"), ["sha"], thin.count()), "copies")
+    copies = again.filter("doc_id != source_id").select("doc_id", "hash", "source_id", "n_words").distinct()
+    gone = common.stored(again.filter("doc_id != source_id").select("doc_id", "sha").distinct(), "gone")
+    common.drop_stored(thin)
+    if not gone.isEmpty():
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_SPANS else gone
+        docs = docs.withColumn("sha", F.unhex(F.sha2("text", 256))).join(gone, ["doc_id", "sha"], "left_anti").drop("sha")
+    return docs, copies
+
+
 def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORDS, functions: int = FUNCTIONS, agree: int = AGREE) -> DataFrame:
     """Passages of at least ``least_words`` words that a document repeats from one of smaller doc_id.
 
@@ -360,11 +406,13 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
     * Words are compared with A-Z lower-cased.  Texts that are null or shorter than
       a passage repeat nothing; a passage repeated inside one document, or between
       rows of one doc_id, is no row.
+    * A text that an earlier document has, too, repeats that as a whole.
     * Rows of equal doc_id and text count once; rows of null id are left out.
     * An empty table gives no rows; other columns are ignored.
     """
     width = least_words - n + 1
-    texts = frequencies.blocks(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
+    docs, copies = first_of_equals(docs)
+    texts = frequencies.blocks(docs)
     every = common.stored(repeating(texts, n, least_words, functions), "repeating")
     common.drop_stored(texts)
     if not every.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
@@ -380,14 +428,17 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
             known = known.unionByName(sources.withColumn("new", F.lit(False)))
         out.append(common.stored(verified(stretches(todo, known, width, agree), every, n, width), "passages"))
         sources = new if sources is None else sources.unionByName(new)
-        runs = reduce(DataFrame.unionByName, out).select("doc_id", "hash", F.explode("runs").alias("run"))
-        spans = runs.groupBy("doc_id", "hash").agg(F.collect_set("run").alias("spans"))
+        passage = F.struct(F.col("start_word").cast("int").alias("a"), (F.col("end_word") - n).cast("int").alias("b"))
+        found = reduce(DataFrame.unionByName, out)
+        covered = found.groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
         left = every.join(todo.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi")
-        before, todo = todo, common.stored(open_windows(left, spans, width), "windows")
+        before, todo = todo, common.stored(open_windows(left, covered, width), "windows")
         common.drop_stored(before)
         number *= ROUND_GROWTH
     found = reduce(DataFrame.unionByName, out) if out else verified(stretches(todo, new.withColumn("new", F.lit(True)), width, agree), every, n, width)
-    return found.drop("runs").distinct()
+    zero = F.lit(0).cast("long")
+    whole = copies.filter(F.col("n_words") >= least_words).select("doc_id", "hash", "source_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("source_start"), F.col("n_words").alias("source_end"), F.lit(1.0).alias("similarity"))
+    return found.drop("runs").distinct().unionByName(whole)
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

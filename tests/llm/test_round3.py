@@ -9,7 +9,7 @@ from math import floor
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventloom.llm import clustering, exact_dedup, hot, prefix_trie
+from eventloom.llm import clustering, exact_dedup, hot, passages, prefix_trie
 
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
@@ -157,3 +157,48 @@ def test_trie_of_turnless_and_of_no_conversations(spark):
     got = prefix_trie.trie(spark.createDataFrame([(lone, 0, "u", "gone")], kind)).collect()
     assert [tuple(x) for x in got] == [(lone, 0, None, 1, 0, 1, 0, sha(str(lone)))]
     assert prefix_trie.trie(spark.createDataFrame([], kind)).collect() == []
+
+
+def edited(r, words, at):
+    """A passage with other words at places."""
+    return [f"new{r.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_passages_of_chains_of_edits(spark):
+    """Each document is near the one before it and further from the first: all must be found, though earlier ones are done."""
+    r = random.Random(31)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    alone = lambda p: " ".join(words(60) + p + words(60))
+    rows, last = [], []
+    for k in range(40):  # P, A, X with similarities of 0.80, 0.80 and 0.64
+        p = words(50)
+        a = edited(r, p, {12 + k % 5})
+        x = edited(r, a, {30 + k % 7})
+        rows += [(3 * k + i, alone(y)) for i, y in enumerate((p, a, x))]
+        last += [3 * k + 1, 3 * k + 2]
+    for k in range(20):  # chains of four, 60 words
+        p, chain = words(60), []
+        for i in range(4):
+            chain.append(alone(p))
+            p = edited(r, p, {6 + 15 * i})
+        rows += [(1000 + 4 * k + i, y) for i, y in enumerate(chain)]
+        last += [1000 + 4 * k + i for i in (1, 2, 3)]
+    for k in range(20):  # one edit at a similarity of 0.9
+        p = words(110)
+        rows += [(2000 + 2 * k, alone(p)), (2001 + 2 * k, alone(edited(r, p, {50})))]
+        last.append(2001 + 2 * k)
+    got = defaultdict(set)
+    for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert 60 - 5 <= x.start_word and x.source_id < x.doc_id
+        got[x.doc_id] |= set(range(x.start_word, x.end_word))
+    whole = [i for i in last if len(got[i]) >= 44]
+    assert len([i for i in whole if i < 1000 and i % 3 == 2]) >= 38 and len(whole) >= 0.95 * len(last)
+    assert not set(got) - set(last)
+
+
+def test_passages_of_equal_texts(spark):
+    r = random.Random(5)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(80))
+    rows = [(9, text), (2, text), (5, text), (5, text), (None, text), (7, "short text"), (8, "short text"), (10, text + " more")]
+    got = {(x.doc_id, x.start_word, x.end_word, x.source_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(9, 0, 80, 2), (5, 0, 80, 2), (10, 0, 80, 2)}
