@@ -240,14 +240,15 @@ def dfg_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge.crossJoin(cc.has_activity(cc.activity_counts(log), "nobody").withColumnRenamed("found", "missing"))  # one row each
 
 
-@query("timestamp_formats", "SELECT f AS format, count(*) AS cnt, CAST(sum(epoch_us(o_orderdate::DATE::TIMESTAMP)) AS BIGINT) AS us FROM orders, range(5) r(f) GROUP BY ALL")
+@query("timestamp_formats", "SELECT f AS format, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS cnt, CAST(sum(epoch_us(o_orderdate::DATE::TIMESTAMP)) AS VARCHAR) AS us FROM orders, range(5) r(f) GROUP BY ALL")
 def timestamp_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order days written in five ways and parsed again."""
     o = tables.table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     ways = F.array(F.concat(day, F.lit("T00:00:00Z")), F.concat(day, F.lit("T01:00:00+01:00")), F.concat(day, F.lit(" 00:00:00")), F.concat(day, F.lit(" 00:00:00 UTC")), F.concat(day, F.lit("T00:00:00.000")))
-    rows = o.select(F.posexplode(ways).alias("format", "text")).select(F.col("format").cast("long").alias("format"), F.unix_micros(timestamps.parse(F.col("text"))).alias("us"))
-    return rows.groupBy("format").agg(F.count("us").alias("cnt"), F.sum("us").alias("us"))
+    rows = o.select("o_orderdate", F.posexplode(ways).alias("format", "text"))
+    rows = rows.select(F.col("format").cast("long").alias("format"), F.trunc("o_orderdate", "month").alias("month"), F.unix_micros(timestamps.parse(F.col("text"))).cast("decimal(20,0)").alias("us"))
+    return rows.groupBy("format", "month").agg(F.count("us").alias("cnt"), F.sum("us").cast("string").alias("us"))  # sums of all times pass a long
 
 
 @query("inferred_types", "SELECT 'integer' AS kind, count(*) AS cnt FROM orders UNION ALL SELECT 'string', count(*) FROM orders UNION ALL SELECT 'boolean', count(*) FROM orders")
