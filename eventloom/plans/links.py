@@ -285,22 +285,28 @@ def trade_ocel(spark: SparkSession, sf_dir: str) -> Ocel:
     return Ocel(events, objects, e2o, o2o, event_attrs=own, object_attrs=attrs)
 
 
-def _new_file(spark: SparkSession, name: str) -> str:
-    """An unused path in the folder that driver and executors share; in a temporary one where a local master has none."""
+def _new_file(spark: SparkSession, name: str, local: bool = False) -> str:
+    """An unused path in the folder that driver and executors share; in a temporary one where a local master has none.
+
+    ``local``: a path that Python's own file functions open, for databases.
+    """
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return f"{tempfile.mkdtemp(prefix='eventloom-')}/{name}"
-    folder = f"{shared.removeprefix('file://').rstrip('/')}/files-{uuid.uuid4().hex}"
-    os.makedirs(folder)
+    folder = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    if local:
+        if "://" in (folder := folder.removeprefix("file://")):
+            raise RuntimeError("databases need a shared folder that is mounted")
+        os.makedirs(folder)
     return f"{folder}/{name}"
 
 
 def _written(spark: SparkSession, sf_dir: str, kind: str) -> Ocel:
     """The trade log written to a file of a kind and read back."""
-    path = _new_file(spark, f"log.{kind}")
+    path = _new_file(spark, f"log.{kind}", kind in ("sqlite", "duckdb"))
     ocel.write_ocel(trade_ocel(spark, sf_dir), path)
     return ocel.read_ocel(spark, path)
 
@@ -341,7 +347,7 @@ def _talks(spark: SparkSession, sf_dir: str) -> EventLog:
 
 
 def _numbered(log: EventLog) -> DataFrame:
-    return log.events.select("case_id", (F.row_number().over(cc.W.partitionBy("case_id").orderBy("event_idx")) - 1).cast("long").alias("n"), "activity")
+    return log.events.select(F.col("case_name").alias("case_id"), (F.row_number().over(cc.W.partitionBy("case_id").orderBy("event_idx")) - 1).cast("long").alias("n"), "activity")
 
 
 _TALK_ROWS = "SELECT CAST(conv_id AS VARCHAR) AS case_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, role AS activity FROM conversations"
@@ -360,7 +366,42 @@ def file_xes_gz_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed attributes of a log written as gzipped XES and read back."""
     path = _new_file(spark, "log.xes.gz")
     xes.write_xes(_attributed(spark, sf_dir), path)
-    return cc.attribute_rows(xes.read_xes(spark, path).events).filter("key IN ('status', 'key')").select("case_id", "key", "value", "type")
+    rows = cc.attribute_rows(xes.read_xes(spark, path).events, ("case_name", "event_idx"))
+    return rows.filter("key IN ('status', 'key')").select(F.col("case_name").alias("case_id"), "key", "value", "type")
+
+
+def _named_alike(spark: SparkSession, sf_dir: str) -> EventLog:
+    """Conversations of which many have one name, and every fifth none."""
+    talks = _talks(spark, sf_dir)
+    n = F.col("case_id").cast("long")
+    name = F.when(n % 5 != 0, F.concat(F.lit("talk "), (n % 7).cast("string")))
+    cases = talks.events.select("case_id").distinct().select("case_id", n.alias("trace_idx"), F.when(name.isNotNull(), F.create_map(F.lit("concept:name"), name)).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"))
+    return EventLog(talks.events, cases)
+
+
+_ALIKE = "WITH n AS (SELECT conv_id, CASE WHEN conv_id % 5 != 0 THEN 'talk ' || conv_id % 7 END AS name, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT name, role AS from_activity, nxt AS to_activity, count(*) AS cnt FROM n WHERE nxt IS NOT NULL GROUP BY ALL"
+
+
+def _graph_by_name(log: EventLog) -> DataFrame:
+    names = log.case_frame().select("case_id", F.col("case_name").alias("name"))
+    pairs = cc.sequenced(log, ("event_idx",)).filter("next IS NOT NULL").join(names, "case_id")
+    return pairs.groupBy("name", F.col("activity").alias("from_activity"), F.col("next").alias("to_activity")).agg(F.count("*").alias("cnt"))
+
+
+@query("file_xes_same_names", _ALIKE)
+def file_xes_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs by case name of a log whose traces share names or have none, written as one XES file and read back."""
+    path = _new_file(spark, "log.xes")
+    xes.write_xes(_named_alike(spark, sf_dir), path)
+    return _graph_by_name(xes.read_xes(spark, path))
+
+
+@query("file_xes_folder", _ALIKE)
+def file_xes_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a folder of XES files that executors wrote."""
+    path = _new_file(spark, "log.xes/")
+    xes.write_xes(_named_alike(spark, sf_dir), path)
+    return _graph_by_name(xes.read_xes(spark, path))
 
 
 @query("file_log_json_events", _TALK_ROWS)
@@ -371,6 +412,20 @@ def file_log_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(json_logs.read_log_json(spark, path))
 
 
+@query(
+    "file_json_types",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_orderkey::BIGINT AS key, o_totalprice AS total, epoch_us(o_orderdate::DATE::TIMESTAMP) AS day_us, o_orderstatus AS status, 'int float date string' AS kinds FROM orders",
+)
+def file_json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and typed values of attributes of a log written as JSON documents and read back."""
+    path = _new_file(spark, "log.json/")
+    json_logs.write_log_json(_attributed(spark, sf_dir), path)
+    e = json_logs.read_log_json(spark, path).events
+    get = lambda k, t: cc.typed_attribute(e, k, t)
+    kinds = F.concat_ws(" ", *[F.try_element_at("attr_types", F.lit(k)) for k in ("key", "total", "day", "status")])
+    return e.select(F.col("case_name").alias("case_id"), get("key", "int").alias("key"), get("total", "float").alias("total"), F.unix_micros(get("day", "date")).alias("day_us"), get("status", "string").alias("status"), kinds.alias("kinds"))
+
+
 @query("frame_of_log", "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_orderstatus AS status FROM orders")
 def frame_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log as a wide frame and back."""

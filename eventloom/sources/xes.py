@@ -1,13 +1,19 @@
-"""XES logs: streaming parse inside executors, readers of files and folders, writer."""
+"""XES logs: files read by ranges of bytes, parsed in executors; writers of files and folders.
+
+Spark's text reader cuts files of any size at ``<trace``, wherever a range begins.
+A trace is known by its file and place; its name is an attribute like others.
+"""
 
 from __future__ import annotations
 
 import gzip
 import io
+import json
 import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from xml.etree import ElementTree
 from xml.sax.saxutils import quoteattr
 
@@ -16,24 +22,31 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import timestamps
 from eventloom.model import EventLog
+from eventloom.sources import sink
 
 # fixed values of the XES standard
 CASE, ACTIVITY, TIME = "concept:name", "concept:name", "time:timestamp"
 TAGS = ("string", "date", "int", "float", "boolean", "id", "list", "container")
 NIL = "00000000-0000-0000-0000-000000000000"
 ATTRIBUTE = "struct<key:string,type:string,value:string>"
-ROW = f"file string, case_id string, trace_idx long, event_idx long, case_attrs array<{ATTRIBUTE}>, attrs array<{ATTRIBUTE}>"
+ROW = f"file string, trace_idx long, case_name string, event_idx long, case_attrs array<{ATTRIBUTE}>, attrs array<{ATTRIBUTE}>"
+CUT = "<trace"
 
 
 @dataclass(frozen=True)
 class Options:
-    """Reader options: attributes to keep (None: all), a date format, a key to sort events by."""
+    """Reader options: attributes to keep (None: all), a date format, a key to sort events by.
+
+    ``plain`` promises that no comment, CDATA section, entity or prefix stands in
+    the way of cutting files at ``<trace``, which saves a look at all bytes.
+    """
 
     event_attributes: frozenset[str] | None = None
     case_attributes: frozenset[str] | None = None
     log_attributes: frozenset[str] | None = None
     date_format: str | None = None
     sort_by: str | None = None
+    plain: bool = False
 
 
 @dataclass
@@ -51,20 +64,24 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+_INT, _FLOAT = re.compile(r"[+-]?[0-9]+"), re.compile(r"(?i)[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)")
+_ID = re.compile(r"(?i)(urn:uuid:)?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|\{[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\}")
+
+
 def value_of(tag: str, text: str | None, date_format: str | None = None) -> str | None:
-    """Stored text of a value: numbers, booleans and ids that can't be read become 0, false and nil, dates null."""
+    """Stored text of a value: numbers, booleans and ids that can't be read become 0, false and nil, dates null.
+
+    Integers are those of 64 bits; ``true`` alone is true.
+    """
     text = text or ""
-    try:
-        if tag == "int":
-            return str(int(text))
-        if tag == "float":
-            return repr(float(text))
-        if tag == "id":
-            return str(uuid.UUID(text))
-    except ValueError:
-        return {"int": "0", "float": "0.0", "id": NIL}[tag]
+    if tag == "int":
+        return str(int(text)) if _INT.fullmatch(text) and -(1 << 63) <= int(text) < 1 << 63 else "0"
+    if tag == "float":
+        return repr(float(text)) if _FLOAT.fullmatch(text) else "0.0"
+    if tag == "id":
+        return str(uuid.UUID(text)) if _ID.fullmatch(text) else NIL
     if tag == "boolean":
-        return "true" if text.strip().lower() in ("true", "1") else "false"
+        return "true" if text == "true" else "false"
     if tag == "date":
         found = timestamps.parse_python(text, date_format)
         return timestamps.iso(found) if found else None
@@ -74,10 +91,8 @@ def value_of(tag: str, text: str | None, date_format: str | None = None) -> str
 def _attribute(e, options: Options) -> tuple[str, str, str | None]:
     tag = _local(e.tag)
     if tag in ("list", "container"):
-        import json
-
-        inner = [c for c in e if _local(c.tag) == "values"]
-        return e.get("key", ""), tag, json.dumps([_attribute(c, options) for c in (inner[0] if inner else e) if _local(c.tag) in TAGS])
+        listed = [c for c in e if _local(c.tag) == "values"]
+        return e.get("key", ""), tag, json.dumps([_attribute(c, options) for c in (listed[0] if listed else e) if _local(c.tag) in TAGS])
     return e.get("key", ""), tag, value_of(tag, e.get("value"), options.date_format)
 
 
@@ -99,6 +114,15 @@ def classifier_keys(text: str, known: Iterable[str] = ()) -> list[str]:
     return out
 
 
+def trace_of(e, options: Options, default: str | None = None) -> tuple[list, list[list]]:
+    """A trace element: (case attributes, [event attributes]); events are sorted if ``sort_by`` says so, missing values are ``default``."""
+    events = [_attributes(x, options.event_attributes, options) for x in e if _local(x.tag) == "event"]
+    if options.sort_by:
+        at = lambda ev: next((v for k, _, v in ev if k == options.sort_by), default)
+        events.sort(key=lambda ev: (at(ev) is not None, at(ev) or ""))
+    return _attributes(e, options.case_attributes, options), events
+
+
 def traces(stream, options: Options = Options(), meta: Meta | None = None) -> Iterator[tuple[list, list[list]]]:
     """Traces of a stream, one at a time: (case attributes, [event attributes]); fills ``meta`` on the way."""
     meta = meta if meta is not None else Meta()
@@ -110,12 +134,7 @@ def traces(stream, options: Options = Options(), meta: Meta | None = None) -> It
             continue
         depth -= 1
         if tag == "trace":
-            events = [_attributes(x, options.event_attributes, options) for x in e if _local(x.tag) == "event"]
-            if options.sort_by:
-                default = next((v for k, _, v in meta.global_event if k == options.sort_by), None)
-                at = lambda ev: next((v for k, _, v in ev if k == options.sort_by), default)
-                events.sort(key=lambda ev: (at(ev) is not None, at(ev) or ""))
-            yield _attributes(e, options.case_attributes, options), events
+            yield trace_of(e, options, next((v for k, _, v in meta.global_event if k == options.sort_by), None))
             e.clear()
         elif depth == 1:
             if tag == "extension":
@@ -136,50 +155,188 @@ def opened(data: bytes):
     return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
-def _rows(files: DataFrame, options: Options) -> DataFrame:
-    def parsed(batches: Iterator) -> Iterator:
+class _Told:
+    """Rows of traces, given out as Arrow batches."""
+
+    names = ["file", "trace_idx", "case_name", "event_idx", "case_attrs", "attrs"]
+
+    def __init__(self) -> None:
+        self.rows: list = []
+
+    def add(self, file: str, n: int, own: list, events: list[list]) -> bool:
+        """Take a trace in; whether it is time to give rows out."""
+        told = lambda attrs: [dict(zip(("key", "type", "value"), a)) for a in attrs]
+        name = next((v for k, _, v in own if k == CASE), None)
+        self.rows.append((file, n, name, None, told(own), None))
+        self.rows += [(file, n, name, i, None, told(ev)) for i, ev in enumerate(events)]
+        return len(self.rows) > 20_000
+
+    def batch(self):
         import pyarrow as pa
 
         attribute = pa.list_(pa.struct([("key", pa.string()), ("type", pa.string()), ("value", pa.string())]))
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), attribute, attribute]
-        names = ["file", "case_id", "trace_idx", "event_idx", "case_attrs", "attrs"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), attribute, attribute]
+        columns = list(zip(*self.rows)) if self.rows else [()] * 6
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=self.names)
 
-        def told(held: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
+def _rows(files: DataFrame, options: Options) -> DataFrame:
+    """Rows of whole files (path, content)."""
+
+    def parsed(batches: Iterator) -> Iterator:
+        told = _Told()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held: list = []
                 for n, (own, events) in enumerate(traces(opened(content), options)):
-                    case = next((v for k, _, v in own if k == CASE), None) or str(n)
-                    own = [dict(zip(("key", "type", "value"), a)) for a in own]
-                    held.append((path, case, n, None, own, None))
-                    held += [(path, case, n, i, None, [dict(zip(("key", "type", "value"), a)) for a in ev]) for i, ev in enumerate(events)]
-                    if len(held) > 20_000:
-                        yield told(held)
-                        held = []
-                if held:
-                    yield told(held)
+                    if told.add(path, n, own, events):
+                        yield told.batch()
+        yield told.batch()
 
     return files.select("path", "content").mapInArrow(parsed, ROW)
 
 
+def left_open(text: str, state: str = "") -> str:
+    """The end of the comment or CDATA section in which a text ends that begins in ``state``, "" if in none."""
+    at = 0
+    while True:
+        if state:
+            end = text.find(state, at)
+            if end < 0:
+                return state
+            at, state = end + len(state), ""
+        starts = [(i, end) for mark, end in (("<!--", "-->"), ("<![CDATA[", "]]>")) if (i := text.find(mark, at)) >= 0]
+        if not starts:
+            return ""
+        at, state = min(starts)
+
+
+_PREFIXED, _ENCODED = re.compile(r"<[\w.-]+:trace[\s/>]"), re.compile(r"<\?xml[^>]*\sencoding=[\"'](?!utf-?8|us-ascii|ascii)", re.I)
+
+
+def _whole_files(chunks: DataFrame) -> list[str]:
+    """Files that can't be cut at ``<trace``: comments or sections that go on in another range, entities, prefixes, other encodings.
+
+    All bytes are looked at by the JVM; rows with marks alone reach Python, and
+    only names of such files the driver.
+    """
+
+    def odd(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found, place, state = set(), None, ""
+        for batch in batches:
+            for text, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (file, block):
+                    if state:
+                        found.add(place[0])
+                    place, state = (file, block), ""
+                state = left_open(text, state)
+                if "<!ENTITY" in text or _PREFIXED.search(text) or _ENCODED.search(text):
+                    found.add(file)
+        if state:
+            found.add(place[0])
+        yield pa.RecordBatch.from_pydict({"file": pa.array(sorted(found), pa.string())})
+
+    value = F.col("value")
+    marks = ("<!", "-->", "]]>", ":trace", "encoding=")
+    some = chunks.filter(reduce(lambda a, b: a | b, (value.contains(m) for m in marks)))
+    return [r.file for r in some.mapInArrow(odd, "file string").distinct().collect()]
+
+
+def _split_rows(chunks: DataFrame, options: Options) -> DataFrame:
+    """Rows of files cut at ``<trace`` (value, file, block and default, in order): a trace's number is the place of its range and the trace's place there.
+
+    Numbers rise along a file, by one inside a range.
+    """
+
+    def parsed(batches: Iterator) -> Iterator:
+        told, place, n, held = _Told(), None, 0, []
+        for batch in batches:
+            for text, file, block, default in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (file, block):
+                    place, n, held = (file, block), -(block == 0), []
+                if n < 0:  # what stands before the first trace of a file
+                    n, held = 0, [text] if left_open(text) else []
+                    continue
+                if held and not held[0].startswith(CUT):  # the head goes on in a comment
+                    held.append(text)
+                    if not left_open(CUT.join(held)):
+                        held = []
+                    continue
+                held.append(CUT + text)
+                if left_open("".join(held)):
+                    continue
+                parser = ElementTree.XMLPullParser(("start", "end"))
+                parser.feed("".join(held))
+                held, depth = [], 0
+                for what, e in parser.read_events():  # what follows the trace is never read
+                    depth += 1 if what == "start" else -1
+                    if depth == 0:
+                        if told.add(file, block + n, *trace_of(e, options, default)):
+                            yield told.batch()
+                        break
+                else:
+                    raise ValueError(f"a trace of {file} has no end")
+                n += 1
+        yield told.batch()
+
+    return chunks.select("value", "file", "block", "default").mapInArrow(parsed, ROW)
+
+
+def _defaults(chunks: DataFrame, key: str) -> DataFrame:
+    """The global event attribute ``key`` of every file: file, default."""
+
+    def told(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                parser = ElementTree.XMLPullParser(("end",))
+                parser.feed(text)
+                found = [a for _, e in parser.read_events() if _local(e.tag) == "global" and e.get("scope") != "trace" for a in _attributes(e, None, Options())]
+                out.append(next((v for k, _, v in found if k == key), None))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], names=["file", "default"])
+
+    first = chunks.filter((F.col("block") == 0) & F.col("value").contains("<log")).select("value", "file")
+    return first.mapInArrow(told, "file string, default string").dropDuplicates(["file"])
+
+
 def _log(rows: DataFrame, meta: Meta | None = None) -> EventLog:
     def as_map(c: str, part: str = "value"):  # the first attribute of a key counts
         return F.map_from_entries(F.transform(F.array_distinct(F.transform(c, lambda a: a["key"])), lambda k: F.struct(k.alias("key"), F.filter(c, lambda a: a["key"] == k)[0][part].alias("value"))))
 
+    case = F.concat_ws("#", "file", F.col("trace_idx").cast("string")).alias("case_id")
     events = rows.filter("event_idx IS NOT NULL").withColumnRenamed("attrs", "listed")
-    events = events.select("file", "case_id", "trace_idx", "event_idx", as_map("listed").alias("attrs"), as_map("listed", "type").alias("attr_types"))
-    events = events.select(
-        "file", "case_id", "trace_idx", "event_idx", F.try_element_at("attrs", F.lit(ACTIVITY)).alias("activity"), timestamps.parse(F.try_element_at("attrs", F.lit(TIME))).alias("ts"), "attrs", "attr_types"
-    )
-    cases = rows.filter("event_idx IS NULL").select("file", "case_id", "trace_idx", as_map("case_attrs").alias("attrs"), as_map("case_attrs", "type").alias("attr_types"))
+    events = events.select("file", case, "case_name", "trace_idx", "event_idx", as_map("listed").alias("attrs"), as_map("listed", "type").alias("attr_types"))
+    activity, ts = F.try_element_at("attrs", F.lit(ACTIVITY)).alias("activity"), timestamps.parse(F.try_element_at("attrs", F.lit(TIME))).alias("ts")
+    events = events.select("file", "case_id", "case_name", "trace_idx", "event_idx", activity, ts, "attrs", "attr_types")
+    cases = rows.filter("event_idx IS NULL").select("file", case, "case_name", "trace_idx", as_map("case_attrs").alias("attrs"), as_map("case_attrs", "type").alias("attr_types"))
     return EventLog(events, cases, {"xes": meta} if meta else None)
 
 
 def read_xes(spark: SparkSession, path: str, options: Options = Options()) -> EventLog:
-    """A log from a file, a folder or a glob of ``.xes`` and ``.xes.gz`` files; files are parsed in parallel."""
-    return _log(_rows(spark.read.format("binaryFile").load(path), options))
+    """A log from a file, a folder or a glob of ``.xes`` and ``.xes.gz`` files in UTF-8, ranges of which are parsed in parallel.
+
+    A case is a trace: ``case_id`` is its file and number there, ``case_name`` its
+    ``concept:name`` (null without), so traces of one name stay apart.  Gzip files are
+    read as a stream, one task each.  Files that can't be cut at ``<trace`` (a comment
+    or CDATA section that holds it across ranges, entities, prefixed tags, other
+    encodings) are found by a first look and parsed whole, 2 GB at most.
+    """
+    chunks = spark.read.option("lineSep", CUT).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    whole = [] if options.plain else _whole_files(chunks)
+    if whole:
+        chunks = chunks.filter(~F.col("file").isin(whole))
+    if options.sort_by:  # a broadcast join keeps the order of rows; the driver has listed the files anyway
+        chunks = chunks.join(F.broadcast(_defaults(chunks, options.sort_by)), "file", "left")
+    else:
+        chunks = chunks.withColumn("default", F.lit(None).cast("string"))
+    rows = _split_rows(chunks, options)
+    if whole:
+        rows = rows.unionByName(_rows(spark.read.format("binaryFile").load(whole), options))
+    return _log(rows)
 
 
 def stream_xes(spark: SparkSession, folder: str, options: Options = Options()) -> EventLog:
@@ -196,50 +353,71 @@ def read_meta(data: bytes, options: Options = Options()) -> Meta:
     return meta
 
 
+#: Names of the types in JSON logs (fixed values), by tag.
+JSON_TYPES = {"string": "String", "date": "Date", "int": "Int", "float": "Float", "boolean": "Boolean", "id": "ID", "list": "List", "container": "Container"}
+TAG_OF = {v: k for k, v in JSON_TYPES.items()}
+
+
+def inner(value: str | None) -> list[tuple[str, str, str | None]]:
+    """The attributes in a list or container: (key, tag, text); its text is JSON, of rows or as in JSON logs."""
+    out = []
+    for x in json.loads(value or "[]"):
+        if isinstance(x, dict):
+            content = x["value"].get("content")
+            text = content if isinstance(content, str) or content is None else json.dumps(content)
+            x = (x["key"], TAG_OF.get(x["value"]["type"], "string"), text)
+        out.append(tuple(x))
+    return out
+
+
 def _xml(key: str, kind: str, value: str | None) -> str:
     if kind in ("list", "container"):
-        import json
-
-        inner = "".join(_xml(*a) for a in json.loads(value or "[]"))
-        return f"<{kind} key={quoteattr(key)}>{'<values>' + inner + '</values>' if kind == 'list' else inner}</{kind}>"
+        inner_xml = "".join(_xml(*a) for a in inner(value))
+        return f"<{kind} key={quoteattr(key)}>{'<values>' + inner_xml + '</values>' if kind == 'list' else inner_xml}</{kind}>"
     return f"<{kind} key={quoteattr(key)}" + (f" value={quoteattr(value)}" if value is not None else "") + "/>"
 
 
-def write_xes(log: EventLog, path: str, meta: Meta | None = None, types: dict[str, str] | None = None) -> None:
-    """Write a log to one file (gzip if it ends in ``.gz``), cases in their order, a case at a time.
+def _head(meta: Meta) -> str:
+    blank = any(re.search(r"\s", k) for _, ks in meta.classifiers for k in ks)
+    out = ['<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="2.0" xmlns="http://www.xes-standard.org/">']
+    out += [f"<extension name={quoteattr(n)} prefix={quoteattr(p)} uri={quoteattr(u)}/>" for n, p, u in meta.extensions]
+    out += [f'<global scope="{scope}">{"".join(_xml(*a) for a in listed)}</global>' for scope, listed in (("trace", meta.global_trace), ("event", meta.global_event)) if listed]
+    out += [f"<classifier name={quoteattr(n)} keys={quoteattr(' '.join(repr(k) if blank else k for k in ks))}/>" for n, ks in meta.classifiers]
+    return "\n".join([*out, *(_xml(*a) for a in meta.attributes)])
 
-    ``types`` gives the XES tag of attributes; else it is the one that was read
-    (``attr_types``); others are strings, the timestamp a date.
-    """
-    meta, types = meta or Meta(), {TIME: "date"} | (types or {})
-    tag = lambda k, own: types.get(k) or (own or {}).get(k, "string")
+
+def case_rows(log: EventLog) -> DataFrame:
+    """Every case with its attributes and events, in order: own, own_types and events (attrs, types), each as entries."""
     none = F.create_map().cast("map<string,string>")
-    kept = lambda frame: F.col("attr_types") if "attr_types" in frame.columns else none
+    kept = lambda frame: F.map_entries("attr_types") if "attr_types" in frame.columns else F.map_entries(none)
     e = log.events
-    attrs = F.col("attrs") if "attrs" in e.columns else F.create_map().cast("map<string,string>")
+    attrs = F.coalesce("attrs", none) if "attrs" in e.columns else none
     given = F.map_filter(F.map_from_arrays(F.array(F.lit(ACTIVITY), F.lit(TIME)), F.array("activity", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))), lambda _, v: v.isNotNull())
     every = F.map_concat(F.map_filter(attrs, lambda k, _: ~k.isin(ACTIVITY, TIME)), given)
-    grouped = e.select("case_id", "event_idx", F.map_entries(every).alias("_a"), F.map_entries(kept(e)).alias("_t")).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "_a", "_t"))).alias("events"))
+    listed = F.struct("event_idx", F.map_entries(every).alias("attrs"), kept(e).alias("types"))
+    grouped = e.select("case_id", listed.alias("x")).groupBy("case_id").agg(F.array_sort(F.collect_list("x")).alias("events"))
     cases = log.case_frame()
-    cases = cases.withColumn("_t", kept(cases))
-    if "attrs" not in cases.columns:
-        cases = cases.withColumn("attrs", F.create_map(F.lit(CASE), F.col("case_id")))
-    order = "trace_idx" if "trace_idx" in cases.columns else "case_id"
-    rows = cases.select("case_id", order if order != "case_id" else F.lit(0).alias("_o"), "attrs", "_t").join(grouped, "case_id", "left").orderBy(order, "case_id")
-    blank = any(re.search(r"\s", k) for _, ks in meta.classifiers for k in ks)
-    with gzip.open(path, "wt", encoding="utf-8") if path.endswith(".gz") else open(path, "w", encoding="utf-8") as out:
-        out.write('<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="2.0" xmlns="http://www.xes-standard.org/">\n')
-        for n, p, u in meta.extensions:
-            out.write(f"<extension name={quoteattr(n)} prefix={quoteattr(p)} uri={quoteattr(u)}/>\n")
-        for scope, listed in (("trace", meta.global_trace), ("event", meta.global_event)):
-            if listed:
-                out.write(f'<global scope="{scope}">{"".join(_xml(*a) for a in listed)}</global>\n')
-        for n, ks in meta.classifiers:
-            out.write(f"<classifier name={quoteattr(n)} keys={quoteattr(' '.join(repr(k) if blank else k for k in ks))}/>\n")
-        out.write("".join(_xml(*a) + "\n" for a in meta.attributes))
-        for r in rows.toLocalIterator():
-            out.write("<trace>" + "".join(_xml(k, tag(k, r._t), v) for k, v in (r.attrs or {}).items()))
-            for x in r.events or ():
-                out.write("<event>" + "".join(_xml(k, tag(k, dict(x["_t"] or ())), v) for k, v in x["_a"]) + "</event>")
-            out.write("</trace>\n")
-        out.write("</log>\n")
+    own = F.map_entries(F.coalesce("attrs", none)) if "attrs" in cases.columns else F.map_entries(F.create_map(F.lit(CASE), F.col("case_id")))
+    order = [c for c in ("file", "trace_idx") if c in cases.columns] + ["case_id"]
+    cases = cases.select(*order, own.alias("own"), kept(cases).alias("own_types"))
+    return cases.join(grouped, "case_id", "left").orderBy(*order).select("own", "own_types", "events")
+
+
+def write_xes(log: EventLog, path: str, meta: Meta | None = None, types: dict[str, str] | None = None) -> None:
+    """Write a log to one file (gzip if it ends in ``.gz``), or, if ``path`` ends in ``/``, to a folder of XES files that executors write; cases in their order.
+
+    ``types`` gives the XES tag of attributes; else it is the one that was read
+    (``attr_types``); others are strings, the timestamp a date.
+    """
+    types = {TIME: "date"} | (types or {})
+
+    def told(r: dict) -> str:
+        tag = lambda k, own: types.get(k) or own.get(k) or "string"
+        listed = lambda attrs, kinds: "".join(_xml(a["key"], tag(a["key"], {t["key"]: t["value"] for t in kinds}), a["value"]) for a in attrs)
+        return "<trace>" + listed(r["own"], r["own_types"]) + "".join(f"<event>{listed(x['attrs'], x['types'])}</event>" for x in r["events"] or ()) + "</trace>"
+
+    rows = sink.texts(case_rows(log), told)
+    if path.endswith("/"):
+        sink.write_documents(rows, path, _head(meta or Meta()), "</log>")
+    else:
+        sink.write_file([(_head(meta or Meta()) + "\n", rows, "")], path, "</log>\n")
