@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-import gzip
+import io
 import json
 import os
 import sqlite3
@@ -11,6 +11,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import closing
 from datetime import datetime
+from functools import partial
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from eventloom import model
 from eventloom.functions import timestamps, values
 from eventloom.model import Ocel
+from eventloom.sources import json_stream, sink
 
 _TYPE = "array<struct<name:string,attributes:array<struct<name:string,type:string>>>>"
 _LINKS = "relationships:array<struct<objectId:string,qualifier:string>>"
@@ -28,12 +30,13 @@ JSON_SCHEMA = (
     f"events array<struct<id:string,type:string,time:string,attributes:array<struct<name:string,value:string>>,{_LINKS}>>, "
     f"objects array<struct<id:string,type:string,attributes:array<struct<name:string,time:string,value:string>>,{_LINKS}>>"
 )
+_LINE_ENDS = {"\n": "&#10;", "\r": "&#13;"}
 FORMATS = {"json": "json", "jsonocel": "json", "xml": "xml", "xmlocel": "xml", "ocel.csv": "csv", "csv": "csv", "sqlite": "sqlite", "db": "sqlite", "duckdb": "duckdb"}
 
 
 def infer_format(path: str) -> str | None:
     """The format that a path's ending names; ``.gz`` and ``ocel.csv`` are double endings."""
-    parts = os.path.basename(path).lower().removesuffix(".gz").split(".")
+    parts = os.path.basename(path.rstrip("/")).lower().removesuffix(".gz").split(".")
     return FORMATS.get(".".join(parts[-2:])) or FORMATS.get(parts[-1])
 
 
@@ -116,15 +119,60 @@ def _type_frame(spark: SparkSession, types: dict[str, dict[str, list[tuple[str,
 # -- JSON ------------------------------------------------------------------------------
 
 
+#: Rows that the reader gives out at once.
+BATCH_ROWS = 5_000
+_KEYS = {"eventTypes": "event-type", "objectTypes": "object-type", "events": "event", "objects": "object"}
+
+
 def read_json(spark: SparkSession, path: str) -> Ocel:
-    """OCEL 2.0 JSON; unknown keys are ignored and the order of keys doesn't matter."""
-    raw = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
-    parts = []
-    for kind, column in (("event", "eventTypes"), ("object", "objectTypes")):
-        t = raw.select(F.explode(column).alias("t")).select(F.col("t.name").alias("type"), F.posexplode_outer("t.attributes").alias("pos", "a"))
-        parts.append(t.select(F.lit(kind).alias("kind"), "type", "pos", F.col("a.name").alias("attr"), F.col("a.type").alias("attr_type")))
-    flat = lambda c: raw.select(F.posexplode(c).alias("pos", "x")).select("pos", "x.*")
-    return from_nested(flat("events"), flat("objects"), parts[0].unionByName(parts[1]))
+    """OCEL 2.0 JSON, a file or a folder of documents (gzip if a name ends in ``.gz``), each read as a stream by one task.
+
+    Unknown keys are passed over and keys may come in any order; a task holds
+    one event or object and a batch of rows, whatever the size of its file.
+    Relationships name objects that may come later or stand in another document:
+    they are rows of their own, which operators join.
+    """
+    # only names: the files' bytes aren't read by Spark
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+    def parsed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        told = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.string(), pa.int64()))], names=["kind", "body", "pos"])
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(file)
+                held = []
+                with system.open_input_stream(at, compression="detect") as raw, io.TextIOWrapper(raw, "utf-8-sig") as text:
+                    for n, (key, x) in enumerate(json_stream.elements(json_stream.Stream(text.read), _KEYS)):
+                        held.append((_KEYS[key], _body(key, x), n))
+                        if len(held) == BATCH_ROWS:
+                            yield told(held)
+                            held = []
+                if held:
+                    yield told(held)
+
+    return _from_rows(files.mapInArrow(parsed, "kind string, body string, pos long"))
+
+
+def _body(key: str, x: dict) -> str:
+    """An element with values as text."""
+    for a in x.get("attributes") or () if key in ("events", "objects") else ():
+        v = a.get("value")
+        a["value"] = v if isinstance(v, str) or v is None else json.dumps(v)
+    return json.dumps(x)
+
+
+def _from_rows(rows: DataFrame) -> Ocel:
+    """A log from rows of kind (event-type, object-type, event, object), body (JSON) and pos."""
+    body = "id string, type string, time string, attributes array<struct<name:string,time:string,value:string>>, relationships array<struct<objectId:string,qualifier:string>>"
+    flat = lambda kind: rows.filter(F.col("kind") == kind).select("pos", F.from_json("body", body).alias("x")).select("pos", "x.*")
+    t = rows.filter(F.col("kind").endswith("-type")).select(F.regexp_replace("kind", "-type", "").alias("kind"), F.from_json("body", "name string, attributes array<struct<name:string,type:string>>").alias("t"))
+    t = t.select("kind", F.col("t.name").alias("type"), F.posexplode_outer("t.attributes").alias("pos", "a")).select("kind", "type", "pos", F.col("a.name").alias("attr"), F.col("a.type").alias("attr_type")).distinct()
+    ob = flat("object")
+    ob = ob.withColumn("attributes", F.transform("attributes", lambda a: F.struct(a["name"].alias("name"), F.coalesce(a["time"], F.lit("1970-01-01T00:00:00Z")).alias("time"), a["value"].alias("value"))))
+    return from_nested(flat("event"), ob, t)
 
 
 def _when(ts: datetime | None) -> str:
@@ -132,20 +180,25 @@ def _when(ts: datetime | None) -> str:
 
 
 def write_json(log: Ocel, path: str) -> None:
-    """OCEL 2.0 JSON in one file, written an event or object at a time."""
+    """OCEL 2.0 JSON: one file, or a folder of documents if ``path`` ends in ``/``; executors write events and objects."""
     events, objects = nested(log)
     types = declared_types(log)
-    with gzip.open(path, "wt", encoding="utf-8") if path.endswith(".gz") else open(path, "w", encoding="utf-8") as out:
-        told = lambda kind: json.dumps([{"name": t, "attributes": [{"name": a, "type": k} for a, k in attrs]} for t, attrs in types[kind].items()])
-        out.write(f'{{"eventTypes":{told("event")},"objectTypes":{told("object")},"events":[')
-        for n, r in enumerate(events.toLocalIterator()):
-            attrs = [{"name": a.name, "value": values.typed(a.value, a.type)} for a in r.attributes or ()]
-            out.write("," * (n > 0) + json.dumps({"id": r.event_id, "type": r.event_type, "time": _when(r.ts), "attributes": attrs, "relationships": [{"objectId": x.object_id, "qualifier": x.qualifier} for x in r.relationships or ()]}))
-        out.write('],"objects":[')
-        for n, r in enumerate(objects.toLocalIterator()):
-            attrs = [{"name": a.name, "time": _when(a.ts), "value": values.typed(a.value, a.type)} for a in r.attributes or ()]
-            out.write("," * (n > 0) + json.dumps({"id": r.object_id, "type": r.object_type, "attributes": attrs, "relationships": [{"objectId": x.target_id, "qualifier": x.qualifier} for x in r.relationships or ()]}))
-        out.write("]}")
+
+    def told(r: dict, kind: str, other: str) -> str:
+        timed = (lambda a: {"time": _when(a["ts"])}) if kind == "object" else (lambda a: {})
+        attrs = [{"name": a["name"], **timed(a), "value": values.typed(a["value"], a["type"])} for a in r["attributes"] or ()]
+        when = {"time": _when(r["ts"])} if kind == "event" else {}
+        return json.dumps({"id": r[f"{kind}_id"], "type": r[f"{kind}_type"], **when, "attributes": attrs, "relationships": [{"objectId": x[other], "qualifier": x["qualifier"]} for x in r["relationships"] or ()]})
+
+    listed = lambda kind: json.dumps([{"name": t, "attributes": [{"name": a, "type": k} for a, k in attrs]} for t, attrs in types[kind].items()])
+    head = f'{{"eventTypes":{listed("event")},"objectTypes":{listed("object")},'
+    ev = sink.texts(events, partial(told, kind="event", other="object_id"), "event_id", "event_type", "ts", "attributes", "relationships")
+    ob = sink.texts(objects, partial(told, kind="object", other="target_id"), "object_id", "object_type", "attributes", "relationships")
+    if path.endswith("/"):
+        sink.write_documents(ev, f"{path}events", head + '"events":[', "]}", ",")
+        sink.write_documents(ob, f"{path}objects", head + '"objects":[', "]}", ",")
+    else:
+        sink.write_file([(head + '"events":[', ev, ","), ('],"objects":[', ob, ",")], path, "]}")
 
 
 # -- XML -------------------------------------------------------------------------------
@@ -177,7 +230,7 @@ def parse_xml(stream) -> Iterator[tuple[str, dict]]:
 
 def read_xml(spark: SparkSession, path: str) -> Ocel:
     """OCEL 2.0 XML; files are parsed in executors, as a stream of elements each."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
 
     def parsed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,40 +248,36 @@ def read_xml(spark: SparkSession, path: str) -> Ocel:
                 if held:
                     yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in held], "body": [b for _, b in held]})
 
-    rows = files.mapInArrow(parsed, "kind string, body string").withColumn("pos", F.monotonically_increasing_id())
-    body = "id string, type string, time string, attributes array<struct<name:string,time:string,value:string>>, relationships array<struct<objectId:string,qualifier:string>>"
-    flat = lambda kind: rows.filter(F.col("kind") == kind).select("pos", F.from_json("body", body).alias("x")).select("pos", "x.*")
-    t = rows.filter(F.col("kind").endswith("-type")).select(F.regexp_replace("kind", "-type", "").alias("kind"), F.from_json("body", "name string, attributes array<struct<name:string,type:string>>").alias("t"))
-    t = t.select("kind", F.col("t.name").alias("type"), F.posexplode_outer("t.attributes").alias("pos", "a")).select("kind", "type", "pos", F.col("a.name").alias("attr"), F.col("a.type").alias("attr_type"))
-    ob = flat("object")
-    ob = ob.withColumn("attributes", F.transform("attributes", lambda a: F.struct(a["name"].alias("name"), F.coalesce(a["time"], F.lit("1970-01-01T00:00:00Z")).alias("time"), a["value"].alias("value"))))
-    return from_nested(flat("event"), ob, t)
+    return _from_rows(files.mapInArrow(parsed, "kind string, body string").withColumn("pos", F.monotonically_increasing_id()))
 
 
 def write_xml(log: Ocel, path: str) -> None:
-    """OCEL 2.0 XML in one file; values are text, so empty ones come back as null."""
+    """OCEL 2.0 XML: one file, or a folder of documents if ``path`` ends in ``/``; values are text, so empty ones come back as null."""
     events, objects = nested(log)
     types = declared_types(log)
-    with gzip.open(path, "wt", encoding="utf-8") if path.endswith(".gz") else open(path, "w", encoding="utf-8") as out:
-        out.write('<?xml version="1.0" encoding="UTF-8"?>\n<log>\n')
-        for kind in ("object", "event"):
-            out.write(f"<{kind}-types>")
-            for t, attrs in types[kind].items():
-                inner = "".join(f"<attribute name={quoteattr(a)} type={quoteattr(k)}/>" for a, k in attrs)
-                out.write(f"<{kind}-type name={quoteattr(t)}><attributes>{inner}</attributes></{kind}-type>")
-            out.write(f"</{kind}-types>\n")
-        for kind, rows, other in (("object", objects, "target_id"), ("event", events, "object_id")):
-            out.write(f"<{kind}s>\n")
-            for r in rows.toLocalIterator():
-                time = f" time={quoteattr(_when(r.ts))}" if kind == "event" else ""
-                out.write(f"<{kind} id={quoteattr(r[f'{kind}_id'])} type={quoteattr(r[f'{kind}_type'])}{time}><attributes>")
-                for a in r.attributes or ():
-                    at = f" time={quoteattr(_when(a.ts))}" if kind == "object" else ""
-                    out.write(f"<attribute name={quoteattr(a.name)}{at}>{escape(a.value or '')}</attribute>")
-                links = "".join(f"<relationship object-id={quoteattr(x[other])} qualifier={quoteattr(x.qualifier or '')}/>" for x in r.relationships or ())
-                out.write(f"</attributes><objects>{links}</objects></{kind}>\n")
-            out.write(f"</{kind}s>\n")
-        out.write("</log>\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<log>\n'
+    for kind in ("object", "event"):
+        head += f"<{kind}-types>"
+        for t, attrs in types[kind].items():
+            inner = "".join(f"<attribute name={quoteattr(a)} type={quoteattr(k)}/>" for a, k in attrs)
+            head += f"<{kind}-type name={quoteattr(t)}><attributes>{inner}</attributes></{kind}-type>"
+        head += f"</{kind}-types>\n"
+
+    def told(r: dict, kind: str, other: str) -> str:
+        time = f" time={quoteattr(_when(r['ts']))}" if kind == "event" else ""
+        at = lambda a: f" time={quoteattr(_when(a['ts']))}" if kind == "object" else ""
+        # a line is a row of the parts: line ends inside values are references
+        attrs = "".join(f"<attribute name={quoteattr(a['name'])}{at(a)}>{escape(a['value'] or '', _LINE_ENDS)}</attribute>" for a in r["attributes"] or ())
+        links = "".join(f"<relationship object-id={quoteattr(x[other])} qualifier={quoteattr(x['qualifier'] or '')}/>" for x in r["relationships"] or ())
+        return f"<{kind} id={quoteattr(r[f'{kind}_id'])} type={quoteattr(r[f'{kind}_type'])}{time}><attributes>{attrs}</attributes><objects>{links}</objects></{kind}>"
+
+    ob = sink.texts(objects, partial(told, kind="object", other="target_id"), "object_id", "object_type", "attributes", "relationships")
+    ev = sink.texts(events, partial(told, kind="event", other="object_id"), "event_id", "event_type", "ts", "attributes", "relationships")
+    if path.endswith("/"):
+        sink.write_documents(ob, f"{path}objects", head + "<objects>", "</objects></log>")
+        sink.write_documents(ev, f"{path}events", head + "<events>", "</events></log>")
+    else:
+        sink.write_file([(head + "<objects>\n", ob, ""), ("</objects>\n<events>\n", ev, "")], path, "</events>\n</log>\n")
 
 
 # -- CSV -------------------------------------------------------------------------------
@@ -310,7 +359,12 @@ def write_csv(log: Ocel, path: str) -> None:
 
     def text(ident: str, qualifier: str | None, changes=None) -> str:
         out = ident + (f"#{qualifier}" if qualifier else "")
-        return out + (json.dumps({c.name: values.typed(c.value, c.type) for c in changes}) if changes else "")
+        return out + (json.dumps({c["name"]: values.typed(c["value"], c["type"]) for c in changes}) if changes else "")
+
+    def line(cells: list) -> str:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(cells)
+        return out.getvalue()
 
     def columns(refs) -> list[str]:
         by = defaultdict(list)
@@ -318,16 +372,14 @@ def write_csv(log: Ocel, path: str) -> None:
             by[kind].append(cell)
         return ["/".join(by[k]) for k in kinds]
 
-    stamp = lambda ts: ts.strftime("%Y-%m-%dT%H:%M:%S.%f+0000") if ts is not None and ts != datetime(1970, 1, 1) else ""
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(["id", "activity", "timestamp", *(f"ot:{k}" for k in kinds), *(f"ea:{n}" for n in names)])
-        for r in events.toLocalIterator():
-            out.writerow([r.event_id, r.event_type, stamp(r.ts), *columns((x.object_type, text(x.object_id, x.qualifier, x.changes)) for x in r.refs or ()), *((r.attrs or {}).get(n, "") for n in names)])
-        for r in o2o.toLocalIterator():
-            out.writerow([r.source_id, "o2o", "", *columns((x.object_type, text(x.target_id, x.qualifier)) for x in r.refs), *("" for _ in names)])
-        for r in rest.toLocalIterator():
-            out.writerow(["", "", stamp(r.ts), *columns([(r.object_type, text(r.object_id, None, r.changes))]), *("" for _ in names)])
+    none = [""] * len(names)
+    stamp = lambda ts: ts.strftime("%Y-%m-%dT%H:%M:%S.%f+0000") if ts is not None and ts.replace(tzinfo=None) != datetime(1970, 1, 1) else ""
+    of_event = lambda r: line([r["event_id"], r["event_type"], stamp(r["ts"]), *columns((x["object_type"], text(x["object_id"], x["qualifier"], x["changes"])) for x in r["refs"] or ()), *(dict(r["attrs"] or ()).get(n, "") for n in names)])
+    of_o2o = lambda r: line([r["source_id"], "o2o", "", *columns((x["object_type"], text(x["target_id"], x["qualifier"])) for x in r["refs"]), *none])
+    of_change = lambda r: line(["", "", stamp(r["ts"]), *columns([(r["object_type"], text(r["object_id"], None, r["changes"]))]), *none])
+    sections = [sink.texts(events, of_event, "event_id", "event_type", "ts", "refs", "attrs"), sink.texts(o2o, of_o2o, "source_id", "refs"), sink.texts(rest, of_change, "object_id", "object_type", "ts", "changes")]
+    head = line(["id", "activity", "timestamp", *(f"ot:{k}" for k in kinds), *(f"ea:{n}" for n in names)]) + "\n"
+    sink.write_file([(head if not i else "", rows, "") for i, rows in enumerate(sections)], path, "")
 
 
 # -- SQL databases ---------------------------------------------------------------------

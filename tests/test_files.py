@@ -148,3 +148,88 @@ def test_sinks_write_in_order_and_without_rows(spark, tmp_path):
     json_logs.write_log_json(log.without_cases(), f"{tmp_path}/none.json")
     assert xes.read_xes(spark, f"{tmp_path}/none.xes").cases.count() == 0 and json_logs.read_log_json(spark, f"{tmp_path}/none.json").cases.count() == 0
     assert not [p for p in tmp_path.iterdir() if "parts-" in p.name]
+
+
+# -- OCEL JSON as a stream, and OCEL sinks ----------------------------------------------
+
+
+def test_json_stream_of_any_order_and_chunk():
+    import io
+    import json
+
+    from eventloom.sources.json_stream import Stream, elements
+
+    doc = {"junk": {"events": [1, {"a": "]}\\\""}], "n": -1.5e3}, "objects": [{"id": "o\n", "x": [[]]}], "s": 'a "quoted" \\ {[', "t": True, "none": None, "events": [{"id": f"e{i} é", "v": i} for i in range(50)], "eventTypes": [], "last": 12}
+    for text in (json.dumps(doc), json.dumps(doc, indent=3, ensure_ascii=False), json.dumps(dict(reversed(doc.items())))):
+        for chunk in (1, 2, 7, 100, 10**6):
+            got = list(elements(Stream(io.StringIO(text).read, chunk), ("events", "objects", "eventTypes")))
+            assert [x for k, x in got if k == "events"] == doc["events"] and [x for k, x in got if k == "objects"] == doc["objects"]
+    assert list(elements(Stream(io.StringIO('{"events": null}').read), ("events",))) == []
+    for bad in ("", "[]", '{"events": [1}', '{"events": [1', '{"a": "b', '{"a": [', '{"a" 1}', "{} {}"):
+        with pytest.raises(ValueError):
+            list(elements(Stream(io.StringIO(bad).read, 3), ("events",)))
+
+
+def test_json_stream_holds_little():
+    from eventloom.sources.json_stream import Stream, elements
+
+    def document():
+        yield '{"skipped": [' + '{"a": "b"},' * 10
+        for _ in range(2000):
+            yield '{"a": "' + "x" * 1000 + '"},'
+        yield '1], "events": [{"id": "0"}'
+        for i in range(20_000):
+            yield f',{{"id": "{i}", "time": "2020-01-01T00:00:00Z", "attributes": []}}'
+        yield "]}"
+
+    parts, held = document(), ""
+
+    def read(n):
+        nonlocal held
+        while len(held) < n and (x := next(parts, "")):
+            held += x
+        out, held = held[:n], held[n:]
+        return out
+
+    stream = Stream(read, 4096)
+    assert sum(1 for _ in elements(stream, ("events",))) == 20_001 and stream.most <= 3 * 4096
+
+
+@pytest.fixture(scope="module")
+def trade(spark):
+    from dataclasses import replace
+
+    log = builders.make_ocel(spark, [("place", ["c:1", "o:1"]), ("pay", ["o:1", "c:1"]), ("place", ["c:2", "o:2", "o:3"])] * 5, [("c:1", "o:1"), ("c:2", "o:9")])
+    attrs = spark.createDataFrame([("ev:0", "note", "string", 'two\nlines "quoted" <&> é'), ("ev:1", "n", "integer", "3")], "event_id string, name string, type string, value string")
+    changes = log.events.select(F.lit("o:1").alias("object_id"), F.lit("price").alias("name"), "ts", F.lit("float").alias("type"), F.lit("2.5").alias("value")).limit(1)
+    return replace(log, event_attrs=attrs, object_attrs=changes)
+
+
+def key(log):
+    frames = (log.events.select("event_id", "event_type", "ts"), log.objects.select("object_id", "object_type"), log.e2o, log.o2o, log.event_attr_frame().select("event_id", "name", "value"), log.object_attr_frame().select("object_id", "name", "ts", "value"))
+    return [rows(f) for f in frames]
+
+
+@pytest.mark.parametrize("name", ["a.jsonocel", "b.jsonocel.gz", "c.jsonocel/", "d.xmlocel", "e.xmlocel.gz", "f.xmlocel/", "g.ocel.csv"])
+def test_ocel_sinks(spark, trade, tmp_path, name):
+    from eventloom.sources import ocel
+
+    path = f"{tmp_path}/{name}"
+    ocel.write_ocel(trade, path)
+    back = ocel.read_ocel(spark, path)
+    assert key(back) == key(trade)
+    if name.startswith("a"):  # input order is kept
+        assert [r.event_id for r in back.events.orderBy("event_idx").collect()] == [f"ev:{i}" for i in range(15)]
+
+
+def test_ocel_json_of_any_order(spark, tmp_path):
+    import json
+
+    from eventloom.sources import ocel
+
+    doc = {"objects": [{"id": "o", "type": "t", "attributes": [{"name": "n", "time": "2020-01-01T00:00:00Z", "value": 7}, {"name": "ok", "time": "2020-01-01T00:00:00Z", "value": True}], "relationships": [{"objectId": "later", "qualifier": "q"}], "unknown": [{}]}], "other": {"events": [{"id": "no"}]},
+           "events": [{"relationships": [{"objectId": "o", "qualifier": ""}], "time": "2020-01-02T00:00:00+01:00", "type": "e", "id": "1"}], "objectTypes": [{"name": "t", "attributes": [{"name": "n", "type": "integer"}]}], "eventTypes": [{"name": "e", "attributes": []}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    log = ocel.read_ocel(spark, str(tmp_path / "a.json"))
+    assert rows(log.object_attrs.select("name", "type", "value")) == [("n", "integer", "7"), ("ok", "boolean", "true")]
+    assert rows(log.o2o) == [("o", "later", "q")] and rows(log.e2o) == [("1", "o", "")] and rows(log.events.select("event_id", "event_type")) == [("1", "e")]
