@@ -1,13 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is cut into lines, one a block element.  A line weighs its characters
-outside links; lines of elements that never hold main text (scripts, menus,
-headers, footers, sidebars, forms, notices, adverts, reader comments) weigh
-nothing, those of elements that are only named a little like them weigh a quarter
-inside an article.  Where the page's articles hold most of the weight, lines
-outside them weigh nothing too.  Weights are summed over a sliding window: a
-stretch of lines ends where the sums dive to nothing, and is main text if they
-surge in it.
+outside links; lines of elements that by HTML never hold main text (scripts,
+menus, headers, footers, sidebars, forms) weigh nothing.  Names weigh, too: a
+block that is called an advert, a sidebar, a notice or reader comments counts
+for nothing unless it holds most of the page or its headline, as wrappers do; one that
+is only named somewhat like that loses its short and linked lines, and its others
+weigh a quarter.  Where the page's articles hold most of the weight, lines outside
+them weigh nothing, and those inside never weigh nothing.  Weights are summed over a sliding window: a stretch
+of lines is main text where the sums surge; it ends where they dive, and at its
+last lines of any weight.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from eventloom.llm import common
 
 #: Lines summed at each place.
 WINDOW = 3
-#: A sum that is a surge, in characters.  Where no sum reaches it, the greatest one is.
-SURGE = 86
+#: A sum that is a surge, in characters.  Where no sum reaches it, the greatest one is.  A sum under the other number is a dive.
+SURGE, DIVE = 86, 21
 #: A line inside an article of which a class or id holds a weak word weighs one part in so many.
 WEAK_PART = 4
 #: Html handled at once, in UTF-8 bytes.
@@ -65,12 +67,17 @@ _NAMES = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-#: How an element counts: its text is never main text, for what it is or for what it is called; it is named a little like such; otherwise.
-NEVER, NAMED, WEAK, PLAIN = 3, 2, 1, 0
+#: Of these any part of a block's name says that readers' comments are in it.
+COMMENT_NAMES = frozenset("comment comments respond reply replies disqus".split())
+#: Elements that hold a line rather than blocks: part of a name says what they are about, not what they are.
+LINE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre summary legend address q em strong b i u s a span small mark code".split())
+#: How an element counts: never main text by HTML; called readers' comments; called another side part; a part of its
+#: name is such a word; it is named a little like such; otherwise.
+NEVER, COMMENTS, NAMED, PARTLY, WEAK, PLAIN = 5, 4, 3, 2, 1, 0
 
 
 def _kind(tag: str, attributes: str) -> int:
-    """NEVER, NAMED, WEAK or PLAIN, by an element's name and attributes."""
+    """How an element counts, by its name and attributes."""
     if tag in DROPPED:
         return NEVER
     if not attributes or tag in ("html", "body"):
@@ -86,8 +93,13 @@ def _kind(tag: str, attributes: str) -> int:
         if name in ("class", "id"):
             for token in value.split():
                 parts = _NAMES.findall(token)
-                if token in WHOLE_NAMES or not STRONG_NAMES.isdisjoint(parts):
+                comments = token in COMMENT_NAMES or tag not in LINE_TAGS and not COMMENT_NAMES.isdisjoint(parts)
+                if comments:
+                    kind = max(kind, COMMENTS)
+                elif token in WHOLE_NAMES:
                     kind = max(kind, NAMED)
+                elif not STRONG_NAMES.isdisjoint(parts) and tag not in LINE_TAGS:
+                    kind = max(kind, PARTLY)
                 elif not WHOLE_NAMES.isdisjoint(parts):
                     kind = max(kind, WEAK)
     return kind
@@ -122,18 +134,18 @@ def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
 
 
 class _Elements:
-    """The open elements of a page: name, kind and article of each, with what is above counted in."""
+    """The open elements of a page: name, kind, article and named elements of each, with what is above counted in."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, int]] = [("", PLAIN, 0)]
+        self.stack: list[tuple[str, int, int, tuple]] = [("", PLAIN, 0, ())]
         self.often: Counter[str] = Counter()
         self.blocks: list[int] = []  # where block elements stand
 
-    def push(self, tag: str, kind: int, article: int) -> None:
+    def push(self, tag: str, kind: int, article: int, named: tuple) -> None:
         if tag in BLOCKS:
             self.blocks.append(len(self.stack))
         self.often[tag] += 1
-        self.stack.append((tag, kind, article))
+        self.stack.append((tag, kind, article, named))
 
     def cut(self, depth: int) -> None:
         """Close all elements from ``depth`` on."""
@@ -154,9 +166,12 @@ class _Elements:
             self.cut(found[-1])
 
 
-def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """The page's lines in order: text, number of the article it is in (0: none), kind, characters in links."""
-    out: list[tuple[str, int, int, int]] = []
+def lines(page: str) -> tuple[list[tuple[str, int, int, int, tuple]], set[int]]:
+    """The page's lines in order: text, number of the article it is in (0: none), NEVER, WEAK or PLAIN, characters in links,
+    and the side parts that it is in by name: (number, COMMENTS, NAMED or PARTLY); and the numbers of those around a headline or article."""
+    out: list[tuple[str, int, int, int, tuple]] = []
+    around: set[int] = set()
+    sides = 0
     held: list[str] = []
     open_ = _Elements()
     articles, at, linked, links = 0, 0, 0, 0
@@ -167,7 +182,8 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, open_.stack[-1][2], open_.stack[-1][1], min(linked, len(text))))
+                _, kind, article, named = open_.stack[-1]
+                out.append((text, article, kind, min(linked, len(text)), named))
         linked = 0
 
     def hold(text: str) -> None:
@@ -196,10 +212,13 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 open_.close_block({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}, over_p=True)
             if tag not in VOID and (tag in BLOCKS or tag in DROPPED or not attributes.rstrip().endswith("/")):
-                _, above, article = open_.stack[-1]
+                _, above, article, named = open_.stack[-1]
+                if tag in ("h1", "main", "article"):  # comments may be articles
+                    around.update(n for n, k in named if tag != "article" or k != COMMENTS)
+                if WEAK < kind < NEVER:
+                    sides += 1
+                    named, kind = (*named, (sides, kind)), PLAIN
                 if tag == "article" or tag == "main" and not article:
-                    if not articles and above == NAMED:
-                        above = PLAIN  # a wrapper that is only named like a side part, as in "with-sidebar"
                     articles += 1
                     article = article or articles
                 if tag in RAW:
@@ -208,7 +227,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                     if max(above, kind) <= WEAK:
                         hold(page[at:skip])
                     at = skip
-                open_.push(tag, max(above, kind), article)
+                open_.push(tag, max(above, kind), article, named)
         try:
             found = tags.send(skip)
         except StopIteration:
@@ -216,7 +235,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     if at < len(page):
         hold(page[at:])
     end_line()
-    return out
+    return out, around
 
 
 @cache
@@ -224,19 +243,29 @@ def _raw_end(tag: str) -> re.Pattern[str]:
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
 
 
-def weights(found: list[tuple[str, int, int, int]]) -> list[int | None]:
-    """The weight of each of ``lines``; None for those that are never main text.
+def weights(found: list[tuple[str, int, int, int, tuple]], around: set[int]) -> list[int | None]:
+    """The weight of each of ``lines``; None for those that are no main text.
 
-    Inside an article links and weak names make a line lighter, but not empty.
+    A side part by name that is around a headline or an article is a wrapper and counts
+    like others; so is, on a page without articles, one that holds more than half of the
+    characters outside links, but for comments.  Inside an article links and weak names make a line lighter, but not empty.
     """
+    plain = [0 if kind == NEVER else len(text) - linked for text, _, kind, linked, _ in found]
+    held: Counter[int] = Counter()
+    for w, line in zip(plain, found):
+        for n, kind in line[4]:
+            held[n] += w if kind != COMMENTS else 0
+    marked = any(w and line[1] for w, line in zip(plain, found))
+    wrappers = around | {n for n, w in held.items() if 2 * w > sum(plain) and not marked}
     out: list[int | None] = []
-    for text, article, kind, linked in found:
-        if kind >= NAMED or kind == WEAK and not article:
+    for (text, article, kind, linked, named), w in zip(found, plain):
+        side = max((k for n, k in named if n not in wrappers), default=PLAIN)
+        if kind == NEVER or side >= NAMED or side == PARTLY and w < SURGE:
             out.append(None)
         elif article:
-            out.append(max(1, (len(text) - linked + linked // WEAK_PART) // (WEAK_PART if kind == WEAK else 1)))
+            out.append(max(1, (w + linked // WEAK_PART) // (WEAK_PART if kind == WEAK or side else 1)))
         else:
-            out.append(len(text) - linked)
+            out.append(w // WEAK_PART if kind == WEAK or side else w)
     total = sum(w or 0 for w in out)
     inside = sum(w or 0 for w, line in zip(out, found) if line[1])
     if inside and 2 * inside >= total:
@@ -244,8 +273,8 @@ def weights(found: list[tuple[str, int, int, int]]) -> list[int | None]:
     return out
 
 
-def stretches(weight: list[int | None], window: int, surge: int) -> list[tuple[int, int]]:
-    """Stretches of lines (first, end) in which the window sums surge, each ending where they dive to nothing."""
+def stretches(weight: list[int | None], window: int, surge: int, dive: int = 1) -> list[tuple[int, int]]:
+    """Stretches of lines (first, end) in which the window sums surge, each ending where they dive: to less than ``dive``, and nothing at least."""
     n = len(weight)
     values = [w or 0 for w in weight]
     total, sums = sum(values[:window]), []
@@ -255,7 +284,7 @@ def stretches(weight: list[int | None], window: int, surge: int) -> list[tuple[i
     least = min(surge, max(sums, default=0))
     out, first, high = [], None, 0
     for i, s in enumerate([*sums, 0]):
-        if s:
+        if s >= min(dive, least) and s:
             first, high = (i, s) if first is None else (first, max(high, s))
         elif first is not None:
             if high >= least:
@@ -264,19 +293,31 @@ def stretches(weight: list[int | None], window: int, surge: int) -> list[tuple[i
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Main text of a page: the lines of its surging stretches, but for those that are never main text, joined by one space.
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> str:
+    """Main text of a page: the lines of its surging stretches, but for those that are no main text, joined by one space.
 
-    Empty for null, empty or text-free html.
+    Empty for null, empty or text-free html.  In an article, whose borders the page
+    itself draws, sums dive only to nothing.
     """
     if not page:
         return ""
-    found = lines(page)
-    weight = weights(found)
+    found, around = lines(page)
+    weight = weights(found, around)
     # a run of side lines inside an article counts as one line
     kept = [i for i, w in enumerate(weight) if w is not None or not i or weight[i - 1] is not None or not found[i][1] == found[i - 1][1] > 0]
-    spans = stretches([weight[i] for i in kept], window, surge)
-    return " ".join(found[i][0] for a, b in spans for i in kept[a:b] if weight[i] is not None)
+    light = [weight[i] for i in kept]
+    if any(w and found[i][1] for i, w in zip(kept, light)):
+        dive = 1
+    out = []
+    for a, b in stretches(light, window, surge, dive):
+        # a sum counts for all the lines under it; those at the ends must weigh something
+        own = [i for i in kept[a : max(b, min(b + window - 1, len(kept)) if dive > 1 else b)]]
+        while own and not weight[own[-1]]:
+            own.pop()
+        while own and not weight[own[0]]:
+            own.pop(0)
+        out += [i for i in own if weight[i] is not None]
+    return " ".join(found[i][0] for i in dict.fromkeys(out))
 
 
 def extract(pages: DataFrame, keys: list[str], column: str = "html") -> DataFrame:
