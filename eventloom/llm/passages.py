@@ -53,8 +53,11 @@ STEP_BYTES = 4 << 20
 _INDEX_BITS = 28
 #: A window: key, function, place of the least hash, first and last shingle.
 WINDOW = [("key", "<i8"), ("f", "<i4"), ("p", "<i4"), ("l", "<i4"), ("r", "<i4")]
+PASSAGE = "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>"
 #: Each round of step 4 takes this many times as many documents of a key as the one before.
-ROUND_GROWTH = 4
+ROUND_GROWTH = 8
+#: Places of windows are compared by cells of so many shingles.
+CELL = 64
 #: Windows of one key are joined in parts of about this many; hot keys up to so many are broadcast (12 bytes each).
 KEY_PART, BROADCAST_KEYS = 5_000, 1_000_000
 
@@ -193,8 +196,13 @@ def overlaid(anchors: np.ndarray, width: int, agree: int) -> list[tuple[int, int
     return out
 
 
-def matched(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int, int, int, int, float, np.ndarray, np.ndarray]]:
-    """Stretches of ``own`` that repeat a stretch of ``other``: first, last, other's first, other's last, similarity, and the places in ``own`` and ``other`` that match.
+def matched(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int, int, int, int, float, np.ndarray]]:
+    """Stretches of ``own`` that repeat a stretch of ``other``: first, last, other's first, other's last, similarity, and the places in ``own`` that match."""
+    return [x[:6] for x in matched_places(own, other, width)]
+
+
+def matched_places(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int, int, int, int, float, np.ndarray, np.ndarray]]:
+    """``matched``, with the places in ``other`` that match, too.
 
     Matching shingles at most ``MOST_GAP`` apart make a stretch; it counts from
     ``width`` shingles and a similarity of 0.75 on, and is divided at its widest
@@ -302,14 +310,37 @@ def still_open(own: np.ndarray, left: np.ndarray, spans: list, runs: list, width
     return np.concatenate((cut, rest)), np.concatenate((whole, rest)), len(cut)
 
 
-def next_sources(windows: DataFrame, sources: DataFrame | None, number: int) -> DataFrame:
-    """The first ``number`` documents of each key that aren't among ``sources`` and that a later one with an open window follows: key, source_id, source_hash, source_l, source_r (of all its windows)."""
+def unmet_sources(windows: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """The documents of each key that aren't among ``sources`` and that a later one with an open window follows: key, source_id, source_hash, source_l, source_r (of all its windows)."""
     last = windows.filter("open").groupBy("key").agg(F.max("doc_id").alias("last"))
     one = windows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("whole_l").alias("source_l"), F.max("whole_r").alias("source_r"))
     one = one.join(last, "key").filter("source_id < last").drop("last")
-    if sources is not None:
-        one = one.join(sources.select("key", "source_id", "source_hash"), ["key", "source_id", "source_hash"], "left_anti")
-    return one.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("source_id", "source_hash"))).filter(F.col("place") <= number).drop("place")
+    return one if sources is None else one.join(sources.select("key", "source_id", "source_hash"), ["key", "source_id", "source_hash"], "left_anti")
+
+
+def first_sources(unmet: DataFrame, number: int) -> DataFrame:
+    """The first ``number`` documents of each key."""
+    return unmet.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("source_id", "source_hash"))).filter(F.col("place") <= number).drop("place")
+
+
+def live_windows(windows: DataFrame, unmet: DataFrame) -> DataFrame:
+    """Windows of keys that have unmet sources, and open windows that may lie over an open one of those.
+
+    A stretch that two functions agree on is inside the windows of both and holds
+    the places of both, so the place of the other is inside the one's window;
+    places are compared by cells of ``CELL`` shingles.
+    """
+    keys = unmet.select("key", F.lit(True).alias("live")).distinct()
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    marked = windows.join(keys, "key", "left").withColumn("cell", cell("p"))
+    near = marked.filter("open AND live").select("doc_id", "hash", F.explode(F.sequence(cell("l"), cell("r"))).alias("cell"), F.lit(True).alias("near")).distinct()
+    return marked.join(few(near), ["doc_id", "hash", "cell"], "left").filter("live OR (open AND near)").drop("live", "near", "cell")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, stored; broadcast if they are no more than ``BROADCAST_SPANS``."""
+    rows = common.stored(rows, "few")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SPANS else rows
 
 
 def stretches(windows: DataFrame, sources: DataFrame, width: int, agree: int) -> DataFrame:
@@ -360,7 +391,7 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
             owners, out = [], []
             for k, (first, lo, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "source_first", "own", "other")))):
                 first, lo = max(0, first - width), max(0, lo - width)
-                for a, b, c, d, alike, hits, there in matched(np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4"), width):
+                for a, b, c, d, alike, hits, there in matched_places(np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4"), width):
                     cuts = np.flatnonzero((np.diff(hits) != 1) | (np.diff(there) != 1))
                     runs = zip(hits[np.append(0, cuts + 1)].tolist(), hits[np.append(cuts, len(hits) - 1)].tolist())
                     owners.append(k), out.append((first + a, first + b + n, lo + c, lo + d + n, alike, [{"a": first + x, "b": first + y} for x, y in runs]))
@@ -369,11 +400,14 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("hash").take(at), batch.column("source_id").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "hash", "source_id", "start_word", "end_word", "source_start", "source_end", "similarity", "runs"])
 
-    own = found.join(docs.select("doc_id", "hash", "tokens"), ["doc_id", "hash"]).withColumn("own", sliced("tokens", "first", "last")).drop("tokens")
-    others = docs.select(F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash"), "tokens")
-    both = own.join(others, ["source_id", "source_hash"]).withColumn("other", sliced("tokens", "source_first", "source_last"))
-    both = both.select("doc_id", "hash", "source_id", "first", "source_first", "own", "other")
-    return both.mapInArrow(checked, "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>")
+    found = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
+    asked = F.broadcast(found) if found.count() <= BROADCAST_SPANS else found
+    # slices of the texts meet, not the texts
+    own = docs.select("doc_id", "hash", "tokens").join(asked.select("doc_id", "hash", "row", "first", "last"), ["doc_id", "hash"]).select("row", sliced("tokens", "first", "last").alias("own"))
+    other = docs.select(F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash"), "tokens").join(asked.select("source_id", "source_hash", "row", "source_first", "source_last"), ["source_id", "source_hash"])
+    other = other.select("row", sliced("tokens", "source_first", "source_last").alias("other"))
+    both = found.join(own, "row").join(other, "row").select("doc_id", "hash", "source_id", "first", "source_first", "own", "other")
+    return both.mapInArrow(checked, PASSAGE)
 
 
 def first_of_equals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -417,25 +451,37 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
     common.drop_stored(texts)
     if not every.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
         every = common.stored(every.dropDuplicates(["doc_id", "hash"]), "repeating")
-    todo = common.stored(open_windows(every, None, width), "windows")
+    alone = common.stored(open_windows(every, None, width), "windows")
+    # a key that one document has tells nothing
+    keys = alone.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+    keys = common.stored(keys, "keys")
+    windows = common.stored(alone.join(keys, "key", "left_semi"), "windows")
+    common.drop_stored(alone)
+    none = docs.sparkSession.createDataFrame([], PASSAGE)
     sources, out, number = None, [], 1
     while True:
-        new = common.stored(next_sources(todo, sources, number), "sources")
-        if new.isEmpty():
+        unmet = common.stored(unmet_sources(windows, sources), "unmet")
+        if unmet.isEmpty():
             break
+        if sources is not None:
+            before, windows = windows, common.stored(live_windows(windows, unmet), "windows")
+            common.drop_stored(before)
+        new = common.stored(first_sources(unmet, number), "sources")
         known = new.withColumn("new", F.lit(True))
         if sources is not None:
             known = known.unionByName(sources.withColumn("new", F.lit(False)))
-        out.append(common.stored(verified(stretches(todo, known, width, agree), every, n, width), "passages"))
+        out.append(common.stored(verified(stretches(windows, known, width, agree), every, n, width), "passages"))
         sources = new if sources is None else sources.unionByName(new)
+        # windows of documents with new passages are looked at again
         passage = F.struct(F.col("start_word").cast("int").alias("a"), (F.col("end_word") - n).cast("int").alias("b"))
-        found = reduce(DataFrame.unionByName, out)
-        covered = found.groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
-        left = every.join(todo.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi")
-        before, todo = todo, common.stored(open_windows(left, covered, width), "windows")
-        common.drop_stored(before)
+        changed = few(out[-1].select("doc_id", "hash").distinct())
+        mine = reduce(DataFrame.unionByName, out).join(changed, ["doc_id", "hash"], "left_semi")
+        covered = mine.groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+        again = open_windows(every.join(changed, ["doc_id", "hash"], "left_semi"), covered, width).join(keys, "key", "left_semi")
+        before, windows = windows, common.stored(windows.join(changed, ["doc_id", "hash"], "left_anti").unionByName(again), "windows")
+        common.drop_stored(before, unmet)
         number *= ROUND_GROWTH
-    found = reduce(DataFrame.unionByName, out) if out else verified(stretches(todo, new.withColumn("new", F.lit(True)), width, agree), every, n, width)
+    found = reduce(DataFrame.unionByName, out, none)
     zero = F.lit(0).cast("long")
     whole = copies.filter(F.col("n_words") >= least_words).select("doc_id", "hash", "source_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("source_start"), F.col("n_words").alias("source_end"), F.lit(1.0).alias("similarity"))
     return found.drop("runs").distinct().unionByName(whole)
