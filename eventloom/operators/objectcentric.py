@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.model import EventLog, Ocel
+from eventloom.operators.segments import Along, hot_keys
 
 EPOCH = "1970-01-01 00:00:00"
+#: The order of an object's events.
+_ORDER = ("ts", "event_idx", "event_id")
 
 
 # -- lookups and statistics ------------------------------------------------------------
@@ -126,9 +129,14 @@ def object_dfg(log: Ocel, object_type: str | None = None) -> DataFrame:
     rows = log.linked()
     if object_type is not None:
         rows = rows.filter(F.col("object_type") == object_type)
-    w = W.partitionBy("object_id").orderBy("ts", "event_idx", "event_id")
-    pairs = rows.select("object_type", F.col("event_type").alias("from_activity"), F.lead("event_type").over(w).alias("to_activity"))
-    return pairs.filter("to_activity IS NOT NULL").groupBy("object_type", "from_activity", "to_activity").agg(F.count("*").alias("cnt"))
+    return _followed(log, rows)
+
+
+def _followed(log: Ocel, rows: DataFrame) -> DataFrame:
+    """Directly-follows relations along the objects of ``rows``: object_type, from_activity, to_activity, cnt."""
+    rows = rows.select("object_id", "object_type", "event_type", "ts", "event_idx", "event_id")
+    pairs = Along(rows, "object_id", hot_keys(log.e2o, "object_id"), _ORDER).with_neighbours({"to_activity": "event_type"})
+    return pairs.filter("to_activity IS NOT NULL").groupBy("object_type", F.col("event_type").alias("from_activity"), "to_activity").agg(F.count("*").alias("cnt"))
 
 
 def flatten(log: Ocel, object_type: str) -> EventLog:
@@ -167,10 +175,7 @@ def _change_place(changes: DataFrame) -> Column:
 
 def flattened_dfg(log: Ocel) -> DataFrame:
     """Directly-follows graphs of all flattened types in one plan: object_type, from_activity, to_activity, cnt."""
-    rows = log.linked(distinct=False)
-    w = W.partitionBy("object_id").orderBy("ts", "event_idx", "event_id")
-    pairs = rows.select("object_type", F.col("event_type").alias("from_activity"), F.lead("event_type").over(w).alias("to_activity"))
-    return pairs.filter("to_activity IS NOT NULL").groupBy("object_type", "from_activity", "to_activity").agg(F.count("*").alias("cnt"))
+    return _followed(log, log.linked(distinct=False))
 
 
 def object_variants(log: Ocel, object_type: str) -> DataFrame:
@@ -183,9 +188,8 @@ def object_variants(log: Ocel, object_type: str) -> DataFrame:
 
 def predecessors(log: Ocel) -> DataFrame:
     """For each event and object the time of the event before it on that object: event_id, event_type, ts, object_id, prev_ts."""
-    w = W.partitionBy("object_id").orderBy("ts", "event_id")
     rows = log.pairs().join(log.events.select("event_id", "event_type", "ts"), "event_id")
-    return rows.withColumn("prev_ts", F.lag("ts").over(w))
+    return Along(rows, "object_id", hot_keys(log.e2o, "object_id"), ("ts", "event_id")).with_neighbours(lag={"prev_ts": "ts"})
 
 
 def synchronisation(log: Ocel) -> DataFrame:
@@ -299,12 +303,17 @@ def abstraction(log: Ocel) -> DataFrame:
         (F.col("object_id") == F.min("object_id").over(of_type)).cast("int").alias("once_type"),
         (F.col("object_id") == F.min("object_id").over(event)).cast("int").alias("once"),
     )
-    w, same = W.partitionBy("object_id").orderBy("ts", "event_idx", "event_id"), W.partitionBy("object_id", "event_type")
-    rows = rows.withColumns({"next": F.lead("event_type").over(w), "place": F.row_number().over(w)})
-    rows = rows.withColumns({"varies": F.min("others").over(same) != F.max("others").over(same), "new": (F.col("place") == F.min("place").over(same)).cast("int")})
-    each = rows.groupBy("object_type", "event_type", "next").agg(
-        F.max("several").alias("several"), F.max("varies").alias("varies"), F.max(F.col("place") == 1).alias("first"),
-        F.sum("once_type").alias("n_ot"), F.sum("once").alias("n_one"), F.sum("new").alias("n_obj"),
+    rows = Along(rows, "object_id", hot_keys(log.e2o, "object_id"), _ORDER).with_neighbours({"next": "event_type"}, place="place")
+    # an object's events of a type are summed where they are, then by object: a hot one is no group of rows
+    per_object = rows.groupBy("object_id", "object_type", "event_type", "next").agg(
+        F.max("several").alias("several"), F.min("others").alias("lo"), F.max("others").alias("hi"), F.max(F.col("place") == 1).alias("first"),
+        F.sum("once_type").alias("n_ot"), F.sum("once").alias("n_one"),
+    )
+    same = W.partitionBy("object_id", "event_type")
+    per_object = per_object.withColumns({"varies": F.min("lo").over(same) != F.max("hi").over(same), "new": (F.row_number().over(same.orderBy("next")) == 1).cast("int")})
+    each = per_object.groupBy("object_type", "event_type", "next").agg(
+        F.max("several").alias("several"), F.max("varies").alias("varies"), F.max("first").alias("first"),
+        F.sum("n_ot").alias("n_ot"), F.sum("n_one").alias("n_one"), F.sum("new").alias("n_obj"),
     )
     per = each.groupBy("object_type", "event_type").agg(
         F.max("several").alias("several"), F.max("varies").alias("varies"), F.max("first").alias("first"), F.max(F.col("next").isNull()).alias("last"),
