@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,48 +89,63 @@ def fitness(found: DataFrame, candidates: Iterable[Candidate]) -> dict[Candidate
     if not listed:
         return {}
 
+    acts = sorted({x for a, b in listed for x in a | b})
+    number = {x: i for i, x in enumerate(acts)}
+    sides = [([number[x] for x in a], [number[x] for x in b]) for a, b in listed]
+
     def tallied(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sums: Counter = Counter()  # (candidate, activity or "": the case itself, what) -> cases
+        # of each candidate: cases and fitting cases by activity, the last column is the case itself; and strictly fitting cases
+        every, fit, strictly = (np.zeros((len(listed), len(acts) + 1), np.int64) for _ in range(3))
         for batch in batches:
-            for variant, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                acts = set(variant)
-                for i, (a, b) in enumerate(listed):
-                    own = acts & (a | b)
-                    if own:
-                        fits, strict = replayed(variant, a, b)
-                        sums[i, "", "strict"] += freq * strict
-                        for x in ("", *own):
-                            sums[i, x, "all"] += freq
-                            sums[i, x, "fit"] += freq * fits
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[j] for k in keys], pa.string()) for j in (1, 2)), pa.array([sums[k] for k in keys], pa.int64())], names=["i", "act", "what", "n"]
-        )
+            variants = batch.column(0)
+            sizes, freq = pc.fill_null(pc.list_value_length(variants), 0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            codes = pc.index_in(variants.flatten(), pa.array(acts, pa.string())).fill_null(len(acts)).to_numpy(zero_copy_only=False).astype(np.int64)
+            cases = np.repeat(np.arange(len(sizes)), sizes)
+            has = np.zeros((len(sizes), len(acts) + 1), bool)
+            has[cases, codes] = True
+            for i, (a, b) in enumerate(sides):
+                fits, strict = replayed(codes, cases, len(sizes), len(acts) + 1, a, b)
+                own = sorted({*a, *b})
+                touched = has[:, own].any(axis=1)
+                columns, weight = [*own, len(acts)], np.column_stack((has[:, own], touched)) * freq[:, None]
+                every[i, columns] += weight.sum(axis=0)
+                fit[i, columns] += weight[fits].sum(axis=0)
+                strictly[i, -1] += freq[strict & touched].sum()
+        out = [(i, acts[x] if x < len(acts) else "", what, int(table[i, x])) for what, table in (("all", every), ("fit", fit), ("strict", strictly)) for i, x in zip(*np.nonzero(table))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["i", "act", "what", "n"])
 
     rows = found.select("variant", "freq").mapInArrow(tallied, "i int, act string, what string, n long")
     got = {(r.i, r.act, r.what): r.n for r in rows.groupBy("i", "act", "what").agg(F.sum("n").alias("n")).collect()}  # candidates by activities
     out = {}
     for i, c in enumerate(listed):
         total = got.get((i, "", "all"), 0)
-        least = min((got[i, x, "fit"] / got[i, x, "all"] for x in c[0] | c[1] if got.get((i, x, "all"))), default=0.0)
-        out[c] = (got[i, "", "fit"] / total, least, got[i, "", "strict"] / total) if total else (0.0, 0.0, 0.0)
+        least = min((got.get((i, x, "fit"), 0) / got[i, x, "all"] for x in c[0] | c[1] if got.get((i, x, "all"))), default=0.0)
+        out[c] = (got.get((i, "", "fit"), 0) / total, least, got.get((i, "", "strict"), 0) / total) if total else (0.0, 0.0, 0.0)
     return out
 
 
-def replayed(variant: list[str], a: frozenset[str], b: frozenset[str]) -> tuple[bool, bool]:
-    """Whether a place from ``a`` to ``b`` fits a case: no token is missing, none is left; and whether it does so strictly."""
-    fits, tokens = [True, True], [0, 0]
-    for x in variant:
-        if x in a or x in b:
-            for k, strict in enumerate((False, True)):
-                if strict and x in a and x in b:
-                    fits[k] &= tokens[k] > 0
-                else:
-                    tokens[k] += (x in a) - (x in b)
-                    fits[k] &= tokens[k] >= 0
-    return fits[0] and not tokens[0], fits[1] and not tokens[1]
+def replayed(codes: np.ndarray, cases: np.ndarray, n: int, n_codes: int, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a place from ``a`` to ``b`` fits each of ``n`` cases: no token is missing, none is left; and whether it does so strictly.
+
+    ``codes`` are the cases' activities one case after the other, ``cases`` whose they are.
+    """
+    change = np.zeros(n_codes, np.int64)
+    np.add.at(change, a, 1)
+    np.add.at(change, b, -1)
+    steps = change[codes]
+    upto = np.cumsum(steps)
+    starts = np.searchsorted(cases, np.arange(n))
+    before = np.concatenate(([0], upto))[starts]
+    tokens = upto - before[cases]
+    bad = tokens < 0
+    left = np.bincount(cases, weights=steps, minlength=n) != 0
+    fits = ~left & (np.bincount(cases[bad], minlength=n) == 0)
+    both = np.zeros(n_codes, bool)
+    both[list(set(a) & set(b))] = True
+    bare = both[codes] & (tokens < 1)
+    return fits, fits & (np.bincount(cases[bare], minlength=n) == 0)
 
 
 # -- over the alphabet -------------------------------------------------------------------
@@ -147,44 +164,80 @@ def filtered(df: Counter, absolute: int, relative: float) -> set[Relation]:
 def loop_pairs(df: Counter, least: int) -> set[Relation]:
     """Frequent pairs (x, y), x other than y, that close a loop: a simple frequent path from the start goes over y to x.
 
-    Only pairs inside a strongly connected part can; the walk over simple paths
-    ends when all of those are found.
+    Sets of activities are bits of integers.  A pair goes at once if all ways to y
+    lead over x, or y doesn't lead to x; for most others the shortest ways do.
     """
-    after: dict[str, list[str]] = {}
-    for (a, b), n in sorted(df.items()):
+    acts = sorted({x for p, n in df.items() if n >= least for x in p})
+    bit = {x: 1 << i for i, x in enumerate(acts)}
+    after = [0] * len(acts)
+    for (a, b), n in df.items():
         if n >= least:
-            after.setdefault(a, []).append(b)
-    reach = {a: _reachable(after, a) for a in after}
-    open_ = {(x, y) for x in after for y in after[x] if x != y and x in reach.get(y, ()) and x in reach.get(START, ())}
-    found: set[Relation] = set()
-    path, walk = [START], [iter(after.get(START, ()))]
-    on = {START}
-    while walk and open_:
-        step = next(walk[-1], None)
-        if step is None:
-            walk.pop()
-            on.discard(path.pop())
-        elif step in on:
-            pair = (path[-1], step)
-            if pair in open_:
-                open_.remove(pair)
-                found.add(pair)
-        else:
-            path.append(step)
-            on.add(step)
-            walk.append(iter(after.get(step, ())))
-    return found
-
-
-def _reachable(after: dict[str, list[str]], start: str) -> set[str]:
-    seen, todo = set(), [start]
-    while todo:
-        new = set(after.get(todo.pop(), ())) - seen
+            after[bit[a].bit_length() - 1] |= bit[b]
+    if START not in bit:
+        return set()
+    pairs = ((a, b) for (a, b), n in df.items() if n >= least and a != b)
+    return {(x, y) for x, y in pairs if x != START and y != START and leads_over(after, bit[START], bit[y], bit[x])}
+
+
+def _spread(after: list[int], start: int, blocked: int) -> int:
+    """What can be reached from ``start`` without stepping on ``blocked``; ``start`` itself only if it comes again."""
+    seen, new = 0, start
+    while new:
+        step = 0
+        while new:
+            low = new & -new
+            new ^= low
+            step |= after[low.bit_length() - 1]
+        new = step & ~seen & ~blocked
         seen |= new
-        todo += new
     return seen
 
 
+def _nearest_first(after: list[int], goal: int, blocked: int) -> dict[int, int]:
+    """Steps from each activity to ``goal`` that avoid ``blocked``, by breadth-first search against the arrows."""
+    far, level, n = {goal: 0}, goal, 0
+    while level:
+        n += 1
+        found = 0
+        for i, out in enumerate(after):
+            one = 1 << i
+            if out & level and one not in far and not one & blocked:
+                far[one] = n
+                found |= one
+        level = found
+    return far
+
+
+def leads_over(after: list[int], start: int, middle: int, end: int) -> bool:
+    """Whether a simple path leads from ``start`` over ``middle`` to ``end``.
+
+    A depth-first search for the way to ``middle``, nearest steps first; a step is
+    taken only if it still leads to ``middle``, and ``middle`` to ``end``, beside the path.
+    """
+    if not _spread(after, start, end) & middle or not _spread(after, middle, start) & end:
+        return False
+    far = _nearest_first(after, middle, end)
+    dead: set[tuple[int, int, int]] = set()  # places that failed, and what both ways could still step on
+    stack = [(start, start)]
+    while stack:
+        at, path = stack.pop()
+        if at == middle:
+            return True  # what was asked before the step
+        # of the path only what it takes from either way matters
+        state = (at, _spread(after, at, path | end), _spread(after, middle, path))
+        if state in dead:
+            continue
+        dead.add(state)
+        steps = []
+        for one in (1 << i for i in range(len(after)) if after[at.bit_length() - 1] >> i & 1):
+            if one & (path | end) or one not in far:
+                continue
+            if (one == middle or _spread(after, one, path | one | end) & middle) and _spread(after, middle, path | one) & end:
+                steps.append(one)
+        stack += [(one, path | one) for one in sorted(steps, key=far.__getitem__, reverse=True)]
+    return False
+
+
 def skip_pairs(df: Counter, least: int) -> set[Relation]:
     """Pairs (a, c) of neighbours between which an activity may have been skipped.
 
