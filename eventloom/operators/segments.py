@@ -27,9 +27,8 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * HOT_SHARE > F.col("_total")).select(key)
 
 
-def segmented(rows: DataFrame, key: str, hot: DataFrame, time: str = "ts") -> DataFrame:
-    """``rows`` with _seg: the time segment of a hot key's row (rows without a time in the first), null for other keys."""
-    us = F.unix_micros(time)
+def segmented(rows: DataFrame, key: str, hot: DataFrame, us: Column) -> DataFrame:
+    """``rows`` with _seg: the segment by time ``us`` of a hot key's row (rows without a time in the first), null for other keys."""
     span = rows.agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))  # one row
     width = (F.col("_hi") - F.col("_lo")) / SEGMENTS + 1
     seg = F.when(F.col("_hot"), F.coalesce(F.floor((us - F.col("_lo")) / width), F.lit(-1)).cast("int"))
@@ -42,7 +41,7 @@ class Along:
 
     def __init__(self, rows: DataFrame, key: str, hot: DataFrame, order: Sequence[str]):
         self.key, self.order = key, list(order)
-        self.rows = segmented(rows, key, hot, self.order[0])
+        self.rows = segmented(rows, key, hot, F.unix_micros(self.order[0]))
         self.window = W.partitionBy(key, "_seg").orderBy(*self.order)
 
     def with_neighbours(self, lead: dict[str, str] | None = None, lag: dict[str, str] | None = None, place: str | None = None) -> DataFrame:

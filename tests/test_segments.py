@@ -30,7 +30,43 @@ def test_a_hot_object_is_spread_over_tasks(spark):
     frame = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("o"), (F.col("id") % 5000).cast("string"))).alias("o"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("i"))
     hot = segments.hot_keys(frame, "o")
     assert [r.o for r in hot.collect()] == ["hot"]
-    marked = segments.segmented(frame, "o", hot)
+    marked = segments.segmented(frame, "o", hot, F.unix_micros("ts"))
     spread = marked.filter("o = 'hot'").groupBy("_seg").count()
     assert spread.count() == segments.SEGMENTS and spread.agg(F.max("count")).first()[0] <= 2 * 10_000 / segments.SEGMENTS
     assert marked.filter("o != 'hot' AND _seg IS NOT NULL").isEmpty()
+
+
+def test_constraints_with_hot_objects_and_batches(spark, monkeypatch):
+    """Counts along divided objects and in batches equal those of plain pairs of events."""
+    from eventloom import builders
+    from eventloom.operators import ocdeclare
+    from eventloom.operators.ocdeclare import Arc
+
+    r = random.Random(12)
+    events = [(r.choice("abc"), sorted({f"h:{r.randrange(2)}", f"o:{r.randrange(12)}", f"o:{r.randrange(12)}"} - ({"h:1"} if r.random() < 0.3 else set()))) for _ in range(120)]
+    log = builders.make_ocel(spark, events)
+    arcs = [Arc(x, y, arrow, **{kind: ((k, None),)}, least=least, most=most) for x, y in ("ab", "bc", "aa") for arrow in ("AS", "EF", "EP") for kind in ("each", "any") for k in "ho" for least, most in ((1, None), (0, 9))]
+
+    def brute(arc):
+        (kind, _), = arc.each + arc.any
+        bad = total = 0
+        for i, (x, objects) in enumerate(events):
+            if x != arc.source:
+                continue
+            total += 1
+            when = {"AS": lambda j: True, "EF": lambda j: j > i, "EP": lambda j: j < i}[arc.arrow]  # noqa: B023
+            counts = [sum(y == arc.target and o in other and when(j) for j, (y, other) in enumerate(events)) for o in objects if o.startswith(kind)]
+            counts = counts if arc.each else [sum(counts)]
+            bad += any(n < arc.least or arc.most is not None and n > arc.most for n in counts)
+        return total, bad
+
+    want = [brute(a) for a in arcs]
+    for share, n in ((1, 5), (10, 3), (1024, 256)):
+        monkeypatch.setattr(segments, "HOT_SHARE", share)
+        monkeypatch.setattr(segments, "SEGMENTS", n)
+        assert ocdeclare.conformances(log, arcs) == want
+    monkeypatch.setattr(ocdeclare, "LEAST_BATCHED", 0)
+    for noise in (0.0, 0.2, 0.5):
+        got = ocdeclare.conformances(log, arcs, noise=noise)
+        assert [t and ocdeclare.holds(t, v, noise) for t, v in got] == [t and ocdeclare.holds(t, v, noise) for t, v in want]
+        assert all(v == w or v < w and not ocdeclare.holds(t, v, noise) for (t, v), (_, w) in zip(got, want))
