@@ -168,7 +168,7 @@ class _Elements:
 
 def lines(page: str) -> tuple[list[tuple[str, int, int, int, tuple]], set[int]]:
     """The page's lines in order: text, number of the article it is in (0: none), NEVER, WEAK or PLAIN, characters in links,
-    and the side parts that it is in by name: (number, COMMENTS, NAMED or PARTLY); and the numbers of those around a headline or article."""
+    and the side parts that it is in by name: (number, COMMENTS, NAMED or PARTLY); and the numbers of those around a headline or the main element."""
     out: list[tuple[str, int, int, int, tuple]] = []
     around: set[int] = set()
     sides = 0
@@ -213,8 +213,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int, tuple]], set[int]]:
                 open_.close_block({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}, over_p=True)
             if tag not in VOID and (tag in BLOCKS or tag in DROPPED or not attributes.rstrip().endswith("/")):
                 _, above, article, named = open_.stack[-1]
-                if tag in ("h1", "main", "article"):  # comments may be articles
-                    around.update(n for n, k in named if tag != "article" or k != COMMENTS)
+                if tag in ("h1", "main"):
+                    around.update(n for n, _ in named)
                 if WEAK < kind < NEVER:
                     sides += 1
                     named, kind = (*named, (sides, kind)), PLAIN
@@ -246,17 +246,18 @@ def _raw_end(tag: str) -> re.Pattern[str]:
 def weights(found: list[tuple[str, int, int, int, tuple]], around: set[int]) -> list[int | None]:
     """The weight of each of ``lines``; None for those that are no main text.
 
-    A side part by name that is around a headline or an article is a wrapper and counts
-    like others; so is, on a page without articles, one that holds more than half of the
-    characters outside links, but for comments.  Inside an article links and weak names make a line lighter, but not empty.
+    A side part by name that is around a headline or the main element is a wrapper and counts
+    like others; so is, but for comments, one that holds more than half of what articles
+    hold, in characters outside links, or of all on a page without articles.  Inside an article links and weak names make a line lighter, but not empty.
     """
     plain = [0 if kind == NEVER else len(text) - linked for text, _, kind, linked, _ in found]
+    marked = any(w and line[1] for w, line in zip(plain, found))
+    counted = [w if line[1] or not marked else 0 for w, line in zip(plain, found)]
     held: Counter[int] = Counter()
-    for w, line in zip(plain, found):
+    for w, line in zip(counted, found):
         for n, kind in line[4]:
             held[n] += w if kind != COMMENTS else 0
-    marked = any(w and line[1] for w, line in zip(plain, found))
-    wrappers = around | {n for n, w in held.items() if 2 * w > sum(plain) and not marked}
+    wrappers = around | {n for n, w in held.items() if 2 * w > sum(counted)}
     out: list[int | None] = []
     for (text, article, kind, linked, named), w in zip(found, plain):
         side = max((k for n, k in named if n not in wrappers), default=PLAIN)

@@ -202,3 +202,57 @@ def test_passages_of_equal_texts(spark):
     rows = [(9, text), (2, text), (5, text), (5, text), (None, text), (7, "short text"), (8, "short text"), (10, text + " more")]
     got = {(x.doc_id, x.start_word, x.end_word, x.source_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(9, 0, 80, 2), (5, 0, 80, 2), (10, 0, 80, 2)}
+
+
+def layouts(r):
+    """Pages of layouts with and without article, and their main texts."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    head, paras = words(4, 8), [words(30, 90) for _ in range(r.randint(3, 8))]
+    p = "".join(f"<p>{x}</p>" for x in paras)
+    menu = "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(r.randint(4, 9))) + "</ul>"
+    comments = "".join(f"<div><p>{words(20, 60)}</p></div>" for _ in range(r.randint(1, 12)))
+    text = " ".join([head, *paras])
+    h1, foot = f"<h1>{head}</h1>", f"<footer><p>{words(10, 30)}</p></footer>"
+    yield f"<body><nav>{menu}</nav><article>{h1}{p}</article>{foot}</body>", text
+    yield f"<body><header>{menu}</header><div class='content has-sidebar'>{h1}{p}</div><div class='sidebar'>{menu}<p>{words(20, 40)}</p></div>{foot}</body>", text
+    yield f"<body><div>{menu}</div><div class='post'>{h1}{p}</div><div id='comments'>{comments}</div></body>", text
+    yield f"<body>{menu}<div>{h1}{p}</div>{menu}</body>", text
+    yield f"<body><div id='wrapper'><div class='elementor-widget elementor-widget-heading'>{h1}</div><div class='elementor-widget elementor-widget-text-editor'>{p}</div></div></body>", text
+    yield f"<body><main>{h1}<div class='ad'>{words(5, 12)}</div>{p}<aside>{words(30, 60)}</aside><section class='comment-list'>{comments}</section></main></body>", text
+    sub = words(2, 3)
+    yield f"<body><article>{h1}{p}<h2 class='social-history'>{sub}</h2><p>{paras[0]}</p></article></body>", f"{text} {sub} {paras[0]}"
+    yield f"<body><article>{h1}{p}</article><div class='related'><article><a href=x>{words(3, 6)}</a></article></div></body>", text
+    yield f"<table><tr><td>{menu}</td><td>{h1}{p}</td></tr></table>", text
+    yield f"<body><div class='cookie-notice'><p>{words(6, 10)}</p><button>ok</button></div><div class='page'>{h1}{p}</div><div>{menu}</div></body>", text
+
+
+def test_main_text_of_layouts():
+    """The article alone, whatever the layout; without window sums other lines would be in it."""
+    from eventloom.llm import html_text
+
+    r = random.Random(77)
+    changed = 0
+    for _ in range(60):
+        for n, (page, text) in enumerate(layouts(r)):
+            got = html_text.main_text(page)
+            assert got == text, (n, got[:300], text[:300])
+            found, around = html_text.lines(page)
+            every = [line[0] for line, w in zip(found, html_text.weights(found, around)) if w is not None]
+            changed += " ".join(every) != text
+    assert changed >= 200  # of 600 pages
+
+
+def test_surge_and_dive_decide_without_an_article():
+    from eventloom.llm import html_text
+
+    long = "words of a sentence that goes on for some time and says what it has to say, "
+    short = "".join(f"<div>{x}</div>" for x in ("Print", "Send", "Up", "Top", "A B"))
+    page = f"<body><div>{'Today'}</div>{short}<div>{long * 2}</div><div>{long}</div><div>Yes.</div><div>{long}</div>{short}<div>{long * 3}</div>{short}</body>"
+    lines = [(long * 2).strip(), long.strip(), "Yes.", long.strip(), (long * 3).strip()]
+    got = html_text.main_text(page)
+    # the short line between long ones stays; the runs of short ones around them, which surge nowhere, mostly go
+    for x in lines:
+        assert x in got
+    assert got.count("Send") + got.count("Up") + got.count("Top") < 9 and not got.startswith("Today")
+    assert html_text.main_text(page, dive=1) != got and html_text.main_text(page, dive=1).startswith("Today")
