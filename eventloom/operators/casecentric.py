@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -255,10 +256,29 @@ def dotted_chart(log: EventLog, color: str = "activity", order: Sequence[str] =
     return dots.join(labels, "label").select("case_id", "event_idx", "label", "x_absolute", "x_since_start", "x_relative", "x_step", "y_case", "y_label")
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the folder of ``spark.checkpoint.dir``, so what depends on how they are dealt is the same wherever it is read.
+
+    With a local master a temporary folder is taken where the setting is missing.
+    """
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="eventloom-")
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Rows with their place (from 0) in an order, which ranges of rows share out: only a count for each range meets in one task."""
+    """Rows with their place (from 0) in an order, which ranges of rows share out: only a count for each range meets in one task.
+
+    Ranges are drawn from a sample, so they are written once.
+    """
     spread = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    placed = spread.withColumn("_range", F.spark_partition_id())
+    placed = checkpointed(spread.withColumn("_range", F.spark_partition_id()))
     inside = placed.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
     counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
     before = counts.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -41,6 +41,23 @@ class Registry:
         self.items[name] = value
         return name
 
+    def create_views(self, name: str, prefix: str | None = None) -> list[str]:
+        """Temporary views for SQL of all functions that need nothing but the log ``name``: ``<prefix>_<function>``; the views' names.
+
+        Views are lazy plans: only what a query asks for is computed.
+        """
+        value, out = self.items[name], []
+        for function, f in sorted(FUNCTIONS.items()):
+            wanted = [p for p in inspect.signature(f).parameters.values() if p.default is p.empty]
+            if len(wanted) == 1 and wanted[0].annotation == type(value).__name__ and inspect.signature(f).return_annotation == "DataFrame":
+                out.append(f"{prefix or name}_{function}")
+                f(value).createOrReplaceTempView(out[-1])
+        for part in ("events", "cases", "objects", "e2o", "o2o"):
+            if isinstance(frame := getattr(value, part, None), DataFrame):
+                out.append(f"{prefix or name}_{part}")
+                frame.createOrReplaceTempView(out[-1])
+        return out
+
     def load(self, path: str, kind: str) -> Any:
         """A log of a kind from a file."""
         if kind == "Ocel":
@@ -117,8 +134,54 @@ def as_json(value: Any) -> str:
 
 def _register_all() -> None:
     from eventloom.operators import casecentric as cc
+    from eventloom import builders
+    from eventloom.operators import lookups, ocdeclare
     from eventloom.operators import objectcentric as oc
-    from eventloom.operators import ocdeclare
+
+    for f in (
+        lookups.event_types, lookups.object_types, lookups.attributes_of_type, lookups.event_ids_of_type, lookups.object_ids_of_type, lookups.event_of_id, lookups.object_of_id,
+        lookups.objects_of_event, lookups.events_of_object, lookups.related_from, lookups.related_to, lookups.object_trace, lookups.event_attribute, lookups.object_attribute_values,
+        lookups.full_event, lookups.full_object, lookups.num_events, lookups.num_objects,
+        builders.add_events, builders.add_objects, builders.without_e2o, builders.without_o2o, builders.declare_types,
+    ):
+        register(f)
+
+    @register
+    def new_ocel() -> Ocel:
+        """An object-centric log without events and objects."""
+        from pyspark.sql import SparkSession
+
+        return builders.make_ocel(SparkSession.active(), [])
+
+    @register
+    def add_e2o(log: Ocel, links: list) -> Ocel:
+        """The log with relationships [event, object, qualifier] added."""
+        return builders.add_events(log, [], [tuple(x) for x in links])
+
+    @register
+    def add_o2o(log: Ocel, links: list) -> Ocel:
+        """The log with relationships [object, other object, qualifier] added."""
+        return builders.add_objects(log, [], [tuple(x) for x in links])
+
+    @register
+    def projection_numbers(log: EventLog) -> DataFrame:
+        """n_variants, n_cases and n_activities of a log's projection."""
+        return cc.projection_stats(cc.variants(log))
+
+    @register
+    def export_graph(log: Ocel, folder: str, typed: bool = False) -> str:
+        """Node and edge folders of a log for graph databases."""
+        from eventloom.sources.ocel import write_graph
+
+        write_graph(log, folder, typed)
+        return folder
+
+    @register
+    def graph_dot(log: EventLog) -> str:
+        """Graphviz source of the directly-follows graph."""
+        from eventloom.sources.json_logs import dfg_dot, dfg_json
+
+        return dfg_dot(dfg_json(log))
 
     for f in (cc.dfg, cc.activity_counts, cc.start_end_activities, cc.variants, cc.timestamp_histogram, cc.dotted_chart, cc.log_statistics):
         register(f)
