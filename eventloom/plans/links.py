@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import timestamps, values
 from eventloom.model import EventLog, Ocel
+from eventloom.models.partial_order import partial_variants
 from eventloom.operators import casecentric as cc
 from eventloom.operators import objectcentric as oc
 from eventloom.operators.ocdeclare import Arc, Options, conformance, discover
@@ -259,6 +260,21 @@ def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(values.infer(F.col("v")).alias("kind")).agg(F.count("*").alias("cnt"))
 
 
+@query(
+    "partial_variants_conversations",
+    "WITH c AS (SELECT conv_id, string_agg(role, ',' ORDER BY role) AS roles, count(*) AS n FROM conversations GROUP BY ALL) SELECT roles, n AS n_events, count(*) AS freq FROM c GROUP BY ALL",
+)
+def partial_variants_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of conversations in which only the turns of one role are ordered: two are alike if they have as many turns of each role."""
+    c = tables.table(spark, sf_dir, "conversations")
+    events = c.select("conv_id", F.col("turn").alias("event_id"), F.col("role").alias("activity")).withColumnRenamed("conv_id", "case_id")
+    after = F.lead("event_id").over(cc.W.partitionBy("case_id", "activity").orderBy("event_id"))
+    relations = events.select("case_id", F.col("event_id").alias("before"), after.alias("after")).filter("after IS NOT NULL")
+    found = partial_variants(events, relations)
+    roles = F.array_join(F.array_sort(F.from_json(F.get_json_object("variant", "$[0]"), "array<string>")), ",")
+    return found.select(roles.alias("roles"), "n_events", "freq")  # no two forms with the same roles
+
+
 # -- files ------------------------------------------------------------------------------
 
 _TRADE = """tev AS (SELECT 'open-c-' || c_custkey AS event_id, 'open account' AS event_type, TIMESTAMP '2020-01-01' + to_seconds(c_custkey) AS ts FROM customer
