@@ -22,6 +22,19 @@ def coerce(value: Column, to: str) -> Column:
     return value.try_cast(SPARK_TYPES.get(to, "string"))
 
 
+def strictly(value: Column, kind: Column) -> Column:
+    """A text as XML logs keep it for a declared type: what isn't one of the type's values is null, a float ``null`` is NaN."""
+    whole = value.rlike(r"^[+-]?[0-9]+$") & value.try_cast("bigint").isNotNull()
+    part = value.rlike(r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$")
+    return (
+        F.when(kind == "integer", F.when(whole, value))
+        .when(kind == "float", F.when(part, value).when(value == "null", F.lit("NaN")))
+        .when(kind == "boolean", F.when(value.isin("true", "false"), value))
+        .when(kind == "time", F.when(timestamps.parse(value).isNotNull(), value))
+        .otherwise(value)
+    )
+
+
 def infer(value: Column) -> Column:
     """The narrowest type name of a text: boolean, integer, float, time, string."""
     return (

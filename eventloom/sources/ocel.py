@@ -10,6 +10,7 @@ import sqlite3
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import closing
+from dataclasses import replace
 from datetime import datetime
 from functools import partial
 from xml.etree import ElementTree
@@ -229,7 +230,10 @@ def parse_xml(stream) -> Iterator[tuple[str, dict]]:
 
 
 def read_xml(spark: SparkSession, path: str) -> Ocel:
-    """OCEL 2.0 XML; files are parsed in executors, as a stream of elements each."""
+    """OCEL 2.0 XML; files are parsed in executors, as a stream of elements each.
+
+    Values that their declared type doesn't have are null, floats ``null`` NaN.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
 
     def parsed(batches: Iterator) -> Iterator:
@@ -248,7 +252,9 @@ def read_xml(spark: SparkSession, path: str) -> Ocel:
                 if held:
                     yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in held], "body": [b for _, b in held]})
 
-    return _from_rows(files.mapInArrow(parsed, "kind string, body string").withColumn("pos", F.monotonically_increasing_id()))
+    log = _from_rows(files.mapInArrow(parsed, "kind string, body string").withColumn("pos", F.monotonically_increasing_id()))
+    strict = lambda rows: rows.withColumn("value", values.strictly(F.col("value"), F.col("type")))
+    return replace(log, event_attrs=strict(log.event_attrs), object_attrs=strict(log.object_attrs))
 
 
 def write_xml(log: Ocel, path: str) -> None:

@@ -233,3 +233,16 @@ def test_ocel_json_of_any_order(spark, tmp_path):
     log = ocel.read_ocel(spark, str(tmp_path / "a.json"))
     assert rows(log.object_attrs.select("name", "type", "value")) == [("n", "integer", "7"), ("ok", "boolean", "true")]
     assert rows(log.o2o) == [("o", "later", "q")] and rows(log.e2o) == [("1", "o", "")] and rows(log.events.select("event_id", "event_type")) == [("1", "e")]
+
+
+def test_ocel_xml_values_of_declared_types(spark, tmp_path):
+    from eventloom.sources import ocel
+
+    kinds = {"i": "integer", "f": "float", "b": "boolean", "t": "time", "s": "string"}
+    given = {"i": ["12", "1.5", "x", "99999999999999999999"], "f": ["1.5", "null", "x", "7"], "b": ["true", "TRUE", "1", "false"], "t": ["2020-01-01T00:00:00Z", "noon", "null", "2020-01-01"], "s": ["null", "x", "1", "true"]}
+    want = {"i": ["12", None, None, None], "f": ["1.5", "NaN", None, "7"], "b": ["true", None, None, "false"], "t": ["2020-01-01T00:00:00Z", None, None, "2020-01-01"], "s": ["null", "x", "1", "true"]}
+    types = "".join(f'<attribute name="{k}" type="{t}"/>' for k, t in kinds.items())
+    events = "".join(f'<event id="e{n}" type="e" time="2020-01-01T00:00:00Z"><attributes>' + "".join(f'<attribute name="{k}">{v[n]}</attribute>' for k, v in given.items()) + "</attributes></event>" for n in range(4))
+    (tmp_path / "a.xml").write_text(f'<log><object-types/><event-types><event-type name="e"><attributes>{types}</attributes></event-type></event-types><objects/><events>{events}</events></log>')
+    got = {(r.event_id, r.name): r.value for r in ocel.read_ocel(spark, str(tmp_path / "a.xml")).event_attrs.collect()}
+    assert got == {(f"e{n}", k): v[n] for k, v in want.items() for n in range(4)}
