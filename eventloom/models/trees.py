@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -135,6 +136,14 @@ class Language:
     empty: bool
 
 
+def shuffle_pairs(alphabets: list[set[str]]) -> set[tuple[str, str]]:
+    """Directly-follows pairs between different alphabets whose sequences are shuffled: each activity of one with each of another."""
+    often = Counter(x for a in alphabets for x in a)
+    every = set(often)
+    # an activity of the same alphabet counts only if another alphabet has it, too
+    return {(x, y) for a in alphabets for x in a for y in every if often[y] > (y in a)}
+
+
 def language(tree: OcTree, kind: str) -> Language:
     """Directly-follows language of the sequences that objects of a type can see."""
     none: frozenset = frozenset()
@@ -166,11 +175,7 @@ def language(tree: OcTree, kind: str) -> Language:
     if tree.operator == "exclusive":
         return Language(start, end, frozenset(pairs), any(p.empty for p in parts))
     if tree.operator == "concurrency":
-        seen = [{x for pair in p.pairs for x in pair} | p.start | p.end for p in parts]
-        for i, a in enumerate(seen):
-            for j, b in enumerate(seen):
-                if i != j:
-                    pairs |= set(product(a, b))
+        pairs |= shuffle_pairs([{x for pair in p.pairs for x in pair} | p.start | p.end for p in parts])
         return Language(start, end, frozenset(pairs), all(p.empty for p in parts))
     do, redo = parts[0], parts[1:]
     back_start, back_end = frozenset().union(*(p.start for p in redo)), frozenset().union(*(p.end for p in redo))

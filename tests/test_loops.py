@@ -76,3 +76,10 @@ def test_fitness_equals_replay_step_by_step(spark):
         least = min(share(rows) for x in a | b if (rows := [o for o in own if x in o[0]]))
         assert got[a, b] == (share(own), least, sum(n for _, n, f in own if f[1]) / total)
     assert alpha.fitness(spark.createDataFrame([], "variant array<string>, freq long"), listed[:1]) == {listed[0]: (0.0, 0.0, 0.0)}
+
+
+def test_shuffled_pairs():
+    from eventloom.models.trees import shuffle_pairs
+
+    assert shuffle_pairs([{"a", "b"}, {"c"}, set()]) == {("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")}
+    assert shuffle_pairs([{"a", "b"}, {"b"}]) == {("a", "b"), ("b", "a"), ("b", "b")} and shuffle_pairs([{"a"}]) == set()
