@@ -55,7 +55,7 @@ _INDEX_BITS = 28
 WINDOW = [("key", "<i8"), ("f", "<i4"), ("p", "<i4"), ("l", "<i4"), ("r", "<i4")]
 PASSAGE = "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>"
 #: Each round of step 4 takes this many times as many documents of a key as the one before.
-ROUND_GROWTH = 8
+ROUND_GROWTH = 64
 #: Places of windows are compared by cells of so many shingles.
 CELL = 64
 #: Windows of one key are joined in parts of about this many; hot keys up to so many are broadcast (12 bytes each).
@@ -248,41 +248,34 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def open_windows(docs: DataFrame, covered: DataFrame | None, width: int) -> DataFrame:
-    """Windows of ``repeating`` documents that may still tell something: doc_id, hash, key, f, p, l, r, open (false: only as a source), whole_l and whole_r.
+    """Windows of ``repeating`` documents that aren't done, cut to stretches that aren't: doc_id, hash, key, f, p, l, r.
 
-    ``covered`` (doc_id, hash, spans, runs) has of documents the verified passages (first and
-    last shingle) and the runs of shingles that a source has word by word.  Open
-    windows are cut to stretches that aren't done; as sources they are whole.
+    ``covered`` (doc_id, hash, spans) has the verified passages of documents (first and last shingle).
     """
     rows = docs.select("doc_id", "hash", "shared", "windows")
-    kind = "array<struct<a:int,b:int>>"
-    rows = rows.withColumns({c: F.lit(None).cast(kind) for c in ("spans", "runs")}) if covered is None else rows.join(covered, ["doc_id", "hash"], "left")
+    rows = rows.withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")) if covered is None else rows.join(covered, ["doc_id", "hash"], "left")
     least_open = width - least_shared(width) + 1
 
     def unpacked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in common.pieces(batches, "windows", STEP_BYTES):
-            parts, owners, opened, whole = [], [], [], []
-            for i, (bits, raw, spans, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
+            parts, owners = [], []
+            for i, (bits, raw, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 5)))):
                 own = np.frombuffer(raw, WINDOW)
-                uncut, n_open = own, len(own)
                 if spans:
-                    own, uncut, n_open = still_open(own, np.unpackbits(np.frombuffer(bits, "u1")), spans, runs or (), width, least_open)
-                opened.append(np.arange(len(own)) < n_open), whole.append(uncut)
+                    own = still_open(own, np.unpackbits(np.frombuffer(bits, "u1")), spans, width, least_open)
                 parts.append(own), owners.append(np.full(len(own), i))
-            every, uncut, at = np.concatenate(parts), np.concatenate(whole), pa.array(np.concatenate(owners))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(every[name])) for name, _ in WINDOW), pa.array(np.concatenate(opened)), *(pa.array(np.ascontiguousarray(uncut[name])) for name in "lr")], names=["doc_id", "hash", *(name for name, _ in WINDOW), "open", "whole_l", "whole_r"])
+            every, at = np.concatenate(parts), pa.array(np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(every[name])) for name, _ in WINDOW)], names=["doc_id", "hash", *(name for name, _ in WINDOW)])
 
-    return rows.mapInArrow(unpacked, "doc_id long, hash long, key long, f int, p int, l int, r int, open boolean, whole_l int, whole_r int")
+    return rows.mapInArrow(unpacked, "doc_id long, hash long, key long, f int, p int, l int, r int")
 
 
-def still_open(own: np.ndarray, left: np.ndarray, spans: list, runs: list, width: int, least_open: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Windows of a document, cut and as they were, and how many of them, the first ones, are open.
+def still_open(own: np.ndarray, left: np.ndarray, spans: list, width: int, least_open: int) -> np.ndarray:
+    """The windows of a document over stretches that aren't done, cut to these.
 
-    Open are those that lie over stretches that aren't done, cut to these; the others are done, but no run holds them.
-
-    ``left`` are the shared shingles, ``spans`` the verified passages, ``runs`` what sources have word by word.
+    ``left`` are the shared shingles, ``spans`` the verified passages.
     """
     for s in spans:
         left[s["a"] : s["b"] + 1] = 0
@@ -290,10 +283,6 @@ def still_open(own: np.ndarray, left: np.ndarray, spans: list, runs: list, width
     # of a window, what the narrowest of its stretches reach
     l, r = np.maximum(own["l"], own["p"] - width + 1), np.minimum(own["r"], own["p"] + width - 1)
     todo = upto[r + 1] - upto[l] >= least_open
-    # the farthest end of a run that begins at a place or before it
-    reach = np.full(len(left) + 1, -1, np.int64)
-    for s in runs:
-        reach[s["a"]] = max(reach[s["a"]], s["b"])
     # runs of places where the stretches of unfinished windows begin; windows over them are cut to those
     begins = np.zeros(len(left) + 2, np.int64)
     np.add.at(begins, l[todo], 1)
@@ -303,18 +292,25 @@ def still_open(own: np.ndarray, left: np.ndarray, spans: list, runs: list, width
     first = np.searchsorted(end, own["l"], side="right")
     number = np.maximum(np.searchsorted(head, own["r"] - width + 1, side="right") - first, 0)
     run = np.repeat(first, number) + np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-    rest = own[(number == 0) & (np.maximum.accumulate(reach)[l] < r)]
-    whole = np.repeat(own, number)
-    cut = whole.copy()
-    cut["l"], cut["r"] = np.maximum(whole["l"], head[run]), np.minimum(whole["r"], end[run] + width - 2)
-    return np.concatenate((cut, rest)), np.concatenate((whole, rest)), len(cut)
-
-
-def unmet_sources(windows: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """The documents of each key that aren't among ``sources`` and that a later one with an open window follows: key, source_id, source_hash, source_l, source_r (of all its windows)."""
-    last = windows.filter("open").groupBy("key").agg(F.max("doc_id").alias("last"))
-    one = windows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("whole_l").alias("source_l"), F.max("whole_r").alias("source_r"))
-    one = one.join(last, "key").filter("source_id < last").drop("last")
+    own = np.repeat(own, number)
+    own["l"], own["r"] = np.maximum(own["l"], head[run]), np.minimum(own["r"], end[run] + width - 2)
+    return own
+
+
+def unmet_sources(windows: DataFrame, pool: DataFrame, sources: DataFrame | None, runs: DataFrame | None, width: int) -> DataFrame:
+    """The documents of each key that aren't among ``sources`` and that a later one of the open ``windows`` follows: key, source_id, source_hash, source_l, source_r.
+
+    ``pool`` has the windows of all documents; those that one of ``runs`` (doc_id, hash, cell, a, b:
+    what a source has word by word, by cells of its places) holds are left out: that source tells the same.
+    """
+    last = windows.groupBy("key").agg(F.max("doc_id").alias("last"))
+    rows = pool.join(last, "key").filter("doc_id < last").drop("last")
+    if runs is not None:
+        low, high = F.greatest(F.col("l"), F.col("p") - (width - 1)), F.least(F.col("r"), F.col("p") + (width - 1))
+        rows = rows.withColumns({"low": low, "high": high, "cell": F.floor(low / CELL)})
+        held = (F.col("x.doc_id") == F.col("r.doc_id")) & (F.col("x.hash") == F.col("r.hash")) & (F.col("x.cell") == F.col("r.cell")) & (F.col("a") <= F.col("low")) & (F.col("b") >= F.col("high"))
+        rows = rows.alias("x").join(runs.alias("r"), held, "left_anti")
+    one = rows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("l").alias("source_l"), F.max("r").alias("source_r"))
     return one if sources is None else one.join(sources.select("key", "source_id", "source_hash"), ["key", "source_id", "source_hash"], "left_anti")
 
 
@@ -324,17 +320,16 @@ def first_sources(unmet: DataFrame, number: int) -> DataFrame:
 
 
 def live_windows(windows: DataFrame, unmet: DataFrame) -> DataFrame:
-    """Windows of keys that have unmet sources, and open windows that may lie over an open one of those.
+    """Open windows whose key has unmet sources, and those that may lie over such a one.
 
     A stretch that two functions agree on is inside the windows of both and holds
     the places of both, so the place of the other is inside the one's window;
     places are compared by cells of ``CELL`` shingles.
     """
-    keys = unmet.select("key", F.lit(True).alias("live")).distinct()
     cell = lambda c: F.floor(F.col(c) / CELL)
-    marked = windows.join(keys, "key", "left").withColumn("cell", cell("p"))
-    near = marked.filter("open AND live").select("doc_id", "hash", F.explode(F.sequence(cell("l"), cell("r"))).alias("cell"), F.lit(True).alias("near")).distinct()
-    return marked.join(few(near), ["doc_id", "hash", "cell"], "left").filter("live OR (open AND near)").drop("live", "near", "cell")
+    near = windows.join(unmet.select("key").distinct(), "key", "left_semi").select("doc_id", "hash", F.explode(F.sequence(cell("l"), cell("r"))).alias("cell")).distinct()
+    # a key's own window holds its place
+    return windows.withColumn("cell", cell("p")).join(few(near), ["doc_id", "hash", "cell"], "left_semi").drop("cell")
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -343,16 +338,19 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_SPANS else rows
 
 
-def stretches(windows: DataFrame, sources: DataFrame, width: int, agree: int) -> DataFrame:
-    """Stretches of open ``windows`` towards ``sources`` (with new) of smaller id: doc_id, hash, first, last, source_id, source_hash, source_first, source_last.
-
-    Pairs of documents that meet at no new source are left out.  The windows of a
-    key that many have are joined in parts.
-    """
-    windows = windows.filter("open").drop("open", "whole_l", "whole_r")
+def hot_windows(windows: DataFrame) -> DataFrame:
+    """The keys of more than ``KEY_PART`` windows and in how many parts they are joined: key, parts."""
     many = windows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_PART).select("key", (F.col("n") / KEY_PART).cast("int").alias("parts"))
     many = common.stored(many, "hot-keys")
-    many = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
+    return F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
+
+
+def stretches(windows: DataFrame, sources: DataFrame, many: DataFrame, width: int, agree: int) -> DataFrame:
+    """Stretches of ``windows`` towards ``sources`` (with new) of smaller id: doc_id, hash, first, last, source_id, source_hash, source_first, source_last.
+
+    Pairs of documents that meet at no new source are left out.  The windows of
+    keys that ``many`` lists are joined in parts.
+    """
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", "hash", "p"), F.col("parts") + 1), F.lit(0))
     split = windows.join(many, "key", "left").withColumn("part", part.cast("int")).drop("parts")
     copied = sources.join(many, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
@@ -455,31 +453,35 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
     # a key that one document has tells nothing
     keys = alone.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     keys = common.stored(keys, "keys")
-    windows = common.stored(alone.join(keys, "key", "left_semi"), "windows")
+    pool = windows = common.stored(alone.join(keys, "key", "left_semi"), "windows")
     common.drop_stored(alone)
-    none = docs.sparkSession.createDataFrame([], PASSAGE)
-    sources, out, number = None, [], 1
+    none, many = docs.sparkSession.createDataFrame([], PASSAGE), hot_windows(windows)
+    sources, runs, out, number = None, None, [], 1
     while True:
-        unmet = common.stored(unmet_sources(windows, sources), "unmet")
+        unmet = common.stored(unmet_sources(windows, pool, sources, runs, width), "unmet")
         if unmet.isEmpty():
             break
         if sources is not None:
-            before, windows = windows, common.stored(live_windows(windows, unmet), "windows")
-            common.drop_stored(before)
+            windows = common.stored(live_windows(windows, unmet), "windows")
         new = common.stored(first_sources(unmet, number), "sources")
         known = new.withColumn("new", F.lit(True))
         if sources is not None:
             known = known.unionByName(sources.withColumn("new", F.lit(False)))
-        out.append(common.stored(verified(stretches(windows, known, width, agree), every, n, width), "passages"))
+        out.append(common.stored(verified(stretches(windows, known, many, width, agree), every, n, width), "passages"))
         sources = new if sources is None else sources.unionByName(new)
         # windows of documents with new passages are looked at again
         passage = F.struct(F.col("start_word").cast("int").alias("a"), (F.col("end_word") - n).cast("int").alias("b"))
         changed = few(out[-1].select("doc_id", "hash").distinct())
-        mine = reduce(DataFrame.unionByName, out).join(changed, ["doc_id", "hash"], "left_semi")
-        covered = mine.groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+        mine = reduce(DataFrame.unionByName, out)
+        covered = mine.join(changed, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"))
         again = open_windows(every.join(changed, ["doc_id", "hash"], "left_semi"), covered, width).join(keys, "key", "left_semi")
-        before, windows = windows, common.stored(windows.join(changed, ["doc_id", "hash"], "left_anti").unionByName(again), "windows")
-        common.drop_stored(before, unmet)
+        windows = common.stored(windows.join(changed, ["doc_id", "hash"], "left_anti").unionByName(again), "windows")
+        cells = F.sequence(F.floor(F.col("run.a") / CELL), F.floor(F.col("run.b") / CELL))
+        # runs too short to hold what a window reaches are none
+        held = out[-1].select("doc_id", "hash", F.explode("runs").alias("run")).filter(F.col("run.b") - F.col("run.a") + 1 >= width)
+        held = held.select("doc_id", "hash", F.explode(cells).alias("cell"), "run.a", "run.b")
+        runs = held if runs is None else runs.unionByName(held)
+        common.drop_stored(unmet)
         number *= ROUND_GROWTH
     found = reduce(DataFrame.unionByName, out, none)
     zero = F.lit(0).cast("long")
