@@ -13,14 +13,16 @@
    joins almost all that belongs together in as many checks as there are members.  Then pairs of groups that
    share a prefix shingle, pass the filters by size and position and aren't in one
    component yet are expanded to members of unlike components, which are verified
-   too, so no link between components is lost.
+   too, so no link between components is lost.  Groups of one member are first
+   held against each other by the parities of their shingles' hashes, which bound
+   in how many shingles the sets differ.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,8 @@ N, T_NUM, T_DEN = 5, 75, 100
 BROADCAST_IDS = 1_000_000
 #: Times that rows are compared with pivots before all pairs of components are.
 PIVOT_TURNS = 3
+#: Bits of a set's parities.
+BITS = 256
 #: Packed rows are handled about this many bytes at a time.
 STEP_BYTES = 4 << 20
 
@@ -77,18 +81,24 @@ def _token_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), "<u8").astype(np.uint64), np.array([len(r) // 8 for r in raw], np.int64)
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """For each of ``BITS`` hash values whether an odd number of shingles has it, packed in longs."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8").tolist()
+
+
 def prefixes(sets: DataFrame) -> DataFrame:
-    """The prefixes of ``sets`` (id, size, tokens): id, size, group, prefix and skipped.
+    """The prefixes of ``sets`` (id, size, tokens): id, size, group, prefix, skipped, n_tokens and bits.
 
     ``group`` is equal for equal prefix and size; ``prefix`` has those of the
     prefix's shingles that other sets have too, in order; ``skipped`` others stand
-    before them.
+    before them.  ``bits`` are the tokens' ``parities``.
     """
 
     def found(ids, known, extras, values, sizes, classes):
         import pyarrow as pa
 
-        columns: list[list] = [[], [], []]
+        columns: list[list] = [[], [], [], [], []]
         ends = np.cumsum(sizes).tolist()
         for cid, size, end, n in zip(ids.tolist(), extras.tolist(), ends, sizes.tolist()):
             own, rank = values[end - n : end], classes[end - n : end]
@@ -100,11 +110,13 @@ def prefixes(sets: DataFrame) -> DataFrame:
             columns[0].append(hashlib.blake2b(key + size.to_bytes(8, "little"), digest_size=16).digest())
             columns[1].append(own[first][alone:].view("<i8"))
             columns[2].append(size - n + alone)
-        kinds = {"group": pa.binary(), "prefix": pa.list_(pa.int64()), "skipped": pa.int32()}
+            columns[3].append(n)
+            columns[4].append(parities(own))
+        kinds = {"group": pa.binary(), "prefix": pa.list_(pa.int64()), "skipped": pa.int32(), "n_tokens": pa.int32(), "bits": pa.list_(pa.int64())}
         return pa.table({"id": pa.array(ids, pa.int64()), "size": pa.array(extras, pa.int64()), **{k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)}})
 
     packed = frequencies.blocks(sets.select(F.col("id").alias("doc_id"), F.col("tokens").alias("text"), "size"), "size")
-    out = common.stored(frequencies.with_classes(packed, _token_features, found, "id long, size long, group binary, prefix array<long>, skipped int"), "prefixes")
+    out = common.stored(frequencies.with_classes(packed, _token_features, found, "id long, size long, group binary, prefix array<long>, skipped int, n_tokens int, bits array<long>"), "prefixes")
     common.drop_stored(packed)
     return out
 
@@ -124,10 +136,13 @@ def may_be_similar(size: Column, pos: Column, other_size: Column, other_pos: Col
 def pivot_pairs(rows: DataFrame, turn: int = 0) -> DataFrame:
     """Pairs (a, b) of each row (id, size, prefix, skipped, label) and a pivot that has the shingle, a size of the same band and another label.
 
-    The greatest size of a band is under 4/3 of the least; every ``turn`` takes other pivots.
+    The greatest size of a band is under 4/3 of the least.  The first turn takes as
+    few pivots as it can; every other ``turn`` takes other ones, and another one for
+    each shingle, so that rows that the pivots before missed meet many.
     """
+    drawn = F.xxhash64("id", F.lit(turn), *(["token"] if turn else []))
     every = entries(rows, "label").withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(T_DEN / T_NUM))))
-    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "pos", "label")).alias("p")
+    pivot = F.min(F.struct(drawn.alias("h"), "id", "size", "pos", "label")).alias("p")
     pivots = every.groupBy("token", "band").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").drop("lo", "hi")
     met = every.join(pivots, ["token", "band"]).filter(F.col("label") != F.col("p.label"))
     return met.filter(may_be_similar(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos"))).select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
@@ -141,19 +156,30 @@ def joined(labelled: DataFrame, links: DataFrame) -> DataFrame:
     return common.stored(labelled.join(above, "label", "left").select("id", "leader", F.coalesce("top", "label").alias("label")), "labels")
 
 
+def near_enough(size: Column, n_tokens: Column, bits: Column, other_size: Column, other_n: Column, other_bits: Column) -> Column:
+    """What parities of two sets' shingles allow: where they differ, one of the sets has a shingle that the other lacks.
+
+    Shingles that aren't among the tokens no other set has.
+    """
+    apart = reduce(lambda a, b: a + b, (F.bit_count(bits[i].bitwiseXOR(other_bits[i])) for i in range(BITS // 64)))
+    return (T_NUM + T_DEN) * (apart + size - n_tokens + other_size - other_n) <= (T_DEN - T_NUM) * (size + other_size)
+
+
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of groups (id, size, prefix, skipped, lo and hi: least and greatest label of their members) that may link components.
+    """Pairs (a, b) of groups (id, size, prefix, skipped, n_tokens, bits, members, lo and hi: least and greatest label of their members) that may link components.
 
     Of two members with unlike labels one hasn't the label that a shingle's groups
     are compared with.  The least label is that of the largest component as often
     as its share of the groups, so what is paired with all is mostly little.
     """
-    every = entries(groups, "lo", "hi")
+    every = entries(groups, "lo", "hi", "n_tokens", "bits", "members")
     mixed = every.groupBy("token").agg(F.min("lo").alias("usual"), F.max("hi").alias("top")).filter("usual < top").select("token", "usual")
     every = every.join(mixed, "token").withColumn("odd", (F.col("lo") != F.col("usual")) | (F.col("hi") != F.col("usual")))
     x, y = every.filter("odd").alias("x"), every.alias("y")
     met = x.join(y, F.col("x.token") == F.col("y.token")).filter("x.id != y.id AND (NOT y.odd OR x.id < y.id) AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)")
     met = met.filter(may_be_similar(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
+    one = (F.col("x.members") == 1) & (F.col("y.members") == 1)
+    met = met.filter(~one | near_enough(*(F.col(f"{t}.{c}") for t in "xy" for c in ("size", "n_tokens", "bits"))))
     inside = groups.filter("lo < hi").select(F.col("id").alias("a"), F.col("id").alias("b"))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().unionByName(inside)
 
@@ -211,7 +237,7 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
         more = common.stored(verified(pivot_pairs(with_labels(labelled), turn), sets), "links")
         before, labelled = labelled, joined(labelled, more)
         common.drop_stored(before, more)
-    bounds = labelled.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    bounds = labelled.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
     pairs = group_pairs(heads.join(bounds, "id"))
     one = labelled.select(F.col("leader").alias("a"), F.col("id").alias("u"), F.col("label").alias("lu"))
     other = labelled.select(F.col("leader").alias("b"), F.col("id").alias("v"), F.col("label").alias("lv"))
