@@ -54,6 +54,8 @@ _INDEX_BITS = 28
 #: A window: key, function, place of the least hash, first and last shingle.
 WINDOW = [("key", "<i8"), ("f", "<i4"), ("p", "<i4"), ("l", "<i4"), ("r", "<i4")]
 PASSAGE = "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>"
+#: When so few keys are open that they are broadcast (16 bytes each), the pool of all windows isn't shuffled for them.
+FEW_KEYS = 50_000
 #: Each round of step 4 takes this many times as many documents of a key as the one before.
 ROUND_GROWTH = 64
 #: Places of windows are compared by cells of so many shingles.
@@ -303,7 +305,7 @@ def unmet_sources(windows: DataFrame, pool: DataFrame, sources: DataFrame | None
     ``pool`` has the windows of all documents; those that one of ``runs`` (doc_id, hash, cell, a, b:
     what a source has word by word, by cells of its places) holds are left out: that source tells the same.
     """
-    last = windows.groupBy("key").agg(F.max("doc_id").alias("last"))
+    last = few(windows.groupBy("key").agg(F.max("doc_id").alias("last")), FEW_KEYS)
     rows = pool.join(last, "key").filter("doc_id < last").drop("last")
     if runs is not None:
         low, high = F.greatest(F.col("l"), F.col("p") - (width - 1)), F.least(F.col("r"), F.col("p") + (width - 1))
@@ -332,10 +334,10 @@ def live_windows(windows: DataFrame, unmet: DataFrame) -> DataFrame:
     return windows.withColumn("cell", cell("p")).join(few(near), ["doc_id", "hash", "cell"], "left_semi").drop("cell")
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows``, stored; broadcast if they are no more than ``BROADCAST_SPANS``."""
+def few(rows: DataFrame, most: int = BROADCAST_SPANS) -> DataFrame:
+    """``rows``, stored; broadcast if they are no more than ``most``."""
     rows = common.stored(rows, "few")
-    return F.broadcast(rows) if rows.count() <= BROADCAST_SPANS else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def hot_windows(windows: DataFrame) -> DataFrame:
@@ -401,10 +403,11 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
     found = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
     asked = F.broadcast(found) if found.count() <= BROADCAST_SPANS else found
     # slices of the texts meet, not the texts
-    own = docs.select("doc_id", "hash", "tokens").join(asked.select("doc_id", "hash", "row", "first", "last"), ["doc_id", "hash"]).select("row", sliced("tokens", "first", "last").alias("own"))
+    own = docs.select("doc_id", "hash", "tokens").join(asked.select("doc_id", "hash", "source_id", "row", "first", "last", "source_first"), ["doc_id", "hash"])
+    own = own.select("row", "doc_id", "hash", "source_id", "first", "source_first", sliced("tokens", "first", "last").alias("own"))
     other = docs.select(F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash"), "tokens").join(asked.select("source_id", "source_hash", "row", "source_first", "source_last"), ["source_id", "source_hash"])
     other = other.select("row", sliced("tokens", "source_first", "source_last").alias("other"))
-    both = found.join(own, "row").join(other, "row").select("doc_id", "hash", "source_id", "first", "source_first", "own", "other")
+    both = own.join(other, "row").select("doc_id", "hash", "source_id", "first", "source_first", "own", "other")
     return both.mapInArrow(checked, PASSAGE)
 
 
