@@ -70,3 +70,58 @@ def test_constraints_with_hot_objects_and_batches(spark, monkeypatch):
         got = ocdeclare.conformances(log, arcs, noise=noise)
         assert [t and ocdeclare.holds(t, v, noise) for t, v in got] == [t and ocdeclare.holds(t, v, noise) for t, v in want]
         assert all(v == w or v < w and not ocdeclare.holds(t, v, noise) for (t, v), (_, w) in zip(got, want))
+
+
+def test_constraints_of_several_objects(spark, monkeypatch):
+    """Sets of objects, with every arrow and kind of association, against pairs of events in Python."""
+    import itertools
+
+    from eventloom import builders
+    from eventloom.operators import ocdeclare
+    from eventloom.operators.ocdeclare import Arc
+
+    r = random.Random(7)
+    events = [(r.choice("abc"), sorted({"h:0", *(f"o:{r.randrange(5)}" for _ in range(r.randrange(3))), *(f"p:{r.randrange(3)}" for _ in range(r.randrange(3)))} - ({"h:0"} if r.random() < 0.2 else set()))) for _ in range(90)]
+    log = builders.make_ocel(spark, events)
+    kinds = [
+        {"each": "op"}, {"each": "ho"}, {"each": "oo"}, {"all": "o"}, {"all": "ho"}, {"each": "o"}, {"any": "o"}, {"each": "o", "all": "p"},
+        {"each": "h", "any": "o"}, {"all": "o", "any": "p"}, {"any": "op"}, {"each": "op", "any": "h", "all": "p"},
+    ]
+    arcs = [
+        Arc(x, y, arrow, **{k: tuple((t, None) for t in v) for k, v in kind.items()}, least=least, most=most)
+        for kind in kinds for arrow in ocdeclare.ARROWS for x, y, least, most in (("a", "b", 1, None), ("a", "a", 0, 2))
+    ]
+
+    def brute(arc):
+        total = bad = 0
+        of = lambda objects, x: [o for o in objects if o.startswith(x[0])]
+        for i, (x, objects) in enumerate(events):
+            if x != arc.source:
+                continue
+            total += 1
+            counts = []
+            for own in itertools.product(*(of(objects, e) for e in arc.each)):
+                must = {*own, *(o for a in arc.all for o in of(objects, a))}
+                some = [of(objects, a) for a in arc.any]
+                loose = not (arc.each or arc.all) and all(len(g) > 1 for g in some)
+                near, n = [], 0
+                for j, (y, other) in enumerate(events):
+                    if {"AS": False, "EF": j <= i, "DF": j <= i, "EP": j >= i, "DP": j >= i}[arc.arrow]:
+                        continue
+                    if not must and not any(some) or not must <= set(other) or not all(set(g) & set(other) for g in some):
+                        continue
+                    near.append(y)
+                    n += (y == arc.target) * (max((len(g), len(set(g) & set(other))) for g in some)[1] if loose else 1)
+                if arc.arrow in ("DF", "DP"):
+                    n = int(bool(near) and near[0 if arc.arrow == "DF" else -1] == arc.target)
+                counts.append(n)
+            bad += any(n < arc.least or arc.most is not None and n > arc.most for n in counts)
+        return total, bad
+
+    want = [brute(a) for a in arcs]
+    assert len({b for _, b in want}) > 10
+    for share, n in ((1024, 256), (3, 4)):
+        monkeypatch.setattr(segments, "HOT_SHARE", share)
+        monkeypatch.setattr(segments, "SEGMENTS", n)
+        got = ocdeclare.conformances(log, arcs)
+        assert got == want, [(str(a), g, w) for a, g, w in zip(arcs, got, want) if g != w][:5]
