@@ -65,6 +65,23 @@ LEFT JOIN (SELECT x.event_id, x.ts, x.object_id AS o, y.object_id AS p FROM link
     + _shares("ship item", "n < 1"),
 )
 
+#: SQL for arcs of two objects a source event has: per source event and pair of objects the matching targets.
+_TWO = """two AS (SELECT a.event_id, a.event_type, a.ts, a.object_id AS o, b.object_id AS p FROM link a JOIN link b USING (event_id) WHERE a.object_type = 'order' AND b.object_type = '{kind}'),
+c AS (SELECT s.event_id, s.o, s.p, {n} AS n FROM two s LEFT JOIN two t ON t.o = s.o AND t.p = s.p AND t.ts {op} s.ts WHERE s.event_type = 'ship item' GROUP BY ALL)"""
+_arc("ef_each_order_part", Arc("ship item", "ship item", "EF", each=(("order", None), ("part", None))), _WITH + _TWO.format(kind="part", op=">", n="count(t.event_id)") + ", " + _shares("ship item", "n < 1"))
+_arc("dp_each_order_supplier", Arc("ship item", "ship item", "DP", each=(("order", None), ("supplier", None))), _WITH + _TWO.format(kind="supplier", op="<", n="count(t.event_id)") + ", " + _shares("ship item", "n < 1"))
+_arc(
+    "ef_each_order_part_o2o", Arc("place order", "ship item", "EF", each=(("order", None), ("part", "order"))),
+    _WITH + """near AS (SELECT DISTINCT s.event_id, s.ts, s.object_id AS o, o2o.target_id AS p FROM link s JOIN o2o ON o2o.source_id = s.object_id JOIN ob ON ob.object_id = o2o.target_id AND ob.object_type = 'part' WHERE s.event_type = 'place order' AND s.object_type = 'order'),
+t AS (SELECT a.event_id, a.ts, a.object_id AS o, b.object_id AS p FROM link a JOIN link b USING (event_id) WHERE a.event_type = 'ship item' AND a.object_type = 'order' AND b.object_type = 'part'),
+c AS (SELECT n.event_id, n.o, n.p, count(t.event_id) AS n FROM near n LEFT JOIN t ON t.o = n.o AND t.p = n.p AND t.ts > n.ts GROUP BY ALL), """
+    + _shares("place order", "n < 1"),
+)
+_arc(
+    "df_all_customer", Arc("place order", "place order", "DF", all=(("customer", None),)),
+    _WITH + _NEAREST.format(source="place order", kind="customer", target="place order", pick="arg_min", op=">") + ", " + _shares("place order", "n < 1"),
+)
+
 
 @query(
     "declare_discover",
