@@ -17,7 +17,9 @@ import struct
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ LEXICON_BYTES = 48
 STEP_BYTES = 2 << 20
 #: Distinct words a worker counts before it hands its counts on.
 COUNTED_WORDS = 300_000
+#: Pieces up to these lengths in bytes are merged together, so many at a time; longer ones one by one.
+MERGE_BANDS, MERGE_ROWS = (8, 16, 32, 64), 1 << 14
 _HEAD = struct.Struct("<8sIIII")
 _MAGIC = b"EVFST01\n"
 
@@ -80,6 +84,61 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank.setdefault((vocab[a], vocab[b]), len(self.becomes))
             self.becomes.append(vocab[a + b])
+        # the same as arrays, the pairs in order, and the ranks of all pairs of bytes
+        pairs = sorted((a << 32 | b, r) for (a, b), r in self.rank.items())
+        self._pairs, self._ranks = np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
+        self._base, self._becomes = np.array(self.base, np.int32), np.array(self.becomes, np.int32)
+        self._byte_ranks = self._rank_of(np.repeat(self._base, 256), np.tile(self._base, 256))
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; what isn't merged, and a pair with -1, has the number of ranks."""
+        if not len(self._pairs):
+            return np.zeros(a.shape, np.int32)
+        pair = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pair, self._ranks[at], np.int32(len(self.becomes)))
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """``merge`` of each piece, as little-endian unsigned 32-bit integers; all pieces take their next step at once."""
+        out, lengths = [b""] * len(pieces), np.array([len(p) for p in pieces], np.int64)
+        low = 0
+        for high in MERGE_BANDS:
+            some = np.flatnonzero((lengths > low) & (lengths <= high))
+            for at in range(0, len(some), MERGE_ROWS):
+                self._merge_band(pieces, some[at : at + MERGE_ROWS], lengths, high, out)
+            low = high
+        for i in np.flatnonzero(lengths > low).tolist():
+            out[i] = array("I", self.merge(pieces[i])).tobytes()
+        return out
+
+    def _merge_band(self, pieces: list[bytes], rows: np.ndarray, lengths: np.ndarray, width: int, out: list[bytes]) -> None:
+        """The pieces of ``rows``, each of ``width`` bytes at most: a row of ids each, -1 behind its end."""
+        raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8).reshape(-1, width)
+        size, none = lengths[rows], len(self.becomes)
+        place = np.arange(width)
+        ids = np.where(place < size[:, None], self._base[raw], np.int32(-1))
+        ranks = np.where(place[1:] < size[:, None], self._byte_ranks[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]], np.int32(none))
+        while len(rows):
+            step = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            least = ranks[np.arange(len(rows)), step] if ranks.shape[1] else np.full(len(rows), none)
+            if len(over := np.flatnonzero(least == none)):
+                data, wide = ids[over].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, (i, n) in enumerate(zip(rows[over].tolist(), size[over].tolist())):
+                    out[i] = data[k * wide : k * wide + 4 * n]
+                live = np.flatnonzero(least != none)
+                rows, size, ids, ranks, step, least = rows[live], size[live], ids[live], ranks[live], step[live], least[live]
+                if not len(rows):
+                    return
+            # the pair becomes one id, and what follows moves up by one
+            every, size = np.arange(len(rows)), size - 1
+            ids[every, step] = self._becomes[least]
+            place = np.arange(ids.shape[1] - 1)
+            ids = np.where(place <= step[:, None], ids[:, :-1], ids[:, 1:])
+            ranks = np.where(place[:-1] < step[:, None], ranks[:, :-1], ranks[:, 1:])
+            k = np.flatnonzero(step < ranks.shape[1])
+            ranks[k, step[k]] = self._rank_of(ids[k, step[k]], ids[k, step[k] + 1])
+            k = np.flatnonzero(step > 0)
+            ranks[k, step[k] - 1] = self._rank_of(ids[k, step[k] - 1], ids[k, step[k]])
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair of least rank, leftmost first, is merged until none is left."""
@@ -166,8 +225,8 @@ def compile_lexicon(words: Iterable[bytes], vocabulary: Vocabulary) -> bytes:
         count[n] = below
         starts.append(len(labels))
     ids, ends = array("I"), array("I", [0])
-    for word in ordered:
-        ids.extend(vocabulary.merge(word))
+    for merged in vocabulary.merge_all(ordered):
+        ids.frombytes(merged)
         ends.append(len(ids))
     head = _HEAD.pack(_MAGIC, len(frozen), len(labels), len(ordered), root)
     return head + b"".join(x.tobytes() for x in (starts, targets, outs, ends, ids)) + bytes(labels)
@@ -193,19 +252,34 @@ class Lexicon:
         self.ids_at = at
         self.labels_at = at + 4 * self.ends[words]
 
+        # transitions by state and byte, in order
+        own = lambda x: np.array(x, np.int64)
+        self._steps = np.repeat(np.arange(states, dtype=np.int64), np.diff(own(self.starts))) << 8 | np.frombuffer(self.map, np.uint8, edges, self.labels_at)
+        self._targets, self._outs = own(self.targets), own(self.outs)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 if the automaton doesn't hold it; all words take their next transition at once."""
+        data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+        first, found = np.cumsum(lengths) - lengths, np.full(len(words), -1)
+        some, state, number, final, at = np.arange(len(words)), np.full(len(words), self.root), np.zeros(len(words), np.int64), np.zeros(len(words), bool), 0
+        while len(some):
+            ended = lengths[some] == at
+            found[some[ended & final]] = number[ended & final]
+            some, state, number = some[~ended], state[~ended], number[~ended]
+            step = state << 8 | data[first[some] + at]
+            e = np.minimum(np.searchsorted(self._steps, step), len(self._steps) - 1)
+            good = self._steps[e] == step
+            some, e = some[good], e[good]
+            number, state, final, at = number[good] + self._outs[e], self._targets[e] >> 1, self._targets[e] & 1 > 0, at + 1
+        return found
+
     def ids(self, word: bytes) -> bytes | None:
         """Ids of a word (uint32, little-endian), None if the automaton doesn't hold it."""
-        state, number, final, at, find = self.root, 0, 0, self.labels_at, self.map.find
-        starts, targets, outs = self.starts, self.targets, self.outs
-        for i in range(len(word)):
-            e = find(word[i : i + 1], at + starts[state], at + starts[state + 1]) - at
-            if e < 0:
-                return None
-            number += outs[e]
-            final, state = targets[e] & 1, targets[e] >> 1
-        if not final:
-            return None
-        return self.map[self.ids_at + 4 * self.ends[number] : self.ids_at + 4 * self.ends[number + 1]]
+        return self.ids_of(int(self.numbers([word])[0]))
+
+    def ids_of(self, number: int) -> bytes | None:
+        """Ids of the word of a number."""
+        return None if number < 0 else self.map[self.ids_at + 4 * self.ends[number] : self.ids_at + 4 * self.ends[number + 1]]
 
 
 def ship(spark: SparkSession, data: bytes, label: str) -> str:
@@ -235,10 +309,12 @@ def frequent_pieces(texts: DataFrame, text: str, count: int, newer: str) -> list
         seen: Counter[str] = Counter()
 
         def told() -> Iterator:
-            pieces: Counter[str] = Counter()
+            # letters alone are one piece
+            pieces = {" " + word: n for word, n in seen.items() if word.isalpha()}
             for word, n in seen.items():
-                for piece in cut(" " + word):
-                    pieces[piece] += n
+                if not word.isalpha():
+                    for piece in cut(" " + word):
+                        pieces[piece] = pieces.get(piece, 0) + n
             seen.clear()
             short = [p for p in pieces if len(p.encode()) <= LEXICON_BYTES]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(short, pa.string()), "n": pa.array([pieces[p] for p in short], pa.int64())})
@@ -265,25 +341,32 @@ class Coder:
         self.cut = pretoken.cutter(newer)
         self.known: dict[str, bytes] = {}
         self.specials = tuple(self.vocabulary.specials)
-        self.cache = pretoken.PieceCache(self._words, self._text, self._piece("\n"), self.specials)
-
-    def _piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8")
-        if self.lexicon and len(raw) <= LEXICON_BYTES and (ids := self.lexicon.ids(raw)) is not None:
-            return ids
-        return array("I", self.vocabulary.merge(raw)).tobytes()
+        self.cache = pretoken.PieceCache(self._words, self._text, array("I", self.vocabulary.merge(b"\n")).tobytes(), self.specials)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Note the ids of pieces: by the automaton, or else merged."""
+        raw = [p.encode("utf-8") for p in pieces]
+        ids: list[bytes | None] = [None] * len(raw)
+        if self.lexicon:
+            short = [i for i, r in enumerate(raw) if len(r) <= LEXICON_BYTES]
+            for i, number in zip(short, self.lexicon.numbers([raw[i] for i in short]).tolist()):
+                if number >= 0:
+                    ids[i] = self.lexicon.ids_of(number)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, merged in zip(rest, self.vocabulary.merge_all([raw[i] for i in rest])):
+            ids[i] = merged
+        self.known.update(zip(pieces, ids))
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
-        known, cut, piece = self.known, self.cut, self._piece
+        """Ids of each word."""
+        known = self.known
         if len(known) > self.cache.limit:
             known.clear()
-        for word in words:
-            got = []
-            for p in cut(word):
-                if (ids := known.get(p)) is None:
-                    ids = known[p] = piece(p)
-                got.append(ids)
-            yield b"".join(got)
+        cut = list(map(self.cut, words))
+        self._learn(list(set(chain.from_iterable(cut)) - known.keys()))
+        get = known.__getitem__
+        for pieces in cut:
+            yield b"".join(map(get, pieces))
 
     def _text(self, text: str) -> bytes:
         """Ids of any text: special tokens first, then the pattern."""
@@ -291,7 +374,7 @@ class Coder:
         while True:
             found = [(i, -len(s), s) for s in self.specials if (i := text.find(s, at)) >= 0]
             end, _, special = min(found) if found else (len(text), 0, None)
-            out += self._words([text[at:end]]) if end - at < 256 else map(self._piece, self.cut(text[at:end]))
+            out += self._words([text[at:end]])
             if special is None:
                 return b"".join(out)
             out.append(struct.pack("<I", self.vocabulary.specials[special]))

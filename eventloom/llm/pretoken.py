@@ -69,17 +69,6 @@ def cutter(newer: str) -> Callable[[str], list[str]]:
     ).findall
 
 
-class _Known(dict):
-    """word -> ids; a word that isn't there is noted and read as no ids."""
-
-    def __init__(self):
-        self.missing: list[str] = []
-
-    def __missing__(self, word: str) -> bytes:
-        self.missing.append(word)
-        return b""
-
-
 class PieceCache:
     """Ids of texts (uint32, little-endian) from cached ids of their words.
 
@@ -99,12 +88,11 @@ class PieceCache:
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
         self.newline, self.specials, self.limit = newline, specials, limit
         # ids of a word at the start of a line, and of a word after a blank
-        self.first, self.rest = _Known(), _Known()
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
 
-    def _fill(self, known: _Known, lead: str) -> None:
-        words = list(dict.fromkeys(known.missing))
-        known.missing.clear()
-        if words:
+    def _fill(self, known: dict[str, bytes], seen: set[str], lead: str) -> None:
+        if words := list(seen - known.keys()):
             known.update(zip(words, self.encode_pieces([lead + w for w in words])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -114,20 +102,23 @@ class PieceCache:
             if len(known) > self.limit:
                 for k in list(known)[self.limit // 4 :]:
                     del known[k]
-        get_first, get_rest = first.__getitem__, rest.__getitem__
-        out, again = [], []
-        for i, text in enumerate(texts):
+        cut: list[list[tuple[str, list[str]]] | None] = []
+        heads: set[str] = set()
+        others: set[str] = set()
+        for text in texts:
             lines = plain_lines(text, self.specials)
+            cut.append(lines and [(w[0], w[1:]) for w in lines])
+            for head, words in cut[-1] or ():
+                heads.add(head)
+                others.update(words)
+        # all new words first, so that every text is looked up once
+        self._fill(first, heads, "")
+        self._fill(rest, others, " ")
+        get_rest = rest.__getitem__
+        out = []
+        for text, lines in zip(texts, cut):
             if lines is None:
                 out.append(self.encode_text(text) if text else b"")
-                continue
-            before = len(first.missing) + len(rest.missing)
-            out.append(self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines]))
-            if len(first.missing) + len(rest.missing) > before:
-                again.append((i, lines))
-        if again:
-            self._fill(first, "")
-            self._fill(rest, " ")
-            for i, lines in again:
-                out[i] = self.newline.join([b"".join((get_first(w[0]), *map(get_rest, w[1:]))) for w in lines])
+            else:
+                out.append(self.newline.join([first[head] + b"".join(map(get_rest, words)) for head, words in lines]))
         return out
