@@ -91,10 +91,6 @@ class PieceCache:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
-    def _fill(self, known: dict[str, bytes], seen: set[str], lead: str) -> None:
-        if words := list(seen - known.keys()):
-            known.update(zip(words, self.encode_pieces([lead + w for w in words])))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; cut the list so that it holds a few MB."""
         first, rest = self.first, self.rest
@@ -111,9 +107,12 @@ class PieceCache:
             for head, words in cut[-1] or ():
                 heads.add(head)
                 others.update(words)
-        # all new words first, so that every text is looked up once
-        self._fill(first, heads, "")
-        self._fill(rest, others, " ")
+        # all new words first, in one call, so that every text is looked up once
+        new_heads, new = list(heads - first.keys()), list(others - rest.keys())
+        if new_heads or new:
+            ids = list(self.encode_pieces([*new_heads, *(" " + w for w in new)]))
+            first.update(zip(new_heads, ids))
+            rest.update(zip(new, ids[len(new_heads) :]))
         get_rest = rest.__getitem__
         out = []
         for text, lines in zip(texts, cut):

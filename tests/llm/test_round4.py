@@ -3,7 +3,9 @@
 import random
 from array import array
 
-from eventloom.llm import bpe, pretoken, url_filter
+from tokenizers import Tokenizer
+
+from eventloom.llm import bpe, library_coder, pretoken, url_filter
 
 
 def test_rules_of_the_contract(spark):
@@ -45,3 +47,11 @@ def test_each_text_is_looked_up_once():
     assert sorted(asked) == [" a", " b", " c", "a", "b"]
     assert cache.encode(["b a"]) == [b"[b][ a]"] and len(asked) == 5
     assert not hasattr(pretoken, "_Known")  # texts were joined twice where a word was new
+
+
+def test_both_coders_agree_with_the_library():
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    texts = ["Word. word, été; x! don't. 5. a.. é? ß: don? s. 're. ..", ". a. b .c", "Word. ten.\nten. word!", "ſ. Ā, ÷. ×! º. a"]
+    want = [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert library_coder._made(bpe.default_tokenizer()).encode(texts) == want
+    assert bpe.Coder(bpe.default_tokenizer(), None, bpe.library_newer(bpe.default_tokenizer())).encode(texts) == want
