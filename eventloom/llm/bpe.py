@@ -305,6 +305,7 @@ def frequent_pieces(texts: DataFrame, text: str, count: int, newer: str) -> list
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         cut = pretoken.cutter(newer)
         seen: Counter[str] = Counter()
 
@@ -360,7 +361,7 @@ class Coder:
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each word."""
         known = self.known
-        if len(known) > self.cache.limit:
+        if len(known) > self.cache.limit // 4:  # pieces are soon merged again
             known.clear()
         cut = list(map(self.cut, words))
         self._learn(list(set(chain.from_iterable(cut)) - known.keys()))

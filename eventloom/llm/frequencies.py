@@ -36,6 +36,7 @@ def blocks(docs: DataFrame, extra: str = "xxhash64(text)") -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        common.let_go()
         number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in common.pieces(batches, "text", BLOCK_BYTES):
             for at in range(0, batch.num_rows, BLOCK_ROWS):
@@ -98,6 +99,7 @@ def with_classes(texts: DataFrame, features: Callable[[list[bytes]], tuple[np.nd
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         for batch in batches:
             for block, lengths, packed_texts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 distinct, times = _documents(*features(raw_texts(lengths, packed_texts)))

@@ -192,6 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def checked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         for batch in common.pieces(batches, "x", STEP_BYTES):
             good = []
             for m, x, n, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):

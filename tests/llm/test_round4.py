@@ -3,9 +3,10 @@
 import random
 from array import array
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from eventloom.llm import bpe, library_coder, pretoken, url_filter
+from eventloom.llm import bpe, common, frequencies, library_coder, pretoken, url_filter
 
 
 def test_rules_of_the_contract(spark):
@@ -55,3 +56,19 @@ def test_both_coders_agree_with_the_library():
     want = [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
     assert library_coder._made(bpe.default_tokenizer()).encode(texts) == want
     assert bpe.Coder(bpe.default_tokenizer(), None, bpe.library_newer(bpe.default_tokenizer())).encode(texts) == want
+
+
+def test_blocks_let_go_what_workers_keep(spark):
+    def held(batches):
+        for batch in batches:
+            common.kept("large", lambda: b"x" * 1000)
+            yield batch
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(common._KEPT)], pa.int32())})
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string").coalesce(1)
+    spark.range(64).repartition(16).mapInArrow(held, "id long").count()
+    frequencies.blocks(docs.unionByName(spark.range(64).repartition(16).selectExpr("id doc_id", "'a' text"))).count()
+    assert {x.n for x in spark.range(16).repartition(4).mapInArrow(told, "n int").collect()} == {0}
