@@ -304,26 +304,31 @@ def frequent_pieces(texts: DataFrame, text: str, count: int, newer: str) -> list
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         common.let_go()
         cut = pretoken.cutter(newer)
         seen: Counter[str] = Counter()
 
         def told() -> Iterator:
-            # letters alone are one piece
-            pieces = {" " + word: n for word, n in seen.items() if word.isalpha()}
-            for word, n in seen.items():
-                if not word.isalpha():
-                    for piece in cut(" " + word):
-                        pieces[piece] = pieces.get(piece, 0) + n
+            words, counts = pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())
             seen.clear()
-            short = [p for p in pieces if len(p.encode()) <= LEXICON_BYTES]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(short, pa.string()), "n": pa.array([pieces[p] for p in short], pa.int64())})
+            halves, simple = pretoken.simple_pieces(pc.binary_join_element_wise(" ", words, ""))
+            known, rest = counts.filter(simple), pc.invert(simple)
+            others = [(p, n) for word, n in zip(words.filter(rest).to_pylist(), counts.filter(rest).to_pylist()) for p in cut(" " + word)]
+            every = pa.table(
+                {
+                    "piece": pa.chunked_array([*halves, pa.array([p for p, _ in others], pa.string())]),
+                    "n": pa.chunked_array([known, known, pa.array([n for _, n in others], pa.int64())]),
+                }
+            )
+            every = every.filter(pc.and_(pc.greater(pc.binary_length(every["piece"]), 0), pc.less_equal(pc.binary_length(every["piece"]), LEXICON_BYTES)))
+            sums = every.group_by("piece", use_threads=False).aggregate([("n", "sum")])
+            yield from pa.table({"piece": sums["piece"], "n": sums["n_sum"]}).to_batches()
 
         for batch in common.pieces(batches, text, STEP_BYTES):
-            for value in batch.column(0).to_pylist():
-                if value:
-                    seen.update(value.replace("\n", " ").split(" "))
+            words = pc.split_pattern(pc.replace_substring(batch.column(0).drop_null(), "\n", " "), " ").flatten().value_counts()
+            seen.update(dict(zip(words.field(0).to_numpy(zero_copy_only=False).tolist(), words.field(1).tolist())))
             if len(seen) > COUNTED_WORDS:
                 yield from told()
         yield from told()
@@ -337,7 +342,10 @@ class Coder:
     """Encodes and decodes in a Python worker; made once a task."""
 
     def __init__(self, tokenizer: str, lexicon: str | None, newer: str):
+        import pyarrow as pa
+
         self.vocabulary = Vocabulary(tokenizer)
+        self.token_bytes = pa.array(self.vocabulary.bytes, pa.large_binary())
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.cut = pretoken.cutter(newer)
         self.known: dict[str, bytes] = {}
@@ -358,16 +366,24 @@ class Coder:
             ids[i] = merged
         self.known.update(zip(pieces, ids))
 
-    def _words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each word."""
-        known = self.known
-        if len(known) > self.cache.limit // 4:  # pieces are soon merged again
-            known.clear()
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some distinct pieces."""
+        if new := [p for p in pieces if p not in self.known]:
+            self._learn(new)
+        return list(map(self.known.__getitem__, pieces))
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, cut by the pattern."""
         cut = list(map(self.cut, words))
-        self._learn(list(set(chain.from_iterable(cut)) - known.keys()))
-        get = known.__getitem__
-        for pieces in cut:
-            yield b"".join(map(get, pieces))
+        distinct = list(set(chain.from_iterable(cut)))
+        get = dict(zip(distinct, self._pieces(distinct))).__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        if len(self.known) > self.cache.limit // 4:  # pieces are soon merged again
+            self.known.clear()
+        return pretoken.encode_simply(words, self._pieces, self._others)
 
     def _text(self, text: str) -> bytes:
         """Ids of any text: special tokens first, then the pattern."""
@@ -387,7 +403,16 @@ class Coder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD as in a lossy decoder."""
-        return b"".join(map(self.vocabulary.bytes.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """``decode`` of each; the bytes of all ids are put in a row by Arrow."""
+        import pyarrow as pa
+
+        row = self.token_bytes.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        data, at = memoryview(row.buffers()[2] or b""), np.frombuffer(row.buffers()[1], np.int64, len(row) + 1) if len(row) else np.zeros(1, np.int64)
+        cut = at[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        return [str(data[a:b], "utf-8", "replace") for a, b in zip(cut, cut[1:])]
 
 
 def coder(tokenizer: str, lexicon: str | None, newer: str) -> Coder:
@@ -428,7 +453,7 @@ def encode_decode(
         own = coder(tokenizer, SparkFiles.get(lexicon) if lexicon else None, newer)
         for batch in common.pieces(batches, "_text", STEP_BYTES):
             ids = own.encode([t or "" for t in batch.column(len(keys)).to_pylist()])
-            decoded = [own.decode(x) for x in ids]
+            decoded = own.decode_all(ids)
             columns = [
                 *batch.columns[: len(keys)],
                 pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -9,28 +9,49 @@ other texts take the pattern (``cut``) or a tokenizer's own way.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
-#: White space other than blank and line feed; a text with any of it is not plain.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: White space other than blank and line feed; a text with any of it is not plain, nor is one with white space at an end or two together.
+_OTHER_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+_NOT_PLAIN = rf"\A[ \n]|[ \n]\z|[ \n][ \n]|[{''.join(f'\\x{{{ord(c):x}}}' for c in _OTHER_SPACE)}]"
+#: Latin letters that every Unicode table has, then ASCII punctuation: two pieces at most, whatever the tables.
+_SIMPLE = r"\A(?P<letters>(?: ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)?)(?P<marks>(?: ?[!-/:-@\[-`{-~]+)?)\z"
 
 
-def plain_lines(text: str, specials: tuple[str, ...]) -> list[list[str]] | None:
-    """Lines of blank-separated words of a plain text; None for any other text."""
-    if not text or text[0] in " \n" or text[-1] in " \n":
-        return None
-    for pair in _PAIRS:
-        if pair in text:
-            return None
-    for special in specials:
-        if special in text:
-            return None
-    if _OTHER_SPACE.search(text):
-        return None
-    return [line.split(" ") for line in text.split("\n")]
+def simple_pieces(words):
+    """Of an Arrow array of words: the letters and the punctuation of those that are no more, either may be empty, and which these are."""
+    import pyarrow.compute as pc
+
+    cut = pc.extract_regex(words, _SIMPLE)
+    simple = cut.is_valid()
+    two = cut.filter(simple)
+    return (two.field("letters"), two.field("marks")), simple
+
+
+def encode_simply(
+    words: list[str], encode_pieces: Callable[[list[str]], list[bytes]], encode_others: Callable[[list[str]], list[bytes]]
+) -> list[bytes]:
+    """Ids of each word: of letters followed by punctuation by its two pieces, of any other as ``encode_others`` says.
+
+    ``encode_pieces`` gets each distinct piece once.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    given = pa.array(words, pa.large_string())
+    both, simple = simple_pieces(given)
+    halves, n = pa.concat_arrays(both), len(both[0])
+    coded = pc.if_else(pc.equal(halves, ""), pa.scalar(None, halves.type), halves).dictionary_encode()
+    pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    ids = pa.array(encode_pieces(pieces) if pieces else [], pa.large_binary()).take(coded.indices)
+    joined = pc.binary_join_element_wise(ids[:n], ids[n:], pa.scalar(b"", pa.large_binary()), null_handling="replace")
+    out = joined.to_numpy(zero_copy_only=False).tolist()
+    if len(out) == len(words):
+        return out
+    others = iter(encode_others(given.filter(pc.invert(simple)).to_pylist()))
+    found = iter(out)
+    return [next(found) if s else next(others) for s in simple.to_pylist()]
 
 
 def newer_characters(pre_tokenize: Callable[[str], list]) -> str:
@@ -87,37 +108,48 @@ class PieceCache:
     ):
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
         self.newline, self.specials, self.limit = newline, specials, limit
-        # ids of a word at the start of a line, and of a word after a blank
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        # ids of a word after a blank, and of a line feed with the word behind it
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; cut the list so that it holds a few MB."""
-        first, rest = self.first, self.rest
-        for known in (first, rest):
-            if len(known) > self.limit:
-                for k in list(known)[self.limit // 4 :]:
-                    del known[k]
-        cut: list[list[tuple[str, list[str]]] | None] = []
-        heads: set[str] = set()
-        others: set[str] = set()
-        for text in texts:
-            lines = plain_lines(text, self.specials)
-            cut.append(lines and [(w[0], w[1:]) for w in lines])
-            for head, words in cut[-1] or ():
-                heads.add(head)
-                others.update(words)
-        # all new words first, in one call, so that every text is looked up once
-        new_heads, new = list(heads - first.keys()), list(others - rest.keys())
-        if new_heads or new:
-            ids = list(self.encode_pieces([*new_heads, *(" " + w for w in new)]))
-            first.update(zip(new_heads, ids))
-            rest.update(zip(new, ids[len(new_heads) :]))
-        get_rest = rest.__getitem__
+        """Ids of each text; cut the list so that it holds a few MB.
+
+        Arrow cuts the texts, numbers the distinct words and puts their ids in a
+        row; Python sees each distinct word once.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = self.known
+        if len(known) > self.limit:
+            for k in list(known)[self.limit // 4 :]:
+                del known[k]
+        given = pa.array(texts, pa.large_string())
+        odd = pc.or_(pc.equal(pc.binary_length(given), 0), pc.match_substring_regex(given, _NOT_PLAIN))
+        for special in self.specials:
+            odd = pc.or_(odd, pc.match_substring(given, special))
+        plain = given.filter(pc.invert(odd))
+        # every line begins with its line feed, the first one too
+        lines = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(plain, "\n", " \n"), pa.scalar("", pa.large_string()))
+        cut = pc.split_pattern(lines, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = list(map(known.get, words))
+        # all new words in one call
+        if at := [i for i, x in enumerate(each) if x is None]:
+            new = [words[i] for i in at]
+            for i, w, x in zip(at, new, self.encode_pieces([w[1:] if w[0] == "\n" else " " + w for w in new])):
+                known[w] = each[i] = self.newline + x if w[0] == "\n" else x
+        ids = pa.array(each, pa.large_binary()).take(coded.indices)
+        data = memoryview(ids.buffers()[2] or b"")
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[cut.offsets.to_numpy()].tolist() if len(ids) else []
+        spans, first = zip(ends, ends[1:]), len(self.newline)
         out = []
-        for text, lines in zip(texts, cut):
-            if lines is None:
+        for text, other in zip(texts, odd.to_pylist()):
+            if other:
                 out.append(self.encode_text(text) if text else b"")
             else:
-                out.append(self.newline.join([first[head] + b"".join(map(get_rest, words)) for head, words in lines]))
+                a, b = next(spans)
+                out.append(bytes(data[a + first : b]))
         return out
