@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ BUCKETS = 1 << 18
 WORD_NS, CHAR_NS = (1, 2), (3, 5)
 SCALE = 50.0
 STEP_BYTES = 1 << 20
+#: Features that a step of the fit takes at once.
+STEP_FEATURES = 1 << 17
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
@@ -119,20 +123,34 @@ def fit(rows: list[tuple[list[tuple[np.ndarray, np.ndarray]], int]], rounds: int
     held = np.arange(len(rows)) % CALIBRATION_SHARE == CALIBRATION_SHARE - 1
     if labels[~held].min() == labels[~held].max() or not held.any():
         held[:] = False
-    index, value, ends = [], [], [0]
+    sizes = np.array([sum(len(b) for b, _ in x) for x, _ in rows], np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    idx, val = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    at = 0
     for x, _ in rows:
         for k, (b, v) in enumerate(x):
-            index.append(b.astype(np.int32) + k * BUCKETS)
-            value.append((SCALE * v).astype(np.float32))
-        ends.append(ends[-1] + sum(len(b) for b, _ in x))
-    idx, val = np.concatenate(index), np.concatenate(value)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(ends))
+            np.add(b, k * BUCKETS, out=idx[at : at + len(b)])
+            np.multiply(SCALE, v, out=val[at : at + len(b)])
+            at += len(b)
+    # a few rows at a time, so that the driver holds little beside the features
+    firsts = [0]
+    for i in range(1, len(rows)):
+        if ends[i + 1] - ends[firsts[-1]] > STEP_FEATURES:
+            firsts.append(i)
+    parts = [(i, j, slice(ends[i], ends[j])) for i, j in zip(firsts, [*firsts[1:], len(rows)])]
+    row = lambda i, j: np.repeat(np.arange(j - i), sizes[i:j])
     w, bias = np.zeros(kinds * BUCKETS), 0.0
     squares, bias_squares = np.full(kinds * BUCKETS, 1e-12), 1e-12
-    score = lambda: bias + np.bincount(row, weights=w[idx] * val, minlength=len(rows))
+
+    def score() -> np.ndarray:
+        return bias + np.concatenate([np.bincount(row(i, j), weights=w[idx[s]] * val[s], minlength=j - i) for i, j, s in parts])
+
     for _ in range(rounds):
         g = np.where(held, 0.0, 1 / (1 + np.exp(-np.clip(score(), -50, 50))) - labels) / max(1, (~held).sum())
-        step = np.bincount(idx, weights=g[row] * val, minlength=len(w)) + 1e-7 * w
+        step = np.zeros(len(w))
+        for i, j, s in parts:
+            np.add.at(step, idx[s].astype(np.intp), g[i:j][row(i, j)] * val[s])
+        step += 1e-7 * w
         squares += step * step
         w -= 0.03 * step / np.sqrt(squares)
         bias_squares += g.sum() ** 2
@@ -174,8 +192,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")  # of rows that share an id one trains
 
     def features(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in common.pieces(batches, "text", STEP_BYTES):
             texts = batch.column(1).to_pylist()
             data = hashed(texts, [t.encode("utf-8", "replace").split() for t in texts])
@@ -189,16 +205,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "quality", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(features, f"doc_id {kind}, quality int, features binary").toArrow().sort_by("doc_id")
-    found = []
-    for label, packed in zip(got.column(1).to_pylist(), got.column(2).to_pylist()):
-        at, x = 0, []
-        for _ in range(len(WORD_NS) + len(CHAR_NS)):
-            n = int(np.frombuffer(packed, "<i4", 1, at)[0])
-            x.append((np.frombuffer(packed, "<i4", n, at + 4), np.frombuffer(packed, "<f4", n, at + 4 + 4 * n)))
-            at += 4 + 8 * n
-        found.append((x, label))
-    return fit(found)
+    got = sample.mapInArrow(features, f"doc_id {kind}, quality int, features binary").toArrow()
+    model = fit([(_unpacked(got.column(2)[i].as_buffer()), got.column(1)[i].as_py()) for i in pc.sort_indices(got.column(0)).to_pylist()])
+    del got
+    common.let_go()
+    return model
+
+
+def _unpacked(packed: pa.Buffer) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and frequencies of each kind, as views."""
+    at, x = 0, []
+    for _ in range(len(WORD_NS) + len(CHAR_NS)):
+        n = int(np.frombuffer(packed, "<i4", 1, at)[0])
+        x.append((np.frombuffer(packed, "<i4", n, at + 4), np.frombuffer(packed, "<f4", n, at + 4 + 4 * n)))
+        at += 4 + 8 * n
+    return x
 
 
 def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -215,8 +236,6 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFr
     name = uuid.uuid4().hex
 
     def judged(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         kept_model = lambda: common.kept(name, lambda: shared.value)
 
         for batch in common.pieces(batches, "text", STEP_BYTES):
@@ -247,8 +266,6 @@ def keep_good(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> Da
     at = docs.columns.index("text")
 
     def kept(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         kept_model = lambda: common.kept(name, lambda: shared.value)
 
         for batch in common.pieces(batches, "text", STEP_BYTES):
