@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from eventloom.llm import common
 
 #: Text of a block in UTF-8 bytes, a longer text is a block of its own; and the most documents of one.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 1 << 16
 #: Shingles of a bucket take about so many bytes in the worker that counts them.
 BUCKET_BYTES = 32 << 20
 #: Fewest buckets, so that small inputs use all cores too.
@@ -49,7 +49,7 @@ def blocks(docs: DataFrame, extra: str = "xxhash64(text)") -> DataFrame:
                 number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(extra).cast("long").alias("extra"))
-    return common.stored(rows.mapInArrow(packed, BLOCK), "blocks")
+    return common.stored(rows.mapInArrow(packed, BLOCK), "blocks", BLOCK_BYTES)
 
 
 def bucket_count(texts: DataFrame) -> int:

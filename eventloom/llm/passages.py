@@ -261,6 +261,7 @@ def open_windows(docs: DataFrame, covered: DataFrame | None, width: int) -> Data
     def unpacked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         for batch in common.pieces(batches, "windows", STEP_BYTES):
             parts, owners = [], []
             for i, (bits, raw, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 5)))):
@@ -363,6 +364,7 @@ def stretches(windows: DataFrame, sources: DataFrame, many: DataFrame, width: in
     def laid(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         for batch in batches:
             lists = batch.column(4)
             every = np.stack([c.to_numpy(zero_copy_only=False) for c in lists.values.flatten()], axis=1).astype(np.int64)
@@ -387,6 +389,7 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
     def checked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         for batch in common.pieces(batches, "other", STEP_BYTES):
             owners, out = [], []
             for k, (first, lo, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "source_first", "own", "other")))):
@@ -400,7 +403,7 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("hash").take(at), batch.column("source_id").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "hash", "source_id", "start_word", "end_word", "source_start", "source_end", "similarity", "runs"])
 
-    found = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
+    found = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "stretches", STEP_BYTES)
     asked = F.broadcast(found) if found.count() <= BROADCAST_SPANS else found
     # slices of the texts meet, not the texts
     own = docs.select("doc_id", "hash", "tokens").join(asked.select("doc_id", "hash", "source_id", "row", "first", "last", "source_first"), ["doc_id", "hash"])
@@ -448,11 +451,11 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
     width = least_words - n + 1
     docs, copies = first_of_equals(docs)
     texts = frequencies.blocks(docs)
-    every = common.stored(repeating(texts, n, least_words, functions), "repeating")
+    every = common.stored(repeating(texts, n, least_words, functions), "repeating", STEP_BYTES)
     common.drop_stored(texts)
     if not every.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
         every = common.stored(every.dropDuplicates(["doc_id", "hash"]), "repeating")
-    alone = common.stored(open_windows(every, None, width), "windows")
+    alone = common.stored(open_windows(every, None, width), "windows", STEP_BYTES)
     # a key that one document has tells nothing
     keys = alone.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     keys = common.stored(keys, "keys")
@@ -470,7 +473,7 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
         known = new.withColumn("new", F.lit(True))
         if sources is not None:
             known = known.unionByName(sources.withColumn("new", F.lit(False)))
-        out.append(common.stored(verified(stretches(windows, known, many, width, agree), every, n, width), "passages"))
+        out.append(common.stored(verified(stretches(windows, known, many, width, agree), every, n, width), "passages", STEP_BYTES))
         sources = new if sources is None else sources.unionByName(new)
         # windows of documents with new passages are looked at again
         passage = F.struct(F.col("start_word").cast("int").alias("a"), (F.col("end_word") - n).cast("int").alias("b"))
@@ -478,7 +481,7 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
         mine = reduce(DataFrame.unionByName, out)
         covered = mine.join(changed, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"))
         again = open_windows(every.join(changed, ["doc_id", "hash"], "left_semi"), covered, width).join(keys, "key", "left_semi")
-        windows = common.stored(windows.join(changed, ["doc_id", "hash"], "left_anti").unionByName(again), "windows")
+        windows = common.stored(windows.join(changed, ["doc_id", "hash"], "left_anti").unionByName(again), "windows", STEP_BYTES)
         cells = F.sequence(F.floor(F.col("run.a") / CELL), F.floor(F.col("run.b") / CELL))
         # runs too short to hold what a window reaches are none
         held = out[-1].select("doc_id", "hash", F.explode("runs").alias("run")).filter(F.col("run.b") - F.col("run.a") + 1 >= width)
@@ -509,6 +512,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        common.let_go()
         for batch in common.pieces(batches, "text", STEP_BYTES):
             texts, kept = batch.column(at[0]).to_pylist(), []
             for i, spans in enumerate(batch.column(at[1]).to_pylist()):

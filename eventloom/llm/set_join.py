@@ -71,7 +71,7 @@ def shared_sets(docs: DataFrame, n: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~known), "size": pa.array(sizes, pa.int64()), "cid": pa.array(cids, pa.int64()), "tokens": pa.array(tokens, pa.binary())})
 
     texts = frequencies.blocks(docs)
-    out = common.stored(frequencies.with_classes(texts, partial(_set_features, n=n), found, "doc_id long, size long, cid long, tokens binary"), "sets")
+    out = common.stored(frequencies.with_classes(texts, partial(_set_features, n=n), found, "doc_id long, size long, cid long, tokens binary"), "sets", STEP_BYTES)
     common.drop_stored(texts)
     return out
 
@@ -116,7 +116,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
         return pa.table({"id": pa.array(ids, pa.int64()), "size": pa.array(extras, pa.int64()), **{k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)}})
 
     packed = frequencies.blocks(sets.select(F.col("id").alias("doc_id"), F.col("tokens").alias("text"), "size"), "size")
-    out = common.stored(frequencies.with_classes(packed, _token_features, found, "id long, size long, group binary, prefix array<long>, skipped int, n_tokens int, bits array<long>"), "prefixes")
+    out = common.stored(frequencies.with_classes(packed, _token_features, found, "id long, size long, group binary, prefix array<long>, skipped int, n_tokens int, bits array<long>"), "prefixes", STEP_BYTES)
     common.drop_stored(packed)
     return out
 
@@ -232,10 +232,10 @@ def similar_components(docs: DataFrame, n: int = N) -> DataFrame:
     inside = members.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     alone = members.withColumn("label", F.col("id"))
     with_labels = lambda frame: heads.join(frame.select("id", "label"), "id")
-    links = common.stored(verified(pivot_pairs(with_labels(alone)).unionByName(inside).distinct(), sets).unionByName(same), "links")
+    links = common.stored(verified(pivot_pairs(with_labels(alone)).unionByName(inside).distinct(), sets).unionByName(same), "links", STEP_BYTES)
     labelled = joined(alone, links)
     for turn in range(1, PIVOT_TURNS):
-        more = common.stored(verified(pivot_pairs(with_labels(labelled), turn), sets), "links")
+        more = common.stored(verified(pivot_pairs(with_labels(labelled), turn), sets), "links", STEP_BYTES)
         before, labelled = labelled, joined(labelled, more)
         common.drop_stored(before, more)
     bounds = labelled.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
