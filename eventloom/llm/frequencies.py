@@ -67,12 +67,27 @@ def raw_texts(lengths: bytes, texts: bytes) -> list[bytes]:
 
 
 def by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted hashes by bucket, and where each bucket begins."""
-    place = ((distinct >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    """The order of sorted hashes by bucket, and where each bucket begins.
+
+    The low half of a hash tells the bucket, so inside a bucket the high halves rise.
+    """
+    place = ((distinct & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
     return order, np.searchsorted(place[order], np.arange(buckets + 1))
 
 
+def rising_packed(values: np.ndarray, pack) -> bytes:
+    """Rising unsigned 32-bit integers as the bytes of their gaps, the highest bytes of all first, compressed by ``pack``: near ones take fewer bytes."""
+    gaps = np.diff(values, prepend=values.dtype.type(0)).astype("<u4")
+    return pack.compress(gaps.view("u1").reshape(-1, 4)[:, ::-1].T.tobytes())
+
+
+def rising_unpacked(packed: bytes, unpack) -> np.ndarray:
+    """What ``rising_packed`` was given."""
+    planes = np.frombuffer(unpack.decompress(packed), "u1").reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes[::-1].T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _documents(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values and in how many of the rows of the given sizes each is."""
     distinct, back, times = np.unique(values, return_inverse=True, return_counts=True)
@@ -98,24 +113,27 @@ def with_classes(texts: DataFrame, features: Callable[[list[bytes]], tuple[np.nd
 
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
         common.let_go()
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, lengths, packed_texts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 distinct, times = _documents(*features(raw_texts(lengths, packed_texts)))
                 order, cuts = by_bucket(distinct, buckets)
-                low, times = distinct[order].astype("<u4"), np.minimum(times[order], 255).astype("u1")
+                high, times = (distinct[order] >> np.uint64(32)).astype("<u4"), np.minimum(times[order], 255).astype("u1")
                 used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), pa.array([times[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())],
+                    [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([rising_packed(high[cuts[b] : cuts[b + 1]], pack) for b in used], pa.binary()), pa.array([times[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())],
                     names=["bucket", "block", "tokens", "times"],
                 )
 
     def counted(group):
         import pyarrow as pa
+        import zstandard
 
-        times = group.column("times").to_pylist()
-        tokens = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("tokens").to_pylist()])
+        times, unpack = group.column("times").to_pylist(), zstandard.ZstdDecompressor()
+        tokens = np.concatenate([rising_unpacked(x, unpack) for x in group.column("tokens").to_pylist()])
         distinct, back = np.unique(tokens, return_inverse=True)
         sums = np.bincount(back, weights=np.concatenate([np.frombuffer(x, "u1") for x in times]), minlength=len(distinct))
         classes = np.log2(sums).astype("u1")[back]

@@ -54,7 +54,7 @@ _INDEX_BITS = 28
 #: A window: key, function, place of the least hash, first and last shingle.
 WINDOW = [("key", "<i8"), ("f", "<i4"), ("p", "<i4"), ("l", "<i4"), ("r", "<i4")]
 PASSAGE = "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>"
-#: When so few keys are open that they are broadcast (16 bytes each), the pool of all windows isn't shuffled for them.
+#: When so few keys are open that they are broadcast (16 bytes each), the candidates' windows aren't shuffled for them.
 FEW_KEYS = 50_000
 #: Each round of step 4 takes this many times as many documents of a key as the one before.
 ROUND_GROWTH = 64
@@ -300,21 +300,34 @@ def still_open(own: np.ndarray, left: np.ndarray, spans: list, width: int, least
     return own
 
 
-def unmet_sources(windows: DataFrame, pool: DataFrame, sources: DataFrame | None, runs: DataFrame | None, width: int) -> DataFrame:
-    """The documents of each key that aren't among ``sources`` and that a later one of the open ``windows`` follows: key, source_id, source_hash, source_l, source_r.
+def ranked(alone: DataFrame) -> DataFrame:
+    """The windows of ``alone`` whose key several documents have, and their document's place among these: rank 0 is the first, 2 any row of the last doc_id, 1 those between."""
+    keys = alone.groupBy("key").agg(F.min(F.struct("doc_id", "hash")).alias("lo"), F.max("doc_id").alias("hi")).filter("lo.doc_id < hi")
+    rank = F.when(F.struct("doc_id", "hash") == F.col("lo"), 0).when(F.col("doc_id") < F.col("hi"), 1).otherwise(2)
+    return alone.join(common.stored(keys, "keys"), "key").select(*alone.columns, rank.cast("byte").alias("rank"))
 
-    ``pool`` has the windows of all documents; those that one of ``runs`` (doc_id, hash, cell, a, b:
-    what a source has word by word, by cells of its places) holds are left out: that source tells the same.
+
+def met(rows: DataFrame) -> DataFrame:
+    """The documents of window rows by key: key, source_id, source_hash, source_l, source_r."""
+    return rows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("l").alias("source_l"), F.max("r").alias("source_r"))
+
+
+def candidates(windows: DataFrame, rest: DataFrame, taken: DataFrame | None, runs: DataFrame, width: int) -> DataFrame:
+    """The windows of ``rest`` whose document may still be a source: it comes after those ``taken`` of the key, and a later one of the open ``windows`` follows.
+
+    Those that one of ``runs`` (doc_id, hash, cell, a, b: what a source has word by word, by cells of
+    its places) holds are left out: that source tells the same.  Open windows get fewer and runs more,
+    so no window that a round leaves out has to be asked again: the next one asks these.  ``taken``
+    has the last document of each key that is a source; None where all of ``rest`` come later.
     """
     last = few(windows.groupBy("key").agg(F.max("doc_id").alias("last")), FEW_KEYS)
-    rows = pool.join(last, "key").filter("doc_id < last").drop("last")
-    if runs is not None:
-        low, high = F.greatest(F.col("l"), F.col("p") - (width - 1)), F.least(F.col("r"), F.col("p") + (width - 1))
-        rows = rows.withColumns({"low": low, "high": high, "cell": F.floor(low / CELL)})
-        held = (F.col("x.doc_id") == F.col("r.doc_id")) & (F.col("x.hash") == F.col("r.hash")) & (F.col("x.cell") == F.col("r.cell")) & (F.col("a") <= F.col("low")) & (F.col("b") >= F.col("high"))
-        rows = rows.alias("x").join(runs.alias("r"), held, "left_anti")
-    one = rows.groupBy("key", F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash")).agg(F.min("l").alias("source_l"), F.max("r").alias("source_r"))
-    return one if sources is None else one.join(sources.select("key", "source_id", "source_hash"), ["key", "source_id", "source_hash"], "left_anti")
+    rows = rest.join(last, "key").filter("doc_id < last").drop("last")
+    if taken is not None:
+        rows = rows.join(taken, "key").filter(F.struct("doc_id", "hash") > F.col("taken")).drop("taken")
+    low, high = F.greatest(F.col("l"), F.col("p") - (width - 1)), F.least(F.col("r"), F.col("p") + (width - 1))
+    placed = rows.withColumns({"low": low, "high": high, "cell": F.floor(low / CELL)})
+    held = (F.col("x.doc_id") == F.col("r.doc_id")) & (F.col("x.hash") == F.col("r.hash")) & (F.col("x.cell") == F.col("r.cell")) & (F.col("a") <= F.col("low")) & (F.col("b") >= F.col("high"))
+    return placed.alias("x").join(runs.alias("r"), held, "left_anti").select(*rows.columns)
 
 
 def first_sources(unmet: DataFrame, number: int) -> DataFrame:
@@ -403,14 +416,16 @@ def verified(found: DataFrame, docs: DataFrame, n: int, width: int) -> DataFrame
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("hash").take(at), batch.column("source_id").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "hash", "source_id", "start_word", "end_word", "source_start", "source_end", "similarity", "runs"])
 
-    found = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "stretches", STEP_BYTES)
-    asked = F.broadcast(found) if found.count() <= BROADCAST_SPANS else found
-    # slices of the texts meet, not the texts
-    own = docs.select("doc_id", "hash", "tokens").join(asked.select("doc_id", "hash", "source_id", "row", "first", "last", "source_first"), ["doc_id", "hash"])
-    own = own.select("row", "doc_id", "hash", "source_id", "first", "source_first", sliced("tokens", "first", "last").alias("own"))
-    other = docs.select(F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash"), "tokens").join(asked.select("source_id", "source_hash", "row", "source_first", "source_last"), ["source_id", "source_hash"])
-    other = other.select("row", sliced("tokens", "source_first", "source_last").alias("other"))
-    both = own.join(other, "row").select("doc_id", "hash", "source_id", "first", "source_first", "own", "other")
+    found = common.stored(found, "stretches", STEP_BYTES)
+    number = found.count()
+    asked = F.broadcast(found) if number <= BROADCAST_SPANS else found
+    # slices of the sources go to the document, whose tokens go once, however many sources it has
+    other = docs.select(F.col("doc_id").alias("source_id"), F.col("hash").alias("source_hash"), "tokens").join(asked, ["source_id", "source_hash"])
+    other = other.select("doc_id", "hash", "source_id", "first", "last", "source_first", sliced("tokens", "source_first", "source_last").alias("other"))
+    own = docs.select("doc_id", "hash", "tokens")
+    if number <= BROADCAST_SPANS:
+        own = own.join(F.broadcast(found.select("doc_id", "hash").distinct()), ["doc_id", "hash"], "left_semi")
+    both = other.join(own, ["doc_id", "hash"]).select("doc_id", "hash", "source_id", "first", "source_first", sliced("tokens", "first", "last").alias("own"), "other")
     return both.mapInArrow(checked, PASSAGE)
 
 
@@ -457,19 +472,13 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
         every = common.stored(every.dropDuplicates(["doc_id", "hash"]), "repeating")
     alone = common.stored(open_windows(every, None, width), "windows", STEP_BYTES)
     # a key that one document has tells nothing
-    keys = alone.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    keys = common.stored(keys, "keys")
-    pool = windows = common.stored(alone.join(keys, "key", "left_semi"), "windows")
+    every_window = common.stored(ranked(alone), "windows")
     common.drop_stored(alone)
+    windows, rest, taken = every_window.drop("rank"), every_window.filter("rank = 1").drop("rank"), None
     none, many = docs.sparkSession.createDataFrame([], PASSAGE), hot_windows(windows)
     sources, runs, out, number = None, None, [], 1
-    while True:
-        unmet = common.stored(unmet_sources(windows, pool, sources, runs, width), "unmet")
-        if unmet.isEmpty():
-            break
-        if sources is not None:
-            windows = common.stored(live_windows(windows, unmet), "windows")
-        new = common.stored(first_sources(unmet, number), "sources")
+    new = common.stored(met(every_window.filter("rank = 0")), "sources")
+    while not new.isEmpty():
         known = new.withColumn("new", F.lit(True))
         if sources is not None:
             known = known.unionByName(sources.withColumn("new", F.lit(False)))
@@ -479,16 +488,24 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
         passage = F.struct(F.col("start_word").cast("int").alias("a"), (F.col("end_word") - n).cast("int").alias("b"))
         changed = few(out[-1].select("doc_id", "hash").distinct())
         mine = reduce(DataFrame.unionByName, out)
-        covered = mine.join(changed, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans"))
-        again = open_windows(every.join(changed, ["doc_id", "hash"], "left_semi"), covered, width).join(keys, "key", "left_semi")
+        covered = few(mine.join(changed, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.collect_set(passage).alias("spans")))
+        again = open_windows(every.join(changed, ["doc_id", "hash"], "left_semi"), covered, width)
         windows = common.stored(windows.join(changed, ["doc_id", "hash"], "left_anti").unionByName(again), "windows", STEP_BYTES)
         cells = F.sequence(F.floor(F.col("run.a") / CELL), F.floor(F.col("run.b") / CELL))
         # runs too short to hold what a window reaches are none
         held = out[-1].select("doc_id", "hash", F.explode("runs").alias("run")).filter(F.col("run.b") - F.col("run.a") + 1 >= width)
         held = held.select("doc_id", "hash", F.explode(cells).alias("cell"), "run.a", "run.b")
         runs = held if runs is None else runs.unionByName(held)
-        common.drop_stored(unmet)
         number *= ROUND_GROWTH
+        rest = common.stored(candidates(windows, rest, taken, runs, width), "rest")
+        unmet = common.stored(met(rest), "unmet")
+        if unmet.isEmpty():
+            break
+        live = common.stored(live_windows(windows, unmet), "windows")
+        common.drop_stored(windows)
+        windows, new = live, common.stored(first_sources(unmet, number), "sources")
+        common.drop_stored(unmet)
+        taken = new.groupBy("key").agg(F.max(F.struct(F.col("source_id").alias("doc_id"), F.col("source_hash").alias("hash"))).alias("taken"))
     found = reduce(DataFrame.unionByName, out, none)
     zero = F.lit(0).cast("long")
     whole = copies.filter(F.col("n_words") >= least_words).select("doc_id", "hash", "source_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("source_start"), F.col("n_words").alias("source_end"), F.lit(1.0).alias("similarity"))
