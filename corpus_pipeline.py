@@ -22,22 +22,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one row of each component of similar documents."""
+    common.collect_garbage(spark)
     return set_join.first_of_each(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: texts without passages that an earlier document has."""
+    common.collect_garbage(spark)
     return passages.without_passages(docs, passages.repeated_passages(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: rows as often as the mix takes them."""
+    common.collect_garbage(spark)
     size = common.word_count(F.col("text"))
     return mixing.repeated(docs, mixing.mix(docs, size, ["doc_id"]), ["doc_id"], size)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and ids."""
+    common.collect_garbage(spark)
     return bpe.encode_decode(docs, "text", ["doc_id", "lang", "source"], bpe.default_tokenizer(), give=("ids",))
 
 

@@ -334,7 +334,8 @@ def frequent_pieces(texts: DataFrame, text: str, count: int, newer: str) -> list
         yield from told()
 
     found = texts.select(text).mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = found.filter("n > 1").orderBy(F.desc("n"), "piece").limit(count).select("piece").toArrow()
+    with common.batches_of(texts.sparkSession, STEP_BYTES):
+        top = found.filter("n > 1").orderBy(F.desc("n"), "piece").limit(count).select("piece").toArrow()
     return [p.encode() for p in top.column(0).to_pylist()]
 
 
