@@ -54,7 +54,7 @@ _INDEX_BITS = 28
 #: A window: key, function, place of the least hash, first and last shingle.
 WINDOW = [("key", "<i8"), ("f", "<i4"), ("p", "<i4"), ("l", "<i4"), ("r", "<i4")]
 PASSAGE = "doc_id long, hash long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double, runs array<struct<a:int,b:int>>"
-#: When so few keys are open that they are broadcast (16 bytes each), the candidates' windows aren't shuffled for them.
+#: When so few keys are open that they are broadcast (16 bytes each, 40 after the first round), the candidates' windows aren't shuffled for them.
 FEW_KEYS = 50_000
 #: Each round of step 4 takes this many times as many documents of a key as the one before.
 ROUND_GROWTH = 64
@@ -318,12 +318,13 @@ def candidates(windows: DataFrame, rest: DataFrame, taken: DataFrame | None, run
     Those that one of ``runs`` (doc_id, hash, cell, a, b: what a source has word by word, by cells of
     its places) holds are left out: that source tells the same.  Open windows get fewer and runs more,
     so no window that a round leaves out has to be asked again: the next one asks these.  ``taken``
-    has the last document of each key that is a source; None where all of ``rest`` come later.
+    has the last document that is a source of each key with more of them (``last_taken``); None where
+    all of ``rest`` come later.
     """
-    last = few(windows.groupBy("key").agg(F.max("doc_id").alias("last")), FEW_KEYS)
-    rows = rest.join(last, "key").filter("doc_id < last").drop("last")
+    open_keys, wanted = windows.groupBy("key").agg(F.max("doc_id").alias("last")), F.col("doc_id") < F.col("last")
     if taken is not None:
-        rows = rows.join(taken, "key").filter(F.struct("doc_id", "hash") > F.col("taken")).drop("taken")
+        open_keys, wanted = open_keys.join(taken, "key"), wanted & (F.struct("doc_id", "hash") > F.col("taken"))
+    rows = rest.join(few(open_keys, FEW_KEYS), "key").filter(wanted).select(*rest.columns)
     low, high = F.greatest(F.col("l"), F.col("p") - (width - 1)), F.least(F.col("r"), F.col("p") + (width - 1))
     placed = rows.withColumns({"low": low, "high": high, "cell": F.floor(low / CELL)})
     held = (F.col("x.doc_id") == F.col("r.doc_id")) & (F.col("x.hash") == F.col("r.hash")) & (F.col("x.cell") == F.col("r.cell")) & (F.col("a") <= F.col("low")) & (F.col("b") >= F.col("high"))
@@ -335,6 +336,12 @@ def first_sources(unmet: DataFrame, number: int) -> DataFrame:
     return unmet.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("source_id", "source_hash"))).filter(F.col("place") <= number).drop("place")
 
 
+def last_taken(new: DataFrame, number: int) -> DataFrame:
+    """The last of the ``new`` sources of each key that has ``number`` of them; the others have no more documents: key, taken."""
+    last = F.max(F.struct(F.col("source_id").alias("doc_id"), F.col("source_hash").alias("hash"))).alias("taken")
+    return new.groupBy("key").agg(last, F.count("*").alias("n")).filter(F.col("n") >= number).drop("n")
+
+
 def live_windows(windows: DataFrame, unmet: DataFrame) -> DataFrame:
     """Open windows whose key has unmet sources, and those that may lie over such a one.
 
@@ -474,7 +481,7 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
     # a key that one document has tells nothing
     every_window = common.stored(ranked(alone), "windows")
     common.drop_stored(alone)
-    windows, rest, taken = every_window.drop("rank"), every_window.filter("rank = 1").drop("rank"), None
+    windows, rest, taken = every_window.drop("rank"), every_window.filter("rank = 1").drop("rank", "f"), None
     none, many = docs.sparkSession.createDataFrame([], PASSAGE), hot_windows(windows)
     sources, runs, out, number = None, None, [], 1
     new = common.stored(met(every_window.filter("rank = 0")), "sources")
@@ -483,6 +490,8 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
         if sources is not None:
             known = known.unionByName(sources.withColumn("new", F.lit(False)))
         out.append(common.stored(verified(stretches(windows, known, many, width, agree), every, n, width), "passages", STEP_BYTES))
+        if taken is not None and taken.isEmpty():
+            break
         sources = new if sources is None else sources.unionByName(new)
         # windows of documents with new passages are looked at again
         passage = F.struct(F.col("start_word").cast("int").alias("a"), (F.col("end_word") - n).cast("int").alias("b"))
@@ -505,7 +514,7 @@ def repeated_passages(docs: DataFrame, n: int = N, least_words: int = LEAST_WORD
         common.drop_stored(windows)
         windows, new = live, common.stored(first_sources(unmet, number), "sources")
         common.drop_stored(unmet)
-        taken = new.groupBy("key").agg(F.max(F.struct(F.col("source_id").alias("doc_id"), F.col("source_hash").alias("hash"))).alias("taken"))
+        taken = common.stored(last_taken(new, number), "taken")
     found = reduce(DataFrame.unionByName, out, none)
     zero = F.lit(0).cast("long")
     whole = copies.filter(F.col("n_words") >= least_words).select("doc_id", "hash", "source_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("source_start"), F.col("n_words").alias("source_end"), F.lit(1.0).alias("similarity"))

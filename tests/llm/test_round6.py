@@ -61,3 +61,20 @@ def test_a_round_asks_only_for_what_the_last_one_left(spark):
     assert ask(everything.filter("doc_id <= 3"), None) == {(1, 8)}
     taken = spark.createDataFrame([(1, 1, 8)], "key long, doc_id long, hash long").select("key", F.struct("doc_id", "hash").alias("taken"))
     assert ask(everything, taken) == {(3, 0)}
+
+
+def test_keys_without_more_documents_are_asked_no_more(spark):
+    new = spark.createDataFrame([(1, 3, 0), (1, 4, 8), (1, 4, 7), (2, 5, 0)], "key long, source_id long, source_hash long")
+    assert [(r.key, tuple(r.taken)) for r in passages.last_taken(new, 3).collect()] == [(1, (4, 8))]
+    assert passages.last_taken(new, 4).isEmpty()
+
+
+def test_a_round_reads_what_is_left_in_one_join(spark):
+    windows = spark.createDataFrame([(d, 0, k, f, 50, 0, 100) for d in range(1, 9) for f, k in ((0, 1), (1, 2))], "doc_id long, hash long, key long, f int, p int, l int, r int")
+    taken = spark.createDataFrame([(1, 3, 0)], "key long, doc_id long, hash long").select("key", F.struct("doc_id", "hash").alias("taken"))
+    runs = spark.createDataFrame([(5, 0, 0, 0, 100)], "doc_id long, hash long, cell long, a int, b int")
+    got = passages.candidates(windows, windows.drop("f"), taken, runs, 46)
+    # key 2 has no more documents; a run holds the windows of document 5
+    assert sorted((r.key, r.doc_id) for r in got.collect()) == [(1, 4), (1, 6), (1, 7)]
+    # one with the keys that go on, one with the runs
+    assert sum("Join" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 2
