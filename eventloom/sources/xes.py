@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import quoteattr
 
@@ -244,44 +245,74 @@ def _whole_files(chunks: DataFrame) -> list[str]:
     return [r.file for r in some.mapInArrow(odd, "file string").distinct().collect()]
 
 
+def _cut_traces(texts: Iterable[tuple]) -> Iterator[tuple[str, int, str, str | None]]:
+    """Whole traces of rows (value, file, block, default) in order: file, number, text, default."""
+    place, n, held = None, 0, []
+    for text, file, block, default in texts:
+        if place != (file, block):
+            place, n, held = (file, block), -(block == 0), []
+        if n < 0:  # what stands before the first trace of a file
+            n, held = 0, [text] if left_open(text) else []
+            continue
+        if held and not held[0].startswith(CUT):  # the head goes on in a comment
+            held.append(text)
+            if not left_open(CUT.join(held)):
+                held = []
+            continue
+        held.append(CUT + text)
+        if left_open("".join(held)):
+            continue
+        yield file, block + n, "".join(held), default
+        held = []
+        n += 1
+
+
+def _trace_rows(cut: Iterable[tuple[str, int, str, str | None]], options: Options) -> Iterator:
+    """Rows of traces (file, number, text, default), as Arrow batches."""
+    told = _Told()
+    for file, n, text, default in cut:
+        parser = ElementTree.XMLPullParser(("start", "end"))
+        parser.feed(text)
+        depth = 0
+        for what, e in parser.read_events():  # what follows the trace is never read
+            depth += 1 if what == "start" else -1
+            if depth == 0:
+                if told.add(file, n, *trace_of(e, options, default)):
+                    yield told.batch()
+                break
+        else:
+            raise ValueError(f"a trace of {file} has no end")
+    yield told.batch()
+
+
 def _split_rows(chunks: DataFrame, options: Options) -> DataFrame:
     """Rows of files cut at ``<trace`` (value, file, block and default, in order): a trace's number is the place of its range and the trace's place there.
 
-    Numbers rise along a file, by one inside a range.
+    Numbers rise along a file, by one inside a range.  A gzip file is one range, read by
+    one task: that task only cuts it, and others parse its traces.
     """
+    listed = lambda batches: (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
 
     def parsed(batches: Iterator) -> Iterator:
-        told, place, n, held = _Told(), None, 0, []
-        for batch in batches:
-            for text, file, block, default in zip(*(c.to_pylist() for c in batch.columns)):
-                if place != (file, block):
-                    place, n, held = (file, block), -(block == 0), []
-                if n < 0:  # what stands before the first trace of a file
-                    n, held = 0, [text] if left_open(text) else []
-                    continue
-                if held and not held[0].startswith(CUT):  # the head goes on in a comment
-                    held.append(text)
-                    if not left_open(CUT.join(held)):
-                        held = []
-                    continue
-                held.append(CUT + text)
-                if left_open("".join(held)):
-                    continue
-                parser = ElementTree.XMLPullParser(("start", "end"))
-                parser.feed("".join(held))
-                held, depth = [], 0
-                for what, e in parser.read_events():  # what follows the trace is never read
-                    depth += 1 if what == "start" else -1
-                    if depth == 0:
-                        if told.add(file, block + n, *trace_of(e, options, default)):
-                            yield told.batch()
-                        break
-                else:
-                    raise ValueError(f"a trace of {file} has no end")
-                n += 1
-        yield told.batch()
+        return _trace_rows(_cut_traces(listed(batches)), options)
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        told = lambda held: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["file", "n", "text", "default"])
+        traces = _cut_traces(listed(batches))
+        while held := list(islice(traces, 2_000)):
+            yield told(held)
+
+    def of_cut(batches: Iterator) -> Iterator:
+        return _trace_rows(listed(batches), options)
 
-    return chunks.select("value", "file", "block", "default").mapInArrow(parsed, ROW)
+    chunks, packed = chunks.select("value", "file", "block", "default"), F.col("file").endswith(".gz")
+    rows = chunks.filter(~packed).mapInArrow(parsed, ROW)
+    if not any(x.endswith(".gz") for x in chunks.inputFiles()):
+        return rows
+    spread = chunks.filter(packed).mapInArrow(cut, "file string, n long, text string, default string").repartition("file", F.floor(F.col("n") / 256))
+    return rows.unionByName(spread.mapInArrow(of_cut, ROW))
 
 
 def _defaults(chunks: DataFrame, key: str) -> DataFrame:
@@ -321,7 +352,7 @@ def read_xes(spark: SparkSession, path: str, options: Options = Options()) -> Ev
 
     A case is a trace: ``case_id`` is its file and number there, ``case_name`` its
     ``concept:name`` (null without), so traces of one name stay apart.  Gzip files are
-    read as a stream, one task each.  Files that can't be cut at ``<trace`` (a comment
+    cut as a stream, one task each, and parsed by all.  Files that can't be cut at ``<trace`` (a comment
     or CDATA section that holds it across ranges, entities, prefixed tags, other
     encodings) are found by a first look and parsed whole, 2 GB at most.
     """

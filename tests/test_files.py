@@ -246,3 +246,17 @@ def test_ocel_xml_values_of_declared_types(spark, tmp_path):
     (tmp_path / "a.xml").write_text(f'<log><object-types/><event-types><event-type name="e"><attributes>{types}</attributes></event-type></event-types><objects/><events>{events}</events></log>')
     got = {(r.event_id, r.name): r.value for r in ocel.read_ocel(spark, str(tmp_path / "a.xml")).event_attrs.collect()}
     assert got == {(f"e{n}", k): v[n] for k, v in want.items() for n in range(4)}
+
+
+def test_gzipped_xes_is_parsed_by_many_tasks(spark, tmp_path):
+    """Executors zip a single file's parts, and the one task that reads it parses nothing."""
+    rows = spark.range(2_000).select(F.col("id").cast("string").alias("case_id"), F.lit(0).cast("long").alias("event_idx"), F.concat(F.lit("<!-- "), "id").alias("activity"), F.timestamp_seconds("id").alias("ts"))
+    path = str(tmp_path / "log.xes.gz")
+    xes.write_xes(EventLog(rows.repartition(3)), path)
+    data = open(path, "rb").read()
+    assert data.count(b"\x1f\x8b\x08") >= 3 and gzip.decompress(data).count(b"<trace>") == 2_000
+    log = xes.read_xes(spark, path)
+    got = log.events.select("case_name", "activity", "trace_idx").collect()
+    assert sorted(int(r.case_name) for r in got) == list(range(2_000)) and all(r.activity == f"<!-- {r.case_name}" for r in got)
+    assert sorted(r.trace_idx for r in got) == list(range(2_000))
+    assert "repartition" in log.events._jdf.queryExecution().optimizedPlan().toString().lower()
